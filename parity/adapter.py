@@ -42,7 +42,7 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         user(),
         (F.col("event_id") % 3).cast("string").alias("job_id"),
         identifier().alias("type"),
-        F.lit("u").alias("unit"),
+        F.concat(F.lit("u"), (F.col("event_id") % 7).cast("string")).alias("unit"),
         F.col("value").cast("string").alias("value"),
         time_text("ts").alias("start_date"),
         F.lit("").alias("creation_date"),
@@ -149,7 +149,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "orders").select(
         key.alias("request_id"),
-        F.when(key % 41 == 0, "").otherwise((user_id % 150).cast("string")).alias("user_id"),
+        F.when(key % 41 == 0, "")
+        .otherwise(F.floor(user_id / 10).cast("string"))
+        .alias("user_id"),
         pick(
             7, "HeartRate", "HeartRateVariabilitySDNN", "StepCount", "HeartRate",
             "BloodPressureSystolic", "SleepAnalysis", "HeartRate",
