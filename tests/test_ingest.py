@@ -1,0 +1,228 @@
+"""Archives, the landing stream, and the stored tables."""
+
+import io
+import zipfile
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from vitals.operators.metrics import metric_daily
+from vitals.plans import ingest
+from vitals.sources import archive, arrivals, store
+from vitals.streaming.ingest import ingest_stream
+
+HEART = "HKQuantityTypeIdentifierHeartRate"
+AT = datetime(2024, 2, 1)
+
+
+def xml(*records):
+    lines = "".join(
+        f'<Record type="{kind}" value="{value}" startDate="{start}"/>\n'
+        for kind, start, value in records
+    )
+    return f"<HealthData>\n{lines}</HealthData>"
+
+
+FULL = {
+    "export/readme.txt": "text",
+    "export/exportar.xml": xml((HEART, "2024-01-01 10", 60), (HEART, "2024-01-01 10", 62), ("x", "t", 1)),
+    "export/electrocardiograms/b.csv": "Date,Classification\n2024-01-02,Sinus\n2024-01-03,AF\n",
+    "export/electrocardiograms/a.csv": "Date,Classification\n2024-01-04,Sinus\n",
+    "export/workout-routes/r.gpx": '<gpx><trk><trkseg><trkpt lat="1" lon="2"><time>2024-01-05</time></trkpt></trkseg></trk></gpx>',
+}
+
+
+def put(root, key, members):
+    path = root / "exports" / key
+    path.parent.mkdir(parents=True, exist_ok=True)
+    if isinstance(members, bytes):
+        path.write_bytes(members)
+        return
+    with zipfile.ZipFile(path, "w") as target:
+        for name, text in members.items():
+            target.writestr(name, text)
+
+
+@pytest.fixture
+def uploads(tmp_path):
+    root = tmp_path / "uploads"
+    put(root, "u1/100.zip", FULL)
+    put(root, "u 2%+@/200.zip", {"EXPORT.XML": xml((HEART, "2024-01-01 10", 80))})
+    put(root, "u3/300.zip", {"other_file.txt": "x"})
+    put(root, "u4/400.zip", b"not an archive")
+    put(root, "bad.zip", FULL)
+    put(root, "u5/deeper/500.zip", FULL)
+    put(root, "u6/600.txt", b"ignored")
+    return root
+
+
+def keyed(spark, root):
+    return arrivals.parse_export_key(arrivals.export_arrivals(spark, str(root)), str(root))
+
+
+def test_arrivals_and_keys(spark, uploads, rows):
+    assert arrivals.export_arrivals(spark, str(uploads)).count() == 6
+    good, rejects = arrivals.split_export_keys(
+        arrivals.export_arrivals(spark, str(uploads)), str(uploads)
+    )
+    assert rows(good, "user_id", "job_id") == [
+        ("u 2%+@", "200"), ("u1", "100"), ("u3", "300"), ("u4", "400"),
+    ]
+    assert rows(rejects, "user_id", "reason") == [(None, "malformed key")] * 2
+
+
+def test_manifest(spark, uploads, rows):
+    manifest = archive.export_manifest(keyed(spark, uploads))
+    assert rows(manifest, "user_id", "member", "member_ordinal", "kind") == [
+        ("u 2%+@", "EXPORT.XML", 0, "xml"),
+        ("u1", "export/electrocardiograms/a.csv", 3, "ecg"),
+        ("u1", "export/electrocardiograms/b.csv", 2, "ecg"),
+        ("u1", "export/exportar.xml", 1, "xml"),
+        ("u1", "export/workout-routes/r.gpx", 4, "gpx"),
+    ]
+
+
+def test_listing_does_not_read_archive_contents(spark, uploads):
+    plan = arrivals.export_arrivals(spark, str(uploads))._jdf.queryExecution()
+    scan = plan.executedPlan().toString()
+    assert "content" not in scan.split("ReadSchema")[-1]
+
+
+def test_validation_reasons(spark, uploads, rows):
+    checked = archive.validate_exports(archive.list_members(keyed(spark, uploads)))
+    found = checked.where("user_id IS NOT NULL")
+    assert rows(found, "user_id", "file_count", "valid", "reason") == [
+        ("u 2%+@", 1, True, None),
+        ("u1", 5, True, None),
+        ("u3", 1, False, "no export XML"),
+        ("u4", 0, False, "not a valid archive"),
+    ]
+
+
+def test_large_archives_are_refused_unopened(spark, rows):
+    huge = spark.createDataFrame(
+        [("/nowhere/1.zip", "u", "1", 3 * 1024**3)],
+        "path STRING, user_id STRING, job_id STRING, length LONG",
+    )
+    checked = archive.validate_exports(archive.list_members(huge))
+    assert rows(checked, "valid", "reason", "error_step") == [
+        (False, "file exceeds the maximum size", "ValidateFile")
+    ]
+
+
+def test_first_xml_is_picked(spark, tmp_path, rows):
+    put(tmp_path, "u/1.zip", {"b/export.xml": xml((HEART, "t", 1)), "a/exportar.xml": xml((HEART, "t", 2))})
+    listed = archive.list_members(keyed(spark, tmp_path))
+    assert rows(archive.pick_export_xml(listed), "member") == [("b/export.xml",)]
+    staged = archive.unpack_members(listed, str(tmp_path / "staging"))
+    assert rows(staged.where("staged_path IS NOT NULL"), "member") == [("b/export.xml",)]
+
+
+def test_archive_of_many_members(spark, tmp_path):
+    members = {f"export/electrocardiograms/{n}.csv": "" for n in range(12_000)}
+    put(tmp_path, "u/1.zip", members)
+    listed = archive.list_members(keyed(spark, tmp_path))
+    assert listed.where("kind = 'ecg'").count() == 12_000
+
+
+def test_unreadable_member_fails_only_the_xml(spark, tmp_path, rows):
+    def damage(root, key, name):
+        put(root, key, {**FULL, name: FULL[name] + "." * 50})
+        path = root / "exports" / key
+        data = path.read_bytes()
+        at = data.index(b"." * 50)
+        path.write_bytes(data[:at] + b"!" * 50 + data[at + 50:])
+
+    damage(tmp_path, "u/1.zip", "export/exportar.xml")
+    damage(tmp_path, "u/2.zip", "export/electrocardiograms/a.csv")
+    staged = archive.unpack_members(
+        archive.list_members(keyed(spark, tmp_path)), str(tmp_path / "staging")
+    )
+    checked = archive.validate_exports(staged)
+    assert rows(checked, "job_id", "valid", "reason", "error_step") == [
+        ("1", False, "member cannot be read", "ParallelParsing"),
+        ("2", True, None, None),
+    ]
+
+
+def land(spark, root, store_root, staging, checkpoint):
+    ingest_stream(spark, str(root), store_root, staging, checkpoint).awaitTermination()
+
+
+def test_stream_and_batch_end_to_end(spark, uploads, tmp_path, rows):
+    tables, checkpoint = str(tmp_path / "tables"), str(tmp_path / "checkpoint")
+    first = str(tmp_path / "run1")
+    land(spark, uploads, tables, first, checkpoint)
+    manifest = ingest.read_manifest(spark, tables, first)
+    assert manifest.where("user_id = 'u1'").count() == 5
+    ingest.normalise(spark, tables, first, AT)
+
+    read = lambda family: store.scan_table(spark, tables, family)
+    assert rows(read("records"), "user_id", "record_type", "start_date", "value", "job_id") == [
+        ("u 2%+@", "HeartRate", "2024-01-01 10", "80", "200"),
+        ("u1", "HeartRate", "2024-01-01 10", "62", "100"),
+    ]
+    assert rows(read("ecg"), "ordinal", "ecg_time", "classification", "source_file") == [
+        (0, "2024-01-02", "Sinus", "export/electrocardiograms/b.csv"),
+        (1, "2024-01-03", "AF", "export/electrocardiograms/b.csv"),
+        (2, "2024-01-04", "Sinus", "export/electrocardiograms/a.csv"),
+    ]
+    assert rows(read("routes"), "user_id", "route_time", "waypoint_count") == [
+        ("u1", "2024-01-05", 1)
+    ]
+    assert rows(read("jobs"), "user_id", "status", "error_step") == [
+        ("u 2%+@", "COMPLETED", None),
+        ("u1", "COMPLETED", None),
+        ("u3", "FAILED", "ValidateFile"),
+        ("u4", "FAILED", "ValidateFile"),
+    ]
+    counts = ingest.run_counts(spark, tables, first, AT).where("user_id = 'u1'")
+    assert rows(counts) == [("u1", "100", 5, 1, 2, 1, 2, 1, 3, 1)]
+
+    # nothing new: a second run lands nothing
+    second = str(tmp_path / "run2")
+    land(spark, uploads, tables, second, checkpoint)
+    assert ingest.read_manifest(spark, tables, second).count() == 0
+
+    # a later export of the same user replaces the same key
+    put(uploads, "u1/101.zip", {"export.xml": xml((HEART, "2024-01-01 10", 99), (HEART, "2024-01-02 10", 50))})
+    third = str(tmp_path / "run3")
+    land(spark, uploads, tables, third, checkpoint)
+    assert ingest.read_manifest(spark, tables, third).count() == 1
+    ingest.normalise(spark, tables, third, datetime(2024, 2, 2))
+    mine = store.scan_table(spark, tables, "records", user_id="u1")
+    assert rows(mine, "start_date", "value", "job_id") == [
+        ("2024-01-01 10", "99", "101"), ("2024-01-02 10", "50", "101"),
+    ]
+
+    # repeating a run changes nothing that is read
+    before = [rows(read(family)) for family in ["records", "ecg", "routes", "jobs"]]
+    ingest.normalise(spark, tables, third, datetime(2024, 2, 2))
+    assert before == [rows(read(family)) for family in ["records", "ecg", "routes", "jobs"]]
+
+    # a snapshot reads the same without looking for versions
+    for family in ["records", "ecg", "routes", "jobs"]:
+        store.compact(spark, tables, family, str(tmp_path / "snapshot"))
+        snapshot = store.scan_table(spark, str(tmp_path / "snapshot"), family, versions=True)
+        assert rows(snapshot) == rows(read(family))
+
+
+def test_run_without_ecg_or_routes(spark, tmp_path, rows):
+    put(tmp_path, "u/1.zip", {"export.xml": xml((HEART, "2024-01-01", 60))})
+    tables, staging = str(tmp_path / "tables"), str(tmp_path / "staging")
+    land(spark, tmp_path, tables, staging, str(tmp_path / "checkpoint"))
+    ingest.normalise(spark, tables, staging, AT)
+    records = store.scan_table(spark, tables, "records")
+    assert rows(metric_daily(records), "date", "avg") == [("2024-01-01", 60.0)]
+    assert store.scan_table(spark, tables, "ecg").count() == 0
+    assert store.scan_table(spark, tables, "routes").count() == 0
+
+
+def test_run_of_rejects_only(spark, tmp_path, rows):
+    put(tmp_path, "u/1.zip", b"x")
+    tables, staging = str(tmp_path / "tables"), str(tmp_path / "staging")
+    land(spark, tmp_path, tables, staging, str(tmp_path / "checkpoint"))
+    ingest.normalise(spark, tables, staging, AT)
+    assert rows(store.scan_table(spark, tables, "jobs"), "status") == [("FAILED",)]
+    assert store.scan_table(spark, tables, "records").count() == 0

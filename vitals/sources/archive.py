@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 try:
                     with open_input(path) as source, zipfile.ZipFile(source) as archive:
                         infos = archive.infolist()
-                except zipfile.BadZipFile:
+                except (zipfile.BadZipFile, pa.ArrowInvalid):
+                    # the second is a file too short to seek its directory
                     yield *head, None, None, None, NOT_A_ZIP
                     continue
                 for ordinal, info in enumerate(infos):

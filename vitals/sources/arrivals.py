@@ -23,7 +23,8 @@ def export_arrivals(
     """``(path, length, mtime)`` of every ``exports/**.zip`` below ``root``.
 
     The content column is pruned, so no archive is read here. Tasks are packed
-    by file length: a large archive has a task of its own.
+    by file length: a large archive has a task of its own. Spark's file sources
+    do not list empty files, so an empty upload has no row.
     """
     reader = spark.readStream if streaming else spark.read
     reader = reader.format("binaryFile").schema(BINARY_FILE)
