@@ -249,8 +249,10 @@ WHERE kind IS NOT NULL""",
 SELECT user_id, job_id, count(*) AS file_count, true AS valid,
   NULL::VARCHAR AS reason FROM members GROUP BY ALL""",
     "unpack_members": f"""WITH {MEMBERS}
-SELECT user_id, job_id, kind, 'kind=' || kind || '/user_id=' || user_id || '/job_id='
-  || job_id || '/' || lpad(member_ordinal::VARCHAR, 8, '0') || '.' || kind AS staged
+SELECT user_id, job_id, member, CASE WHEN kind = 'xml' THEN
+  'kind=xml/user_id=' || user_id || '/job_id=' || job_id || '/'
+  || lpad(member_ordinal::VARCHAR, 8, '0') || '.xml' END AS staged,
+  CASE WHEN kind <> 'xml' THEN true END AS whole
 FROM members WHERE kind IS NOT NULL""",
     "ingest_stream": f"""WITH {MEMBERS}
 SELECT user_id, job_id, member, kind, NULL::VARCHAR AS reason FROM members""",
@@ -276,6 +278,7 @@ SELECT * FROM f JOIN r USING (user_id, job_id)""",
   'u' AS unit, value::VARCHAR AS value, {TS} AS start_date, '' AS creation_date
 FROM events""",
     "scan_ecg_csv": f"""WITH {ECG} SELECT user_id, job_id, ecg_time, classification,
+  'export/electrocardiograms/ecg_' || day || '.csv' AS source_file,
   average_heart_rate, row_number() OVER (PARTITION BY user_id, job_id, day
     ORDER BY event_id) - 1 AS row_in_file FROM ecg""",
     "scan_gpx_routes": f"""SELECT user_id::VARCHAR AS user_id,

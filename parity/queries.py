@@ -21,7 +21,7 @@ from vitals.plans.dashboard import answer_daily, answer_raw
 from vitals.plans.summary import SUMMARY_METRICS, health_summary
 from vitals.session import shared_dir
 from vitals.sources import archive, arrivals, store
-from vitals.sources.ecg_csv import csv_files, scan_ecg_csv
+from vitals.sources.ecg_csv import scan_ecg_csv
 from vitals.sources.gpx import scan_gpx_routes
 from vitals.streaming.ingest import ingest_stream
 
@@ -349,10 +349,14 @@ def export_xml(spark, sf_dir):
 def unpack_members(spark, sf_dir):
     staging = shared_dir(spark, "unpacked")
     members = archive.list_members(_keyed(spark, sf_dir))
-    staged = archive.unpack_members(members, staging)
+    unpacked = archive.unpack_members(members, staging)
     name = F.regexp_extract("staged_path", r"kind=.*$", 0)
-    return staged.where(F.col("staged_path").isNotNull()).select(
-        "user_id", "job_id", "kind", name.alias("staged")
+    return unpacked.where(F.col("kind").isNotNull()).select(
+        "user_id",
+        "job_id",
+        "member",
+        name.alias("staged"),
+        (F.length("content") == F.col("member_size")).alias("whole"),
     )
 
 
@@ -368,33 +372,23 @@ def scan_xml(spark, sf_dir):
 
 
 def ecg_scan(spark, sf_dir):
-    _, staging = landed(spark, sf_dir)
-    files = csv_files(spark, f"{staging}/kind=ecg")
-    rows = ingest.staged_export(scan_ecg_csv(files))
-    return rows.select(
-        "user_id", "job_id", "ecg_time", "classification", "average_heart_rate",
-        "row_in_file",
-    )
+    members = ingest.members_of(_manifest(spark, sf_dir), "ecg")
+    return scan_ecg_csv(members).drop("member_ordinal")
 
 
 def gpx_scan(spark, sf_dir):
-    _, staging = landed(spark, sf_dir)
     points = F.transform(
         "waypoints", lambda p: F.concat_ws("|", p["lat"], p["lon"], p["ele"], p["time"])
     )
-    scan = scan_gpx_routes(spark, f"{staging}/kind=gpx", staged=True)
-    return scan.select("user_id", "job_id", F.array_join(points, ";").alias("waypoints"))
+    members = ingest.members_of(_manifest(spark, sf_dir), "gpx")
+    return scan_gpx_routes(members).select(
+        "user_id", "job_id", F.array_join(points, ";").alias("waypoints")
+    )
 
 
 def ecg_rows(spark, sf_dir):
-    tables, staging = landed(spark, sf_dir)
-    rows = ingest.staged_ecg(
-        spark, staging, ingest.read_manifest(spark, tables, staging), _at()
-    )
-    return rows.select(
-        "user_id", "job_id", "ecg_time", "ordinal", "source_file", "classification",
-        "average_heart_rate", "created_at", "row_in_file",
-    )
+    rows = ingest.staged_ecg(_manifest(spark, sf_dir), _at())
+    return rows.drop("_ingested")
 
 
 def route_rows(spark, sf_dir):

@@ -119,6 +119,23 @@ def test_first_xml_is_picked(spark, tmp_path, rows):
     assert rows(staged.where("staged_path IS NOT NULL"), "member") == [("b/export.xml",)]
 
 
+def test_large_csv_and_gpx_members_become_files(spark, uploads, tmp_path, rows):
+    staging, saved = str(tmp_path / "staging"), str(tmp_path / "manifest")
+    listed = archive.list_members(keyed(spark, uploads))
+    archive.unpack_members(listed, staging, inline_bytes=60).write.parquet(saved)
+    manifest = spark.read.parquet(saved)
+    held = manifest.where("kind <> 'xml'").selectExpr("kind", "content IS NULL", "staged_path IS NULL")
+    assert rows(held) == [("ecg", False, True), ("ecg", True, False), ("gpx", True, False)]
+    at = F.lit(AT).cast("timestamp")
+    assert rows(ingest.staged_ecg(manifest, at), "ordinal", "ecg_time") == [
+        (0, "2024-01-02"), (1, "2024-01-03"), (2, "2024-01-04"),
+    ]
+    routes = ingest.staged_routes(spark, staging, manifest, at)
+    assert rows(routes, "route_time", "source_file") == [
+        ("2024-01-05", "export/workout-routes/r.gpx")
+    ]
+
+
 def test_archive_of_many_members(spark, tmp_path):
     members = {f"export/electrocardiograms/{n}.csv": "" for n in range(12_000)}
     put(tmp_path, "u/1.zip", members)

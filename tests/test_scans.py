@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from vitals.operators.ecg import ecg_projection, route_projection, row_ordinal
 from vitals.operators.records import map_record_type, project_record
-from vitals.sources.ecg_csv import csv_files, scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_routes
+from vitals.sources.ecg_csv import scan_ecg_csv
+from vitals.sources.gpx import scan_gpx_files, scan_gpx_routes
 from vitals.sources.health_xml import ATTRIBUTES, scan_health_xml
 
 PROLOGUE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -142,14 +142,31 @@ def test_record_rows(spark, tmp_path, rows):
     ]
 
 
-def ecg(spark, folder):
-    scan = scan_ecg_csv(csv_files(spark, str(folder)))
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    columns = ["row_in_file", "ecg_time", "classification", "average_heart_rate"]
-    return sorted((tuple(r) for r in scan.select(name, *columns).collect()), key=repr)
+MEMBER = "user_id STRING, job_id STRING, member_ordinal INT, member STRING, content BINARY, staged_path STRING"
 
 
-def test_ecg_columns_by_header_name(spark, tmp_path):
+def members(spark, folder, inline):
+    """The files of a folder as unpacked members, held as values or as files."""
+    rows = [
+        ("u", "1", n, path.name, path.read_bytes() if inline else None, None if inline else str(path))
+        for n, path in enumerate(sorted(folder.iterdir()))
+        if path.is_file()
+    ]
+    return spark.createDataFrame(rows, MEMBER)
+
+
+@pytest.fixture(params=[True, False], ids=["values", "files"])
+def inline(request):
+    return request.param
+
+
+def ecg(spark, folder, inline):
+    columns = ["source_file", "row_in_file", "ecg_time", "classification", "average_heart_rate"]
+    scan = scan_ecg_csv(members(spark, folder, inline))
+    return sorted((tuple(r) for r in scan.select(*columns).collect()), key=repr)
+
+
+def test_ecg_columns_by_header_name(spark, tmp_path, inline):
     head = "Date,Classification,Average Heart Rate (bpm)\n"
     (tmp_path / "a.csv").write_text(head + "d1,Sinus,60\n\nd2,\"AF, \"\"x\"\"\nmore\",70\n")
     (tmp_path / "b.csv").write_text("Classification,Extra,Date\r\nSinus,e,d3\r\n")
@@ -157,7 +174,7 @@ def test_ecg_columns_by_header_name(spark, tmp_path):
     (tmp_path / "d.csv").write_text(head + "d4\n")
     (tmp_path / "e.csv").write_bytes(head.encode() + b"d5,ok,1\n" + b"d6,\xff\xfe,2\n")
     (tmp_path / "f.csv").write_text("")
-    assert ecg(spark, tmp_path) == [
+    assert ecg(spark, tmp_path, inline) == [
         ("a.csv", 0, "d1", "Sinus", "60"),
         ("a.csv", 1, "d2", 'AF, "x"\nmore', "70"),
         ("b.csv", 0, "d3", "Sinus", ""),
@@ -166,14 +183,14 @@ def test_ecg_columns_by_header_name(spark, tmp_path):
     ]
 
 
-def test_ecg_larger_than_one_batch(spark, tmp_path):
+def test_ecg_larger_than_one_batch(spark, tmp_path, inline):
     lines = "".join(f"t{n},c\n" for n in range(25_001))
     (tmp_path / "a.csv").write_text("Date,Classification\n" + lines)
-    found = ecg(spark, tmp_path)
+    found = ecg(spark, tmp_path, inline)
     assert len(found) == 25_001 and max(row[1] for row in found) == 25_000
 
 
-FILE = "user_id STRING, job_id STRING, member_ordinal INT, "
+FILE = "user_id STRING, job_id STRING, member_ordinal INT, source_file STRING, "
 
 
 def at():
@@ -183,10 +200,10 @@ def at():
 def test_ecg_projection_and_ordinals(spark, rows):
     scan = spark.createDataFrame(
         [
-            ("u", "1", 7, 0, "d1", "c", "60"),
-            ("u", "1", 7, 1, None, "c", "61"),
-            ("u", "1", 3, 0, "d2", None, ""),
-            ("u", "2", 1, 0, "d3", "c", ""),
+            ("u", "1", 7, "g", 0, "d1", "c", "60"),
+            ("u", "1", 7, "g", 1, None, "c", "61"),
+            ("u", "1", 3, "f", 0, "d2", None, ""),
+            ("u", "2", 1, "e", 0, "d3", "c", ""),
         ],
         FILE + "row_in_file LONG, ecg_time STRING, classification STRING, average_heart_rate STRING",
     )
@@ -203,7 +220,7 @@ def gpx(body, namespace="http://www.topografix.com/GPX/1/1"):
     return f'<?xml version="1.0"?>\n<gpx version="1.1" xmlns="{namespace}">{body}</gpx>'
 
 
-def test_gpx_tracks(spark, tmp_path):
+def test_gpx_tracks(spark, tmp_path, inline):
     point = '<trkpt lat="{0}" lon="-{0}"><ele>{0}</ele><time>t{0}</time></trkpt>'.format
     (tmp_path / "a.gpx").write_text(gpx(
         f"<metadata/><trk><name>n</name><trkseg>{point(1)}{point(2)}</trkseg>"
@@ -214,7 +231,14 @@ def test_gpx_tracks(spark, tmp_path):
     ))
     (tmp_path / "c.gpx").write_text("<gpx><trk><trkseg><trkpt lat=")
     (tmp_path / "d.gpx").write_text(gpx("<wpt/>"))
-    scan = scan_gpx_routes(spark, str(tmp_path))
+    if inline:
+        scan = scan_gpx_routes(members(spark, tmp_path, inline))
+    else:
+        folder = tmp_path / "staged" / "user_id=u" / "job_id=1"
+        folder.mkdir(parents=True)
+        for path in tmp_path.glob("*.gpx"):
+            (folder / path.name).write_bytes(path.read_bytes())
+        scan = scan_gpx_files(spark, str(tmp_path / "staged"))
     found = sorted([tuple(p) for p in r["waypoints"]] for r in scan.collect())
     assert found == [
         [],
@@ -227,12 +251,12 @@ def test_route_projection(spark, rows):
     p = lambda n, time: (str(n), str(-n), "", time)
     scan = spark.createDataFrame(
         [
-            ("u", "1", 4, [p(1, "t1"), p(2, "t2")], 10),
-            ("u", "1", 4, [], 11),
-            ("u", "1", 4, [p(3, "")], 12),
-            ("u", "1", 2, [p(4, "t4")], 99),
+            ("u", "1", 4, "g", [p(1, "t1"), p(2, "t2")], 10),
+            ("u", "1", 4, "g", [], 11),
+            ("u", "1", 4, "g", [p(3, "")], 12),
+            ("u", "1", 2, "f", [p(4, "t4")], 99),
         ],
-        FILE + "waypoints ARRAY<STRUCT<lat: STRING, lon: STRING, ele: STRING, time: STRING>>, _pos LONG",
+        FILE + "waypoints ARRAY<STRUCT<lat: STRING, lon: STRING, ele: STRING, time: STRING>>, track LONG",
     )
     found = row_ordinal(route_projection(scan, at()))
     columns = ["ordinal", "route_time", "waypoint_count", "start_lat", "end_lon"]

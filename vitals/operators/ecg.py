@@ -10,26 +10,11 @@ from vitals.functions.text import epoch_text
 EXPORT = ["user_id", "job_id"]
 FILE = [*EXPORT, "member_ordinal"]
 
-# Layout of unpacked members, see sources.archive.staged_path.
-STAGED = r"/user_id=([^/]+)/job_id=([^/]+)/(\d+)\.[a-z]+$"
-
-
-def staged_export(scan: DataFrame) -> DataFrame:
-    """Adds ``user_id, job_id, member_ordinal`` read off ``path``."""
-    part = lambda group: F.regexp_extract("path", STAGED, group)
-    return scan.withColumns(
-        {
-            "user_id": F.url_decode(F.replace(part(1), F.lit("+"), F.lit("%2B"))),
-            "job_id": F.url_decode(F.replace(part(2), F.lit("+"), F.lit("%2B"))),
-            "member_ordinal": part(3).cast("int"),
-        }
-    )
-
-
 def ecg_projection(scan: DataFrame, at: Column) -> DataFrame:
     """ECG rows; ``at``, the time of ingestion, stands in for a missing time."""
     return scan.select(
         *FILE,
+        "source_file",
         F.coalesce("ecg_time", epoch_text(at)).alias("ecg_time"),
         "classification",
         "average_heart_rate",
@@ -46,9 +31,10 @@ def route_projection(scan: DataFrame, at: Column) -> DataFrame:
     """
     routes = scan.where(F.size("waypoints") > 0)
     first, last = F.element_at("waypoints", 1), F.element_at("waypoints", -1)
-    within = Window.partitionBy(*FILE).orderBy("_pos")
+    within = Window.partitionBy(*FILE).orderBy("track")
     return routes.select(
         *FILE,
+        "source_file",
         first["time"].alias("route_time"),
         F.size("waypoints").alias("waypoint_count"),
         first["lat"].alias("start_lat"),
@@ -56,10 +42,10 @@ def route_projection(scan: DataFrame, at: Column) -> DataFrame:
         last["lat"].alias("end_lat"),
         last["lon"].alias("end_lon"),
         epoch_text(at).alias("created_at"),
-        "_pos",
+        "track",
         F.unix_timestamp(at).alias("_ingested"),
     ).withColumn("row_in_file", F.row_number().over(within).cast("long") - 1).drop(
-        "_pos"
+        "track"
     )
 
 
@@ -87,6 +73,6 @@ def row_ordinal(rows: DataFrame) -> DataFrame:
 
 
 def name_source(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Replaces the member's ordinal by its name in the archive."""
+    """Sets ``source_file`` to the member's name in the archive."""
     names = manifest.select(*FILE, F.col("member").alias("source_file"))
-    return rows.join(names, FILE).drop("member_ordinal")
+    return rows.drop("source_file").join(names, FILE)

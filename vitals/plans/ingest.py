@@ -13,15 +13,14 @@ from vitals.operators.ecg import (
     name_source,
     route_projection,
     row_ordinal,
-    staged_export,
 )
 from vitals.operators.jobs import job_status
 from vitals.operators.latest import dedupe_last
 from vitals.operators.records import map_record_type, project_record
 from vitals.schema import ECG, ROUTES, column_names
 from vitals.sources import archive, store
-from vitals.sources.ecg_csv import csv_files, scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_routes
+from vitals.sources.ecg_csv import scan_ecg_csv
+from vitals.sources.gpx import scan_gpx_files, scan_gpx_routes
 from vitals.sources.health_xml import scan_health_xml
 from vitals.streaming.ingest import manifest_path
 
@@ -38,7 +37,7 @@ def _empty(spark: SparkSession, schema) -> DataFrame:
 
 def read_manifest(spark: SparkSession, root: str, staging: str) -> DataFrame:
     """Manifest rows of one landing run."""
-    schema = f"{archive.STAGED}, staging STRING"
+    schema = f"{archive.UNPACKED}, staging STRING"
     rows = spark.read.schema(schema).parquet(manifest_path(root))
     return rows.where(F.col("staging") == staging).drop("staging")
 
@@ -60,31 +59,27 @@ def staged_records(spark: SparkSession, staging: str, at: Column) -> DataFrame:
     return dedupe_last(project_record(scan, F.unix_timestamp(at)))
 
 
-def staged_ecg(
-    spark: SparkSession, staging: str, manifest: DataFrame, at: Column
-) -> DataFrame:
-    folder = f"{staging}/kind=ecg"
-    if not _present(spark, folder):
-        return _empty(spark, ECG)
-    scan = staged_export(scan_ecg_csv(csv_files(spark, folder)))
-    rows = row_ordinal(ecg_projection(scan, at))
-    return name_source(rows, manifest.where(F.col("kind") == "ecg")).select(
-        *column_names(ECG)
-    )
+def members_of(manifest: DataFrame, kind: str) -> DataFrame:
+    return manifest.where(F.col("kind") == kind)
+
+
+def staged_ecg(manifest: DataFrame, at: Column) -> DataFrame:
+    """ECG rows of a run."""
+    scan = scan_ecg_csv(members_of(manifest, "ecg"))
+    return row_ordinal(ecg_projection(scan, at)).select(*column_names(ECG))
 
 
 def staged_routes(
     spark: SparkSession, staging: str, manifest: DataFrame, at: Column
 ) -> DataFrame:
+    """Route rows of a run: of members held as values, and of those held as files."""
+    members = members_of(manifest, "gpx")
+    scan = scan_gpx_routes(members)
     folder = f"{staging}/kind=gpx"
-    if not _present(spark, folder):
-        return _empty(spark, ROUTES)
-    # the layout of staging is read off the path, as for the CSV files
-    scan = staged_export(scan_gpx_routes(spark, folder, staged=True))
-    rows = row_ordinal(route_projection(scan, at))
-    return name_source(rows, manifest.where(F.col("kind") == "gpx")).select(
-        *column_names(ROUTES)
-    )
+    if _present(spark, folder):
+        files = name_source(scan_gpx_files(spark, folder), members)
+        scan = scan.unionByName(files)
+    return row_ordinal(route_projection(scan, at)).select(*column_names(ROUTES))
 
 
 def normalise(
@@ -103,7 +98,7 @@ def normalise(
     )
 
     store.upsert_records(staged_records(spark, staging, moment), root)
-    store.upsert_ecg(staged_ecg(spark, staging, manifest, moment), root)
+    store.upsert_ecg(staged_ecg(manifest, moment), root)
     store.upsert_routes(staged_routes(spark, staging, manifest, moment), root)
 
     jobs = job_status(checked, moment)
@@ -120,6 +115,6 @@ def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> Da
     return ingest_counts(
         manifest.where(F.col("user_id").isNotNull()),
         staged_scan(spark, staging),
-        staged_ecg(spark, staging, manifest, moment),
+        staged_ecg(manifest, moment),
         staged_routes(spark, staging, manifest, moment),
     )

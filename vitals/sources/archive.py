@@ -25,6 +25,9 @@ from vitals.sources.files import StagedFile, open_input
 
 ROWS = 10_000
 COPY_BYTES = 1 << 20
+# CSV and GPX members up to this size travel as column values, larger ones as files.
+INLINE_BYTES = 8 << 20
+FRAME_BYTES = 32 << 20
 UNREADABLE = (
     zipfile.BadZipFile,
     zlib.error,
@@ -37,7 +40,7 @@ LISTED = (
     "path STRING, user_id STRING, job_id STRING, length LONG, member STRING, "
     "member_ordinal INT, member_size LONG, reason STRING"
 )
-STAGED = f"{LISTED}, kind STRING, staged_path STRING"
+UNPACKED = f"{LISTED}, kind STRING, staged_path STRING, content BINARY"
 
 TOO_LARGE = "file exceeds the maximum size"
 NOT_A_ZIP = "not a valid archive"
@@ -157,56 +160,88 @@ def staged_path(staging: str, kind: str, user: str, job: str, ordinal: int) -> s
     )
 
 
-def _unpack(staging: str):
-    columns = column_names(STAGED)
+class _OpenArchive:
+    """The archive whose members are being read; one at a time."""
 
-    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source = archive = opened = staged_xml = None
+    def __init__(self):
+        self._path = self._source = self._archive = None
+
+    def member(self, path: str, ordinal: int):
+        if path != self._path:
+            self.close()
+            self._source = open_input(path)
+            self._archive = zipfile.ZipFile(self._source)
+            self._path = path
+        return self._archive.open(self._archive.infolist()[ordinal])
+
+    def close(self):
+        if self._archive is not None:
+            self._archive.close()
+            self._source.close()
+        self._path = self._source = self._archive = None
+
+
+def _unpack(staging: str, inline_bytes: int):
+    columns = column_names(UNPACKED)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        return out.astype({"member_ordinal": "Int32", "member_size": "Int64"})
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, rows, held, parsed_xml = _OpenArchive(), [], 0, None
         try:
             for batch in batches:
-                out = []
                 for row in batch.itertuples(index=False):
-                    path = reason = None
-                    if isinstance(row.kind, str) and not (
-                        row.kind == "xml" and staged_xml == row.path
-                    ):
-                        if opened != row.path:
-                            if archive is not None:
-                                archive.close()
-                                source.close()
-                            source = open_input(row.path)
-                            archive = zipfile.ZipFile(source)
-                            opened = row.path
-                        if row.kind == "xml":
-                            staged_xml = row.path
-                        path = staged_path(
-                            staging, row.kind, row.user_id, row.job_id,
-                            int(row.member_ordinal),
-                        )
+                    target = content = reason = None
+                    if row.kind == "xml" and row.path == parsed_xml:
+                        wanted = False
+                    else:
+                        wanted = isinstance(row.kind, str)
+                    if wanted:
+                        ordinal = int(row.member_ordinal)
                         try:
-                            info = archive.infolist()[int(row.member_ordinal)]
-                            with archive.open(info) as member, StagedFile(path) as out_file:
-                                shutil.copyfileobj(member, out_file, COPY_BYTES)
+                            with archive.member(row.path, ordinal) as member:
+                                if row.kind != "xml" and row.member_size <= inline_bytes:
+                                    content = member.read()
+                                else:
+                                    target = staged_path(
+                                        staging, row.kind, row.user_id, row.job_id, ordinal
+                                    )
+                                    with StagedFile(target) as out:
+                                        shutil.copyfileobj(member, out, COPY_BYTES)
                         except UNREADABLE:
-                            path, reason = None, BAD_MEMBER
-                    out.append((*row[:7], reason or row.reason, row.kind, path))
-                frame = pd.DataFrame(out, columns=columns)
-                yield frame.astype({"member_ordinal": "Int32", "member_size": "Int64"})
+                            target, content, reason = None, None, BAD_MEMBER
+                        if row.kind == "xml":
+                            parsed_xml = row.path
+                    rows.append((*row[:7], reason or row.reason, row.kind, target, content))
+                    held += len(content or b"")
+                    if len(rows) == ROWS or held >= FRAME_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
+            if rows:
+                yield frame(rows)
         finally:
-            if archive is not None:
-                archive.close()
-                source.close()
+            archive.close()
+
+    return unpack
 
-    return copy
 
+def unpack_members(
+    members: DataFrame, staging: str, inline_bytes: int = INLINE_BYTES
+) -> DataFrame:
+    """The members' texts: XML as files below ``staging``, the rest in ``content``.
 
-def unpack_members(members: DataFrame, staging: str) -> DataFrame:
-    """Copies ingested members below ``staging``, where XML can be split.
+    A measurement XML is large and can be split once it is a file. CSV and GPX
+    members are many and small; as values of a column they are stored together
+    instead of as one tiny file each. One above ``inline_bytes`` becomes a file
+    as well.
 
     ``members`` comes from ``list_members``, whose rows of one archive follow
     each other, so an archive is opened once. Of several XML members only the
-    first is copied. Rows keep their order; ``staged_path`` is null for members
-    that are not copied. Repeating a copy gives the same file.
+    first is unpacked. Rows keep their order, and repeating an unpacking gives
+    the same files.
     """
     columns = column_names(LISTED)
-    return members.select(*columns, "kind").mapInPandas(_unpack(staging), STAGED)
+    unpack = _unpack(staging, inline_bytes)
+    return members.select(*columns, "kind").mapInPandas(unpack, UNPACKED)

@@ -8,7 +8,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.schema import column_names
@@ -16,44 +16,50 @@ from vitals.sources.archive import COPY_BYTES, ROWS
 from vitals.sources.files import open_input
 
 SCANNED = (
-    "path STRING, row_in_file LONG, ecg_time STRING, classification STRING, "
+    "user_id STRING, job_id STRING, member_ordinal INT, source_file STRING, "
+    "row_in_file LONG, ecg_time STRING, classification STRING, "
     "average_heart_rate STRING"
 )
 # Headers of the columns that are kept.
 TIME, LABEL, RATE = "Date", "Classification", "Average Heart Rate (bpm)"
 
 
-def _is_utf8(path: str) -> bool:
+def _is_utf8(source) -> bool:
     decoder = codecs.getincrementaldecoder("utf-8")()
-    with open_input(path) as source:
-        try:
-            while block := source.read(COPY_BYTES):
-                decoder.decode(block)
-            decoder.decode(b"", final=True)
-        except UnicodeDecodeError:
-            return False
+    try:
+        while block := source.read(COPY_BYTES):
+            decoder.decode(block)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
+    source.seek(0)
     return True
 
 
+def _lines(source) -> Iterator[dict]:
+    """Data lines by header name, up to the first that is no CSV."""
+    reader = csv.DictReader(io.TextIOWrapper(source, encoding="utf-8", newline="\n"))
+    while True:
+        try:
+            yield next(reader)
+        except (StopIteration, csv.Error):
+            return
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = column_names(SCANNED)
     block: list[tuple] = []
     for batch in batches:
-        for path in batch["path"]:
-            # a file that does not decode is left out as a whole
-            if not _is_utf8(path):
-                continue
-            with open_input(path) as source:
-                lines = io.TextIOWrapper(source, encoding="utf-8", newline="\n")
-                rows = enumerate(csv.DictReader(lines))
-                while True:
-                    try:
-                        number, row = next(rows)
-                    except (StopIteration, csv.Error):
-                        break
-                    block.append(
-                        (path, number, row.get(TIME), row.get(LABEL, ""), row.get(RATE, ""))
-                    )
+        for user, job, ordinal, name, content, path in batch.itertuples(
+            index=False, name=None
+        ):
+            with io.BytesIO(content) if content is not None else open_input(path) as source:
+                # a file that does not decode is left out as a whole
+                if not _is_utf8(source):
+                    continue
+                for number, row in enumerate(_lines(source)):
+                    values = row.get(TIME), row.get(LABEL, ""), row.get(RATE, "")
+                    block.append((user, job, ordinal, name, number, *values))
                     if len(block) == ROWS:
                         yield pd.DataFrame(block, columns=columns)
                         block = []
@@ -61,21 +67,14 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(block, columns=columns)
 
 
-def csv_files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of the files below a folder; tasks are packed by file length."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
-
-
-def scan_ecg_csv(files: DataFrame) -> DataFrame:
-    """One row per CSV data line of ``files (path)``.
+def scan_ecg_csv(members: DataFrame) -> DataFrame:
+    """One row per CSV data line of unpacked ECG members.
 
-    ``ecg_time`` is null where the file has no such column or the line is too
-    short. Blank lines are skipped. Files that cannot be decoded are left out;
-    the others go on.
+    Columns are found by the names in each file's own header: ``ecg_time`` is
+    null where there is no such column or the line is too short. Blank lines
+    are skipped. Files that cannot be decoded are left out; the others go on.
     """
-    return files.select("path").mapInPandas(_scan, SCANNED)
+    texts = members.where(F.col("content").isNotNull() | F.col("staged_path").isNotNull())
+    return texts.select(
+        "user_id", "job_id", "member_ordinal", "member", "content", "staged_path"
+    ).mapInPandas(_scan, SCANNED)

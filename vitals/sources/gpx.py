@@ -2,49 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.sources.health_xml import EXPORT_COLUMNS
-
 TRACK = (
     "trkseg ARRAY<STRUCT<trkpt: ARRAY<STRUCT<"
     "_lat: STRING, _lon: STRING, ele: STRING, time: STRING>>>>"
 )
+OPTIONS = {"ignoreSurroundingSpaces": "false"}
+FILE = ["user_id", "job_id", "member_ordinal", "source_file"]
+
+# Layout of members that became files, see sources.archive.staged_path.
+STAGED_NAME = r"/(\d+)\.gpx$"
+
+
+def _waypoints(segments: Column) -> Column:
+    """All segments of a track joined; what is absent is the empty string."""
+    points = F.flatten(
+        F.filter(F.transform(segments, lambda part: part["trkpt"]), lambda p: p.isNotNull())
+    )
+
+    def waypoint(point: Column) -> Column:
+        names = {"lat": "_lat", "lon": "_lon", "ele": "ele", "time": "time"}
+        return F.struct(
+            *(F.coalesce(point[field], F.lit("")).alias(name) for name, field in names.items())
+        )
+
+    return F.coalesce(F.transform(points, waypoint), F.array())
+
+
+def scan_gpx_routes(members: DataFrame) -> DataFrame:
+    """``(user_id, job_id, member_ordinal, source_file, track, waypoints)``.
+
+    Tracks of unpacked GPX members, numbered within their file. A malformed
+    file has no tracks.
+    """
+    document = F.from_xml(
+        F.decode("content", "UTF-8"), f"trk ARRAY<STRUCT<{_nested(TRACK)}>>", OPTIONS
+    )
+    tracks = members.where(F.col("content").isNotNull()).select(
+        "user_id",
+        "job_id",
+        "member_ordinal",
+        F.col("member").alias("source_file"),
+        F.posexplode(document["trk"]).alias("track", "_track"),
+    )
+    return tracks.select(
+        *FILE,
+        F.col("track").cast("long").alias("track"),
+        _waypoints(F.col("_track.trkseg")).alias("waypoints"),
+    )
 
 
-def scan_gpx_routes(spark: SparkSession, path: str, staged: bool = False) -> DataFrame:
-    """``(path, waypoints ARRAY<STRUCT<lat, lon, ele, time>>, _pos)``.
+def scan_gpx_files(spark: SparkSession, path: str) -> DataFrame:
+    """The same for members that became files below ``path``.
 
-    All segments of a track are joined; an absent attribute or element is the
-    empty string. Malformed files are skipped.
+    Tracks are read one at a time, not a whole document. The file's own name
+    stands for ``source_file``.
     """
-    layout = f", {EXPORT_COLUMNS}" if staged else ""
-    keys = ["user_id", "job_id"] if staged else []
     tracks = (
         spark.read.format("xml")
-        .schema(TRACK + layout)
+        .schema(f"{TRACK}, user_id STRING, job_id STRING")
         .option("rowTag", "trk")
         .option("mode", "DROPMALFORMED")
-        .option("ignoreSurroundingSpaces", "false")
+        .options(**OPTIONS)
         .load(path)
     )
-    points = F.flatten(
-        F.filter(F.transform("trkseg", lambda part: part["trkpt"]), lambda p: p.isNotNull())
+    name = F.col("_metadata.file_path")
+    return tracks.select(
+        "user_id",
+        "job_id",
+        F.regexp_extract(name, STAGED_NAME, 1).try_cast("int").alias("member_ordinal"),
+        name.alias("source_file"),
+        F.monotonically_increasing_id().alias("track"),
+        _waypoints(F.col("trkseg")).alias("waypoints"),
     )
 
-    def waypoint(point):
-        part = lambda name: F.coalesce(point[name], F.lit(""))
-        return F.struct(
-            part("_lat").alias("lat"),
-            part("_lon").alias("lon"),
-            part("ele").alias("ele"),
-            part("time").alias("time"),
-        )
 
-    return tracks.select(
-        *keys,
-        F.col("_metadata.file_path").alias("path"),
-        F.coalesce(F.transform(points, waypoint), F.array()).alias("waypoints"),
-        F.monotonically_increasing_id().alias("_pos"),
-    )
+def _nested(schema: str) -> str:
+    """A column list as the fields of a struct."""
+    return schema.replace("trkseg ARRAY", "trkseg: ARRAY")
