@@ -33,6 +33,7 @@ AT = datetime(2024, 2, 1)
 Query = Callable[[SparkSession, str], DataFrame]
 _landed: dict[tuple[str, str], tuple[str, str]] = {}
 _stored: dict[tuple[str, str], str] = {}
+_asked: dict[tuple[str, str], str] = {}
 
 
 def _at():
@@ -292,13 +293,22 @@ def requests(spark, sf_dir):
     )
 
 
+def _requests(spark, sf_dir):
+    """The requests as a written table, as they would be given."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _asked:
+        _asked[key] = shared_dir(spark, "requests")
+        adapter.requests(spark, sf_dir).write.parquet(_asked[key])
+    return spark.read.parquet(_asked[key])
+
+
 def daily_answers(spark, sf_dir):
-    return answer_daily(adapter.requests(spark, sf_dir), adapter.records(spark, sf_dir))
+    return answer_daily(_requests(spark, sf_dir), adapter.records(spark, sf_dir))
 
 
 def raw_answers(spark, sf_dir):
     return answer_raw(
-        adapter.requests(spark, sf_dir), adapter.records(spark, sf_dir), ("_pos",)
+        _requests(spark, sf_dir), adapter.records(spark, sf_dir), ("_pos",)
     ).select("request_id", "user_id", "record_type", "start_date", "value", "position")
 
 

@@ -122,7 +122,7 @@ def test_first_xml_is_picked(spark, tmp_path, rows):
 def test_large_csv_and_gpx_members_become_files(spark, uploads, tmp_path, rows):
     staging, saved = str(tmp_path / "staging"), str(tmp_path / "manifest")
     listed = archive.list_members(keyed(spark, uploads))
-    archive.unpack_members(listed, staging, inline_bytes=60).write.parquet(saved)
+    archive.unpack_members(listed, staging, inline_bytes=40).write.parquet(saved)
     manifest = spark.read.parquet(saved)
     held = manifest.where("kind <> 'xml'").selectExpr("kind", "content IS NULL", "staged_path IS NULL")
     assert rows(held) == [("ecg", False, True), ("ecg", True, False), ("gpx", True, False)]

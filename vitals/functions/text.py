@@ -36,11 +36,13 @@ def parse_number(value: Column) -> Column:
 
 
 def parse_date(value: Column) -> Column:
-    """A zero-padded ``YYYY-MM-DD`` text as a date, or null."""
-    return F.when(
-        value.rlike(ISO_DATE) & (value >= "0001-01-01"),
-        F.try_to_date(value, "yyyy-MM-dd"),
-    )
+    """A zero-padded ``YYYY-MM-DD`` text as a date, or null.
+
+    The pattern refuses what a cast alone would take (``2024-1-5``, blanks, a
+    time of day).
+    """
+    padded = value.rlike(ISO_DATE) & (value >= "0001-01-01")
+    return F.when(padded, value.try_cast("date"))
 
 
 def parse_limit(value: Column, default: int, maximum: int) -> Column:

@@ -79,7 +79,11 @@ def page(
         if key is not None:
             rows = rows.where(_after(order, [F.lit(part) for part in key]))
 
-    first = top_per_group(rows, ["user_id"], [F.col(name) for name in order], limit)
+    columns = [F.col(name) for name in order]
+    if user_id is not None:
+        # one user's page is a plain ordered limit
+        rows = rows.orderBy(*columns).limit(limit)
+    first = top_per_group(rows, ["user_id"], columns, limit)
     return page_count(first).withColumn("_full", F.col("page_count") == limit)
 
 

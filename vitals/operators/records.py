@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +11,12 @@ from vitals.schema import RECORD_TYPES
 
 
 def type_dictionary(spark: SparkSession) -> DataFrame:
-    """The ingested types: one row per identifier, a fixed 55."""
-    return spark.createDataFrame(
-        list(RECORD_TYPES.items()), "type STRING, record_type STRING"
-    )
+    """The ingested types: one row per identifier, a fixed 55.
+
+    From an Arrow table it is a local relation, which joins without a job.
+    """
+    columns = {"type": [*RECORD_TYPES], "record_type": [*RECORD_TYPES.values()]}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def map_record_type(scan: DataFrame) -> DataFrame:

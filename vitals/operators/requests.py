@@ -32,10 +32,16 @@ def check_requests(requests: DataFrame, kind: str = "metrics") -> DataFrame:
     """
     metrics = kind == "metrics"
     default, maximum = LIMITS[kind]
-    first, last = parse_date(F.col("start")), parse_date(F.col("end"))
-    limit = parse_limit(F.col("limit"), default, maximum)
     granularity = F.coalesce(F.col("granularity"), F.lit("daily")) if metrics else None
     paged = granularity == "raw" if metrics else F.lit(True)
+    parsed = requests.withColumns(
+        {
+            "_first": parse_date(F.col("start")),
+            "_last": parse_date(F.col("end")),
+            "_rows": F.when(paged, parse_limit(F.col("limit"), default, maximum)),
+        }
+    )
+    first, last, limit = F.col("_first"), F.col("_last"), F.col("_rows")
 
     rules = [(_blank("user_id"), "UNAUTHORIZED")]
     for name in ["type", "start", "end"] if metrics else ["start", "end"]:
@@ -56,7 +62,7 @@ def check_requests(requests: DataFrame, kind: str = "metrics") -> DataFrame:
     code = F.lit(None).cast("string")
     for broken, name in reversed(rules):
         code = F.when(broken, name).otherwise(code)
-    checked = requests.withColumn("error_code", code)
+    checked = parsed.withColumns({"error_code": code, "limit": limit})
     if metrics:
         checked = checked.withColumn("granularity", granularity)
-    return checked.withColumn("limit", F.when(paged, limit))
+    return checked.drop("_first", "_last", "_rows")

@@ -80,36 +80,34 @@ def answer_raw(
 ) -> DataFrame:
     """First page of every accepted raw request, in start order.
 
-    Daily counts tell which days a request's page reaches. A page enters each
-    of its days at the day's start, so no more than the largest limit of rows
-    of any day can be needed, and only those are joined: a request meets fewer
-    rows than its limit plus that number.
+    Daily counts tell which days a request's page reaches, and how many of its
+    rows come before each. A page enters a day at the day's start, so of any
+    day only the first rows up to the largest limit can be needed, and a row's
+    place in its day gives its place in the page. A request thus meets fewer
+    rows than its limit plus that number, and pages need no sort of their own.
     """
-    order = ["start_date", *tiebreak]
-    columns = [F.col(name) for name in order]
+    order = [F.col(name) for name in ["start_date", *tiebreak]]
     before = (
         Window.partitionBy("request_id")
         .orderBy("date")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    day = [*KEYS, "date"]
     reached = (
         _days_of_requests(
             _accepted(requests, "raw"), _per_day(records, F.count("*").alias("_rows"))
         )
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .where(F.col("_before") < F.col("limit"))
-        .select("request_id", *KEYS, "date", "limit")
+        .select("request_id", *day, "limit", "_before")
     )
-    heads = top_per_group(
-        records.withColumn("date", date_prefix(F.col("start_date"))),
-        [*KEYS, "date"],
-        columns,
-        METRIC_LIMITS[1],
-    ).drop("position")
-    rows = reached.join(heads, [*KEYS, "date"])
-    page = Window.partitionBy("request_id").orderBy(*columns)
+    dated = records.withColumn("date", date_prefix(F.col("start_date")))
+    wanted = dated.join(reached.select(*day).distinct(), day, "left_semi")
+    heads = top_per_group(wanted, day, order, METRIC_LIMITS[1])
+    place = (F.col("_before") + F.col("position")).cast("int")
     return (
-        rows.withColumn("position", F.row_number().over(page))
+        reached.join(heads, day)
+        .withColumn("position", place)
         .where(F.col("position") <= F.col("limit"))
-        .drop("limit", "date")
+        .drop("limit", "date", "_before")
     )
