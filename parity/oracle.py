@@ -106,6 +106,16 @@ checked AS (
       WHEN span > 90 THEN 'DATE_RANGE_EXCEEDED'
       WHEN granularity = 'weekly' THEN 'INVALID_GRANULARITY'
       WHEN granularity = 'raw' AND lim IS NULL THEN 'INVALID_LIMIT' END AS error_code
+  FROM req),
+listed AS (
+  SELECT request_id, user_id, strftime(d0, '%Y-%m-%d') AS s,
+    strftime(d0 + span::INTEGER, '%Y-%m-%d') AS e,
+    CASE WHEN k % 11 = 0 THEN 50 WHEN lim > 200 THEN 200 ELSE lim END::INTEGER AS "limit",
+    CASE WHEN user_id = '' THEN 'UNAUTHORIZED'
+      WHEN k % 37 = 0 THEN 'MISSING_PARAMETER'
+      WHEN k % 29 = 0 OR k % 31 = 0 OR k % 23 = 0 THEN 'INVALID_DATE'
+      WHEN span > 90 THEN 'DATE_RANGE_EXCEEDED'
+      WHEN lim IS NULL THEN 'INVALID_LIMIT' END AS error_code
   FROM req)"""
 
 USER_COLUMNS = """c_custkey::VARCHAR AS id, c_name || '@example.com' AS email,
@@ -114,6 +124,24 @@ USER_COLUMNS = """c_custkey::VARCHAR AS id, c_name || '@example.com' AS email,
 DAILY = f"""WITH {REC} SELECT user_id, record_type, start_date[1:10] AS date, {stats()},
   count(*) AS "count" FROM rec GROUP BY ALL"""
 
+ECG_ROWS = f"""WITH {ECG} SELECT user_id, job_id, ecg_time,
+  row_number() OVER (PARTITION BY user_id, job_id ORDER BY day, event_id) - 1 AS ordinal,
+  'export/electrocardiograms/ecg_' || day || '.csv' AS source_file, classification,
+  average_heart_rate, '1706745600' AS created_at,
+  row_number() OVER (PARTITION BY user_id, job_id, day ORDER BY event_id) - 1
+    AS row_in_file FROM ecg"""
+
+ROUTE_ROWS = f"""SELECT *, row_number() OVER (PARTITION BY user_id, job_id
+    ORDER BY source_file) - 1 AS ordinal FROM (
+  SELECT user_id::VARCHAR AS user_id, (event_id % 3)::VARCHAR AS job_id,
+    arg_min({TS}, event_id) AS route_time,
+    'export/workout-routes/route_' || strftime(ts, '%Y%m%d') || '.gpx' AS source_file,
+    count(*)::INTEGER AS waypoint_count,
+    arg_min(value, event_id)::VARCHAR AS start_lat, min(event_id)::VARCHAR AS start_lon,
+    arg_max(value, event_id)::VARCHAR AS end_lat, max(event_id)::VARCHAR AS end_lon,
+    '1706745600' AS created_at
+  FROM events GROUP BY user_id, event_id % 3, strftime(ts, '%Y%m%d'))"""
+
 ORACLE: dict[str, str] = {
     "metric_daily": DAILY,
     "metric_daily_range": f"""WITH {REC} SELECT user_id, record_type,
@@ -178,6 +206,11 @@ UNION ALL SELECT user_id, 'JOB#' || job_id, 'JOB#' || job_id, NULL, status, NULL
 SELECT user_id, record_type, start_date, value FROM rec WHERE user_id = '42'""",
     "date_range": f"""WITH {REC} SELECT user_id, start_date FROM rec
 WHERE {HEART_RATE} AND start_date BETWEEN '{START}' AND '{END}'""",
+    "type_filter": f"""WITH {REC} SELECT user_id, record_type, start_date FROM rec
+WHERE record_type IN ('HeartRate', 'StepCount')""",
+    "parse_number": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN value
+  WHEN 1 THEN value WHEN 2 THEN ('10' || value::VARCHAR)::DOUBLE
+  WHEN 3 THEN (value::VARCHAR || 'e1')::DOUBLE END AS number FROM events""",
     "key_prefix": f"""WITH {JOBS} SELECT user_id, 'JOB#' || job_id AS sk, status
 FROM jobs""",
     "order_by_start": f"""WITH {REC}
@@ -198,6 +231,8 @@ FROM ({page("rec", "start_date", 7, HEART_RATE)})""",
   replace(replace(base64(encode(arg_max('{{"start_date":"' || start_date || '","_pos":'
     || event_id || '}}', position))), '+', '-'), '/', '_') END AS next_cursor
 FROM ({page("rec", "start_date", 7, HEART_RATE)}) GROUP BY user_id""",
+    "decode_cursor": f"""WITH {REC} SELECT user_id, start_date, event_id AS _pos
+FROM rec""",
     "ecg_page": f"""WITH {ECG} SELECT user_id, ecg_time, classification, position,
   page_count FROM ({page("ecg", "ecg_time", 5)})""",
     "workout_page": f"""WITH {TRACKS} SELECT user_id, route_time, waypoint_count,
@@ -234,6 +269,22 @@ SELECT request_id, user_id, record_type, start_date, value, position FROM (
   FROM checked c JOIN rec r ON r.user_id = c.user_id AND r.record_type = c.type
     AND r.start_date BETWEEN c.s AND c.e || '~'
   WHERE c.error_code IS NULL AND c.granularity = 'raw')
+WHERE position <= "limit" """,
+    "check_requests_ecg": f"""WITH {REQUESTS}
+SELECT request_id, "limit", error_code FROM listed""",
+    "answer_ecg": f"""WITH {ECG}, {REQUESTS}
+SELECT request_id, user_id, ecg_time, classification, position FROM (
+  SELECT c.request_id, r.*, c."limit", row_number() OVER (PARTITION BY c.request_id
+    ORDER BY r.ecg_time)::INTEGER AS position
+  FROM listed c JOIN ecg r ON r.user_id = c.user_id
+    AND r.ecg_time BETWEEN c.s AND c.e || '~' WHERE c.error_code IS NULL)
+WHERE position <= "limit" """,
+    "answer_workouts": f"""WITH {TRACKS}, {REQUESTS}
+SELECT request_id, user_id, route_time, waypoint_count, position FROM (
+  SELECT c.request_id, r.*, c."limit", row_number() OVER (PARTITION BY c.request_id
+    ORDER BY r.route_time)::INTEGER AS position
+  FROM listed c JOIN tracks r ON r.user_id = c.user_id
+    AND r.route_time BETWEEN c.s AND c.e || '~' WHERE c.error_code IS NULL)
 WHERE position <= "limit" """,
     "export_arrivals": f"""WITH {EXPORTS}
 SELECT user_id || '/' || job_id || '.zip' AS name, true AS filled FROM exports""",
@@ -286,26 +337,17 @@ FROM events""",
   string_agg(value::VARCHAR || '|' || event_id || '|1|' || {TS}, ';' ORDER BY event_id)
     AS waypoints
 FROM events GROUP BY user_id, event_id % 3, strftime(ts, '%Y%m%d')""",
-    "ecg_projection": f"""WITH {ECG} SELECT user_id, job_id, ecg_time,
-  row_number() OVER (PARTITION BY user_id, job_id ORDER BY day, event_id) - 1 AS ordinal,
-  'export/electrocardiograms/ecg_' || day || '.csv' AS source_file, classification,
-  average_heart_rate, '1706745600' AS created_at,
-  row_number() OVER (PARTITION BY user_id, job_id, day ORDER BY event_id) - 1
-    AS row_in_file FROM ecg""",
-    "route_projection": f"""SELECT *, row_number() OVER (PARTITION BY user_id, job_id
-    ORDER BY source_file) - 1 AS ordinal FROM (
-  SELECT user_id::VARCHAR AS user_id, (event_id % 3)::VARCHAR AS job_id,
-    arg_min({TS}, event_id) AS route_time,
-    'export/workout-routes/route_' || strftime(ts, '%Y%m%d') || '.gpx' AS source_file,
-    count(*)::INTEGER AS waypoint_count,
-    arg_min(value, event_id)::VARCHAR AS start_lat, min(event_id)::VARCHAR AS start_lon,
-    arg_max(value, event_id)::VARCHAR AS end_lat, max(event_id)::VARCHAR AS end_lon,
-    '1706745600' AS created_at
-  FROM events GROUP BY user_id, event_id % 3, strftime(ts, '%Y%m%d'))""",
+    "ecg_projection": ECG_ROWS,
+    "row_ordinal": f"""WITH {ECG} SELECT user_id, job_id, ecg_time,
+  row_number() OVER (PARTITION BY user_id, job_id ORDER BY day, event_id) - 1 AS ordinal
+FROM ecg""",
+    "route_projection": ROUTE_ROWS,
     "job_status": f"""WITH {EXPORTS} SELECT user_id, job_id, 'COMPLETED' AS status,
   '1706745600' AS updated_at, NULL::VARCHAR AS error_step FROM exports""",
     "scan_table_records": f"""WITH {REC} SELECT user_id, record_type, start_date, value,
   'u' AS unit, '' AS creation_date, job_id, v AS value_num FROM rec""",
+    "scan_table_ecg": ECG_ROWS,
+    "scan_table_routes": ROUTE_ROWS,
     "scan_table_jobs": f"""WITH {EXPORTS} SELECT user_id, job_id, 'COMPLETED' AS status,
   '1706745600' AS updated_at, NULL::VARCHAR AS error_step FROM exports""",
     "upsert_records": f"""WITH {REC} SELECT user_id, record_type, start_date, value,

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from parity import adapter
 from parity.archives import render_archives
+from vitals.functions.cursor import decode_cursor, encode_cursor
+from vitals.functions.text import parse_number
 from vitals.operators import filters, latest, metrics, pages
+from vitals.operators.ecg import row_ordinal
 from vitals.operators.jobs import job_status, recent_jobs
 from vitals.operators.records import map_record_type, project_record
 from vitals.operators.requests import check_requests
 from vitals.operators.timeline import timeline
 from vitals.operators.users import normalise_users
 from vitals.plans import ingest
-from vitals.plans.dashboard import answer_daily, answer_raw
+from vitals.plans.dashboard import answer_daily, answer_ecg, answer_raw, answer_workouts
 from vitals.plans.summary import SUMMARY_METRICS, health_summary
 from vitals.session import shared_dir
 from vitals.sources import archive, arrivals, store
@@ -174,6 +177,24 @@ def timeline_(spark, sf_dir):
     ).select("user_id", "sk", "type_time_key", "value", "status", "waypoint_count")
 
 
+def numbers(spark, sf_dir):
+    """Values written in several ways, some of which are no numbers."""
+    value = F.col("value").cast("string")
+    ways = [
+        value,
+        F.concat(F.lit(" +"), value, F.lit("\n")),
+        F.concat(F.lit("1_0"), value),
+        F.concat(value, F.lit("e1")),
+        F.concat(value, F.lit("d")),
+        F.lit("NaN"),
+        F.lit("-Infinity"),
+        F.lit(""),
+    ]
+    way = F.element_at(F.array(*ways), (F.col("event_id") % 8 + 1).cast("int"))
+    events = adapter.table(spark, sf_dir, "events")
+    return events.select("event_id", parse_number(way).alias("number"))
+
+
 # --- filters ----------------------------------------------------------------
 
 
@@ -188,6 +209,11 @@ def date_range(spark, sf_dir):
     return filters.type_filter(rows, "HeartRate").select("user_id", "start_date")
 
 
+def type_filter(spark, sf_dir):
+    rows = filters.type_filter(adapter.records(spark, sf_dir), "HeartRate", "StepCount")
+    return rows.select("user_id", "record_type", "start_date")
+
+
 def key_prefix(spark, sf_dir):
     return filters.key_prefix(timeline_(spark, sf_dir), "sk", "JOB#").select(
         "user_id", "sk", "status"
@@ -238,6 +264,16 @@ def page_count(spark, sf_dir):
     )
 
 
+def cursor_keys(spark, sf_dir):
+    """Every record's own cursor, read back."""
+    key = F.struct("start_date", "_pos")
+    cursors = adapter.records(spark, sf_dir).select(
+        "user_id", encode_cursor(key).alias("cursor")
+    )
+    decoded = decode_cursor(F.col("cursor"), "start_date STRING, _pos LONG")
+    return cursors.select("user_id", decoded.alias("key")).select("user_id", "key.*")
+
+
 def next_cursor(spark, sf_dir):
     return pages.next_cursor(_raw_page(spark, sf_dir, PAGE), ["start_date", "_pos"])
 
@@ -312,6 +348,23 @@ def raw_answers(spark, sf_dir):
     ).select("request_id", "user_id", "record_type", "start_date", "value", "position")
 
 
+def requests_ecg(spark, sf_dir):
+    return check_requests(adapter.requests(spark, sf_dir), "ecg").select(
+        "request_id", "limit", "error_code"
+    )
+
+
+def ecg_answers(spark, sf_dir):
+    return answer_ecg(_requests(spark, sf_dir), adapter.ecg(spark, sf_dir)).select(
+        "request_id", "user_id", "ecg_time", "classification", "position"
+    )
+
+
+def workout_answers(spark, sf_dir):
+    rows = answer_workouts(_requests(spark, sf_dir), adapter.routes(spark, sf_dir))
+    return rows.select("request_id", "user_id", "route_time", "waypoint_count", "position")
+
+
 # --- archives ---------------------------------------------------------------
 
 
@@ -401,6 +454,12 @@ def ecg_rows(spark, sf_dir):
     return rows.drop("_ingested")
 
 
+def ordinals(spark, sf_dir):
+    """ECG lines numbered over the files of each export."""
+    scan = scan_ecg_csv(ingest.members_of(_manifest(spark, sf_dir), "ecg"))
+    return row_ordinal(scan).select("user_id", "job_id", "ecg_time", "ordinal")
+
+
 def route_rows(spark, sf_dir):
     tables, staging = landed(spark, sf_dir)
     rows = ingest.staged_routes(
@@ -417,6 +476,15 @@ def table_records(spark, sf_dir):
     return rows.drop("_ingested", "_blk", "_pos")
 
 
+def table_ecg(spark, sf_dir):
+    return store.scan_table(spark, stored(spark, sf_dir), "ecg").drop("_ingested")
+
+
+def table_routes(spark, sf_dir):
+    rows = store.scan_table(spark, stored(spark, sf_dir), "routes")
+    return rows.drop("_ingested", "row_in_file")
+
+
 def table_jobs(spark, sf_dir):
     return store.scan_table(spark, stored(spark, sf_dir), "jobs")
 
@@ -463,12 +531,15 @@ QUERIES: dict[str, Query] = {
     "timeline": timeline_,
     "user_scope": user_scope,
     "date_range": date_range,
+    "type_filter": type_filter,
     "key_prefix": key_prefix,
+    "parse_number": numbers,
     "order_by_start": order_by_start,
     "metric_page": metric_page,
     "metric_page_next": metric_page_next,
     "page_count": page_count,
     "next_cursor": next_cursor,
+    "decode_cursor": cursor_keys,
     "ecg_page": ecg_page,
     "workout_page": workout_page,
     "recent_jobs": recent,
@@ -478,6 +549,9 @@ QUERIES: dict[str, Query] = {
     "check_requests": requests,
     "answer_daily": daily_answers,
     "answer_raw": raw_answers,
+    "check_requests_ecg": requests_ecg,
+    "answer_ecg": ecg_answers,
+    "answer_workouts": workout_answers,
     "export_arrivals": export_arrivals,
     "parse_export_key": export_key,
     "list_members": list_members,
@@ -491,9 +565,12 @@ QUERIES: dict[str, Query] = {
     "scan_ecg_csv": ecg_scan,
     "scan_gpx_routes": gpx_scan,
     "ecg_projection": ecg_rows,
+    "row_ordinal": ordinals,
     "route_projection": route_rows,
     "job_status": status,
     "scan_table_records": table_records,
+    "scan_table_ecg": table_ecg,
+    "scan_table_routes": table_routes,
     "scan_table_jobs": table_jobs,
     "upsert_records": upsert_records,
     "compact_records": compacted_daily,

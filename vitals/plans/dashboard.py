@@ -1,4 +1,4 @@
-"""Answers to a table of metrics requests, all users at once."""
+"""Answers to tables of requests, all users at once."""
 
 from __future__ import annotations
 
@@ -9,29 +9,30 @@ from vitals.functions.stats import statistics
 from vitals.functions.text import date_prefix
 from vitals.operators.filters import in_range
 from vitals.operators.latest import top_per_group
+from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER
 from vitals.operators.requests import check_requests
-from vitals.schema import METRIC_LIMITS
+from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
 
 KEYS = ["user_id", "record_type"]
 
 
-def _accepted(requests: DataFrame, granularity: str) -> DataFrame:
+def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) -> DataFrame:
     """Requests without an error, once per calendar year they touch.
 
     A request spans at most 90 days, so two years at most. The year, with the
     user and type, makes the range an equality join in which a request meets
     one or two years of daily rows, however many rows its user has.
     """
-    checked = check_requests(requests).where(
-        F.col("error_code").isNull() & (F.col("granularity") == granularity)
-    )
+    checked = check_requests(requests, kind).where(F.col("error_code").isNull())
+    if granularity is not None:
+        checked = checked.where(F.col("granularity") == granularity)
     years = F.array_distinct(
         F.array(F.substring("start", 1, 4), F.substring("end", 1, 4))
     )
     return checked.select(
         "request_id",
         "user_id",
-        F.col("type").alias("record_type"),
+        (F.col("type") if kind == "metrics" else F.lit(kind)).alias("record_type"),
         "start",
         "end",
         "limit",
@@ -39,10 +40,10 @@ def _accepted(requests: DataFrame, granularity: str) -> DataFrame:
     )
 
 
-def _per_day(records: DataFrame, *aggregates: Column) -> DataFrame:
-    day = date_prefix(F.col("start_date"))
+def _per_day(rows: DataFrame, *aggregates: Column, time: str = "start_date") -> DataFrame:
+    day = date_prefix(F.col(time))
     return (
-        records.groupBy(*KEYS, day.alias("date"))
+        rows.groupBy(*KEYS, day.alias("date"))
         .agg(*aggregates)
         .withColumn("_year", F.substring("date", 1, 4))
     )
@@ -68,17 +69,17 @@ def answer_daily(requests: DataFrame, records: DataFrame) -> DataFrame:
     # at most two years of days in a window
     whole = Window.partitionBy("request_id")
     return (
-        _days_of_requests(_accepted(requests, "daily"), days)
+        _days_of_requests(_accepted(requests, "metrics", "daily"), days)
         .withColumn("unit", F.min("_earliest").over(whole)["unit"])
         .where(F.col("count") > 0)
         .select("request_id", *KEYS, "date", "avg", "min", "max", "count", "unit")
     )
 
 
-def answer_raw(
-    requests: DataFrame, records: DataFrame, tiebreak: tuple[str, ...] = ()
+def _answer_pages(
+    accepted: DataFrame, rows: DataFrame, order: list[str], largest: int
 ) -> DataFrame:
-    """First page of every accepted raw request, in start order.
+    """First page of every accepted request, in ``order``.
 
     Daily counts tell which days a request's page reaches, and how many of its
     rows come before each. A page enters a day at the day's start, so of any
@@ -86,24 +87,23 @@ def answer_raw(
     place in its day gives its place in the page. A request thus meets fewer
     rows than its limit plus that number, and pages need no sort of their own.
     """
-    order = [F.col(name) for name in ["start_date", *tiebreak]]
+    time = order[0]
     before = (
         Window.partitionBy("request_id")
         .orderBy("date")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     day = [*KEYS, "date"]
+    counts = _per_day(rows, F.count("*").alias("_rows"), time=time)
     reached = (
-        _days_of_requests(
-            _accepted(requests, "raw"), _per_day(records, F.count("*").alias("_rows"))
-        )
+        _days_of_requests(accepted, counts)
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .where(F.col("_before") < F.col("limit"))
         .select("request_id", *day, "limit", "_before")
     )
-    dated = records.withColumn("date", date_prefix(F.col("start_date")))
+    dated = rows.withColumn("date", date_prefix(F.col(time)))
     wanted = dated.join(reached.select(*day).distinct(), day, "left_semi")
-    heads = top_per_group(wanted, day, order, METRIC_LIMITS[1])
+    heads = top_per_group(wanted, day, [F.col(name) for name in order], largest)
     place = (F.col("_before") + F.col("position")).cast("int")
     return (
         reached.join(heads, day)
@@ -111,3 +111,28 @@ def answer_raw(
         .where(F.col("position") <= F.col("limit"))
         .drop("limit", "date", "_before")
     )
+
+
+def answer_raw(
+    requests: DataFrame, records: DataFrame, tiebreak: tuple[str, ...] = ()
+) -> DataFrame:
+    """Records of every accepted raw request."""
+    accepted = _accepted(requests, "metrics", "raw")
+    return _answer_pages(
+        accepted, records, ["start_date", *tiebreak], METRIC_LIMITS[1]
+    )
+
+
+def answer_ecg(requests: DataFrame, ecg: DataFrame) -> DataFrame:
+    """ECG rows of every accepted request; its type and granularity are ignored."""
+    rows = ecg.withColumn("record_type", F.lit("ecg"))
+    accepted = _accepted(requests, "ecg")
+    return _answer_pages(accepted, rows, ECG_ORDER, ECG_LIMITS[1]).drop("record_type")
+
+
+def answer_workouts(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """Routes of every accepted request."""
+    rows = routes.withColumn("record_type", F.lit("workouts"))
+    accepted = _accepted(requests, "workouts")
+    pages = _answer_pages(accepted, rows, ROUTE_ORDER, WORKOUT_LIMITS[1])
+    return pages.drop("record_type")

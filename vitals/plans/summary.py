@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitals.functions.stats import average, statistics
 from vitals.operators.filters import date_range, type_filter, user_scope
 from vitals.operators.jobs import recent_jobs
-from vitals.schema import SUMMARY_DAYS, SUMMARY_JOBS
+from vitals.schema import SUMMARY_DAYS, SUMMARY_JOBS, column_names
 
 # Summary field -> measurement type.
 SUMMARY_METRICS = {
@@ -20,6 +20,9 @@ SUMMARY_METRICS = {
 }
 DIASTOLIC = "BloodPressureDiastolic"
 
+# The last update comes first, as it orders the list.
+JOB_FIELDS = "updated_at: STRING, job_id: STRING, status: STRING, error_step: STRING"
+
 
 def _rows(df: DataFrame, family: Column, value: Column) -> DataFrame:
     return df.select("user_id", family.alias("family"), value.alias("value"))
@@ -66,27 +69,35 @@ def health_summary(
             )
         )
     )
-    of = lambda name: F.when(F.col("family") == name, F.col("value"))
+    fields = {**SUMMARY_METRICS, "diastolic": DIASTOLIC}
+    values = rows.select(
+        "user_id",
+        "family",
+        *(
+            F.when(F.col("family") == name, F.col("value")).alias(field)
+            for field, name in fields.items()
+        ),
+    )
     aggregates = [
         column
-        for field, name in SUMMARY_METRICS.items()
-        for column in statistics(of(name), f"{field}_")
+        for field in SUMMARY_METRICS
+        for column in statistics(F.col(field), f"{field}_")
     ]
-    totals = rows.groupBy("user_id").agg(
+    totals = values.groupBy("user_id").agg(
         *aggregates,
-        average(of(DIASTOLIC)).alias("avg_diastolic"),
+        average(F.col("diastolic")).alias("avg_diastolic"),
         F.count_if(F.col("family") == "ECG").alias("ecg_count"),
         F.count_if(F.col("family") == "GPX").alias("workout_count"),
     )
 
     # at most five jobs per user are gathered
-    job = F.struct("updated_at", "job_id", "status", "error_step")
+    job = F.struct(*column_names(JOB_FIELDS.replace(": ", " ")))
     newest = (
         recent_jobs(jobs, SUMMARY_JOBS, user_id, ordered=False)
         .groupBy("user_id")
         .agg(F.sort_array(F.collect_list(job), asc=False).alias("recent_jobs"))
     )
-    empty = F.array().cast(newest.schema["recent_jobs"].dataType)
+    empty = F.array().cast(f"array<struct<{JOB_FIELDS}>>")
 
     def metric(field: str) -> Column:
         parts = ["avg", "min", "max", "count"]

@@ -10,11 +10,19 @@ from pyspark.sql import SparkSession
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
-def build_session(master: str | None = None, **conf: str) -> SparkSession:
+PARTITION_BYTES = 128 << 20
+
+
+def build_session(
+    master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with the settings the library is written for.
 
     ``master`` is for tests and the bench; on a cluster leave it to
-    ``spark-submit``.
+    ``spark-submit``. ``shuffle_bytes`` is the volume of the largest shuffle,
+    for ingestion about a quarter of the XML: shuffles start with so many
+    partitions that each fits in memory, and adaptive execution merges those
+    that turn out small.
     """
     builder = SparkSession.builder.appName("vitals")
     if master:
@@ -25,9 +33,14 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
         "spark.sql.parquet.compression.codec": "zstd",
         **conf,
     }
+    if shuffle_bytes is not None:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(
+            max(200, -(-shuffle_bytes // PARTITION_BYTES))
+        )
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
