@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from __spark_entry__ import _ship  # noqa: E402
+import __spark_entry__  # noqa: E402, F401
 from vitals.session import build_session  # noqa: E402
 
 
@@ -21,7 +21,6 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    _ship(session)
     yield session
     session.stop()
 

@@ -82,14 +82,11 @@ def staged_routes(
     return row_ordinal(route_projection(scan, at)).select(*column_names(ROUTES))
 
 
-def normalise(
-    spark: SparkSession, root: str, staging: str, at: datetime
-) -> None:
+def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> None:
     """Writes the rows of one landing run to the tables below ``root``.
 
-    Jobs that already have a status are not written again. Job rows come last:
-    after a failure the run can simply be repeated, as every write is a put by
-    key and the newest version wins at read.
+    Job rows come last. After a failure the run is simply repeated: every write
+    is a put by key, and the newest version wins at read.
     """
     moment = F.lit(at).cast("timestamp")
     manifest = read_manifest(spark, root, staging)
@@ -101,11 +98,7 @@ def normalise(
     store.upsert_ecg(staged_ecg(manifest, moment), root)
     store.upsert_routes(staged_routes(spark, staging, manifest, moment), root)
 
-    jobs = job_status(checked, moment)
-    if _present(spark, store.table_path(root, "jobs")):
-        done = store.scan_table(spark, root, "jobs", versions=True)
-        jobs = jobs.join(done.select("user_id", "job_id"), ["user_id", "job_id"], "left_anti")
-    store.write_job_status(jobs, root)
+    store.write_job_status(job_status(checked, moment), root)
 
 
 def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> DataFrame:

@@ -49,4 +49,13 @@ class StagedFile:
         if failure:
             self._store.delete_file(self._temporary)
         else:
+            self._publish()
+
+    def _publish(self):
+        try:
             self._store.move(self._temporary, self._path)
+        except OSError:
+            # some stores do not replace; an earlier attempt's file is the same
+            if self._store.get_file_info(self._path).type != fs.FileType.File:
+                raise
+            self._store.delete_file(self._temporary)
