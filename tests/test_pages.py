@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitals.functions.cursor import decode_cursor, encode_cursor, read_cursor
+from vitals.operators import latest
 from vitals.operators.jobs import job_status, recent_jobs
 from vitals.operators.latest import dedupe_last, latest_by_key, top_per_group
 from vitals.operators.pages import (
@@ -77,6 +78,17 @@ def test_pages_of_all_users_follow_their_own_cursors(tied):
     assert len(found) == 73
 
 
+def test_many_cursors_are_joined_by_salt(spark, tied, rows, monkeypatch):
+    first = ask(tied, 7)
+    cursors = next_cursor(first, ORDER).withColumnRenamed("next_cursor", "cursor")
+    few = ask(tied, 7, cursors)
+    monkeypatch.setattr(latest, "BROADCAST_ROWS", 1)
+    many = ask(tied, 7, cursors)
+    assert "_salt" in many._jdf.queryExecution().analyzed().toString()
+    columns = ["user_id", "start_date", "_pos", "position", "page_count"]
+    assert rows(few, *columns) == rows(many, *columns) != []
+
+
 def test_limit_is_clamped_and_checked(spark, tied):
     many = spark.range(1100).select(
         F.lit("a").alias("user_id"), F.lit("HeartRate").alias("record_type"),

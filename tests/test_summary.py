@@ -2,6 +2,9 @@
 
 from datetime import date
 
+import pytest
+
+from vitals.operators import latest
 from vitals.operators.timeline import timeline
 from vitals.operators.users import latest_users, normalise_users
 from vitals.plans.dashboard import answer_daily, answer_raw
@@ -85,7 +88,9 @@ def test_daily_answers_over_a_new_year(spark, rows):
     ]
 
 
-def test_raw_answers_stop_at_each_requests_limit(spark):
+@pytest.mark.parametrize("short_list", [1, 10_000])
+def test_raw_answers_stop_at_each_requests_limit(spark, monkeypatch, short_list):
+    monkeypatch.setattr(latest, "BROADCAST_ROWS", short_list)
     records = fill(spark, RECORDS, *(
         record(f"2024-01-{d:02d} {h:02d}", float(h)) for d in (1, 2, 3) for h in range(10)
     ))

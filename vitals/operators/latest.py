@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 # Rows that may reach one reducer from every task before the group is split.
 SPLIT_ABOVE = 20
 SALTS = 64
+SALT = "_salt"
+# Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a side has so few rows that it may be broadcast; counted."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def with_salt(df: DataFrame) -> DataFrame:
+    """Adds a salt that is the same for all rows of a task."""
+    return df.withColumn(SALT, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+
+
+def for_every_salt(df: DataFrame) -> DataFrame:
+    """Repeats the rows for each salt, to meet salted rows in a join."""
+    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def _ranked(
@@ -23,6 +41,17 @@ def _ranked(
     )
 
 
+def cut_by_salt(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
+) -> DataFrame:
+    """At most ``n`` rows per group and salt, among them the group's first ``n``.
+
+    Takes the salt of a salted input, else one per task.
+    """
+    salted = df if SALT in df.columns else with_salt(df)
+    return _ranked(salted, [*keys, SALT], order, n).drop(SALT, "position")
+
+
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 ) -> DataFrame:
@@ -33,9 +62,8 @@ def top_per_group(
     salts (one per task, so each task keeps at most n of their rows) and then
     once more as a whole. The outcome does not depend on the salts.
     """
-    if n > SPLIT_ABOVE:
-        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        df = _ranked(salted, [*keys, "_salt"], order, n).drop("_salt", "position")
+    if n > SPLIT_ABOVE or SALT in df.columns:
+        df = cut_by_salt(df, keys, order, n)
     return _ranked(df, keys, order, n)
 
 

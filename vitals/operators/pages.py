@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from vitals.functions.cursor import decode_cursor, encode_cursor, read_cursor
 from vitals.operators.filters import date_range, type_filter, user_scope
-from vitals.operators.latest import top_per_group
+from vitals.operators.latest import (
+    SALT,
+    for_every_salt,
+    is_small,
+    top_per_group,
+    with_salt,
+)
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
 
 
@@ -69,10 +75,13 @@ def page(
             ),
         )
         last = [F.col(f"_last.{name}") for name in order]
+        if is_small(cursor):
+            joined = rows.join(F.broadcast(decoded), "user_id", "left")
+        else:
+            # salts spread the rows of a heavy user over many tasks
+            joined = with_salt(rows).join(for_every_salt(decoded), ["user_id", SALT], "left")
         rows = (
-            rows.join(decoded, "user_id", "left")
-            .where(F.col("_last").isNull() | _after(order, last))
-            .drop("_last")
+            joined.where(F.col("_last").isNull() | _after(order, last)).drop("_last")
         )
     else:
         key = read_cursor(cursor, list(order))

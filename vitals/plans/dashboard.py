@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitals.functions.stats import statistics
 from vitals.functions.text import date_prefix
 from vitals.operators.filters import in_range
-from vitals.operators.latest import top_per_group
+from vitals.operators.latest import cut_by_salt, is_small
 from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER
 from vitals.operators.requests import check_requests
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
@@ -40,6 +40,13 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
     )
 
 
+def _of_requested(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Only the rows of users and types asked for, if that is a short list."""
+    if not is_small(accepted):
+        return rows
+    return rows.join(F.broadcast(accepted.select(*KEYS).distinct()), KEYS, "left_semi")
+
+
 def _per_day(rows: DataFrame, *aggregates: Column, time: str = "start_date") -> DataFrame:
     day = date_prefix(F.col(time))
     return (
@@ -61,15 +68,16 @@ def answer_daily(requests: DataFrame, records: DataFrame) -> DataFrame:
     requests. The unit is that of the first record in the range, whether or not
     it holds a number; days without numbers are absent.
     """
+    accepted = _accepted(requests, "metrics", "daily")
     days = _per_day(
-        records,
+        _of_requested(records, accepted),
         *statistics(F.col("value_num")),
         F.min(F.struct("start_date", "unit")).alias("_earliest"),
     )
     # at most two years of days in a window
     whole = Window.partitionBy("request_id")
     return (
-        _days_of_requests(_accepted(requests, "metrics", "daily"), days)
+        _days_of_requests(accepted, days)
         .withColumn("unit", F.min("_earliest").over(whole)["unit"])
         .where(F.col("count") > 0)
         .select("request_id", *KEYS, "date", "avg", "min", "max", "count", "unit")
@@ -87,7 +95,8 @@ def _answer_pages(
     place in its day gives its place in the page. A request thus meets fewer
     rows than its limit plus that number, and pages need no sort of their own.
     """
-    time = order[0]
+    time, columns = order[0], [F.col(name) for name in order]
+    rows = _of_requested(rows, accepted)
     before = (
         Window.partitionBy("request_id")
         .orderBy("date")
@@ -102,14 +111,17 @@ def _answer_pages(
         .select("request_id", *day, "limit", "_before")
     )
     dated = rows.withColumn("date", date_prefix(F.col(time)))
-    wanted = dated.join(reached.select(*day).distinct(), day, "left_semi")
-    heads = top_per_group(wanted, day, [F.col(name) for name in order], largest)
-    place = (F.col("_before") + F.col("position")).cast("int")
+    # cut first, so that the join too meets a bounded number of rows per day
+    cut = cut_by_salt(dated, day, columns, largest)
+    wanted = cut.join(reached.select(*day).distinct(), day, "left_semi")
+    place_in_day = F.row_number().over(Window.partitionBy(*day).orderBy(*columns))
+    heads = wanted.withColumn("_place", place_in_day).where(F.col("_place") <= largest)
+    place = (F.col("_before") + F.col("_place")).cast("int")
     return (
         reached.join(heads, day)
         .withColumn("position", place)
         .where(F.col("position") <= F.col("limit"))
-        .drop("limit", "date", "_before")
+        .drop("limit", "date", "_before", "_place")
     )
 
 
