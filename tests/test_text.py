@@ -1,5 +1,9 @@
 """Scalar expressions."""
 
+import math
+import random
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +87,38 @@ def test_flags_and_keys(spark):
     assert apply(spark, ["2024-01-15"], lambda c: text.record_key(F.lit("HeartRate"), c)) == [
         "RECORD#HeartRate#2024-01-15"
     ]
+
+
+def _generated(alphabet, size, seed):
+    generator = random.Random(seed)
+    return [
+        "".join(generator.choice(alphabet) for _ in range(generator.randint(0, 7)))
+        for _ in range(size)
+    ]
+
+
+def test_parse_number_agrees_with_decimal_arithmetic(spark):
+    texts = _generated("0123456789..+--eE__ \tdfx", 4000, 1) + ["1e309", "-1e309", "1e-400"]
+
+    def number(value):
+        try:
+            found = float(Decimal(value))
+        except ArithmeticError:
+            return None
+        return found if math.isfinite(found) else None
+
+    assert apply(spark, texts, text.parse_number) == [number(value) for value in texts]
+
+
+def test_parse_limit_agrees_with_integer_arithmetic(spark):
+    texts = _generated("0123456789+-_ .a", 4000, 2)
+
+    def limit(value):
+        try:
+            found = int(value)
+        except ValueError:
+            return None
+        return min(found, 1000) if found >= 1 else None
+
+    found = apply(spark, texts, lambda c: text.parse_limit(c, 100, 1000))
+    assert found == [limit(value) for value in texts]

@@ -41,10 +41,13 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
 
 
 def _of_requested(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Only the rows of users and types asked for, if that is a short list."""
-    if not is_small(accepted):
-        return rows
-    return rows.join(F.broadcast(accepted.select(*KEYS).distinct()), KEYS, "left_semi")
+    """Only the rows of users and types asked for, or else of the types alone.
+
+    Users are filtered on if the requests are counted to be few. The types are
+    at most the queryable ones; on a stored table they prune partitions.
+    """
+    keys = KEYS if is_small(accepted) else ["record_type"]
+    return rows.join(F.broadcast(accepted.select(*keys).distinct()), keys, "left_semi")
 
 
 def _per_day(rows: DataFrame, *aggregates: Column, time: str = "start_date") -> DataFrame:
