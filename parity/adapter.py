@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitals.functions.text import parse_number
-
 TYPES = {
     "click": "HKQuantityTypeIdentifierHeartRate",
     "view": "HKQuantityTypeIdentifierHeartRateVariabilitySDNN",
@@ -161,14 +159,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 37 == 0, "").when(key % 23 == 0, "2023-12-31")
         .otherwise(end).alias("end"),
         pick(3, None, "daily", "raw").alias("granularity"),
-        pick(11, None, "5", "0", "-3", "5000", "abc", "1_0", " 7 ", "+12", "", "99999999999").alias("limit"),
+        pick(
+            11, None, "5", "0", "-3", "5000", "abc", "1_0", " 7 ", "+12", "", "99999999999"
+        ).alias("limit"),
     ).withColumn(
         "granularity",
         F.when(F.col("request_id") % 43 == 0, "weekly").otherwise(F.col("granularity")),
     )
-
-
-__all__ = [
-    "ecg", "identifier", "jobs", "parse_number", "records", "requests", "routes",
-    "scan", "signups", "table", "time_text", "tracks",
-]

@@ -315,7 +315,8 @@ def upsert_users(spark, sf_dir):
     """Two rounds of sign-ups, read back as the newest row per user."""
     signups = adapter.signups(spark, sf_dir)
     root = shared_dir(spark, "users")
-    store.upsert_users(normalise_users(signups, F.lit(datetime(2024, 1, 1)).cast("timestamp")), root)
+    before = F.lit(datetime(2024, 1, 1)).cast("timestamp")
+    store.upsert_users(normalise_users(signups, before), root)
     again = signups.where(F.col("attributes.email_verified") == "true")
     store.upsert_users(normalise_users(again, _at()), root)
     return store.scan_table(spark, root, "users").select(

@@ -1,6 +1,5 @@
 """Archives, the landing stream, and the stored tables."""
 
-import io
 import zipfile
 from datetime import datetime
 

@@ -14,7 +14,7 @@ from vitals.sources.health_xml import ATTRIBUTES, scan_health_xml
 
 PROLOGUE = """<?xml version="1.0" encoding="UTF-8"?>
 <!DOCTYPE HealthData [
-<!-- HealthKit Export -->
+<!-- an export -->
 <!ELEMENT HealthData (ExportDate,Me,(Record|Correlation|Workout)*)>
 <!ATTLIST Record
   type CDATA #REQUIRED

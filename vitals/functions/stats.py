@@ -34,11 +34,14 @@ def average(value: Column) -> Column:
     )
 
 
-def statistics(value: Column, prefix: str = "") -> list[Column]:
+STATISTICS = ["avg", "min", "max", "count"]
+
+
+def statistics(value: Column) -> list[Column]:
     """The four aggregates of ``value``; nulls are skipped."""
     return [
-        average(value).alias(f"{prefix}avg"),
-        F.round(F.min(value), 2).alias(f"{prefix}min"),
-        F.round(F.max(value), 2).alias(f"{prefix}max"),
-        F.count(value).alias(f"{prefix}count"),
+        average(value).alias("avg"),
+        F.round(F.min(value), 2).alias("min"),
+        F.round(F.max(value), 2).alias("max"),
+        F.count(value).alias("count"),
     ]
