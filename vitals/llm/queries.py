@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitals.llm.language import identify
 from vitals.llm.quality import quality
+from vitals.llm.secret_scan import digest, find_secrets
 from vitals.llm.shards import shards
 from vitals.llm.tables import table
 from vitals.llm.url_filter import judge_urls
@@ -14,6 +16,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("source", "host_rejected")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -24,6 +34,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_quality": op3_quality,
+    "op4_language": op4_language,
+    "op5_secrets": op5_secrets,
     "op6_shards": op6_shards,
     "op10_url_filter": op10_url_filter,
 }
