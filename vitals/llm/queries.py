@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vitals.llm.language import identify
+from vitals.llm.packing import pack
 from vitals.llm.quality import quality
 from vitals.llm.secret_scan import digest, find_secrets
 from vitals.llm.shards import shards
@@ -28,6 +29,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("url", "pattern")
 
@@ -37,5 +42,6 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
     "op6_shards": op6_shards,
+    "op8_packing": op8_packing,
     "op10_url_filter": op10_url_filter,
 }
