@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from vitals.llm.near_dedup import SIMILARITY
 from vitals.llm.quality import (
     BASE_RULES,
     MAX_HOST_RATE,
@@ -16,6 +17,33 @@ _RATES = ", ".join(
     f"(f_{r} + m_{r} * w_{r}) / (n_docs + w_{r}) AS rate_{r}" for r in RULES
 )
 
+NEAR_DEDUP = f"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM word WHERE len(w) > 1)
+    UNION ALL SELECT doc_id, w[1] FROM word WHERE len(w) = 1)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+  WHERE 100 * c >= {SIMILARITY} * (p.n + q.n - c)
+), reach(id, low) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT link.b, low FROM reach JOIN link ON link.a = id AND low < link.b
+), lowest AS (
+  SELECT id, min(low) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id JOIN lowest ON lowest.id = d.doc_id
+"""
+
 QUALITY = f"""
 WITH doc AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS text FROM documents
@@ -111,6 +139,7 @@ FROM ruled
 """
 
 ORACLE = {
+    "op2_near_dedup": NEAR_DEDUP,
     "op3_quality": QUALITY,
     "op6_shards": SHARDS,
     "op10_url_filter": URLS,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vitals.llm.language import identify
+from vitals.llm.near_dedup import near_groups
 from vitals.llm.packing import pack
 from vitals.llm.quality import quality
 from vitals.llm.secret_scan import digest, find_secrets
@@ -13,6 +14,10 @@ from vitals.llm.tables import table
 from vitals.llm.url_filter import judge_urls
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("source", "host_rejected")
 
@@ -38,6 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
