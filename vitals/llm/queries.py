@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitals.llm.decontaminate import contaminated
 from vitals.llm.language import identify
 from vitals.llm.near_dedup import near_groups
 from vitals.llm.packing import pack
@@ -34,6 +35,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_secrets": op5_secrets,
     "op6_shards": op6_shards,
+    "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op10_url_filter": op10_url_filter,
 }
