@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.words import Words, fold_table, mix, slices
+from vitals.llm.words import Words, fold_table, lowered, mix, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -156,7 +156,7 @@ def index(items: list[tuple[object, str]]) -> list[Items]:
     table = fold_table(punctuation=True)
     texts = pa.array([text for _, text in items], pa.string())
     groups: dict[int, tuple[list, list]] = {}
-    for first, data, offsets in slices(texts):
+    for first, data, offsets in slices(lowered(texts)):
         words = Words(data, offsets, table)
         for n in range(1, SHINGLE + 1):
             own = np.flatnonzero(words.counts >= n if n == SHINGLE else words.counts == n)
@@ -173,7 +173,7 @@ def index(items: list[tuple[object, str]]) -> list[Items]:
 def found_in(indexes: list[Items], texts: pa.Array) -> Iterator[tuple[int, object, float, int, int]]:
     """(row, item id, similarity, first word, words), the best window of every row and item."""
     table = fold_table(punctuation=True)
-    for first, data, offsets in slices(texts):
+    for first, data, offsets in slices(lowered(texts)):
         words = Words(data, offsets, table)
         best: dict[tuple[int, object], tuple[float, int, int]] = {}
         for items in indexes:
@@ -199,7 +199,7 @@ def blocks(benchmark: DataFrame, per_block: int) -> Iterator[list[tuple[object,
 def contaminated(docs: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words of every row and item it holds.
 
-    Words are lower-cased (A-Z) and free of ASCII punctuation; an item of fewer
+    Words are lower-cased and free of ASCII punctuation; an item of fewer
     than five words is one shingle. Of several windows the most similar counts,
     then the first. Null and empty texts and items, and items without a word,
     match nothing; a null doc_id stays null; repeated rows are reported each;

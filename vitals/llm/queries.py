@@ -8,6 +8,7 @@ from vitals.llm.decontaminate import contaminated
 from vitals.llm.language import identify
 from vitals.llm.near_dedup import near_groups
 from vitals.llm.packing import pack
+from vitals.llm.passages import repeated_passages
 from vitals.llm.quality import quality
 from vitals.llm.secret_scan import digest, find_secrets
 from vitals.llm.shards import shards
@@ -43,6 +44,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("url", "pattern")
 
@@ -55,5 +60,6 @@ QUERIES = {
     "op6_shards": op6_shards,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
+    "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
 }

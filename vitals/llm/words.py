@@ -92,6 +92,15 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case, as Unicode has it; bytes that are no text are replaced."""
+    try:
+        return pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        raw = column.cast(pa.binary()).to_pylist()
+        return pa.array([b if b is None else b.decode("utf-8", "replace").lower() for b in raw], pa.string())
+
+
 class Words:
     """The words of one slice.
 
