@@ -329,3 +329,22 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> DataFrame:
     """``fit`` and ``predict`` on the same rows."""
     return predict(docs, fit(docs, train_rows), penalty)
+
+
+def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs`` whose text has a language; all columns stay as they are.
+
+    A null text and one without a letter have none, and nothing has where no
+    language was learned.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = []
+            for _, data, offsets in slices(batch.column(at)):
+                named += [name != UNKNOWN for name in label(shared.value, data, offsets, penalty)[0]]
+            yield batch.filter(pa.array(named, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

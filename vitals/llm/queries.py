@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vitals.llm.decontaminate import contaminated
+from vitals.llm.html_text import extract
 from vitals.llm.language import identify
 from vitals.llm.near_dedup import near_groups
 from vitals.llm.packing import pack
@@ -16,6 +18,10 @@ from vitals.llm.tables import table
 from vitals.llm.url_filter import judge_urls
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -53,6 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
