@@ -26,9 +26,9 @@ BANDS, BAND = 48, 6
 BUCKETS = BANDS * BAND
 #: Bits of a register: mantissa, and six for the leading zeros.
 MANTISSA = 10
-#: Within a key of more texts, further registers are asked for before all meet.
-MEET_ALL = 64
-SUB_BANDS, SUB_BAND, LEVELS = 24, 4, 3
+#: Texts of a key that are compared with all others go in blocks of so many
+#: texts and so many shingles.
+BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 16
 #: An estimate this far below the threshold (six deviations at BUCKETS
 #: registers) ends a pair; sets smaller than BUCKETS are verified anyway.
 MARGIN = 0.14
@@ -84,16 +84,11 @@ def densified(table: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(table: np.ndarray, sizes: tuple[int, int], seed: int) -> np.ndarray:
-    """[row, band] keys of runs of registers; later seeds take them in another order."""
-    bands, width = sizes
-    order = np.arange(BUCKETS)
-    if seed:
-        order = np.argsort(mix(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(seed << 20)))
-    picked = table[:, order[np.arange(bands * width) % BUCKETS]].astype(np.uint64)
-    parts = picked.reshape(len(table), bands, width)
-    keys = chained([parts[:, :, i] + np.uint64(1) for i in range(width)])
-    return mix(keys + (np.arange(bands, dtype=np.uint64) + np.uint64(seed * 1000 + 1))[None, :] * np.uint64(0x9E3779B97F4A7C15))
+def band_keys(table: np.ndarray) -> np.ndarray:
+    """[row, band] keys of runs of registers."""
+    parts = table.astype(np.uint64).reshape(len(table), BANDS, BAND)
+    keys = chained([parts[:, :, i] + np.uint64(1) for i in range(BAND)])
+    return mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -150,31 +145,24 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
 
 
-def keys_of(sets: DataFrame, level: int) -> DataFrame:
-    """key, id, n: one row per band; with ``key`` among the columns, within that key."""
-    inner = "key" in sets.columns
-    sizes = (BANDS, BAND) if level == 0 else (SUB_BANDS, SUB_BAND)
+def keys_of(sets: DataFrame) -> DataFrame:
+    """key, id, n: one row per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.array([np.frombuffer(r, np.uint16) for r in batch.column("regs").to_pylist()])
-            keys = band_keys(table, sizes, level)
-            if inner:
-                outer = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-                keys = mix(keys ^ mix(outer)[:, None])
+            keys = band_keys(np.array([np.frombuffer(r, np.uint16) for r in batch.column("regs").to_pylist()]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(keys.reshape(-1))),
-                    pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), sizes[0])),
-                    pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), sizes[0])),
+                    pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)),
+                    pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), BANDS)),
                 ],
                 ["key", "id", "n"],
             )
 
-    columns = ["id", "n", "regs", "key"] if inner else ["id", "n", "regs"]
-    return sets.select(*columns).mapInArrow(run, "key long, id long, n long")
+    return sets.select("id", "n", "regs").mapInArrow(run, "key long, id long, n long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -224,6 +212,78 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, similar
     )
 
 
+def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+    """id and its set, as bytes of sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h.tobytes() for h in sets_of(batch.column("text"), n)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return docs.mapInArrow(run, "id long, set binary")
+
+
+def compared(left: list[dict], right: list[dict], similarity: int) -> Iterator[tuple[int, int]]:
+    """(a, b) of two blocks whose sets reach the similarity, components apart."""
+    sets, others = ([np.frombuffer(t["set"], np.uint64) for t in side] for side in (left, right))
+    words = np.unique(np.concatenate(sets))
+    has, other = (np.zeros((len(side), len(words)), dtype=np.float32) for side in (sets, others))
+    for i, h in enumerate(sets):
+        has[i, np.searchsorted(words, h)] = 1
+    for i, h in enumerate(others):
+        at = np.searchsorted(words, h).clip(max=len(words) - 1)
+        other[i, at[words[at] == h]] = 1
+    common = has @ other.T
+    size, other_size = (np.array([len(h) for h in side]) for side in (sets, others))
+    good = 100 * common >= similarity * (size[:, None] + other_size[None, :] - common)
+    good &= np.array([t["component"] for t in left])[:, None] != np.array([t["component"] for t in right])[None, :]
+    for i, j in zip(*np.nonzero(good)):
+        yield left[i]["id"], right[j]["id"]
+
+
+def remaining(met: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
+    """Links (a, b) within a key between texts not yet in one component.
+
+    ``met`` has key, id, n, component. Texts outside the key's largest
+    component meet all texts of the key, as blocks of sets: a row of the join
+    is two blocks, not two texts.
+    """
+    parts = met.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    # the key's largest component, its texts, its shingles
+    keys = (
+        parts.groupBy("key")
+        .agg(
+            F.max(F.struct("c", "component")).alias("largest"),
+            F.count("*").alias("components"),
+            F.sum("c").alias("texts"),
+            F.sum("n").alias("shingles"),
+        )
+        .where("components > 1")
+        .select(
+            "key",
+            F.col("largest.component").alias("main"),
+            F.expr(f"cast(greatest(ceil(texts / {BLOCK_TEXTS}), ceil(shingles / {BLOCK_SHINGLES})) as int)").alias("blocks"),
+        )
+    )
+    rows = landed(met.join(keys, "key"), "unresolved")
+    sets = shingle_sets(texts.join(rows.select("id").distinct(), "id"), n)
+    whole = landed(rows.join(sets, "id").withColumn("block", F.expr("pmod(xxhash64(id), blocks)")), "unresolved-sets")
+    item = F.struct("id", "component", "set")
+    every = whole.groupBy("key", "block").agg(F.collect_list(item).alias("right"))
+    outside = (
+        whole.where("component <> main").groupBy("key", "block").agg(F.collect_list(item).alias("left")).drop("block")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right = (batch.column(c)[row].as_py() for c in ("left", "right"))
+                found = list(zip(*compared(left, right, similarity))) or [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+    return outside.join(every, "key").select("left", "right").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -234,54 +294,40 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     Rows that repeat a doc_id are one document; a null id is linked with
     nothing, has a null component and is kept. Other columns are not read; an
     empty table gives an empty result.
+
+    Of the texts that share a key, each is verified against the one that meets
+    most others; where that leaves more than one component, the texts outside
+    the largest are compared with all. So a key costs little more than its size
+    if its texts are copies of each other, and no link is left out.
     """
     known = landed(sketches(docs, shingle), "sketches")
+    able = known.where("n > 0 and doc_id is not null")
     # equal sets are one from here on
     sets = landed(
-        known.where("n > 0 and doc_id is not null")
-        .groupBy("n", "d1", "d2")
-        .agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")),
-        "sets",
+        able.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "sets"
     )
-    equal = known.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
-    links = equal.join(sets.select("n", "d1", "d2", "id"), ["n", "d1", "d2"]).where("doc_id <> id")
-    links = [landed(links.selectExpr("doc_id a", "id b"), "equal-sets")]
+    equal = able.select("doc_id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "id"), ["n", "d1", "d2"])
+    equal = landed(equal.where("doc_id <> id").selectExpr("doc_id a", "id b"), "equal-sets")
 
-    # sets of fewer than four shingles reach no such similarity unless equal
+    # smaller sets reach the similarity only if equal
     wide = sets.where(f"100 * n >= {similarity} * (n + 1)")
-    source = wide
-    for level in range(LEVELS + 1):
-        keys = keys_of(source, level)
-        shared = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-        met = landed(keys.join(shared, "key"), "met")
-        star = verified(met.where("id <> head").selectExpr("head a", "id b"), wide, docs, shingle, similarity)
-        links.append(landed(star, "star"))
-        # a key all of whose texts are in one component needs no more
-        found = components(union(links[1:]))
-        at = met.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = (
-            at.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low <> high")
-            .select("key")
-        )
-        left = landed(at.join(split, "key"), "unresolved")
-        small = left if level == LEVELS else left.where(f"size <= {MEET_ALL}")
-        others = small.selectExpr("key", "id b", "n n_b", "component other")
-        pairs = (
-            small.select("key", "id", "n", "component")
-            .join(others, "key")
-            .where(f"id < b and component <> other and 100 * least(n, n_b) >= {similarity} * greatest(n, n_b)")
-            .selectExpr("id a", "b")
-        )
-        links.append(landed(verified(pairs, wide, docs, shingle, similarity), "pairs"))
-        if level == LEVELS:
-            break
-        large = left.where(f"size > {MEET_ALL}").select("key", "id")
-        if large.isEmpty():
-            break
-        source = landed(large.join(wide, "id").select("key", "id", "n", "regs"), "large")
-    closed = components(union(links))
+    keys = keys_of(wide)
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = landed(keys.join(shared, "key"), "met")
+    company = met.groupBy("id").agg(F.sum("size").alias("company"))
+    heads = (
+        met.join(company, "id")
+        .groupBy("key")
+        .agg(F.max(F.struct("company", "id")).alias("head"))
+        .selectExpr("key", "head.id head")
+    )
+    star = met.join(heads, "key").where("id <> head").selectExpr("head a", "id b")
+    star = landed(verified(star, wide, docs, shingle, similarity), "star")
+    at = met.join(components(star), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
+    rest = landed(remaining(landed(at, "met-components"), texts, shingle, similarity), "rest")
+
+    closed = components(union([equal, star, rest]))
     return (
         known.select("doc_id", F.col("n").alias("n_shingles"))
         .join(closed.selectExpr("id doc_id", "component component_id"), "doc_id", "left")
