@@ -143,10 +143,11 @@ class Model:
 def best_paths(scores: np.ndarray, row: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
     """The language of every word on its text's best path.
 
-    A text whose best single language cannot be beaten on any run of words by
-    the penalty of one change has that language throughout (found by a largest
-    sum of a run, for all texts at once); the others go through Viterbi, one
-    word of each at a time.
+    A text has its best single language throughout if no other gains half the
+    penalty on any run of words: of k runs in other languages, even without one
+    in the best, k - 1 changes cost at least as much as k such gains. That is
+    found by the largest sum of a run, for all texts at once; the others go
+    through Viterbi, one word of each at a time.
     """
     languages, words = scores.shape
     texts = len(counts)
@@ -167,7 +168,7 @@ def best_paths(scores: np.ndarray, row: np.ndarray, counts: np.ndarray, penalty:
         reach = 2 * (np.abs(total).max() + 1)
         low = np.concatenate(([0.0], total[:-1])) - reach * row
         run = total - (np.minimum.accumulate(low) + reach * row)
-        open_[has] |= np.maximum.reduceat(run, first[has]) > penalty - 1e-6
+        open_[has] |= np.maximum.reduceat(run, first[has]) > penalty / 2 - 1e-6
     todo = np.flatnonzero(open_)
     if not len(todo):
         return path
