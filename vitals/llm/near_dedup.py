@@ -146,7 +146,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
 
 
 def keys_of(sets: DataFrame) -> DataFrame:
-    """key, id, n: one row per band."""
+    """key, id: one row per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,26 +157,20 @@ def keys_of(sets: DataFrame) -> DataFrame:
                 [
                     pa.array(signed(keys.reshape(-1))),
                     pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)),
-                    pa.array(np.repeat(batch.column("n").to_numpy(zero_copy_only=False), BANDS)),
                 ],
-                ["key", "id", "n"],
+                ["key", "id"],
             )
 
-    return sets.select("id", "n", "regs").mapInArrow(run, "key long, id long, n long")
+    return sets.select("id", "regs").mapInArrow(run, "key long, id long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets reach the similarity."""
-    regs = sets.select("id", "n", "regs")
-    met = (
-        pairs.select("a", "b")
-        .distinct()
-        .join(regs.selectExpr("id a", "n n_a", "regs regs_a"), "a")
-        .join(regs.selectExpr("id b", "n n_b", "regs regs_b"), "b")
-        .where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    )
+def verified(pairs: DataFrame, near: DataFrame, n: int, similarity: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets reach the similarity.
+
+    The registers' estimate ends most of the others; the rest is counted.
+    """
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -185,34 +179,28 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, similar
                 for c in ("regs_a", "regs_b")
             )
             n_a, n_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-            good = (estimate(a, b, n_a, n_b) >= similarity / 100 - MARGIN) | (np.minimum(n_a, n_b) < BUCKETS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"]
-            )
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+            likely = (estimate(a, b, n_a, n_b) >= similarity / 100 - MARGIN) | (np.minimum(n_a, n_b) < BUCKETS)
+            batch = batch.filter(pa.array(likely))
             left, right = sets_of(batch.column("text_a"), n), sets_of(batch.column("text_b"), n)
             good = []
             for x, y in zip(left, right):
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= similarity * (len(x) + len(y) - common) and common > 0)
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    left = met.mapInArrow(likely, "a long, b long")
-    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
-    return (
-        left.join(texts.selectExpr("id a", "text text_a"), "a")
-        .join(texts.selectExpr("id b", "text text_b"), "b")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(check, "a long, b long")
+    sides = [near.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "regs", "text")]) for side in "ab"]
+    met = (
+        pairs.select("a", "b")
+        .distinct()
+        .join(sides[0], F.col("a") == F.col("id_a"))
+        .join(sides[1], F.col("b") == F.col("id_b"))
+        .where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
     )
+    return met.drop("id_a", "id_b").mapInArrow(check, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
+def shingle_sets(near: DataFrame, n: int) -> DataFrame:
     """id and its set, as bytes of sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +208,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
             sets = [h.tobytes() for h in sets_of(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return near.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
 def compared(left: list[dict], right: list[dict], similarity: int) -> Iterator[tuple[int, int]]:
@@ -241,7 +229,7 @@ def compared(left: list[dict], right: list[dict], similarity: int) -> Iterator[t
         yield left[i]["id"], right[j]["id"]
 
 
-def remaining(met: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
+def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataFrame:
     """Links (a, b) within a key between texts not yet in one component.
 
     ``met`` has key, id, n, component. Texts outside the key's largest
@@ -266,7 +254,7 @@ def remaining(met: DataFrame, texts: DataFrame, n: int, similarity: int) -> Data
         )
     )
     rows = landed(met.join(keys, "key"), "unresolved")
-    sets = shingle_sets(texts.join(rows.select("id").distinct(), "id"), n)
+    sets = shingle_sets(near.join(rows.select("id").distinct(), "id"), n)
     whole = landed(rows.join(sets, "id").withColumn("block", F.expr("pmod(xxhash64(id), blocks)")), "unresolved-sets")
     item = F.struct("id", "component", "set")
     every = whole.groupBy("key", "block").agg(F.collect_list(item).alias("right"))
@@ -313,7 +301,11 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     wide = sets.where(f"100 * n >= {similarity} * (n + 1)")
     keys = keys_of(wide)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = landed(keys.join(shared, "key"), "met")
+    met = landed(keys.join(landed(shared, "shared"), "key"), "met")
+    # the texts that meet others, once each, and all that is needed of them
+    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
+    near = wide.select("id", "n", "regs").join(met.select("id").distinct(), "id").join(texts, "id")
+    near = landed(near.dropDuplicates(["id", "n", "regs"]), "near")
     company = met.groupBy("id").agg(F.sum("size").alias("company"))
     heads = (
         met.join(company, "id")
@@ -322,10 +314,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
         .selectExpr("key", "head.id head")
     )
     star = met.join(heads, "key").where("id <> head").selectExpr("head a", "id b")
-    star = landed(verified(star, wide, docs, shingle, similarity), "star")
-    at = met.join(components(star), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
-    rest = landed(remaining(landed(at, "met-components"), texts, shingle, similarity), "rest")
+    star = landed(verified(star, near, shingle, similarity), "star")
+    labels = near.select("id", "n").distinct().join(components(star), "id", "left")
+    at = met.join(labels.withColumn("component", F.coalesce("component", "id")), "id")
+    rest = landed(remaining(landed(at, "met-components"), near, shingle, similarity), "rest")
 
     closed = components(union([equal, star, rest]))
     return (
