@@ -32,10 +32,10 @@ from vitals.llm.words import worker_state
 CAPACITY = 2048
 END_OF_TEXT_ID = 0
 #: Rounds of multiplicative weights.
-ROUNDS = 80
-#: How fast prices follow the cover, how much of the demand the rounds may cover
-#: in all, and how far below the best value a configuration may lie.
-RATE, SHARE, SLACK = 0.05, 20.0, 0.02
+ROUNDS = 120
+#: How fast prices follow the cover, which share of a demand one round of the
+#: solution takes, and how far below the best value a configuration may lie.
+RATE, SHARE, SLACK = 0.03, 0.25, 0.01
 #: Texts below this character (Latin, Greek, Cyrillic) go the faster way.
 LAST_COMMON = "\u0530"
 
@@ -159,35 +159,72 @@ def linear_program(
     lengths = np.arange(1, capacity + 1)
     asked = demand > 0
     price = np.where(asked, lengths / capacity, -np.inf)
-    cover = np.zeros(capacity)
-    chosen: dict[Pattern, float] = {}
-    bound = 0.0
+    bound, kept = 0.0, price.copy()
+    over = np.zeros(capacity)
     for _ in range(rounds):
         best, last = knapsack(price, capacity)
         # prices scaled to a best value of 1 are feasible in the dual program
-        bound = max(bound, float((demand[asked] * price[asked]).sum() / best[capacity]))
-        value = np.full(capacity, -np.inf)
-        value[asked] = price[asked] + best[capacity - lengths[asked]]
-        # what this round may still cover of each length
-        room = np.minimum(demand * SHARE / rounds, demand - cover)
-        for at in lengths[np.argsort(-value, kind="stable")] - 1:
-            if value[at] < (1 - SLACK) * best[capacity] or room[at] <= 0:
-                continue
-            counts: dict[int, int] = {int(lengths[at]): 1}
-            for length in filled(last, capacity - int(lengths[at])):
-                counts[length] = counts.get(length, 0) + 1
-            share = min(room[length - 1] / n for length, n in counts.items())
-            if share > 0:
-                pattern = tuple(sorted((k for k, n in counts.items() for _ in range(n)), reverse=True))
-                chosen[pattern] = chosen.get(pattern, 0.0) + share
-                for length, n in counts.items():
-                    room[length - 1] -= share * n
-                    cover[length - 1] += share * n
-        part = np.where(asked, cover / np.maximum(demand, 1), 0.0)
-        price[asked] *= np.exp(RATE * (part[asked].mean() - part[asked]))
+        worth = float((demand[asked] * price[asked]).sum() / best[capacity])
+        if worth > bound:
+            bound, kept = worth, price / best[capacity]
+        wave = sum_of(waves(price, best, last, demand / rounds, SLACK), capacity)
+        over += wave / max(wave.sum(), 1e-9) * demand.sum() / rounds
+        part = np.where(asked, over / np.maximum(demand, 1), 0.0)
+        price[asked] *= np.exp(RATE * np.clip(1 - wave[asked] * rounds / demand[asked] - part[asked] / 4, -1, 1))
+        price[asked] /= price[asked].max()
+    chosen: dict[Pattern, float] = {}
+    rest, price = demand.astype(np.float64), kept
+    for turn in range(rounds // 2):
+        best, last = knapsack(price, capacity)
+        got = waves(price, best, last, np.minimum(demand * SHARE, rest), SLACK * (1 + turn))
+        for pattern, share in got:
+            chosen[pattern] = chosen.get(pattern, 0.0) + share
+        rest = np.maximum(rest - sum_of(got, capacity), 0)
+        price = np.where(rest >= 1, price, -np.inf)  # what is used up is priced no more
+        if not np.isfinite(price).any():
+            break
     return chosen, bound
 
 
+def waves(
+    price: np.ndarray, best: np.ndarray, last: np.ndarray, room: np.ndarray, slack: float
+) -> list[tuple[Pattern, float]]:
+    """Configurations of nearly most value and how often each fits into ``room``.
+
+    For every length the best one that holds it, in order of value.
+    """
+    capacity = len(price)
+    lengths = np.arange(1, capacity + 1)
+    asked = np.isfinite(price)
+    value = np.full(capacity, -np.inf)
+    value[asked] = price[asked] + best[capacity - lengths[asked]]
+    room = room.copy()
+    out = []
+    for at in lengths[np.argsort(-value, kind="stable")] - 1:
+        if value[at] < (1 - slack) * best[capacity]:
+            break
+        if room[at] <= 0:
+            continue
+        counts: dict[int, int] = {int(lengths[at]): 1}
+        for length in filled(last, capacity - int(lengths[at])):
+            counts[length] = counts.get(length, 0) + 1
+        share = min(room[length - 1] / n for length, n in counts.items())
+        if share > 0:
+            out.append((tuple(sorted((k for k, n in counts.items() for _ in range(n)), reverse=True)), share))
+            for length, n in counts.items():
+                room[length - 1] -= share * n
+    return out
+
+
+def sum_of(chosen: list[tuple[Pattern, float]], capacity: int) -> np.ndarray:
+    """How many pieces of each length the configurations hold."""
+    out = np.zeros(capacity)
+    for pattern, share in chosen:
+        for length in pattern:
+            out[length - 1] += share
+    return out
+
+
 def rounded(chosen: dict[Pattern, float], demand: np.ndarray) -> tuple[list[tuple[Pattern, int]], np.ndarray]:
     """Whole counts of the configurations, and what they leave."""
     rest = demand.copy()
