@@ -236,7 +236,7 @@ def test_selected_positions_agree():
 
 def test_passages_awkward(spark):
     got = [(r["doc_id"], r["first_word"], r["n_words"]) for r in R.repeated_passages(awkward(spark)).collect()]
-    assert sorted(got) == [(4, 0, 60), (5, 0, 60)]
+    assert sorted(got) == [(4, 0, 60), (5, 0, 60), (7, 0, 60)]  # the last repeats itself
     assert R.repeated_passages(empty(spark)).count() == 0
 
 

@@ -195,7 +195,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     known = landed(sites(rows, least), "sites")
     repeated = known.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     places = (
-        known.join(repeated, "gram")
+        # landed, so that both sides are dealt out for the join and a hot run is split
+        known.join(landed(repeated, "repeated-runs"), "gram")
         .groupBy("rid")
         .agg(F.array_sort(F.collect_set("at")).alias("places"))  # at most the words of one text
     )
