@@ -220,7 +220,7 @@ FROM ({page("rec", "start_date", 100, HEART_RATE)})""",
     "metric_page_next": f"""WITH {REC} SELECT user_id, start_date, value,
   (position - first)::INTEGER AS position,
   count(*) OVER (PARTITION BY user_id) AS page_count
-FROM (SELECT *, CASE WHEN total >= 7 THEN 7 ELSE 0 END AS first FROM (
+FROM (SELECT *, 7 AS first FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_date) AS position,
     count(*) OVER (PARTITION BY user_id) AS total
   FROM rec WHERE {HEART_RATE} AND start_date BETWEEN '{START}' AND '{END}'))

@@ -1,7 +1,7 @@
 """Daily and whole-range statistics, units and counts."""
 
 import random
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import ROUND_HALF_UP, Decimal, getcontext
 
 import pytest
 
@@ -129,13 +129,27 @@ def test_average_matches_decimal_arithmetic(spark):
     assert found == expected
 
 
-@pytest.mark.parametrize(
-    "values", [[1e13, 3e13], [1 / 3, 1 / 7], [9e12, 1.0], [8e12, 8e12, 8e12]]
-)
-def test_average_beyond_scaled_longs_falls_back_to_doubles(spark, rows, values):
-    records = make(spark, [hr("2024-01-15", value) for value in values])
-    (average,), = rows(metric_daily(records), "avg")
-    assert average == pytest.approx(sum(values) / len(values), abs=0.005)
+@pytest.mark.parametrize("parts", [1, 3, 17])
+def test_average_of_fine_and_large_values_has_one_rule(spark, parts):
+    getcontext().prec = 60
+    generator = random.Random(5)
+    data, expected = [], {}
+    for user in range(40):
+        digits = generator.choice([7, 9, 10, 12])
+        values = [round(generator.uniform(-50, 50), digits) for _ in range(generator.randint(1, 9))]
+        if user % 4 == 0:
+            values += [9e12, 1.0, 8e15, -3e16, 1 / 3]
+        data += [hr("2024-01-15", value, user=str(user)) for value in values]
+        exact = sum(Decimal(repr(v)).quantize(Decimal("1e-12"), ROUND_HALF_UP) for v in values) / len(values)
+        expected[str(user)] = float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP))
+    generator.shuffle(data)
+    found = {r["user_id"]: r["avg"] for r in metric_daily(make(spark, data).repartition(parts)).collect()}
+    assert found == expected
+
+
+def test_average_beyond_all_decimals_is_that_of_doubles(spark, rows):
+    (average,), = rows(metric_daily(make(spark, [hr("2024-01-15", v) for v in (1e300, 3e300)])), "avg")
+    assert average == pytest.approx(2e300)
 
 
 def test_first_unit_is_the_earliest_records(spark, rows):

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitals.functions.cursor import decode_cursor, encode_cursor, read_cursor
-from vitals.operators import latest
 from vitals.operators.jobs import job_status, recent_jobs
 from vitals.operators.latest import dedupe_last, latest_by_key, top_per_group
 from vitals.operators.pages import (
@@ -58,35 +57,30 @@ def test_pages_of_one_user_cover_everything_once_in_order(tied):
     assert found == sorted(tuple(row) for row in everything)
 
 
-def test_pages_of_all_users_follow_their_own_cursors(tied):
+def test_pages_of_all_users_end_by_themselves(tied):
     found, cursors = set(), None
-    for _ in range(12):
+    for _ in range(20):
         page = ask(tied, 7, cursors)
         rows = page.collect()
         if not rows:
             break
         assert not found & {(r["user_id"], r["_pos"]) for r in rows}
         found |= {(r["user_id"], r["_pos"]) for r in rows}
-        pairs = [(r["user_id"], r["next_cursor"]) for r in next_cursor(page, ORDER).collect()]
-        # a user whose page was not full is done
-        done = [(user, "~") for user, cursor in pairs if cursor is None]
-        last = [(user, cursor) for user, cursor in pairs if cursor]
-        if not last:
-            break
+        last = [(r["user_id"], r["next_cursor"]) for r in next_cursor(page, ORDER).collect()]
+        if cursors is not None:
+            named = {user for user, _ in last}
+            last += [(r["user_id"], None) for r in cursors.collect() if r["user_id"] not in named]
         cursors = tied.sparkSession.createDataFrame(last, "user_id STRING, cursor STRING")
-        tied = tied.where(~F.col("user_id").isin([user for user, _ in done]))
-    assert len(found) == 73
+    assert not rows and len(found) == 73
 
 
-def test_many_cursors_are_joined_by_salt(spark, tied, rows, monkeypatch):
+def test_null_empty_and_absent_cursors(spark, tied):
+    users = sorted({r["user_id"] for r in tied.select("user_id").distinct().collect()})
     first = ask(tied, 7)
-    cursors = next_cursor(first, ORDER).withColumnRenamed("next_cursor", "cursor")
-    few = ask(tied, 7, cursors)
-    monkeypatch.setattr(latest, "BROADCAST_ROWS", 1)
-    many = ask(tied, 7, cursors)
-    assert "_salt" in many._jdf.queryExecution().analyzed().toString()
-    columns = ["user_id", "start_date", "_pos", "position", "page_count"]
-    assert rows(few, *columns) == rows(many, *columns) != []
+    kept = {u: {r["_pos"] for r in first.collect() if r["user_id"] == u} for u in users}
+    cursors = spark.createDataFrame([(users[0], None), (users[1], "")], "user_id STRING, cursor STRING")
+    again = ask(tied, 7, cursors).collect()
+    assert {u: {r["_pos"] for r in again if r["user_id"] == u} for u in users} == kept | {users[0]: set()}
 
 
 def test_limit_is_clamped_and_checked(spark, tied):

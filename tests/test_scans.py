@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitals.operators.ecg import ecg_projection, route_projection, row_ordinal
 from vitals.operators.records import map_record_type, project_record
 from vitals.sources.ecg_csv import scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_files, scan_gpx_routes
+from vitals.sources.gpx import scan_gpx_routes
 from vitals.sources.health_xml import ATTRIBUTES, scan_health_xml
 
 PROLOGUE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -142,6 +142,17 @@ def test_record_rows(spark, tmp_path, rows):
     ]
 
 
+def test_all_spellings_of_a_start_tag(spark, tmp_path):
+    (tmp_path / "x.xml").write_text(
+        "<HealthData><Record type='a' value='say \"x\" > y' startDate='1'/><Record\n type=\"b\" value=\"2\"/>"
+        '<Record\ttype="c" value="it\'s" startDate="3"><Record type="d" value="4"/></Record><Record/><Recorder type="e"/>'
+        + "<Workout/>text " * 100_000
+        + '<Record type="f" value="2" sta'
+    )
+    found = {row[0]: (row[2], row[3]) for row in scanned(scan_health_xml(spark, str(tmp_path / "x.xml")))}
+    assert found == {"a": ('say "x" > y', "1"), "b": ("2", ""), "c": ("it's", "3"), "d": ("4", ""), "": ("", "")}
+
+
 MEMBER = "user_id STRING, job_id STRING, member_ordinal INT, member STRING, content BINARY, staged_path STRING"
 
 
@@ -183,6 +194,13 @@ def test_ecg_columns_by_header_name(spark, tmp_path, inline):
     ]
 
 
+def test_ecg_long_fields_and_unreadable_lines(spark, tmp_path, inline):
+    long = "x" * 200_000
+    (tmp_path / "a.csv").write_text(f"Date,Classification\nd1,a\nd2,{long}\nd3\rz,c\nd4,d\n")
+    found = ecg(spark, tmp_path, inline)
+    assert [row[2:4] for row in found] == [("d1", "a"), ("d2", long), ("d4", "d")]
+
+
 def test_ecg_larger_than_one_batch(spark, tmp_path, inline):
     lines = "".join(f"t{n},c\n" for n in range(25_001))
     (tmp_path / "a.csv").write_text("Date,Classification\n" + lines)
@@ -231,19 +249,25 @@ def test_gpx_tracks(spark, tmp_path, inline):
     ))
     (tmp_path / "c.gpx").write_text("<gpx><trk><trkseg><trkpt lat=")
     (tmp_path / "d.gpx").write_text(gpx("<wpt/>"))
-    if inline:
-        scan = scan_gpx_routes(members(spark, tmp_path, inline))
-    else:
-        folder = tmp_path / "staged" / "user_id=u" / "job_id=1"
-        folder.mkdir(parents=True)
-        for path in tmp_path.glob("*.gpx"):
-            (folder / path.name).write_bytes(path.read_bytes())
-        scan = scan_gpx_files(spark, str(tmp_path / "staged"))
+    # one track whole, then broken off; bytes that are no UTF-8; a prefix; nested; another encoding
+    (tmp_path / "e.gpx").write_text(gpx(f"<trk><trkseg>{point(8)}</trkseg></trk>")[:-3])
+    (tmp_path / "f.gpx").write_bytes(gpx("<trk><name>NAME</name></trk>").encode().replace(b"NAME", b"\xff"))
+    (tmp_path / "g.gpx").write_text(
+        '<x:gpx xmlns:x="http://www.topografix.com/GPX/1/1"><x:trk><x:trkseg>'
+        '<x:trkpt lat="9" lon="1"><x:time>t9</x:time></x:trkpt></x:trkseg></x:trk></x:gpx>'
+    )
+    (tmp_path / "h.gpx").write_text(gpx(f"<ext><trk><trkseg>{point(10)}</trkseg></trk></ext>"))
+    latin = '<?xml version="1.0" encoding="ISO-8859-1"?><gpx><trk><trkseg><trkpt lat="é"/></trkseg></trk></gpx>'
+    (tmp_path / "i.gpx").write_bytes(latin.encode("latin-1"))
+    scan = scan_gpx_routes(members(spark, tmp_path, inline))
     found = sorted([tuple(p) for p in r["waypoints"]] for r in scan.collect())
     assert found == [
         [],
         [("1", "-1", "1", "t1"), ("2", "-2", "2", "t2"), ("3", "-3", "3", "t3")],
+        [("10", "-10", "10", "t10")],
         [("5", "", "", ""), ("6", "7", "", "")],
+        [("9", "1", "", "t9")],
+        [("é", "", "", "")],
     ]
 
 

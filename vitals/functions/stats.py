@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE = 1_000_000
-# Below this a scaled value still fits a long.
-LARGEST = 9.0e12
-
-
-def _scaled(value: Column) -> Column:
-    """The value in millionths as a long, if it has at most six decimals."""
-    scaled = F.when(F.abs(value) < LARGEST, F.rint(value * float(SCALE))).cast("long")
-    return F.when(scaled.cast("double") / float(SCALE) == value, scaled)
+# From here on a double has no decimals worth keeping, and twelve would not fit.
+LARGE = 1e15
 
 
 def average(value: Column) -> Column:
-    """Average rounded half up, exact for values of up to six decimals.
+    """Average rounded half up, of the values to twelve decimals.
 
-    Summing doubles makes the second decimal of a tie depend on the order of
-    rows. Sums of longs do not, and keep the aggregate in a fixed-width hash
-    buffer. A group with a finer value, or a sum beyond a long, falls back to
-    the average of doubles.
+    Summing doubles makes the second decimal depend on the order of rows.
+    Decimals do not: every value counts with twelve decimals, or as a whole
+    number from 1e15 on, in sums that are exact in any order. Only a value that
+    no 28 digits hold leaves its group the average of doubles.
     """
-    scaled = _scaled(value)
+    fine = F.when(F.abs(value) < LARGE, value).otherwise(0.0)
+    fine = F.when(value.isNotNull(), fine).cast("decimal(28,12)")
+    whole = F.when(F.abs(value) >= LARGE, value).otherwise(0.0)
+    whole = F.when(value.isNotNull(), whole).try_cast("decimal(28,0)")
     count = F.count(value)
-    total = F.when(F.count(scaled) == count, F.try_sum(scaled))
-    exact = total.cast("decimal(20,0)") / count.cast("decimal(20,0)")
-    exact = (exact / F.lit(SCALE)).cast("decimal(32,12)")
-    return F.coalesce(
-        F.round(exact, 2).cast("double"), F.round(F.avg(value), 2)
+    fits = F.count(whole) == count
+    mean = F.try_add(
+        (F.sum(fine) / count.cast("decimal(12,0)")).cast("decimal(38,12)"),
+        (F.sum(whole) / count.cast("decimal(12,0)")).try_cast("decimal(38,9)").try_cast("decimal(38,12)"),
     )
+    exact = F.round(F.when(fits, mean), 2).cast("double")
+    return F.coalesce(exact, F.round(F.avg(value), 2))
 
 
 STATISTICS = ["avg", "min", "max", "count"]

@@ -70,9 +70,3 @@ def row_ordinal(rows: DataFrame) -> DataFrame:
         .withColumn("ordinal", F.col("_offset") + F.col("row_in_file"))
         .drop("_offset")
     )
-
-
-def name_source(rows: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Sets ``source_file`` to the member's name in the archive."""
-    names = manifest.select(*FILE, F.col("member").alias("source_file"))
-    return rows.drop("source_file").join(names, FILE)

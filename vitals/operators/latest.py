@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 SPLIT_ABOVE = 20
 SALTS = 64
 SALT = "_salt"
-# Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 10_000
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a side has so few rows that it may be broadcast; counted."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def with_salt(df: DataFrame) -> DataFrame:
@@ -25,11 +18,6 @@ def with_salt(df: DataFrame) -> DataFrame:
     return df.withColumn(SALT, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
 
 
-def for_every_salt(df: DataFrame) -> DataFrame:
-    """Repeats the rows for each salt, to meet salted rows in a join."""
-    return df.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
 def _ranked(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 ) -> DataFrame:

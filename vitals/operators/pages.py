@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 
 from vitals.functions.cursor import decode_cursor, encode_cursor, read_cursor
 from vitals.operators.filters import date_range, type_filter, user_scope
-from vitals.operators.latest import (
-    SALT,
-    for_every_salt,
-    is_small,
-    top_per_group,
-    with_salt,
-)
+from vitals.operators.latest import top_per_group
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
 
 
@@ -51,7 +45,9 @@ def page(
 
     ``order`` must identify a row within its user, or rows that tie across a
     page border would be lost. ``cursor`` is one cursor for all rows, or a
-    DataFrame ``(user_id, cursor)``; users without one start at the beginning.
+    DataFrame ``(user_id, cursor)``: a user absent from it, or with an empty
+    text, starts at the beginning; a null cursor, as a last page returns it, is
+    the end, and that user gets nothing.
     Adds ``position`` and ``page_count``.
     """
     default, maximum = limits
@@ -64,24 +60,25 @@ def page(
     if isinstance(cursor, DataFrame):
         types = {name: kind for name, kind in df.dtypes}
         key_schema = ", ".join(f"{name} {types[name]}" for name in order)
-        decoded = cursor.where(F.coalesce("cursor", F.lit("")) != "").select(
-            "user_id", decode_cursor(F.col("cursor"), key_schema).alias("_last")
-        )
+        decoded = cursor.select(
+            "user_id",
+            F.col("cursor").isNull().alias("_ended"),
+            F.nullif("cursor", F.lit("")).alias("_cursor"),
+        ).withColumn("_last", decode_cursor(F.col("_cursor"), key_schema))
         # A text that is no cursor fails the query, as a bad argument does.
         decoded = decoded.withColumn(
             "_last",
-            F.when(F.col(f"_last.{order[0]}").isNotNull(), F.col("_last")).otherwise(
-                F.raise_error(F.lit("Invalid cursor"))
-            ),
-        )
+            F.when(F.col("_cursor").isNull(), None)
+            .when(F.col(f"_last.{order[0]}").isNotNull(), F.col("_last"))
+            .otherwise(F.raise_error(F.lit("Invalid cursor"))),
+        ).drop("_cursor")
         last = [F.col(f"_last.{name}") for name in order]
-        if is_small(cursor):
-            joined = rows.join(F.broadcast(decoded), "user_id", "left")
-        else:
-            # salts spread the rows of a heavy user over many tasks
-            joined = with_salt(rows).join(for_every_salt(decoded), ["user_id", SALT], "left")
+        # adaptive execution broadcasts few cursors and splits a heavy user's rows
+        joined = rows.join(decoded, "user_id", "left")
         rows = (
-            joined.where(F.col("_last").isNull() | _after(order, last)).drop("_last")
+            joined.where(~F.coalesce("_ended", F.lit(False)))
+            .where(F.col("_last").isNull() | _after(order, last))
+            .drop("_last", "_ended")
         )
     else:
         key = read_cursor(cursor, list(order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitals.functions.stats import statistics
 from vitals.functions.text import date_prefix
 from vitals.operators.filters import in_range
-from vitals.operators.latest import cut_by_salt, is_small
+from vitals.operators.latest import cut_by_salt
 from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER
 from vitals.operators.requests import check_requests
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
@@ -24,6 +24,9 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
     one or two years of daily rows, however many rows its user has.
     """
     checked = check_requests(requests, kind).where(F.col("error_code").isNull())
+    if "cursor" in requests.columns:
+        # answers hold first pages; a request for a later one is not given the first
+        checked = checked.where(F.coalesce("cursor", F.lit("")) == "")
     if granularity is not None:
         checked = checked.where(F.col("granularity") == granularity)
     years = F.array_distinct(
@@ -41,13 +44,14 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
 
 
 def _of_requested(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Only the rows of users and types asked for, or else of the types alone.
+    """Only the rows of the users and types asked for.
 
-    Users are filtered on if the requests are counted to be few. The types are
-    at most the queryable ones; on a stored table they prune partitions.
+    The types are at most the queryable ones and prune a stored table's
+    partitions; users and types together meet in a plain semi-join.
     """
-    keys = KEYS if is_small(accepted) else ["record_type"]
-    return rows.join(F.broadcast(accepted.select(*keys).distinct()), keys, "left_semi")
+    types = accepted.select("record_type").distinct()
+    asked = rows.join(F.broadcast(types), "record_type", "left_semi")
+    return asked.join(accepted.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
 def _per_day(rows: DataFrame, *aggregates: Column, time: str = "start_date") -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vitals.operators.counts import ingest_counts
 from vitals.operators.ecg import (
     ecg_projection,
-    name_source,
     route_projection,
     row_ordinal,
 )
@@ -20,7 +19,7 @@ from vitals.operators.records import map_record_type, project_record
 from vitals.schema import ECG, ROUTES, column_names
 from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_files, scan_gpx_routes
+from vitals.sources.gpx import scan_gpx_routes
 from vitals.sources.health_xml import scan_health_xml
 from vitals.streaming.ingest import manifest_path
 
@@ -72,13 +71,8 @@ def staged_ecg(manifest: DataFrame, at: Column) -> DataFrame:
 def staged_routes(
     spark: SparkSession, staging: str, manifest: DataFrame, at: Column
 ) -> DataFrame:
-    """Route rows of a run: of members held as values, and of those held as files."""
-    members = members_of(manifest, "gpx")
-    scan = scan_gpx_routes(members)
-    folder = f"{staging}/kind=gpx"
-    if _present(spark, folder):
-        files = name_source(scan_gpx_files(spark, folder), members)
-        scan = scan.unionByName(files)
+    """Route rows of a run."""
+    scan = scan_gpx_routes(members_of(manifest, "gpx"))
     return row_ordinal(route_projection(scan, at)).select(*column_names(ROUTES))
 
 
@@ -94,6 +88,11 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
         F.col("user_id").isNotNull() & F.col("job_id").isNotNull()
     )
 
+    # of an export that failed validation nothing is stored, not even good members
+    export = ["user_id", "job_id"]
+    valid = checked.where("valid").select(*export)
+    manifest = manifest.join(valid, export, "left_semi")
+
     store.upsert_records(staged_records(spark, staging, moment), root)
     store.upsert_ecg(staged_ecg(manifest, moment), root)
     store.upsert_routes(staged_routes(spark, staging, manifest, moment), root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -50,12 +51,16 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A new, empty path below the folder every executor can reach.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where the
-    setting is absent (local tests) is a temporary folder used.
+    setting is absent on a local master (tests) is a temporary folder used; on
+    any other master that is an error, as executors have folders of their own.
     """
     base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_DIR
     )
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a shared folder on {master}")
         base = tempfile.mkdtemp(prefix="vitals-")
         spark.conf.set(CHECKPOINT_DIR, base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

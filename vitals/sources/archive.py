@@ -7,11 +7,11 @@ member at a time. Neither holds a whole archive or member in memory.
 
 from __future__ import annotations
 
-import shutil
 import zipfile
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -46,6 +46,7 @@ TOO_LARGE = "file exceeds the maximum size"
 NOT_A_ZIP = "not a valid archive"
 NO_XML = "no export XML"
 BAD_MEMBER = "member cannot be read"
+BAD_XML = "XML is not well-formed"
 
 
 def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -125,14 +126,17 @@ def validate_exports(members: DataFrame) -> DataFrame:
         ).alias("refused"),
         F.coalesce(F.bool_or(F.col("kind") == "xml"), F.lit(False)).alias("has_xml"),
         F.coalesce(
-            F.bool_or((F.col("kind") == "xml") & (F.col("reason") == BAD_MEMBER)),
+            F.bool_or((F.col("kind") == "xml") & F.col("reason").isin(BAD_MEMBER, BAD_XML)),
             F.lit(False),
         ).alias("bad_xml"),
+        F.max(
+            F.when((F.col("kind") == "xml") & F.col("reason").isin(BAD_MEMBER, BAD_XML), F.col("reason"))
+        ).alias("xml_reason"),
     )
     reason = (
         F.when(F.col("refused").isNotNull(), F.col("refused"))
         .when(~F.col("has_xml"), NO_XML)
-        .when(F.col("bad_xml"), BAD_MEMBER)
+        .when(F.col("bad_xml"), F.col("xml_reason"))
     )
     step = (
         F.when(F.col("refused") == MALFORMED_KEY, "ParseInput")
@@ -181,6 +185,17 @@ class _OpenArchive:
         self._path = self._source = self._archive = None
 
 
+def _copy(member, out, check: bool) -> None:
+    """Copies in blocks; with ``check``, XML that is not well-formed raises."""
+    parser = expat.ParserCreate() if check else None
+    while block := member.read(COPY_BYTES):
+        if parser:
+            parser.Parse(block, False)
+        out.write(block)
+    if parser:
+        parser.Parse(b"", True)
+
+
 def _unpack(staging: str, inline_bytes: int):
     columns = column_names(UNPACKED)
 
@@ -209,9 +224,11 @@ def _unpack(staging: str, inline_bytes: int):
                                         staging, row.kind, row.user_id, row.job_id, ordinal
                                     )
                                     with StagedFile(target) as out:
-                                        shutil.copyfileobj(member, out, COPY_BYTES)
+                                        _copy(member, out, check=row.kind == "xml")
                         except UNREADABLE:
                             target, content, reason = None, None, BAD_MEMBER
+                        except expat.ExpatError:
+                            target, content, reason = None, None, BAD_XML
                         if row.kind == "xml":
                             parsed_xml = row.path
                     rows.append((*row[:7], reason or row.reason, row.kind, target, content))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,12 +38,15 @@ def _is_utf8(source) -> bool:
 
 
 def _lines(source) -> Iterator[dict]:
-    """Data lines by header name, up to the first that is no CSV."""
+    """Data lines by header name; a line that is no CSV costs that line only."""
+    csv.field_size_limit(sys.maxsize)  # a long field is a field
     reader = csv.DictReader(io.TextIOWrapper(source, encoding="utf-8", newline="\n"))
     while True:
         try:
             yield next(reader)
-        except (StopIteration, csv.Error):
+        except csv.Error:
+            continue
+        except StopIteration:
             return
 
 
@@ -72,7 +76,7 @@ def scan_ecg_csv(members: DataFrame) -> DataFrame:
 
     Columns are found by the names in each file's own header: ``ecg_time`` is
     null where there is no such column or the line is too short. Blank lines
-    are skipped. Files that cannot be decoded are left out; the others go on.
+    are skipped, as are lines the reader refuses. Files that cannot be decoded are left out; the others go on.
     """
     texts = members.where(F.col("content").isNotNull() | F.col("staged_path").isNotNull())
     return texts.select(

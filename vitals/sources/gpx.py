@@ -1,84 +1,105 @@
-"""GPX workout routes: one row per track, waypoints in order."""
+"""GPX workout routes: one row per track, waypoints in order.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-TRACK = (
-    "trkseg ARRAY<STRUCT<trkpt: ARRAY<STRUCT<"
-    "_lat: STRING, _lon: STRING, ele: STRING, time: STRING>>>>"
-)
-OPTIONS = {"ignoreSurroundingSpaces": "false"}
-FILE = ["user_id", "job_id", "member_ordinal", "source_file"]
+Every member, held as a value or as a file, goes through the same streaming
+parser: any encoding its declaration names, any namespace prefix, tracks at any
+depth. A member that is not well-formed has no tracks.
+"""
 
-# Layout of members that became files, see sources.archive.staged_path.
-STAGED_NAME = r"/(\d+)\.gpx$"
+from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.parsers import expat
 
-def _waypoints(segments: Column) -> Column:
-    """All segments of a track joined; what is absent is the empty string."""
-    points = F.flatten(
-        F.filter(F.transform(segments, lambda part: part["trkpt"]), lambda p: p.isNotNull())
-    )
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-    def waypoint(point: Column) -> Column:
-        names = {"lat": "_lat", "lon": "_lon", "ele": "ele", "time": "time"}
-        return F.struct(
-            *(F.coalesce(point[field], F.lit("")).alias(name) for name, field in names.items())
-        )
+from vitals.sources.archive import COPY_BYTES
+from vitals.sources.files import open_input
 
-    return F.coalesce(F.transform(points, waypoint), F.array())
+POINT = ["lat", "lon", "ele", "time"]
+SCANNED = (
+    "user_id STRING, job_id STRING, member_ordinal INT, source_file STRING, track LONG, "
+    f"waypoints ARRAY<STRUCT<{', '.join(f'{name}: STRING' for name in POINT)}>>"
+)
+POINTS = pa.list_(pa.struct([(name, pa.string()) for name in POINT]))
+
+
+def well_formed(source) -> bool:
+    """Reads a document to its end, a block at a time, and back to its start."""
+    parser = expat.ParserCreate()
+    try:
+        while block := source.read(COPY_BYTES):
+            parser.Parse(block, False)
+        parser.Parse(b"", True)
+    except (expat.ExpatError, ValueError, LookupError):
+        # the others are encodings that are unknown or not a code page
+        return False
+    source.seek(0)
+    return True
+
+
+def _name(element) -> str:
+    return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
+
+
+def _named(element, name: str) -> Iterator:
+    return (child for child in element if _name(child) == name)
+
+
+def _text(element, name: str) -> str:
+    found = next(_named(element, name), None)
+    return "" if found is None else found.text or ""
+
+
+def _tracks(source) -> Iterator[list[dict]]:
+    """The waypoints of every track; what is absent is the empty string."""
+    for _, element in ElementTree.iterparse(source):
+        if _name(element) == "trk":
+            yield [
+                {
+                    "lat": point.get("lat", ""),
+                    "lon": point.get("lon", ""),
+                    "ele": _text(point, "ele"),
+                    "time": _text(point, "time"),
+                }
+                for segment in _named(element, "trkseg")
+                for point in _named(segment, "trkpt")
+            ]
+            element.clear()
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            user, job, ordinal, name, content, path = (
+                column[row].as_py() for column in batch.columns
+            )
+            with io.BytesIO(content) if content is not None else open_input(path) as source:
+                if not well_formed(source):
+                    continue
+                for track, points in enumerate(_tracks(source)):
+                    columns = [
+                        pa.array([user], pa.string()),
+                        pa.array([job], pa.string()),
+                        pa.array([ordinal], pa.int32()),
+                        pa.array([name], pa.string()),
+                        pa.array([track], pa.int64()),
+                        pa.array([points], POINTS),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        columns, ["user_id", "job_id", "member_ordinal", "source_file", "track", "waypoints"]
+                    )
 
 
 def scan_gpx_routes(members: DataFrame) -> DataFrame:
     """``(user_id, job_id, member_ordinal, source_file, track, waypoints)``.
 
-    Tracks of unpacked GPX members, numbered within their file. A malformed
-    file has no tracks.
-    """
-    document = F.from_xml(
-        F.decode("content", "UTF-8"), f"trk ARRAY<STRUCT<{_nested(TRACK)}>>", OPTIONS
-    )
-    tracks = members.where(F.col("content").isNotNull()).select(
-        "user_id",
-        "job_id",
-        "member_ordinal",
-        F.col("member").alias("source_file"),
-        F.posexplode(document["trk"]).alias("track", "_track"),
-    )
-    return tracks.select(
-        *FILE,
-        F.col("track").cast("long").alias("track"),
-        _waypoints(F.col("_track.trkseg")).alias("waypoints"),
-    )
-
-
-def scan_gpx_files(spark: SparkSession, path: str) -> DataFrame:
-    """The same for members that became files below ``path``.
-
-    Tracks are read one at a time, not a whole document. The file's own name
-    stands for ``source_file``.
+    Tracks of unpacked GPX members, numbered within their member.
     """
-    tracks = (
-        spark.read.format("xml")
-        .schema(f"{TRACK}, user_id STRING, job_id STRING")
-        .option("rowTag", "trk")
-        .option("mode", "DROPMALFORMED")
-        .options(**OPTIONS)
-        .load(path)
-    )
-    name = F.col("_metadata.file_path")
-    return tracks.select(
-        "user_id",
-        "job_id",
-        F.regexp_extract(name, STAGED_NAME, 1).try_cast("int").alias("member_ordinal"),
-        name.alias("source_file"),
-        F.monotonically_increasing_id().alias("track"),
-        _waypoints(F.col("trkseg")).alias("waypoints"),
-    )
-
-
-def _nested(schema: str) -> str:
-    """A column list as the fields of a struct."""
-    return schema.replace("trkseg ARRAY", "trkseg: ARRAY")
+    held = members.where(F.col("content").isNotNull() | F.col("staged_path").isNotNull())
+    return held.select(
+        "user_id", "job_id", "member_ordinal", "member", "content", "staged_path"
+    ).mapInArrow(_scan, SCANNED)

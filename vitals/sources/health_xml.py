@@ -21,11 +21,12 @@ ATTRIBUTES = {
 ELEMENT = ", ".join(f"{name} STRING" for name in ATTRIBUTES)
 EXPORT_COLUMNS = "user_id STRING, job_id STRING"
 
-# Text of a start tag: up to the first > outside quotes.
-TAG = r'^((?:[^>"]++|"[^"]*+")*+)'
-# Tags spaced in another way than name="value" name="value" need a parser, as do
+# A Record's start tag, up to the first > outside quotes. One that never closes
+# is no record.
+TAG = r"""^Record(?=[\s/>])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+# Tags written in another way than name="value" name="value" need a parser, as do
 # values with entities.
-SPACING = ["\t", "\r", "\n", "  ", " =", "= "]
+SPACING = ["\t", "\r", "\n", "  ", " =", "= ", "='"]
 ENTITY = "&"
 
 
@@ -52,10 +53,10 @@ def scan_health_xml(
     With ``staged``, ``path`` is a folder of unpacked members and the columns
     ``user_id`` and ``job_id`` come from its layout.
 
-    Files are split by size: the text between two ``<Record `` is one row, of
-    which the start tag is kept. Attributes in single quotes, a line break
-    right after ``<Record`` and records in comments need ``splittable=False``,
-    which parses each file as a whole in one task.
+    Files are split by size and cut at every ``<``, which stands nowhere in a
+    value; a piece is a tag and the text behind it, however long the file's
+    parts without records are. Only records in comments need
+    ``splittable=False``, which parses each file as a whole in one task.
     """
     layout = f", {EXPORT_COLUMNS}" if staged else ""
     keys = ["user_id", "job_id"] if staged else []
@@ -76,15 +77,14 @@ def scan_health_xml(
     chunks = (
         spark.read.format("text")
         .schema(f"value STRING{layout}")
-        .option("lineSep", "<Record ")
+        .option("lineSep", "<")
         .load(path)
         .select(*keys, "value", *_position())
-        # the text before the first record starts with markup or is empty
-        .where(F.col("value").rlike(r"^ *[A-Za-z_][\w.:-]* *="))
+        .where(F.col("value").startswith("Record") & F.col("value").rlike(TAG))
     )
     # Quotes cannot occur in a value, so cutting at them puts the names at the
     # first, third ... place and each value behind its name.
-    tag = F.concat(F.lit(" "), F.regexp_extract("value", TAG, 1))
+    tag = F.regexp_extract("value", TAG, 1)
     tags = chunks.withColumn("_tag", tag).withColumn("_parts", F.split("_tag", '"'))
     placed = tags.select(
         "*",
@@ -108,7 +108,7 @@ def scan_health_xml(
         ).alias("_special"),
     )
     parsed = F.from_xml(
-        F.concat(F.lit("<Record "), F.regexp_replace("_tag", r"/\s*$", ""), F.lit("/>")),
+        F.concat(F.lit("<Record"), F.regexp_replace("_tag", r"/\s*$", ""), F.lit("/>")),
         ELEMENT,
         {"attributePrefix": "", "ignoreSurroundingSpaces": "false"},
     )

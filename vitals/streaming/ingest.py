@@ -46,6 +46,7 @@ def ingest_stream(
     return (
         rows.writeStream.format("parquet")
         .option("path", manifest_path(store))
+        .partitionBy("staging")  # a run reads its own folder only
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
