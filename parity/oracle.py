@@ -144,6 +144,29 @@ ROUTE_ROWS = f"""SELECT *, row_number() OVER (PARTITION BY user_id, job_id
 
 ORACLE: dict[str, str] = {
     "metric_daily": DAILY,
+    "metric_daily_fine": f"""WITH {REC} SELECT user_id, record_type, start_date[1:10] AS date,
+  round(sum((v / 1024)::DECIMAL(28,12)) / count(*), 2) AS avg, round(min(v / 1024), 2) AS min,
+  round(max(v / 1024), 2) AS max, count(*) AS "count" FROM rec GROUP BY ALL""",
+    "ecg_page_next": f"""WITH {ECG} SELECT user_id, ecg_time, classification,
+  (position - 5)::INTEGER AS position, count(*) OVER (PARTITION BY user_id) AS page_count
+FROM ({page("ecg", "ecg_time", 10)}) WHERE position > 5""",
+    "workout_page_next": f"""WITH {TRACKS} SELECT user_id, route_time, waypoint_count,
+  (position - 5)::INTEGER AS position, count(*) OVER (PARTITION BY user_id) AS page_count
+FROM ({page("tracks", "route_time", 10)}) WHERE position > 5""",
+    "health_summary_stored": f"""WITH {REC}, {ECG}, {EXPORTS},
+one AS (SELECT user_id, record_type, {stats()}, count(*) AS n FROM rec
+  WHERE start_date BETWEEN '2024-01-13' AND '2024-01-20~' GROUP BY ALL),
+listed AS (SELECT user_id, count(*) AS ecg_count FROM ecg
+  WHERE ecg_time BETWEEN '2024-01-13' AND '2024-01-20~' GROUP BY ALL)
+SELECT u.user_id,
+  {", ".join(f"max(CASE WHEN record_type = '{name}' THEN {part} END) AS {field}_{out}"
+             for field, name in [("heart_rate", "HeartRate"), ("hrv", "HeartRateVariabilitySDNN"),
+                                 ("blood_pressure", "BloodPressureSystolic")]
+             for part, out in [("avg", "avg"), ('"min"', "min"), ('"max"', "max"), ("n", "count")])},
+  coalesce(any_value(ecg_count), 0) AS ecg_count
+FROM (SELECT DISTINCT user_id FROM exports) u LEFT JOIN one ON one.user_id = u.user_id
+LEFT JOIN listed ON listed.user_id = u.user_id GROUP BY u.user_id""",
+    "pending_exports": f"""WITH {EXPORTS} SELECT user_id, job_id FROM exports WHERE job_id = '1'""",
     "metric_daily_range": f"""WITH {REC} SELECT user_id, record_type,
   start_date[1:10] AS date, {stats()}, count(*) AS "count" FROM rec
   WHERE {HEART_RATE} AND start_date BETWEEN '{START}' AND '{END}' GROUP BY ALL""",

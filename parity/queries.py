@@ -21,7 +21,7 @@ from vitals.operators.timeline import timeline
 from vitals.operators.users import normalise_users
 from vitals.plans import ingest
 from vitals.plans.dashboard import answer_daily, answer_ecg, answer_raw, answer_workouts
-from vitals.plans.summary import SUMMARY_METRICS, health_summary
+from vitals.plans.summary import SUMMARY_METRICS, health_summary, health_summary_stored
 from vitals.session import shared_dir
 from vitals.sources import archive, arrivals, store
 from vitals.sources.ecg_csv import scan_ecg_csv
@@ -88,6 +88,12 @@ def metric_daily(spark, sf_dir):
     return metrics.metric_daily(adapter.records(spark, sf_dir))
 
 
+def metric_daily_fine(spark, sf_dir):
+    """Values of up to twelve decimals and more, each the same double in any engine."""
+    fine = adapter.records(spark, sf_dir).withColumn("value_num", F.col("value_num") / 1024)
+    return metrics.metric_daily(fine)
+
+
 def metric_daily_range(spark, sf_dir):
     return metrics.metric_daily(
         adapter.records(spark, sf_dir), ["HeartRate"], START, END, ordered=True
@@ -284,6 +290,22 @@ def ecg_page(spark, sf_dir):
     )
 
 
+def _following(page, rows, order):
+    """The page after the first one of five rows."""
+    cursors = pages.next_cursor(page(rows, START, END, 5), order)
+    return page(rows, START, END, 5, cursors.withColumnRenamed("next_cursor", "cursor"))
+
+
+def ecg_page_next(spark, sf_dir):
+    rows = _following(pages.ecg_page, adapter.ecg(spark, sf_dir), pages.ECG_ORDER)
+    return rows.select("user_id", "ecg_time", "classification", "position", "page_count")
+
+
+def workout_page_next(spark, sf_dir):
+    rows = _following(pages.workout_page, adapter.routes(spark, sf_dir), pages.ROUTE_ORDER)
+    return rows.select("user_id", "route_time", "waypoint_count", "position", "page_count")
+
+
 def workout_page(spark, sf_dir):
     return pages.workout_page(adapter.routes(spark, sf_dir), START, END, 5).select(
         "user_id", "route_time", "waypoint_count", "start_lat", "start_lon",
@@ -477,6 +499,24 @@ def table_records(spark, sf_dir):
     return rows.drop("_ingested", "_blk", "_pos")
 
 
+def summary_stored(spark, sf_dir):
+    """The summary's statistics from the stored tables."""
+    rows = health_summary_stored(spark, stored(spark, sf_dir), AS_OF)
+    fields = [
+        F.col(f"{field}.{part}").alias(f"{field}_{part}")
+        for field in SUMMARY_METRICS
+        for part in ["avg", "min", "max", "count"]
+    ]
+    return rows.select("user_id", *fields, "ecg_count")
+
+
+def pending(spark, sf_dir):
+    """Landed exports without a job row, after the jobs of two thirds were written."""
+    manifest = _manifest(spark, sf_dir)
+    done = job_status(archive.validate_exports(manifest), _at()).where("job_id <> '1'")
+    return ingest.pending_exports(manifest, done)
+
+
 def table_ecg(spark, sf_dir):
     return store.scan_table(spark, stored(spark, sf_dir), "ecg").drop("_ingested")
 
@@ -521,6 +561,11 @@ def status(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "metric_daily": metric_daily,
+    "metric_daily_fine": metric_daily_fine,
+    "ecg_page_next": ecg_page_next,
+    "workout_page_next": workout_page_next,
+    "health_summary_stored": summary_stored,
+    "pending_exports": pending,
     "metric_daily_range": metric_daily_range,
     "metric_summary": metric_summary,
     "first_unit": first_unit,

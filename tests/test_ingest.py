@@ -242,3 +242,50 @@ def test_run_of_rejects_only(spark, tmp_path, rows):
     ingest.normalise(spark, tables, staging, AT)
     assert rows(store.scan_table(spark, tables, "jobs"), "status") == [("FAILED",)]
     assert store.scan_table(spark, tables, "records").count() == 0
+
+
+def test_failed_exports_store_nothing_and_bad_bytes_cost_their_member(spark, tmp_path, rows):
+    root, tables, staging = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "staging")
+    point = '<trk><trkseg><trkpt lat="1" lon="2"><time>2024-01-05</time></trkpt></trkseg></trk>'
+    put(root, "u1/1.zip", {**FULL, "export/workout-routes/bad.gpx": b"<gpx><n>\xff</n></gpx>"})
+    put(root, "u2/1.zip", {k: v for k, v in FULL.items() if not k.endswith("xml")})
+    put(root, "u3/1.zip", {"export.xml": xml((HEART, "2024-01-01", 1))[:-20], "export/workout-routes/r.gpx": f"<gpx>{point}</gpx>"})
+    ingest_stream(spark, str(root), tables, staging, str(tmp_path / "c")).awaitTermination()
+    ingest.normalise(spark, tables, staging, AT)
+    jobs = store.scan_table(spark, tables, "jobs")
+    assert rows(jobs, "user_id", "status", "error_step") == [
+        ("u1", "COMPLETED", None),
+        ("u2", "FAILED", "ValidateFile"),
+        ("u3", "FAILED", "ParallelParsing"),
+    ]
+    for family, n in [("records", 1), ("ecg", 3), ("routes", 1)]:
+        stored = store.scan_table(spark, tables, family)
+        assert rows(stored, "user_id") == [("u1",)] * n
+
+
+def test_only_pending_exports_are_normalised(spark, tmp_path, rows, monkeypatch):
+    root, tables, staging = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "staging")
+    again = datetime(2024, 3, 1)
+
+    def land():
+        ingest_stream(spark, str(root), tables, staging, str(tmp_path / "c")).awaitTermination()
+
+    put(root, "u1/1.zip", FULL)
+    land()
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "write_job_status", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest.normalise(spark, tables, staging, AT)
+    put(root, "u2/2.zip", FULL)
+    land()
+    ingest.normalise(spark, tables, staging, AT)
+    put(root, "u3/3.zip", FULL)
+    land()
+    ingest.normalise(spark, tables, staging, again)
+    jobs = store.scan_table(spark, tables, "jobs", versions=True)
+    assert rows(jobs, "user_id", "updated_at") == [
+        ("u1", "1706745600"), ("u2", "1706745600"), ("u3", "1709251200"),
+    ]
+    versions = store.scan_table(spark, tables, "records", versions=True)
+    assert rows(versions.where("_ingested = 1709251200"), "user_id") == [("u3",)]
+    assert rows(store.scan_table(spark, tables, "records"), "user_id") == [("u1",), ("u2",), ("u3",)]

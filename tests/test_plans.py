@@ -86,3 +86,42 @@ def test_written_files_hold_one_type_and_sorted_users(spark, tables):
     text = spark.read.parquet(store.table_path(tables, "records"))
     files = text.groupBy(F.input_file_name()).agg(F.count_distinct("record_type").alias("n"))
     assert files.where("n > 1").count() == 0
+
+
+def test_time_ranges_read_their_months_only(spark, tables):
+    records = store.scan_table(spark, tables, "records", versions=True, start="2024-01-05", end="2024-01-09")
+    text = plan(metrics.metric_daily(records, ["HeartRate"], "2024-01-05", "2024-01-09"))
+    assert re.search(r"PartitionFilters: \[isnotnull\(record_type#\d+\), .*month#\d+ >= 2024-01", text)
+    assert "GreaterThanOrEqual(start_date,2024-01-05)" in text
+    none = store.scan_table(spark, tables, "records", versions=True, start="2023-01-05", end="2023-12-09")
+    assert none.count() == 0
+    assert len(records.inputFiles()) > 0
+
+
+def test_scratch_data_needs_a_shared_folder_on_a_cluster():
+    from vitals.session import shared_dir
+
+    class Conf:
+        values = {}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Conf(), Context(master)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(master), "x")
+    assert "/x-" in shared_dir(Session("local[2]"), "x")

@@ -23,6 +23,11 @@ def date_prefix(start: Column) -> Column:
     )
 
 
+def month_of(start: Column) -> Column:
+    """The month a time text lies in, or ``other`` for one that starts otherwise."""
+    return F.when(start.rlike(r"^\d{4}-\d{2}"), F.substring(start, 1, 7)).otherwise("other")
+
+
 def parse_number(value: Column) -> Column:
     """A finite decimal number, or null.
 

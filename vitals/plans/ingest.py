@@ -16,7 +16,8 @@ from vitals.operators.ecg import (
 from vitals.operators.jobs import job_status
 from vitals.operators.latest import dedupe_last
 from vitals.operators.records import map_record_type, project_record
-from vitals.schema import ECG, ROUTES, column_names
+from vitals.schema import ECG, JOBS, ROUTES, column_names
+from vitals.session import shared_dir
 from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg_csv
 from vitals.sources.gpx import scan_gpx_routes
@@ -52,9 +53,17 @@ def staged_scan(spark: SparkSession, staging: str) -> DataFrame:
     )
 
 
-def staged_records(spark: SparkSession, staging: str, at: Column) -> DataFrame:
-    """Record rows of a run: tracked types, the last of every key."""
-    scan = map_record_type(staged_scan(spark, staging))
+def staged_records(
+    spark: SparkSession, staging: str, at: Column, exports: DataFrame | None = None
+) -> DataFrame:
+    """Record rows of a run, or of some exports of it: the last of every key.
+
+    ``exports`` prunes the folders that are read, which are laid out by export.
+    """
+    scan = staged_scan(spark, staging)
+    if exports is not None:
+        scan = scan.join(exports, EXPORT, "left_semi")
+    scan = map_record_type(scan)
     return dedupe_last(project_record(scan, F.unix_timestamp(at)))
 
 
@@ -64,7 +73,7 @@ def members_of(manifest: DataFrame, kind: str) -> DataFrame:
 
 def staged_ecg(manifest: DataFrame, at: Column) -> DataFrame:
     """ECG rows of a run."""
-    scan = scan_ecg_csv(members_of(manifest, "ecg"))
+    scan = _once(scan_ecg_csv(members_of(manifest, "ecg")), "ecg-lines")
     return row_ordinal(ecg_projection(scan, at)).select(*column_names(ECG))
 
 
@@ -72,28 +81,51 @@ def staged_routes(
     spark: SparkSession, staging: str, manifest: DataFrame, at: Column
 ) -> DataFrame:
     """Route rows of a run."""
-    scan = scan_gpx_routes(members_of(manifest, "gpx"))
+    scan = _once(scan_gpx_routes(members_of(manifest, "gpx")), "tracks")
     return row_ordinal(route_projection(scan, at)).select(*column_names(ROUTES))
 
 
+EXPORT = ["user_id", "job_id"]
+
+
+def pending_exports(manifest: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Exports that have landed and have no job row yet."""
+    landed = manifest.where(F.col("user_id").isNotNull() & F.col("job_id").isNotNull())
+    return landed.select(*EXPORT).distinct().join(jobs.select(*EXPORT), EXPORT, "left_anti")
+
+
+def _once(df: DataFrame, label: str) -> DataFrame:
+    """Rows written to the shared folder and read again, so that they are parsed once."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> None:
-    """Writes the rows of one landing run to the tables below ``root``.
+    """Writes the rows of a landing run's pending exports to the tables below ``root``.
 
-    Job rows come last. After a failure the run is simply repeated: every write
-    is a put by key, and the newest version wins at read.
+    Job rows come last, so an export is pending until all its rows are stored.
+    After a failure, and after each further batch of the stream, the call is
+    simply repeated: every write is a put by key, and the newest version wins.
     """
     moment = F.lit(at).cast("timestamp")
     manifest = read_manifest(spark, root, staging)
+    if _present(spark, store.table_path(root, "jobs")):
+        jobs = store.scan_table(spark, root, "jobs", versions=True)
+    else:
+        jobs = _empty(spark, JOBS)
+    # unkeyed rows have no job and store nothing
+    pending = _once(pending_exports(manifest, jobs), "pending")
+    manifest = manifest.join(pending, EXPORT, "left_semi")
     checked = archive.validate_exports(manifest).where(
         F.col("user_id").isNotNull() & F.col("job_id").isNotNull()
     )
 
     # of an export that failed validation nothing is stored, not even good members
-    export = ["user_id", "job_id"]
-    valid = checked.where("valid").select(*export)
-    manifest = manifest.join(valid, export, "left_semi")
+    valid = _once(checked.where("valid").select(*EXPORT), "valid")
+    manifest = manifest.join(valid, EXPORT, "left_semi")
 
-    store.upsert_records(staged_records(spark, staging, moment), root)
+    store.upsert_records(staged_records(spark, staging, moment, valid), root)
     store.upsert_ecg(staged_ecg(manifest, moment), root)
     store.upsert_routes(staged_routes(spark, staging, manifest, moment), root)
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitals.functions.stats import STATISTICS, statistics
 from vitals.operators.filters import date_range, type_filter, user_scope
 from vitals.operators.jobs import recent_jobs
 from vitals.schema import SUMMARY_DAYS, SUMMARY_JOBS, column_names
+from vitals.sources.store import scan_table
 
 # Summary field -> measurement type.
 SUMMARY_METRICS = {
@@ -28,6 +29,21 @@ def _rows(df: DataFrame, family: Column, value: Column) -> DataFrame:
     return df.select("user_id", family.alias("family"), value.alias("value"))
 
 
+def health_summary_stored(spark: SparkSession, root: str, as_of: date) -> DataFrame:
+    """The summary of the stored tables, of which only the period is read."""
+    period = {
+        "start": (as_of - timedelta(days=SUMMARY_DAYS)).isoformat(),
+        "end": as_of.isoformat(),
+    }
+    return health_summary(
+        scan_table(spark, root, "records", **period),
+        scan_table(spark, root, "ecg", **period),
+        scan_table(spark, root, "routes", **period),
+        scan_table(spark, root, "jobs"),
+        as_of,
+    )
+
+
 def health_summary(
     records: DataFrame,
     ecg: DataFrame,

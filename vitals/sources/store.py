@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitals.functions.text import month_of
+from vitals.operators.filters import date_range
 from vitals.operators.latest import latest_by_key
 from vitals.schema import TABLES, column_names
 
 
+MONTH = "month"
+TIMES = {"records": "start_date", "ecg": "ecg_time", "routes": "route_time"}
+
+
 def table_path(root: str, family: str) -> str:
     return f"{root.rstrip('/')}/{family}"
 
@@ -18,17 +24,21 @@ def _append(df: DataFrame, root: str, family: str, layout: list[str]) -> None:
 
     Ranges split a heavy type or user over as many files as its rows need, and
     give every row group narrow bounds for the user and time predicates.
+    Records lie in folders by type and month, so that a time range leaves the
+    other months unread.
     """
-    columns = column_names(TABLES[family][0])
-    ranged = df.select(*columns).repartitionByRange(*layout)
+    rows = df.select(*column_names(TABLES[family][0]))
+    if family == "records":
+        rows = rows.withColumn(MONTH, month_of(F.col("start_date")))
+    ranged = rows.repartitionByRange(*layout)
     writer = ranged.sortWithinPartitions(*layout).write.mode("append")
     if family == "records":
-        writer = writer.partitionBy("record_type")
+        writer = writer.partitionBy("record_type", MONTH)
     writer.parquet(table_path(root, family))
 
 
 def upsert_records(records: DataFrame, root: str) -> None:
-    _append(records, root, "records", ["record_type", "user_id", "start_date"])
+    _append(records, root, "records", ["record_type", MONTH, "user_id", "start_date"])
 
 
 def upsert_ecg(ecg: DataFrame, root: str) -> None:
@@ -53,15 +63,24 @@ def scan_table(
     family: str,
     user_id: str | None = None,
     versions: bool = False,
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """A stored family, for all users or one.
 
     By default the newest row per key. ``versions`` returns all appended rows,
     which on a compacted snapshot is the same and needs no shuffle. Filters on
-    key columns put on the result reach the scan either way.
+    key columns put on the result reach the scan either way. ``start`` and
+    ``end`` keep the records of that range of days and read its months only.
     """
     schema, keys, newest = TABLES[family]
-    rows = spark.read.schema(schema).parquet(table_path(root, family))
+    layout = f"{schema}, {MONTH} STRING" if family == "records" else schema
+    rows = spark.read.schema(layout).parquet(table_path(root, family))
+    if start is not None and end is not None:
+        if family == "records":
+            months = F.col(MONTH).between(start[:7], end[:7]) | (F.col(MONTH) == "other")
+            rows = rows.where(months)
+        rows = date_range(rows, TIMES[family], start, end)
     rows = rows.select(*column_names(schema))
     if user_id is not None:
         rows = rows.where(F.col("id" if family == "users" else "user_id") == user_id)
