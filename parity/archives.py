@@ -139,3 +139,61 @@ def render_archives(spark: SparkSession, sf_dir: str) -> str:
         written.write.format("noop").mode("overwrite").save()
         _rendered[key] = root
     return _rendered[key]
+
+
+# --- archives that are not as they should be --------------------------------
+
+HEART, STEPS = "HKQuantityTypeIdentifierHeartRate", "HKQuantityTypeIdentifierStepCount"
+TRACK = '<{0}trk><{0}trkseg><{0}trkpt lat="1" lon="2"><{0}time>2024-01-05</{0}time></{0}trkpt></{0}trkseg></{0}trk>'
+
+
+def _members(user: int) -> dict[str, bytes]:
+    """Members of a user's archive, one fault for each remainder of the id by five."""
+    csv = f"Date,Classification\n2024-01-02,a\n2024-01-03,{'x' * 200_000}\n"
+    xml = (
+        f"<HealthData><Record type='{HEART}' value='{user}' startDate='2024-01-01'/>"
+        f'<Record\n type="{STEPS}" value="2" startDate="2024-01-02"></Record></HealthData>'
+    )
+    names = "export/electrocardiograms/e.csv", "export/workout-routes/r.gpx", "export/export.xml"
+    space = 'xmlns:x="http://www.topografix.com/GPX/1/1"'
+    prefixed = f"<x:gpx {space}>{TRACK.format('x:')}</x:gpx>"
+    if user % 5 == 1:  # no XML
+        return {names[0]: csv.encode(), names[1]: prefixed.encode()}
+    if user % 5 == 2:  # XML that breaks off within a tag
+        return {names[2]: xml[:-40].encode(), names[1]: prefixed.encode()}
+    broken = b"<gpx><name>\xff</name>" + TRACK.format("").encode() + b"</gpx>"
+    return {
+        names[2]: xml.encode(),
+        names[0]: csv.encode(),
+        "export/workout-routes/q.gpx": broken,
+        names[1]: prefixed.encode(),
+    }
+
+
+def _write_faulty(root: str):
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for user in batch["user_id"].tolist():
+                # of remainder 3 the key names no job, of 0 the file is no archive
+                key = f"{user}.zip" if user % 5 == 3 else f"{user}/{user % 5}.zip"
+                with StagedFile(f"{root}/exports/{key}") as target:
+                    if user % 5 == 0:
+                        target.write(b"not an archive")
+                        continue
+                    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+                        for name, content in _members(user).items():
+                            archive.writestr(name, content)
+            yield batch
+
+    return write
+
+
+def render_faulty(spark: SparkSession, sf_dir: str) -> str:
+    """Root folder with one archive of every user of the events, most of them faulty."""
+    key = (spark.sparkContext.applicationId, f"faulty {sf_dir}")
+    if key not in _rendered:
+        root = shared_dir(spark, "faulty")
+        users = table(spark, sf_dir, "events").select("user_id").distinct()
+        users.mapInPandas(_write_faulty(root), "user_id LONG").write.format("noop").mode("overwrite").save()
+        _rendered[key] = root
+    return _rendered[key]

@@ -69,6 +69,10 @@ def stats(condition: str = "true", prefix: str = "") -> str:
       min(v) {rows} AS "{prefix}min", max(v) {rows} AS "{prefix}max" """
 
 
+# one archive of every user, with the fault of its remainder
+FAULTY = """faulty AS (SELECT DISTINCT user_id, user_id % 5 AS k FROM events)"""
+
+
 def page(table: str, time: str, limit: int, where: str = "true") -> str:
     return f"""
   SELECT *, count(*) OVER (PARTITION BY user_id) AS page_count FROM (
@@ -166,6 +170,20 @@ SELECT u.user_id,
   coalesce(any_value(ecg_count), 0) AS ecg_count
 FROM (SELECT DISTINCT user_id FROM exports) u LEFT JOIN one ON one.user_id = u.user_id
 LEFT JOIN listed ON listed.user_id = u.user_id GROUP BY u.user_id""",
+    "faulty_exports": f"""WITH {FAULTY}
+SELECT CASE WHEN k <> 3 THEN user_id::VARCHAR END AS user_id, CASE WHEN k <> 3 THEN k::VARCHAR END AS job_id,
+  [0, 2, 2, 0, 4][k + 1]::BIGINT AS file_count, k = 4 AS valid,
+  ['not a valid archive', 'no export XML', 'XML is not well-formed', 'malformed key', NULL][k + 1] AS reason,
+  ['ValidateFile', 'ValidateFile', 'ParallelParsing', 'ParseInput', NULL][k + 1] AS error_step
+FROM faulty""",
+    "faulty_jobs": f"""WITH {FAULTY}
+SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id,
+  CASE k WHEN 4 THEN 'COMPLETED' ELSE 'FAILED' END AS status, '1706745600' AS updated_at,
+  ['ValidateFile', 'ValidateFile', 'ParallelParsing', NULL, NULL][k + 1] AS error_step
+FROM faulty WHERE k <> 3""",
+    "faulty_rows": f"""WITH {FAULTY}
+SELECT user_id::VARCHAR AS user_id, family, n::BIGINT AS "rows"
+FROM faulty, (VALUES ('records', 2), ('ecg', 2), ('routes', 1)) AS stored(family, n) WHERE k = 4""",
     "pending_exports": f"""WITH {EXPORTS} SELECT user_id, job_id FROM exports WHERE job_id = '1'""",
     "metric_daily_range": f"""WITH {REC} SELECT user_id, record_type,
   start_date[1:10] AS date, {stats()}, count(*) AS "count" FROM rec

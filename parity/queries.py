@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parity import adapter
-from parity.archives import render_archives
+from parity.archives import render_archives, render_faulty
 from vitals.functions.cursor import decode_cursor, encode_cursor
 from vitals.functions.text import parse_number
 from vitals.operators import filters, latest, metrics, pages
@@ -517,6 +517,42 @@ def pending(spark, sf_dir):
     return ingest.pending_exports(manifest, done)
 
 
+def _faulty(spark, sf_dir):
+    """Store and staging folder of the faulty archives, landed and normalised once."""
+    key = (spark.sparkContext.applicationId, f"faulty {sf_dir}")
+    if key not in _landed:
+        root = render_faulty(spark, sf_dir)
+        tables, staging = shared_dir(spark, "store"), shared_dir(spark, "staging")
+        ingest_stream(spark, root, tables, staging, shared_dir(spark, "landing")).awaitTermination()
+        ingest.normalise(spark, tables, staging, AT)
+        _landed[key] = tables, staging
+    return _landed[key]
+
+
+def faulty_exports(spark, sf_dir):
+    """What is wrong with each of the faulty archives."""
+    manifest = ingest.read_manifest(spark, *_faulty(spark, sf_dir))
+    return archive.validate_exports(manifest).drop("path", "length")
+
+
+def faulty_jobs(spark, sf_dir):
+    """How the ingestion of the faulty archives ended."""
+    return store.scan_table(spark, _faulty(spark, sf_dir)[0], "jobs")
+
+
+def faulty_rows(spark, sf_dir):
+    """What is stored of the faulty archives."""
+    tables, _ = _faulty(spark, sf_dir)
+    count = F.count("*").alias("rows")
+    parts = [
+        store.scan_table(spark, tables, family)
+        .groupBy("user_id", F.lit(family).alias("family"))
+        .agg(count)
+        for family in ["records", "ecg", "routes"]
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def table_ecg(spark, sf_dir):
     return store.scan_table(spark, stored(spark, sf_dir), "ecg").drop("_ingested")
 
@@ -566,6 +602,9 @@ QUERIES: dict[str, Query] = {
     "workout_page_next": workout_page_next,
     "health_summary_stored": summary_stored,
     "pending_exports": pending,
+    "faulty_exports": faulty_exports,
+    "faulty_jobs": faulty_jobs,
+    "faulty_rows": faulty_rows,
     "metric_daily_range": metric_daily_range,
     "metric_summary": metric_summary,
     "first_unit": first_unit,
