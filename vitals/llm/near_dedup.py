@@ -29,6 +29,8 @@ MANTISSA = 10
 #: Texts of a key that are compared with all others go in blocks of so many
 #: texts and so many shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 16
+#: Pairs whose sets a task holds at once.
+PAIRS = 500
 #: An estimate this far below the threshold (six deviations at BUCKETS
 #: registers) ends a pair; sets smaller than BUCKETS are verified anyway.
 MARGIN = 0.14
@@ -171,9 +173,8 @@ def verified(pairs: DataFrame, near: DataFrame, n: int, similarity: int) -> Data
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        # few pairs at once: their sets are held together
+        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
             a, b = (
                 np.array([np.frombuffer(r, np.uint16) for r in batch.column(c).to_pylist()])
                 for c in ("regs_a", "regs_b")

@@ -15,6 +15,8 @@ solution is rounded down; the rest is packed best-fit by decreasing length.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -48,24 +50,30 @@ Pattern = tuple[int, ...]
 class Tokens:
     """Ids of texts in the byte-level vocabulary, as little-endian 32-bit bytes.
 
-    ``exact`` reads the vocabulary itself. ``ranked`` reads the same vocabulary
-    as ranks and gives the same ids at a quarter of the time; it takes texts
-    without a special token in letters that every version of the character
-    tables knows alike.
+    ``exact`` reads the vocabulary itself, when a text first needs it.
+    ``ranked`` reads the same vocabulary as ranks and gives the same ids at a
+    quarter of the time; it takes texts without a special token in letters that
+    every version of the character tables knows alike.
     """
 
     def __init__(self, vocabulary: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.special = [token.content for token in self.exact.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as file:
+            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
         with open(vocabulary.removesuffix(".json") + ".tiktoken", "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranked = tiktoken.Encoding(
             "ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
 
+    @functools.cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def of(self, text: str) -> bytes:
         if (text.isascii() or max(text) < LAST_COMMON) and not any(s in text for s in self.special):
             ids = self.ranked.encode_ordinary(text)
