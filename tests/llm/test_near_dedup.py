@@ -86,3 +86,15 @@ def test_components_of_a_path_and_a_star(spark, rows):
         [(i, 1) for i in range(1, 41)] + [(i, 100) for i in range(100, 160)], key=repr
     )
     assert components(edges.limit(0)).count() == 0
+
+
+def test_a_sieve_keeps_every_row_that_is_meant(spark):
+    from vitals.llm.tables import sieved
+
+    rows = spark.range(20_000).selectExpr("if(id % 17 = 0, null, id) id", "cast(id as string) text")
+    ids = spark.range(0, 20_000, 7).unionByName(spark.sql("select cast(null as bigint) id"))
+    kept = sieved(rows, ids, "id")
+    assert kept.columns == rows.columns
+    assert kept.join(ids, "id").count() == rows.join(ids, "id").count()
+    assert kept.count() < 4_000 + 20_000 // 17
+    assert sieved(rows, ids.limit(0), "id").count() == 0

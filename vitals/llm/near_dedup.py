@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.llm.components import components
-from vitals.llm.tables import landed
+from vitals.llm.tables import landed, sieved
 from vitals.llm.words import Words, chained, distinct, fold_table, mix, signed, slices, worker_state
 
 SIMILARITY = 80  # per cent of the union
@@ -305,7 +305,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     met = landed(keys.join(landed(shared, "shared"), "key"), "met")
     # the texts that meet others, once each, and all that is needed of them
     texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
-    near = wide.select("id", "n", "regs").join(met.select("id").distinct(), "id").join(texts, "id")
+    involved = landed(met.select("id").distinct(), "involved")
+    near = (
+        sieved(wide.select("id", "n", "regs"), involved, "id")
+        .join(involved, "id")
+        .join(sieved(texts, involved, "id"), "id")
+    )
     near = landed(near.dropDuplicates(["id", "n", "regs"]), "near")
     company = met.groupBy("id").agg(F.sum("size").alias("company"))
     heads = (

@@ -26,3 +26,27 @@ def landed(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+SIEVE_BITS = 24
+
+
+def sieved(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among that of ``ids``, before they are shuffled.
+
+    A bitmap of hashed ids, broadcast as at most 2**18 words of 64 bits however
+    many ids there are. A row that is among them always passes; of the others
+    the fewer do, the fewer ids there are. A join with ``ids`` has to follow.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(1 << SIEVE_BITS))
+    word, bit = F.expr("_place div 64").alias("_word"), F.expr("cast(_place % 64 as int)").alias("_bit")
+    words = (
+        ids.select(place.alias("_place"))
+        .select(word, bit)
+        .groupBy("_word")
+        .agg(F.expr("bit_or(shiftleft(cast(1 as bigint), _bit))").alias("_bits"))
+    )
+    placed = rows.select("*", place.alias("_place")).select("*", word, bit).drop("_place")
+    return (
+        placed.join(F.broadcast(words), "_word").where("getbit(_bits, _bit) = 1").drop("_word", "_bit", "_bits")
+    )
