@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.tables import landed
+from vitals.llm.tables import landed, sieved
 from vitals.llm.words import Words, chained, exact_table, mix, signed, slices
 
 MIN_WORDS = 50
@@ -200,7 +200,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         .groupBy("rid")
         .agg(F.array_sort(F.collect_set("at")).alias("places"))  # at most the words of one text
     )
-    chosen = landed(rows.join(places, "rid"), "chosen")
+    places = landed(places, "places")
+    chosen = landed(sieved(rows, places, "rid").join(places, "rid"), "chosen")
     around = contexts(chosen, least)
     found = neighbours(around, ["after", "before", "rid", "at"], least).unionByName(
         neighbours(around, ["before", "after", "rid", "at"], least)
