@@ -60,7 +60,11 @@ def first_unit(
     end: str | None = None,
     user_id: str | None = None,
 ) -> DataFrame:
-    """Unit of the earliest record in the range."""
+    """Unit of the earliest record in the range.
+
+    A start occurs once per user and type, as in a stored table; where it does
+    not, the smallest unit of the earliest start counts.
+    """
     scoped = metric_scope(records, record_types, start, end, user_id)
     earliest = F.struct("start_date", "unit")
     return (

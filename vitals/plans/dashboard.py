@@ -43,14 +43,23 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
     )
 
 
-def _of_requested(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Only the rows of the users and types asked for.
+def _of_requested(
+    rows: DataFrame, accepted: DataFrame, time: str = "start_date"
+) -> DataFrame:
+    """Only the rows of the users, types and times asked for.
 
-    The types are at most the queryable ones and prune a stored table's
-    partitions; users and types together meet in a plain semi-join.
+    The types, at most the queryable ones, prune a stored table's partitions
+    and bring the span of their requests, so that other rows end at the scan;
+    users and types together meet in a plain semi-join.
     """
-    types = accepted.select("record_type").distinct()
-    asked = rows.join(F.broadcast(types), "record_type", "left_semi")
+    spans = accepted.groupBy("record_type").agg(
+        F.min("start").alias("_first"), F.max("end").alias("_last")
+    )
+    asked = (
+        rows.join(F.broadcast(spans), "record_type")
+        .where(in_range(time, F.col("_first"), F.col("_last")))
+        .drop("_first", "_last")
+    )
     return asked.join(accepted.select(*KEYS).distinct(), KEYS, "left_semi")
 
 
@@ -73,7 +82,8 @@ def answer_daily(requests: DataFrame, records: DataFrame) -> DataFrame:
 
     Records are reduced to one row per user, type and day before they meet the
     requests. The unit is that of the first record in the range, whether or not
-    it holds a number; days without numbers are absent.
+    it holds a number; days without numbers are absent. A start occurs once per
+    user and type, as in a stored table; of several the smallest unit counts.
     """
     accepted = _accepted(requests, "metrics", "daily")
     days = _per_day(
@@ -103,7 +113,7 @@ def _answer_pages(
     rows than its limit plus that number, and pages need no sort of their own.
     """
     time, columns = order[0], [F.col(name) for name in order]
-    rows = _of_requested(rows, accepted)
+    rows = _of_requested(rows, accepted, time)
     before = (
         Window.partitionBy("request_id")
         .orderBy("date")
