@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitals.functions.text import month_of
@@ -11,7 +11,6 @@ from vitals.operators.latest import latest_by_key
 from vitals.schema import TABLES, column_names
 
 
-MONTH = "month"
 TIMES = {"records": "start_date", "ecg": "ecg_time", "routes": "route_time"}
 
 
@@ -19,34 +18,35 @@ def table_path(root: str, family: str) -> str:
     return f"{root.rstrip('/')}/{family}"
 
 
-def _append(df: DataFrame, root: str, family: str, layout: list[str]) -> None:
+def _month(family: str) -> Column:
+    return month_of(F.col(TIMES[family]))
+
+
+def _append(df: DataFrame, root: str, family: str, layout: list[str | Column]) -> None:
     """Appends versions of rows, ranged and sorted by ``layout``.
 
-    Ranges split a heavy type or user over as many files as its rows need, and
-    give every row group narrow bounds for the user and time predicates.
-    Records lie in folders by type and month, so that a time range leaves the
-    other months unread.
+    Ranges split a heavy type or user over as many files as its rows need.
+    Where the layout starts with a month, files and row groups span few months
+    and, within one, few users: their bounds let a time range or a user leave
+    the others unread, without a folder and a small file per month and run.
     """
-    rows = df.select(*column_names(TABLES[family][0]))
-    if family == "records":
-        rows = rows.withColumn(MONTH, month_of(F.col("start_date")))
-    ranged = rows.repartitionByRange(*layout)
+    ranged = df.select(*column_names(TABLES[family][0])).repartitionByRange(*layout)
     writer = ranged.sortWithinPartitions(*layout).write.mode("append")
     if family == "records":
-        writer = writer.partitionBy("record_type", MONTH)
+        writer = writer.partitionBy("record_type")
     writer.parquet(table_path(root, family))
 
 
 def upsert_records(records: DataFrame, root: str) -> None:
-    _append(records, root, "records", ["record_type", MONTH, "user_id", "start_date"])
+    _append(records, root, "records", ["record_type", _month("records"), "user_id", "start_date"])
 
 
 def upsert_ecg(ecg: DataFrame, root: str) -> None:
-    _append(ecg, root, "ecg", ["user_id", "ecg_time", "ordinal"])
+    _append(ecg, root, "ecg", [_month("ecg"), "user_id", "ecg_time", "ordinal"])
 
 
 def upsert_routes(routes: DataFrame, root: str) -> None:
-    _append(routes, root, "routes", ["user_id", "route_time", "ordinal"])
+    _append(routes, root, "routes", [_month("routes"), "user_id", "route_time", "ordinal"])
 
 
 def write_job_status(jobs: DataFrame, root: str) -> None:
@@ -71,17 +71,13 @@ def scan_table(
     By default the newest row per key. ``versions`` returns all appended rows,
     which on a compacted snapshot is the same and needs no shuffle. Filters on
     key columns put on the result reach the scan either way. ``start`` and
-    ``end`` keep the records of that range of days and read its months only.
+    ``end`` keep the rows of that range of days.
     """
     schema, keys, newest = TABLES[family]
-    layout = f"{schema}, {MONTH} STRING" if family == "records" else schema
-    rows = spark.read.schema(layout).parquet(table_path(root, family))
+    rows = spark.read.schema(schema).parquet(table_path(root, family))
+    rows = rows.select(*column_names(schema))
     if start is not None and end is not None:
-        if family == "records":
-            months = F.col(MONTH).between(start[:7], end[:7]) | (F.col(MONTH) == "other")
-            rows = rows.where(months)
         rows = date_range(rows, TIMES[family], start, end)
-    rows = rows.select(*column_names(schema))
     if user_id is not None:
         rows = rows.where(F.col("id" if family == "users" else "user_id") == user_id)
     return rows if versions else latest_by_key(rows, keys, newest)
