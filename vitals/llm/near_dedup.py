@@ -289,13 +289,18 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     the largest are compared with all. So a key costs little more than its size
     if its texts are copies of each other, and no link is left out.
     """
-    known = landed(sketches(docs, shingle), "sketches")
-    able = known.where("n > 0 and doc_id is not null")
+    # worked out twice, as writing the registers of all rows costs more than hashing again
+    sketched = sketches(docs, shingle)
+    able = "n > 0 and doc_id is not null"
+    known = landed(sketched.drop("regs"), "sketches")
     # equal sets are one from here on
     sets = landed(
-        able.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")), "sets"
+        sketched.where(able)
+        .groupBy("n", "d1", "d2")
+        .agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")),
+        "sets",
     )
-    equal = able.select("doc_id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "id"), ["n", "d1", "d2"])
+    equal = known.where(able).join(sets.select("n", "d1", "d2", "id"), ["n", "d1", "d2"])
     equal = landed(equal.where("doc_id <> id").selectExpr("doc_id a", "id b"), "equal-sets")
 
     # smaller sets reach the similarity only if equal
