@@ -2,7 +2,6 @@
 
 from datetime import date
 
-import pytest
 
 from vitals.operators.timeline import timeline
 from vitals.operators.users import latest_users, normalise_users
