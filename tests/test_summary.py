@@ -2,7 +2,6 @@
 
 from datetime import date
 
-
 from vitals.operators.timeline import timeline
 from vitals.operators.users import latest_users, normalise_users
 from vitals.plans.dashboard import answer_daily, answer_raw
