@@ -221,6 +221,25 @@ def test_passages_by_hand(spark):
     assert got == passages_by_hand(docs, 50)
 
 
+def test_passages_between_half_matches_by_hand(spark):
+    """Neighbours in one order share the right part only, in the other the left part only."""
+    r = random.Random(3)
+    lines = [words(9500 + i, 20) for i in range(30)]
+    docs = [(d, " ".join(w for i in r.choices(range(30), k=r.randint(3, 6)) for w in lines[i])) for d in range(300)]
+    docs += [docs[0], (None, docs[1][1])]
+    for i in range(40):
+        passage = words(20_000 + i, 55)
+        for j in range(2):
+            d = 1000 + 10 * i + 5 * j
+            ahead, behind = words(30_000 + d, 12), words(40_000 + d, 12)
+            docs.append((d, " ".join(ahead + passage + behind)))
+            docs.append((d + 1, " ".join(words(50_000 + d, 30) + passage[18:] + behind + words(60_000 + d, 30))))
+            docs.append((d + 2, " ".join(words(70_000 + d, 30) + ahead + passage[:37] + words(80_000 + d, 30))))
+    found = R.repeated_passages(documents(spark, docs).repartition(3)).collect()
+    got = {(x["doc_id"], p) for x in found for p in range(x["first_word"], x["first_word"] + x["n_words"])}
+    assert got == passages_by_hand(docs, 50)
+
+
 def test_selected_positions_agree():
     from vitals.llm.words import Words, exact_table, slices
 

@@ -4,8 +4,9 @@ Only suffixes at content-selected positions are kept: of every 43 consecutive
 runs of eight words the one with the smallest hash, so that any 50 equal words
 hold one such position in common. Suffixes whose run occurs once are dropped.
 The rest are sorted by what follows and, in a second order, by what precedes;
-neighbours are compared and the match is extended to both sides. Spans of one
-document that touch become one.
+neighbours are compared and the match is extended to both sides. Windows that
+their neighbours leave uncovered, as these share one side only, are counted by
+hash. Spans of one document that touch become one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.llm.tables import landed, sieved
-from vitals.llm.words import Words, chained, exact_table, mix, signed, slices
+from vitals.llm.words import Words, chained, exact_table, mix, powers, signed, slices
 
 MIN_WORDS = 50
 RUN = 8
@@ -26,14 +27,13 @@ RUN = 8
 PLACE_BITS = 24
 
 
-def selected(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word within the row, hash) of the runs selected in a slice."""
+def picked(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of a slice; per window of ``least`` words the run selected, -1 across texts."""
     w, row = words.hashes, words.row
     count = len(w) - run + 1
     window = least - run + 1
-    none = np.zeros(0, dtype=np.int64)
     if len(w) < least:
-        return none, none, np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     h = chained([w[j : j + count] for j in range(run)])
     if count >= 1 << PLACE_BITS:
         raise ValueError("a text of more than 16 million words")
@@ -46,9 +46,18 @@ def selected(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray
     if span < window:
         lowest = np.minimum(lowest[: len(lowest) - (window - span)], lowest[window - span :])
     whole = row[: len(lowest)] == row[least - 1 :]
-    at = np.unique((lowest[whole] & low).astype(np.int64))
-    first = np.concatenate(([0], np.cumsum(words.counts)[:-1]))
-    return row[at], at - first[row[at]], h[at]
+    return h, np.where(whole, (lowest & low).astype(np.int64), -1)
+
+
+def selected(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word within the row, hash) of the runs selected in a slice."""
+    h, pick = picked(words, run, least)
+    at = np.unique(pick[pick >= 0])
+    return words.row[at], at - row_starts(words)[words.row[at]], h[at]
+
+
+def row_starts(words: Words) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(words.counts)[:-1])).astype(np.int64)
 
 
 def sites(rows: DataFrame, least: int) -> DataFrame:
@@ -180,6 +189,139 @@ def neighbours(rows: DataFrame, order: list[str], least: int) -> DataFrame:
     return spans.select("rid", "doc_id", "first", "last")
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """rid, doc_id, spans: the spans of every row in order, those that touch made one."""
+    of_row = found.groupBy("rid").agg(
+        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")
+    )
+    # one pass over a document's spans in order: a span that touches the one before extends it
+    joined = F.expr(
+        "aggregate(spans, cast(array() as array<struct<first: int, last: int>>), (done, s) -> "
+        "if(size(done) > 0 and s.first <= element_at(done, -1).last, "
+        "concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, "
+        "'last', greatest(element_at(done, -1).last, s.last)))), concat(done, array(s))))"
+    )
+    return of_row.select("rid", "doc_id", joined.alias("spans"))
+
+
+class SpanHashes:
+    """Hashes of any runs of words of a slice, from one pass over its words."""
+
+    def __init__(self, words: Words):
+        up, self.down = powers(len(words.hashes) + 1)
+        self.sums = np.zeros(len(words.hashes) + 1, dtype=np.uint64)
+        np.cumsum(words.hashes * up[: len(words.hashes)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, n: int) -> np.ndarray:
+        return mix((self.sums[start + n] - self.sums[start]) * self.down[start] + np.uint64(n))
+
+
+def halves(chosen: DataFrame, least: int) -> DataFrame:
+    """key, rid, lo, hi: windows that a site selects, from ``lo`` to ``hi``, in two parts.
+
+    Those with half the other words or more before the run share as many words
+    before it, the rest as many after it; ``key`` is a hash of these and the run.
+    """
+    half = (least - RUN) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = exact_table()
+        for batch in batches:
+            rid = batch.column("rid").to_numpy(zero_copy_only=False)
+            places = batch.column("places")
+            for first, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets, table)
+                begin, own = row_starts(words), places.slice(first, len(offsets) - 1)
+                site = np.zeros(len(words.hashes) + 1, dtype=bool)
+                lengths = own.value_lengths().to_numpy(zero_copy_only=False)
+                site[np.repeat(begin, lengths) + own.flatten().to_numpy(zero_copy_only=False)] = True
+                _, pick = picked(words, RUN, least)
+                at = np.flatnonzero((pick >= 0) & site[pick])
+                left = pick[at] - at >= half
+                part = pick[at] * 2 + left
+                edge = np.flatnonzero(part[1:] != part[:-1]) + 1 if len(at) else np.zeros(0, np.int64)
+                one = np.concatenate(([0], edge))[: len(at)]
+                end = np.concatenate((edge, [len(at)]))[: len(at)] - 1
+                lo, hi, left = at[one], at[end], left[one]
+                start = np.where(left, pick[lo] - half, pick[lo])
+                key = SpanHashes(words).of(start, half + RUN) ^ left.astype(np.uint64)
+                row = words.row[lo]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(key)),
+                        pa.array(rid[first + row]),
+                        pa.array((lo - begin[row]).astype(np.int32)),
+                        pa.array((hi - begin[row]).astype(np.int32)),
+                    ],
+                    ["key", "rid", "lo", "hi"],
+                )
+
+    return chosen.select("rid", "text", "places").mapInArrow(run, "key long, rid long, lo int, hi int")
+
+
+def windows(asked: DataFrame, least: int) -> DataFrame:
+    """window, rid, doc_id, first, open: the hash of every window in the ranges of a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = exact_table()
+        for batch in batches:
+            for row, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets, table)
+                own = batch.column("ranges").slice(row, len(offsets) - 1)
+                owner = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+                lo, hi, opened = (own.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "open"))
+                n = hi.astype(np.int64) - lo + 1
+                first = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                owner, opened = np.repeat(owner, n), np.repeat(opened, n)
+                take = pa.array(row + owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(SpanHashes(words).of(row_starts(words)[owner] + first, least))),
+                        batch.column("rid").take(take),
+                        batch.column("doc_id").take(take),
+                        pa.array(first.astype(np.int32)),
+                        pa.array(opened.astype(bool)),
+                    ],
+                    ["window", "rid", "doc_id", "first", "open"],
+                )
+
+    return asked.select("rid", "doc_id", "text", "ranges").mapInArrow(
+        run, "window long, rid long, doc_id long, first int, open boolean"
+    )
+
+
+def twice(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """The keys that stand at two places or more, one of them open; combined before the shuffle."""
+    at = F.xxhash64("rid", place)
+    counted = rows.groupBy(key).agg(F.min(at).alias("_a"), F.max(at).alias("_b"), F.max("open").alias("_open"))
+    return counted.where("_a <> _b and _open").select(key)
+
+
+def uncovered(chosen: DataFrame, near: DataFrame, least: int) -> DataFrame:
+    """rid, doc_id, first, last of repeated windows outside the spans of ``near``.
+
+    Every window has one site, and equal windows have equal ones. Only windows
+    that share the longer side of their site with another place are hashed.
+    """
+    covered = f"exists(spans, s -> s.first <= lo and s.last >= hi + {least})"
+    parts = halves(chosen, least).join(near.select("rid", "spans"), "rid", "left")
+    parts = landed(
+        parts.selectExpr("key", "rid", "lo", "hi", f"not coalesce({covered}, false) open"), "halves"
+    )
+    ranges = (
+        parts.join(landed(twice(parts, "key", "lo"), "repeated-halves"), "key")
+        .groupBy("rid")
+        .agg(F.collect_set(F.struct("lo", "hi", "open")).alias("ranges"))  # at most the words of one text
+    )
+    ranges = landed(ranges, "ranges")
+    asked = sieved(chosen.select("rid", "doc_id", "text"), ranges, "rid").join(ranges, "rid")
+    hashed = landed(windows(asked, least), "windows")
+    repeated = landed(twice(hashed, "window", "first"), "repeated-windows")
+    return (
+        hashed.where("open").join(repeated, "window").selectExpr("rid", "doc_id", "first", f"first + {least} last")
+    )
+
+
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, first_word, n_words of every span that is repeated elsewhere.
 
@@ -206,16 +348,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     found = neighbours(around, ["after", "before", "rid", "at"], least).unionByName(
         neighbours(around, ["before", "after", "rid", "at"], least)
     )
-    merged = found.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")
-    )
-    # one pass over a document's spans in order: a span that touches the one before extends it
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<first: int, last: int>>), (done, s) -> "
-        "if(size(done) > 0 and s.first <= element_at(done, -1).last, "
-        "concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, "
-        "'last', greatest(element_at(done, -1).last, s.last)))), concat(done, array(s))))"
-    )
-    return merged.select("doc_id", F.explode(joined).alias("span")).selectExpr(
-        "doc_id", "cast(span.first as long) first_word", "cast(span.last - span.first as long) n_words"
-    )
+    near = landed(merged(found), "spans")
+    shared = near.select("rid", "doc_id", F.explode("spans").alias("span")).select("rid", "doc_id", "span.*")
+    return merged(shared.unionByName(uncovered(chosen, near, least))).select(
+        "doc_id", F.explode("spans").alias("span")
+    ).selectExpr("doc_id", "cast(span.first as long) first_word", "cast(span.last - span.first as long) n_words")
