@@ -166,6 +166,26 @@ def test_windows_by_hand(spark):
     assert clean == {d for d, _ in docs} - {d for d, _ in windows_by_hand(docs, items)}
 
 
+def test_blocks_of_items_change_nothing(spark):
+    base = words(1, 40)
+    items = [(i, " ".join(base[:20] + words(300 + i, 20))) for i in range(12)]  # a frequent half
+    items += [(20 + i, prose(400 + i, 40)) for i in range(8)]
+    docs = []
+    for d, (_, text) in enumerate(items * 3):
+        own = text.split()
+        own[(7 * d) % 40 if d >= 20 else 0] = "changed"
+        docs.append((d, " ".join(words(500 + d, 9) + own)))
+    bench = spark.createDataFrame(items, "item_id LONG, text STRING")
+    expected = windows_by_hand(docs, items)
+    assert expected
+    for per_block in (1000, 3):
+        rows = D.contaminated(documents(spark, docs), bench, per_block).collect()
+        got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in rows}
+        assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+        clean = {x["doc_id"] for x in D.decontaminate(documents(spark, docs), bench, per_block).collect()}
+        assert clean == {d for d, _ in docs} - {d for d, _ in expected}
+
+
 def test_fingerprints_within_the_radius_are_found():
     r = np.random.default_rng(1)
     shingles = [r.integers(0, 2**63, 30).astype(np.uint64) for _ in range(20)]

@@ -4,7 +4,8 @@ A window of a document, as many words long as a benchmark item, is
 fingerprinted by SimHash over its word shingles. The items' fingerprints are
 indexed in blocks of bits: whatever lies within the radius differs in some
 block by few enough bits to be found there. Candidates are verified by the
-exact weighted similarity of the shingles.
+exact weighted similarity of the shingles. A shingle weighs by the number of
+items of the whole benchmark that hold it.
 
 A window without a shingle of the item has no similarity to it at all, so only
 windows that lay such a shingle where the item has it are fingerprinted.
@@ -16,13 +17,15 @@ import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.words import Words, fold_table, lowered, mix, slices
+from vitals.llm.tables import landed
+from vitals.llm.words import Words, fold_table, lowered, mix, signed, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -68,18 +71,25 @@ def block_values(prints: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Benchmark items whose shingles have ``n`` words, ready to be looked up."""
+    """Benchmark items whose shingles have ``n`` words, ready to be looked up.
 
-    def __init__(self, ids: list, shingles: list[np.ndarray], n: int):
+    ``total`` and ``in_items`` count all such items, and those that hold a
+    shingle; left out, they are taken from the items given.
+    """
+
+    def __init__(
+        self, ids: list, shingles: list[np.ndarray], n: int, total: int | None = None, in_items: dict | None = None
+    ):
         self.ids, self.n = ids, n
         self.words = np.array([len(s) + n - 1 for s in shingles])
         lengths = np.array([len(s) for s in shingles])
         flat = np.concatenate(shingles)
         owner = np.repeat(np.arange(len(ids)), lengths)
         offset = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        in_items = Counter(h for s in shingles for h in set(s.tolist()))
-        self.rare = math.log(1 + len(ids))
-        self.weights = {h: math.log(1 + len(ids) / c) for h, c in in_items.items()}
+        own = Counter(h for s in shingles for h in set(s.tolist()))
+        total, in_items = total or len(ids), in_items or own
+        self.rare = math.log(1 + total)
+        self.weights = {h: math.log(1 + total / in_items[h]) for h in own}
         order = np.argsort(flat, kind="stable")
         self.hashes, self.owner, self.offset = flat[order], owner[order], offset[order]
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -151,11 +161,9 @@ class Items:
                     yield r, i, score, int(start[w] - first[r]), int(lengths[w] + self.n - 1)
 
 
-def index(items: list[tuple[object, str]]) -> list[Items]:
-    """The items of one block, by shingle length: short ones are one shingle."""
+def shingled(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, words of a shingle, shingles) of every item with a word: short ones are one shingle."""
     table = fold_table(punctuation=True)
-    texts = pa.array([text for _, text in items], pa.string())
-    groups: dict[int, tuple[list, list]] = {}
     for first, data, offsets in slices(lowered(texts)):
         words = Words(data, offsets, table)
         for n in range(1, SHINGLE + 1):
@@ -164,10 +172,25 @@ def index(items: list[tuple[object, str]]) -> list[Items]:
                 continue
             row, h = words.shingles(n)
             for r in own:
-                ids, shingles = groups.setdefault(n, ([], []))
-                ids.append(items[first + r][0])
-                shingles.append(h[row == r])
-    return [Items(ids, shingles, n) for n, (ids, shingles) in groups.items()]
+                yield first + int(r), n, h[row == r]
+
+
+class Block(NamedTuple):
+    """Some items, and by shingle length the whole benchmark's items and counts of their shingles."""
+
+    items: list[tuple[object, str]]
+    totals: dict[int, int]
+    counts: dict[int, dict[int, int]]
+
+
+def index(block: Block) -> list[Items]:
+    """The items of one block, by shingle length."""
+    groups: dict[int, tuple[list, list]] = {}
+    for r, n, h in shingled(pa.array([text for _, text in block.items], pa.string())):
+        ids, shingles = groups.setdefault(n, ([], []))
+        ids.append(block.items[r][0])
+        shingles.append(h)
+    return [Items(ids, shingles, n, block.totals[n], block.counts[n]) for n, (ids, shingles) in groups.items()]
 
 
 def found_in(indexes: list[Items], texts: pa.Array) -> Iterator[tuple[int, object, float, int, int]]:
@@ -185,15 +208,43 @@ def found_in(indexes: list[Items], texts: pa.Array) -> Iterator[tuple[int, objec
             yield row, item, *rest
 
 
-def blocks(benchmark: DataFrame, per_block: int) -> Iterator[list[tuple[object, str]]]:
+def frequencies(items: DataFrame) -> DataFrame:
+    """n, h, items, parts: how many items hold a shingle, and the blocks these lie in; a null h counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column("part").to_numpy(zero_copy_only=False)
+            for r, n, h in shingled(batch.column("text")):
+                h = signed(np.unique(h)).tolist() + [None]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(h), part[r]), pa.int64()),
+                        pa.array([n] * len(h), pa.int32()),
+                        pa.array(h, pa.int64()),
+                    ],
+                    ["part", "n", "h"],
+                )
+
+    held = items.select("part", "text").mapInArrow(run, "part long, n int, h long")
+    return held.groupBy("n", "h").agg(F.count("*").alias("items"), F.collect_set("part").alias("parts"))
+
+
+def blocks(benchmark: DataFrame, per_block: int) -> Iterator[Block]:
     """The items in blocks of about ``per_block``, told apart by a hash of the text."""
     items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
     parts = max(1, -(-items.count() // per_block))
+    items = landed(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), "items")
+    known = landed(frequencies(items), "frequencies")
     for part in range(parts):
-        yield [
-            (row["item_id"], row["text"])
-            for row in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        ]
+        totals: dict[int, int] = {}
+        counts: dict[int, dict[int, int]] = {}
+        for n, h, held in known.where(F.array_contains("parts", F.lit(part).cast("long"))).select("n", "h", "items").collect():
+            if h is None:
+                totals[n] = held
+            else:
+                counts.setdefault(n, {})[h % (1 << 64)] = held
+        own = items.where(F.col("part") == part).select("item_id", "text").collect()
+        yield Block([(row["item_id"], row["text"]) for row in own], totals, counts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
@@ -201,7 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_P
 
     Words are lower-cased and free of ASCII punctuation; an item of fewer
     than five words is one shingle. Of several windows the most similar counts,
-    then the first. Null and empty texts and items, and items without a word,
+    then the first. Rows and similarities do not depend on ``per_block``. Null and empty texts and items, and items without a word,
     match nothing; a null doc_id stays null; repeated rows are reported each;
     other columns are not read; an empty table gives an empty result.
     """
