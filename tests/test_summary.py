@@ -128,3 +128,59 @@ def test_users(spark):
     assert found["u"]["email_verified"] is True and found["v"]["email_verified"] is False
     assert found["u"]["status"] == "active"
     assert found["u"]["profile"].asDict() == dict(given_name="U", family_name=None, name=None)
+
+
+def test_raw_answers_follow_cursors_to_the_end(spark):
+    days = [1] * 7 + [2] * 2 + [4] * 5 + [6]
+    starts = [f"2024-01-0{d} 10:00:{i:02d}" for i, d in enumerate(days)]
+    records = spark.createDataFrame(
+        [("u", "HeartRate", s, str(i)) for i, s in enumerate(starts)] + [("v", "HeartRate", starts[0], "x")],
+        "user_id STRING, record_type STRING, start_date STRING, value STRING",
+    )
+    kind = "request_id LONG, user_id STRING, type STRING, start STRING, `end` STRING, granularity STRING, `limit` STRING, cursor STRING"
+    for limit in (3, 5):
+        seen, cursor = [], ""
+        while cursor is not None:
+            asked = spark.createDataFrame(
+                [(1, "u", "HeartRate", "2024-01-01", "2024-01-05", "raw", str(limit), cursor),
+                 (2, "v", "HeartRate", "2024-01-01", "2024-01-05", "raw", str(limit), None)], kind,
+            )
+            found = answer_raw(asked, records).orderBy("request_id", "position").collect()
+            page = [r for r in found if r["request_id"] == 1]
+            assert [r["position"] for r in page] == list(range(1, len(page) + 1)) and len(page) <= limit
+            assert {(r["value"], r["next_cursor"]) for r in found if r["request_id"] == 2} == {("x", None)}
+            assert all(r["count"] == len(page) for r in page)
+            seen += [r["start_date"] for r in page]
+            cursor = page[0]["next_cursor"] if page else None
+        assert seen == starts[:-1]
+
+
+def test_daily_answers_ignore_cursors(spark):
+    records = spark.createDataFrame(
+        [("u", "HeartRate", "2024-01-01 10", 1.0, "x")],
+        "user_id STRING, record_type STRING, start_date STRING, value_num DOUBLE, unit STRING",
+    )
+    asked = spark.createDataFrame(
+        [(1, "u", "HeartRate", "2024-01-01", "2024-01-05", "daily", None, "anything")],
+        "request_id LONG, user_id STRING, type STRING, start STRING, `end` STRING, granularity STRING, `limit` STRING, cursor STRING",
+    )
+    assert answer_daily(asked, records).count() == 1
+
+
+def test_ecg_answers_follow_cursors_among_equal_times(spark):
+    from vitals.plans.dashboard import answer_ecg
+
+    ecg = spark.createDataFrame(
+        [("u", "2024-01-01 10", i // 2, f"f{i % 2}", i) for i in range(5)],
+        "user_id STRING, ecg_time STRING, ordinal LONG, source_file STRING, row_in_file LONG",
+    )
+    seen, cursor = [], None
+    for _ in range(3):
+        asked = spark.createDataFrame(
+            [(1, "u", "2024-01-01", "2024-01-05", "2", cursor)],
+            "request_id LONG, user_id STRING, start STRING, `end` STRING, `limit` STRING, cursor STRING",
+        )
+        page = answer_ecg(asked, ecg).orderBy("position").collect()
+        seen += [r["row_in_file"] for r in page]
+        cursor = page[0]["next_cursor"]
+    assert seen == [0, 1, 2, 3, 4] and cursor is None

@@ -19,7 +19,7 @@ def order_by_start(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.orderBy("user_id", F.coalesce(start, F.col(key)) if key else start)
 
 
-def _after(order: Sequence[str], key: Sequence[Column]) -> Column:
+def after(order: Sequence[str], key: Sequence[Column]) -> Column:
     """Keyset predicate: the row's order columns are beyond ``key``.
 
     The first comparison is implied by the rest; stated on its own it can be
@@ -77,13 +77,13 @@ def page(
         joined = rows.join(decoded, "user_id", "left")
         rows = (
             joined.where(~F.coalesce("_ended", F.lit(False)))
-            .where(F.col("_last").isNull() | _after(order, last))
+            .where(F.col("_last").isNull() | after(order, last))
             .drop("_last", "_ended")
         )
     else:
         key = read_cursor(cursor, list(order))
         if key is not None:
-            rows = rows.where(_after(order, [F.lit(part) for part in key]))
+            rows = rows.where(after(order, [F.lit(part) for part in key]))
 
     columns = [F.col(name) for name in order]
     if user_id is not None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitals.functions.cursor import decode_cursor, encode_cursor
 from vitals.functions.stats import statistics
 from vitals.functions.text import date_prefix
 from vitals.operators.filters import in_range
-from vitals.operators.latest import cut_by_salt
-from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER
+from vitals.operators.latest import cut_by_salt, top_per_group
+from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER, after
 from vitals.operators.requests import check_requests
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
 
@@ -24,9 +25,6 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
     one or two years of daily rows, however many rows its user has.
     """
     checked = check_requests(requests, kind).where(F.col("error_code").isNull())
-    if "cursor" in requests.columns:
-        # answers hold first pages; a request for a later one is not given the first
-        checked = checked.where(F.coalesce("cursor", F.lit("")) == "")
     if granularity is not None:
         checked = checked.where(F.col("granularity") == granularity)
     years = F.array_distinct(
@@ -39,6 +37,7 @@ def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) ->
         "start",
         "end",
         "limit",
+        (F.nullif("cursor", F.lit("")) if "cursor" in requests.columns else F.lit(None).cast("string")).alias("_cursor"),
         F.explode(years).alias("_year"),
     )
 
@@ -104,16 +103,41 @@ def answer_daily(requests: DataFrame, records: DataFrame) -> DataFrame:
 def _answer_pages(
     accepted: DataFrame, rows: DataFrame, order: list[str], largest: int
 ) -> DataFrame:
-    """First page of every accepted request, in ``order``.
+    """The page of every accepted request in ``order``, after its cursor if it has one.
 
     Daily counts tell which days a request's page reaches, and how many of its
     rows come before each. A page enters a day at the day's start, so of any
     day only the first rows up to the largest limit can be needed, and a row's
     place in its day gives its place in the page. A request thus meets fewer
     rows than its limit plus that number, and pages need no sort of their own.
+    Only the day a cursor lies in is met row by row, and the page goes on with
+    the days behind it.
+
+    Adds ``count``, the rows of the page, and ``next_cursor``, null if the page
+    is not full. A cursor that lacks a column of ``order`` gets no rows.
     """
     time, columns = order[0], [F.col(name) for name in order]
+    types = dict(rows.dtypes)
+    key = decode_cursor(F.col("_cursor"), ", ".join(f"{name} {types[name]}" for name in order))
+    accepted = accepted.withColumn("_last", key).withColumn(
+        "_day", F.when(F.col("_cursor").isNotNull(), date_prefix(F.col(f"_last.{time}")))
+    )
+    last = [F.col(f"_last.{name}") for name in order]
+    whole = F.lit(True)
+    for part in last:
+        whole = whole & part.isNotNull()
+    accepted = accepted.where(F.col("_cursor").isNull() | whole).drop("_cursor")
     rows = _of_requested(rows, accepted, time)
+    dated = rows.withColumn("date", date_prefix(F.col(time)))
+    # what is left of the days that cursors lie in
+    begun = (
+        accepted.where(F.col("_year") == F.substring("_day", 1, 4))
+        .withColumn("date", F.col("_day"))
+        .join(dated, [*KEYS, "date"])
+        .where(in_range(time, F.col("start"), F.col("end")) & after(order, last))
+        .drop("start", "end", "_year", "_last", "_day")
+    )
+    rest = begun.groupBy("request_id", *KEYS, "date", "limit").agg(F.count("*").alias("_rows"))
     before = (
         Window.partitionBy("request_id")
         .orderBy("date")
@@ -123,22 +147,28 @@ def _answer_pages(
     counts = _per_day(rows, F.count("*").alias("_rows"), time=time)
     reached = (
         _days_of_requests(accepted, counts)
+        .where(F.col("_day").isNull() | (F.col("date") > F.col("_day")))
+        .select("request_id", *KEYS, "date", "limit", "_rows")
+        .unionByName(rest.withColumn("_begun", F.lit(True)), allowMissingColumns=True)
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .where(F.col("_before") < F.col("limit"))
+        .where((F.col("_before") < F.col("limit")) & F.col("_begun").isNull())
         .select("request_id", *day, "limit", "_before")
     )
-    dated = rows.withColumn("date", date_prefix(F.col(time)))
     # cut first, so that the join too meets a bounded number of rows per day
     cut = cut_by_salt(dated, day, columns, largest)
     wanted = cut.join(reached.select(*day).distinct(), day, "left_semi")
     place_in_day = F.row_number().over(Window.partitionBy(*day).orderBy(*columns))
     heads = wanted.withColumn("_place", place_in_day).where(F.col("_place") <= largest)
     place = (F.col("_before") + F.col("_place")).cast("int")
+    paged = reached.join(heads, day).withColumn("position", place).drop("_before", "_place")
+    paged = paged.unionByName(top_per_group(begun, ["request_id"], columns, largest))
+    whole_page = Window.partitionBy("request_id")  # at most the largest limit
+    full = F.when(F.col("position") == F.col("limit"), encode_cursor(F.struct(*order)))
     return (
-        reached.join(heads, day)
-        .withColumn("position", place)
-        .where(F.col("position") <= F.col("limit"))
-        .drop("limit", "date", "_before", "_place")
+        paged.where(F.col("position") <= F.col("limit"))
+        .withColumn("count", F.count("*").over(whole_page))
+        .withColumn("next_cursor", F.max(full).over(whole_page))
+        .drop("limit", "date")
     )
 
 
