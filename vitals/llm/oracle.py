@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+from vitals.llm.licenses import (
+    BLOCK_END,
+    BREAK,
+    LONG_LINE,
+    LOWER,
+    PHRASES,
+    TEMPLATES,
+    UPPER,
+    needed,
+    template_tokens,
+)
 from vitals.llm.near_dedup import SIMILARITY
 from vitals.llm.quality import (
     BASE_RULES,
@@ -138,9 +149,58 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+def _strings(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{BREAK}'), w -> w <> '')"
+
+
+_TEMPLATES = ", ".join(
+    f"('{t.label}', {_strings(own)}, {needed(len(own))})" for t in TEMPLATES if (own := template_tokens(t.text))
+)
+
+LICENSES = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), word AS (
+  SELECT rid, doc_id, text, {_words("text")} AS w FROM doc
+), phrase(label, p) AS (
+  VALUES {", ".join(f"('{label}', {_strings(phrase.split(' '))})" for label, phrase in PHRASES)}
+), place AS (
+  SELECT rid, label, i FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM word)
+  JOIN phrase ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
+), base AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM place GROUP BY rid
+), block AS (
+  SELECT rid, {_words("b")} AS w
+  FROM (SELECT rid, unnest(list_concat(regexp_extract_all(text, '{LONG_LINE}'), string_split_regex(text, '{BLOCK_END}'))) AS b FROM doc)
+), held AS (
+  SELECT rid, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS tokens
+  FROM block WHERE len(w) > 0
+), template(label, t, needed) AS (
+  VALUES {_TEMPLATES}
+), met AS (
+  SELECT rid, label, len(list_intersect(t, tokens)) / len(t) AS containment FROM held, template
+  WHERE len(tokens) >= needed AND len(list_intersect(t, tokens)) >= needed
+), named AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT rid, label, true AS is_base FROM place UNION ALL SELECT rid, label, false FROM met) GROUP BY rid
+), best AS (
+  SELECT rid, max(containment) AS containment FROM met GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END::DOUBLE AS score
+FROM word LEFT JOIN base USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)
+"""
+
 ORACLE = {
     "op2_near_dedup": NEAR_DEDUP,
     "op3_quality": QUALITY,
     "op6_shards": SHARDS,
     "op10_url_filter": URLS,
+    "op11_licenses": LICENSES,
 }

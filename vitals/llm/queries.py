@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vitals.llm.decontaminate import contaminated
 from vitals.llm.html_text import extract
 from vitals.llm.language import identify
+from vitals.llm.licenses import digest as license_digest
+from vitals.llm.licenses import scan as scan_licenses
 from vitals.llm.near_dedup import near_groups
 from vitals.llm.packing import pack
 from vitals.llm.passages import repeated_passages
@@ -58,6 +60,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).drop("url", "pattern")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_near_dedup": op2_near_dedup,
@@ -69,4 +75,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
+    "op11_licenses": op11_licenses,
 }
