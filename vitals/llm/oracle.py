@@ -154,7 +154,7 @@ def _strings(values) -> str:
 
 
 def _words(text: str) -> str:
-    return f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{BREAK}'), w -> w <> '')"
+    return f"list_filter(string_split_regex(translate({text}, '{UPPER}', '{LOWER}'), '{BREAK}'), lambda w: w <> '')"
 
 
 _TEMPLATES = ", ".join(
@@ -177,7 +177,7 @@ WITH doc AS (
   SELECT rid, {_words("b")} AS w
   FROM (SELECT rid, unnest(list_concat(regexp_extract_all(text, '{LONG_LINE}'), string_split_regex(text, '{BLOCK_END}'))) AS b FROM doc)
 ), held AS (
-  SELECT rid, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS tokens
+  SELECT rid, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS tokens
   FROM block WHERE len(w) > 0
 ), template(label, t, needed) AS (
   VALUES {_TEMPLATES}
