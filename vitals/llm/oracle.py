@@ -23,6 +23,7 @@ from vitals.llm.quality import (
 )
 from vitals.llm.shards import HASH_BITS, LIMIT_BYTES
 from vitals.llm.url_filter import GLOB_RULES, HOST_RULES
+from vitals.llm.vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _RATES = ", ".join(
     f"(f_{r} + m_{r} * w_{r}) / (n_docs + w_{r}) AS rate_{r}" for r in RULES
@@ -197,10 +198,53 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM word LEFT JOIN base USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)
 """
 
+def _nearest(n: int) -> str:
+    """Parts with their nearest entry of book n, ties to the lower one."""
+    return f"""near{n} AS MATERIALIZED (
+  SELECT rid, part, any_value(p) AS p, min(struct_pack(d := d, entry := entry)).entry AS entry, min(d) AS d FROM (
+    SELECT rid, part, p, entry,
+           list_sum(list_transform(range(1, len(p) + 1), lambda i: (p[i] - b[i]) * (p[i] - b[i])))::BIGINT AS d
+    FROM cut JOIN book{n} USING (part)) GROUP BY rid, part
+)"""
+
+
+def _moved(n: int) -> str:
+    """Book n + 1: means rounded down; an entry without parts stays."""
+    return f"""book{n + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m, b) AS b FROM book{n} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS m FROM (
+      SELECT part, entry, i, sum(p[i]) AS s, count(*) AS n
+      FROM (SELECT part, entry, p, unnest(range(1, len(p) + 1)) AS i FROM near{n}) GROUP BY part, entry, i)
+    GROUP BY part, entry) USING (part, entry)
+)"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT rid, part, v[part * len(v) // {PARTS} + 1 : (part + 1) * len(v) // {PARTS}] AS p
+  FROM (SELECT rid, v, unnest(range(0, {PARTS})) AS part FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT part, rid - 1 AS entry, p AS b FROM cut WHERE rid <= {ENTRIES}
+), {", ".join(f"{_nearest(n)}, {_moved(n)}" for n in range(ROUNDS))}, {_nearest(ROUNDS)}, coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d)::BIGINT AS error
+  FROM near{ROUNDS} GROUP BY rid
+), hashed AS (
+  SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{ROUNDS}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (rid), hashed
+"""
+
 ORACLE = {
     "op2_near_dedup": NEAR_DEDUP,
     "op3_quality": QUALITY,
     "op6_shards": SHARDS,
     "op10_url_filter": URLS,
     "op11_licenses": LICENSES,
+    "op13_vector_codes": VECTOR_CODES,
 }

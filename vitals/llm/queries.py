@@ -18,6 +18,7 @@ from vitals.llm.secret_scan import digest, find_secrets
 from vitals.llm.shards import shards
 from vitals.llm.tables import table
 from vitals.llm.url_filter import judge_urls
+from vitals.llm.vector_codes import digest as code_vectors
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_near_dedup": op2_near_dedup,
@@ -76,4 +81,5 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
     "op11_licenses": op11_licenses,
+    "op13_vector_codes": op13_vector_codes,
 }
