@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitals.llm.alignment import scored as align_tokens
 from vitals.llm.decontaminate import contaminated
 from vitals.llm.html_text import extract
 from vitals.llm.language import identify
@@ -65,6 +66,10 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -81,5 +86,6 @@ QUERIES = {
     "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
     "op11_licenses": op11_licenses,
+    "op12_token_alignment": op12_token_alignment,
     "op13_vector_codes": op13_vector_codes,
 }
