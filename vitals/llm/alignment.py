@@ -4,14 +4,15 @@ A is a byte-level BPE read by ``tokenizers``, B a BPE with byte fallback read
 by ``sentencepiece``. Both see a space and the text. Where tokens of both end,
 the bytes are cut into groups; every A and every B token of a group are linked.
 
-Ends of tokens come from the spans the libraries give: character offsets of A,
-spans of B's proto. A span tells the end of a token that has whole characters to
-itself. Tokens that share a character (A cuts some in two, B falls back to its
-bytes) have the same span or none, and are cut by the bytes they decode to.
+Ends of tokens come from the spans the libraries give, in characters; of B its
+offset mapping, which the installed release has in place of the immutable proto.
+A span tells the end of a token that has whole characters to itself. Tokens that
+share a character (A cuts some in two, B falls back to its bytes) have the same
+span or none, and are cut by the bytes they decode to.
 
 Neither vocabulary has a token that goes on over a space behind another
-character, so a text is cut there and each distinct piece is aligned once per
-worker, as long as it is remembered; a text is the sequence of its pieces.
+character, so a text is cut there and each distinct piece is aligned once, as
+long as a worker remembers it; a text is the sequence of its pieces.
 
 How many documents hold a pair of ids linked is counted over all documents.
 What a document says of its pairs joins those counts.
@@ -19,6 +20,7 @@ What a document says of its pairs joins those counts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -41,7 +43,8 @@ B_IDS = 1 << 16
 #: In front of a space behind a letter, digit or ASCII sign; not of one at the
 #: end, as B gives no token for a space alone.
 CUT = re.compile(r"(?<=[\w!-~])(?= [\s\S])")
-#: Pieces a worker remembers, and the longest of them in characters.
+#: Pieces a worker remembers for sure (and at most twice as many), and the
+#: longest of them in characters.
 REMEMBERED, LONGEST = 100_000, 64
 #: Characters whose pieces are looked up together.
 BATCH_CHARS = 1 << 20
@@ -52,14 +55,15 @@ B_SPACE = "▁"
 
 
 class Piece(NamedTuple):
-    """One piece of a text: how many tokens of A and B, groups and links it has,
-    the groups as text, and each link as a * B_IDS + b."""
+    """One piece of a text: how many tokens of A and B and groups it has, the
+    groups as text, each with a ; behind it, and each link, a * B_IDS + b, as
+    eight bytes."""
 
     n_a: int
     n_b: int
     n_groups: int
     groups: str
-    links: list[int]
+    links: bytes
 
 
 def byte_letters() -> dict[str, int]:
@@ -91,66 +95,135 @@ class Aligner:
         ]
         if len(self.b_bytes) > B_IDS:
             raise ValueError(f"{path_b} has more than {B_IDS} ids")
-        self.known: dict[str, Piece | None] = {}
+        self.a_tokens = Tokens([self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)], "|")
+        self.b_tokens = Tokens(self.b_bytes, ";")
+        # pieces met since the last turn, and those of the turn before
+        self.young: dict[str, Piece | None] = {}
+        self.old: dict[str, Piece | None] = {}
 
     def pieces(self, texts: list[str]) -> list[Piece | None]:
         """One per text; None where the tokens' bytes are not those of the text."""
+        # the lists the libraries return are many and hold no cycles
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._pieces(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _pieces(self, texts: list[str]) -> list[Piece | None]:
         encoded_a = self.a.encode_batch(texts, add_special_tokens=False)
         # B puts the leading space there by itself
-        encoded_b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        return [self.aligned(*x) for x in zip(texts, encoded_a, encoded_b)]
-
-    def aligned(self, text: str, a, b) -> Piece | None:
-        raw = text.encode()
-        ids_a, ids_b = a.ids, [p.id for p in b.pieces]
-        own_a, own_b = [self.a_bytes[i] for i in ids_a], [self.b_bytes[i] for i in ids_b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
-        if len(raw) == len(text):
-            spans_a = a.offsets
-        else:
-            at = list(np.cumsum([0, *(len(c.encode()) for c in text)]))
-            spans_a = [(at[first], at[last]) for first, last in a.offsets]
-        ends_a = ends(spans_a, own_a)
-        # spans of B count from behind the leading space
-        ends_b = ends([(p.begin + 1, p.end + 1) for p in b.pieces], own_b)
-        return grouped(ids_a, ids_b, ends_a, ends_b)
+        encoded_b = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
+        a = Side(self.a_tokens, texts, [e.ids for e in encoded_a], [e.offsets for e in encoded_a], 0)
+        b = Side(self.b_tokens, texts, [e["ids"] for e in encoded_b], [e["offsets"] for e in encoded_b], 1)
+        good = a.same & b.same
+        out: list[Piece | None] = [None] * len(texts)
+        for at, piece in zip(np.flatnonzero(good), grouped(a.of(good), b.of(good))):
+            out[at] = piece
+        return out
 
     def of(self, texts: list[str]) -> list[list[Piece | None]]:
         """The pieces of every text, in order."""
         cut = [CUT.split(f" {text}") for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for p in chain.from_iterable(cut) if p not in self.known})
-        found = dict(zip(new, self.pieces(new)))
-        out = [[self.known[p] if p in self.known else found[p] for p in own] for own in cut]
-        self.known.update((p, x) for p, x in found.items() if len(p) <= LONGEST)
-        return out
-
-
-def ends(spans: list[tuple[int, int]], own: list[bytes]) -> list[int]:
-    """Byte ends of tokens with the bytes ``own``, from their spans where these settle them."""
-    out, at = [], 0
-    for i, (first, last) in enumerate(spans):
-        settled = first >= at and last - at == len(own[i]) and (i + 1 == len(spans) or spans[i + 1][0] >= last)
-        at = last if settled else at + len(own[i])
-        out.append(at)
-    return out
-
-
-def grouped(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> Piece:
-    """Groups between the offsets where a token of A and one of B end."""
-    texts, links, i, j = [], [], 0, 0
-    for end in sorted(set(ends_a) & set(ends_b)):
-        from_i, from_j = i, j
-        while i < len(ends_a) and ends_a[i] <= end:
-            i += 1
-        while j < len(ends_b) and ends_b[j] <= end:
-            j += 1
-        own_a, own_b = ids_a[from_i:i], ids_b[from_j:j]
-        texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-        links += [a * B_IDS + b for a in own_a for b in own_b]
-    return Piece(len(ids_a), len(ids_b), len(texts), ";".join(texts), links)
+        met = dict.fromkeys(chain.from_iterable(cut))
+        young, old, new = self.young, self.old, []
+        for piece in met:
+            if piece in young:
+                met[piece] = young[piece]
+            elif piece in old:
+                met[piece] = young[piece] = old[piece]
+            else:
+                new.append(piece)
+        for piece, found in zip(new, self.pieces(new)):
+            met[piece] = found
+            if len(piece) <= LONGEST:
+                young[piece] = found
+            if len(young) >= REMEMBERED:
+                self.old, self.young = young, (young := {})
+        return [[met[p] for p in own] for own in cut]
+
+
+class Tokens:
+    """A vocabulary: the bytes of every id, how many they are, and the id as
+    text in front of a comma and in front of ``last``."""
+
+    def __init__(self, own: list[bytes], last: str):
+        self.bytes = own
+        self.sizes = np.array([len(b) for b in own], np.int64)
+        self.inner = np.array([f"{i}," for i in range(len(own))], object)
+        self.final = np.array([f"{i}{last}" for i in range(len(own))], object)
+
+
+class Side(NamedTuple("Fields", [("tokens", Tokens), ("ids", np.ndarray), ("ends", np.ndarray), ("counts", np.ndarray), ("same", np.ndarray)])):
+    """Tokens of texts that lie one behind the other: ids, byte ends over all
+    texts, tokens per text, and which texts' bytes the tokens decode to."""
+
+    def __new__(cls, tokens: Tokens, texts: list[str], ids: list, spans: list, skipped: int):
+        """``skipped``: characters in front of each text that the spans leave out."""
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
+        row = np.repeat(np.arange(len(texts)), counts)
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(b) for b in raw], np.int64)
+        same = np.bincount(row, tokens.sizes[flat], len(texts)).astype(np.int64) == sizes
+        if not same.all() or b"".join(map(tokens.bytes.__getitem__, flat.tolist())) != b"".join(raw):
+            same = np.array(
+                [b"".join(map(tokens.bytes.__getitem__, x)) == b for x, b in zip(ids, raw)], bool
+            )
+        # where each text begins, in characters and bytes, and each character's byte
+        letters = np.cumsum([0, *(len(t) for t in texts)])
+        begins = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        span = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * len(flat)).reshape(-1, 2)
+        span = np.minimum(span + (skipped + letters[row])[:, None], letters[row + 1][:, None])
+        decoded = np.cumsum(tokens.sizes[flat]) + (begins - begins_of(tokens.sizes[flat], row, len(texts)))[row]
+        # the end of a span, where the next token of the text does not begin before it
+        ahead = np.append(span[1:, 0], letters[-1])
+        whole = (ahead >= span[:, 1]) & (span[:, 1] > span[:, 0])
+        ends = np.where(whole, byte_of[span[:, 1]], decoded)
+        return super().__new__(cls, tokens, flat, ends, counts, same)
+
+    def of(self, chosen: np.ndarray) -> Side:
+        """The chosen texts' tokens."""
+        kept = np.repeat(chosen, self.counts)
+        return self._replace(ids=self.ids[kept], ends=self.ends[kept], counts=self.counts[chosen], same=self.same[chosen])
+
+
+def begins_of(sizes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Per text the sum of the sizes of all tokens before its first."""
+    own = np.bincount(row, sizes, n).astype(np.int64)
+    return np.cumsum(own) - own
+
+
+def grouped(a: Side, b: Side) -> Iterator[Piece]:
+    """A piece per text, of groups between the offsets where a token of A and one of B end."""
+    cuts = np.intersect1d(a.ends, b.ends)
+    group_a, group_b = np.searchsorted(cuts, a.ends), np.searchsorted(cuts, b.ends)
+    n_b = np.bincount(group_b, minlength=len(cuts))
+    # every token of A beside every token of B of its group
+    repeats = n_b[group_a]
+    first_b = (np.cumsum(n_b) - n_b)[group_a] - (np.cumsum(repeats) - repeats)
+    beside = np.repeat(first_b, repeats) + np.arange(repeats.sum())
+    links = (np.repeat(a.ids * B_IDS, repeats) + b.ids[beside]).tobytes()
+
+    def shown(side: Side, group: np.ndarray) -> np.ndarray:
+        last = np.append(group[1:] != group[:-1], True)
+        return np.where(last, side.tokens.final[side.ids], side.tokens.inner[side.ids])
+
+    # of each group the tokens of A, then those of B
+    order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+    words = np.concatenate((shown(a, group_a), shown(b, group_b)))[order].tolist() if len(order) else []
+    row_a = np.repeat(np.arange(len(a.counts)), a.counts)
+    n_groups = np.bincount(row_a, np.append(group_a[1:] != group_a[:-1], True)[: len(group_a)], len(a.counts)).astype(int)
+    n_links = np.bincount(row_a, repeats, len(a.counts)).astype(int)
+    at = link = 0
+    for own_a, own_b, groups, held in zip(a.counts.tolist(), b.counts.tolist(), n_groups.tolist(), n_links.tolist()):
+        yield Piece(own_a, own_b, groups, "".join(words[at : at + own_a + own_b]), links[8 * link : 8 * (link + held)])
+        at += own_a + own_b
+        link += held
 
 
 def read(value: pa.Scalar) -> str:
@@ -203,12 +276,13 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
                 for text, pieces in zip(texts, aligner.of(texts)):
                     if not text or None in pieces:
                         pieces = []
-                    whole = ";".join(p.groups for p in pieces)
-                    links = np.fromiter(chain.from_iterable(p.links for p in pieces), np.int64)
+                    n_a, n_b, n_groups, shown, held = zip(*pieces) if pieces else [()] * 5
+                    whole = "".join(shown)[:-1]
+                    links = np.frombuffer(b"".join(held), np.int64)
                     pairs, counts = np.unique(links, return_counts=True)
                     row = [
-                        sum(p.n_a for p in pieces), sum(p.n_b for p in pieces), sum(p.n_groups for p in pieces),
-                        len(links), hashlib.sha256(whole.encode()).hexdigest() if pieces else "", pairs, counts,
+                        sum(n_a), sum(n_b), sum(n_groups), len(links),
+                        hashlib.sha256(whole.encode()).hexdigest() if pieces else "", pairs, counts,
                     ]
                     for column, value in zip(out, [*row, whole]):
                         column.append(value)
