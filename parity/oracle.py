@@ -146,6 +146,11 @@ ROUTE_ROWS = f"""SELECT *, row_number() OVER (PARTITION BY user_id, job_id
     '1706745600' AS created_at
   FROM events GROUP BY user_id, event_id % 3, strftime(ts, '%Y%m%d'))"""
 
+# Hourly records, those of one type put once more with another unit.
+PUT_TWICE = f"""WITH {REC} SELECT user_id, record_type, start_date, value,
+  CASE WHEN {HEART_RATE} THEN 'v' ELSE unit END AS unit, job_id
+FROM ({HOURLY}) WHERE rn = 1"""
+
 ORACLE: dict[str, str] = {
     "metric_daily": DAILY,
     "metric_daily_fine": f"""WITH {REC} SELECT user_id, record_type, start_date[1:10] AS date,
@@ -391,8 +396,8 @@ FROM ecg""",
     "scan_table_routes": ROUTE_ROWS,
     "scan_table_jobs": f"""WITH {EXPORTS} SELECT user_id, job_id, 'COMPLETED' AS status,
   '1706745600' AS updated_at, NULL::VARCHAR AS error_step FROM exports""",
-    "upsert_records": f"""WITH {REC} SELECT user_id, record_type, start_date, value,
-  CASE WHEN {HEART_RATE} THEN 'v' ELSE unit END AS unit, job_id
-FROM ({HOURLY}) WHERE rn = 1""",
+    "upsert_records": PUT_TWICE,
     "compact_records": DAILY,
+    "scan_newer": PUT_TWICE,
+    "compact_twice": PUT_TWICE,
 }

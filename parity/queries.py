@@ -583,11 +583,38 @@ def upsert_records(spark, sf_dir):
 
 def compacted_daily(spark, sf_dir):
     """Daily statistics of the stored records, from a compacted snapshot."""
-    root = shared_dir(spark, "snapshot")
-    store.compact(spark, stored(spark, sf_dir), "records", root)
-    return metrics.metric_daily(
-        store.scan_table(spark, root, "records", versions=True)
+    root = stored(spark, sf_dir)
+    store.compact(spark, root, "records")
+    return metrics.metric_daily(store.scan_table(spark, root, "records"))
+
+
+def _put_twice(spark, sf_dir) -> str:
+    """Hourly records stored and compacted, then one type's records put once more."""
+    root = shared_dir(spark, "records")
+    rows = latest.dedupe_last(_hourly(spark, sf_dir))
+    store.upsert_records(rows, root)
+    store.compact(spark, root, "records")
+    store.upsert_records(
+        rows.withColumns({"_ingested": F.lit(1).cast("long"), "unit": F.lit("v")})
+        .where("record_type = 'HeartRate'"),
+        root,
     )
+    return root
+
+
+PUT = ["user_id", "record_type", "start_date", "value", "unit", "job_id"]
+
+
+def scan_newer(spark, sf_dir):
+    """Rows of a snapshot, replaced by those put after it."""
+    return store.scan_table(spark, _put_twice(spark, sf_dir), "records").select(*PUT)
+
+
+def compact_twice(spark, sf_dir):
+    """Rows of a snapshot that took in what was put after its first version."""
+    root = _put_twice(spark, sf_dir)
+    store.compact(spark, root, "records")
+    return store.scan_table(spark, root, "records").select(*PUT)
 
 
 def status(spark, sf_dir):
@@ -659,4 +686,6 @@ QUERIES: dict[str, Query] = {
     "scan_table_jobs": table_jobs,
     "upsert_records": upsert_records,
     "compact_records": compacted_daily,
+    "scan_newer": scan_newer,
+    "compact_twice": compact_twice,
 }
