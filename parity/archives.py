@@ -149,7 +149,7 @@ TRACK = '<{0}trk><{0}trkseg><{0}trkpt lat="1" lon="2"><{0}time>2024-01-05</{0}ti
 
 def _members(user: int) -> dict[str, bytes]:
     """Members of a user's archive, one fault for each remainder of the id by five."""
-    csv = f"Date,Classification\n2024-01-02,a\n2024-01-03,{'x' * 200_000}\n"
+    csv = f"Date,Classification\n2024-01-02,a\nbroken\rline,x\n2024-01-03,{'x' * 200_000}\n"
     xml = (
         f"<HealthData><Record type='{HEART}' value='{user}' startDate='2024-01-01'/>"
         f'<Record\n type="{STEPS}" value="2" startDate="2024-01-02"></Record></HealthData>'

@@ -189,6 +189,10 @@ FROM faulty WHERE k <> 3""",
     "faulty_rows": f"""WITH {FAULTY}
 SELECT user_id::VARCHAR AS user_id, family, n::BIGINT AS "rows"
 FROM faulty, (VALUES ('records', 2), ('ecg', 2), ('routes', 1)) AS stored(family, n) WHERE k = 4""",
+    "faulty_rejects": f"""WITH {FAULTY}
+SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id, 'export/' || source_file AS source_file, line::BIGINT AS line, reason
+FROM faulty, (VALUES ('electrocardiograms/e.csv', 3, 'line is no CSV'),
+  ('workout-routes/q.gpx', NULL, 'GPX is not well-formed')) AS refused(source_file, line, reason) WHERE k = 4""",
     "pending_exports": f"""WITH {EXPORTS} SELECT user_id, job_id FROM exports WHERE job_id = '1'""",
     "metric_daily_range": f"""WITH {REC} SELECT user_id, record_type,
   start_date[1:10] AS date, {stats()}, count(*) AS "count" FROM rec

@@ -553,6 +553,11 @@ def faulty_rows(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def faulty_rejects(spark, sf_dir):
+    """Members and lines of the faulty archives that could not be read, and why."""
+    return store.scan_table(spark, _faulty(spark, sf_dir)[0], "rejects").drop("_ingested")
+
+
 def table_ecg(spark, sf_dir):
     return store.scan_table(spark, stored(spark, sf_dir), "ecg").drop("_ingested")
 
@@ -632,6 +637,7 @@ QUERIES: dict[str, Query] = {
     "faulty_exports": faulty_exports,
     "faulty_jobs": faulty_jobs,
     "faulty_rows": faulty_rows,
+    "faulty_rejects": faulty_rejects,
     "metric_daily_range": metric_daily_range,
     "metric_summary": metric_summary,
     "first_unit": first_unit,

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from vitals.operators.ecg import ecg_projection, route_projection, row_ordinal
 from vitals.operators.records import map_record_type, project_record
-from vitals.sources.ecg_csv import scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_routes
+from vitals.sources import gpx as gpx_source
+from vitals.sources.ecg_csv import scan_ecg, scan_ecg_csv
+from vitals.sources.gpx import scan_gpx, scan_gpx_routes
 from vitals.sources.health_xml import ATTRIBUTES, scan_health_xml
 
 PROLOGUE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -289,3 +290,48 @@ def test_route_projection(spark, rows):
         (1, "t1", 2, "1", "-2"),
         (2, "", 1, "3", "-3"),
     ]
+
+
+@pytest.mark.parametrize("inline", [True, False], ids=["values", "files"])
+def test_what_cannot_be_read_has_a_reason(spark, tmp_path, rows, inline):
+    point = '<trkpt lat="1" lon="2"><time>t</time></trkpt>'
+    good = f"<gpx><trk><trkseg>{point * 2}</trkseg></trk><trk/></gpx>"
+    texts = {
+        "a.gpx": good.encode(),
+        "b.gpx": good[:-3].encode(),
+        "c.gpx": f"<gpx>&nothing;{good}</gpx>".encode(),
+        "d.gpx": b'<?xml version="1.0" encoding="no-such"?><gpx/>',
+        "e.gpx": b"",
+    }
+    folder = tmp_path / "g"
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_bytes(text)
+    found = scan_gpx(members(spark, folder, inline))
+    assert rows(found.where("reason is null"), "source_file", "track") == [("a.gpx", 0), ("a.gpx", 1)]
+    assert rows(found.where("reason is not null"), "source_file", "track", "waypoints", "reason") == [
+        (name, None, None, "GPX is not well-formed") for name in ["b.gpx", "c.gpx", "d.gpx", "e.gpx"]
+    ]
+
+    lists = {"a.csv": b"Date,Classification\n1,x\nbro\rken\n\n2\n", "b.csv": b"Date\n\xff\n", "c.csv": b""}
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for name, text in lists.items():
+        (folder / name).write_bytes(text)
+    found = scan_ecg(members(spark, folder, inline))
+    assert rows(found.where("reason is null"), "source_file", "row_in_file", "ecg_time", "classification") == [
+        ("a.csv", 0, "1", "x"), ("a.csv", 1, "2", None),
+    ]
+    assert rows(found.where("reason is not null"), "source_file", "line", "reason") == [
+        ("a.csv", 3, "line is no CSV"), ("b.csv", None, "CSV is not UTF-8"),
+    ]
+
+
+def test_many_tracks_go_out_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gpx_source, "TRACKS", 3)
+    monkeypatch.setattr(gpx_source, "WAYPOINTS", 5)
+    track = '<trk><trkseg>{}</trkseg></trk>'
+    (tmp_path / "a.gpx").write_text("<gpx>" + "".join(track.format(f'<trkpt lat="{i}" lon="{j}"/>' * (i % 4)) for i in range(20) for j in [0]) + "</gpx>")
+    for inline in (True, False):
+        got = scan_gpx_routes(members(spark, tmp_path, inline)).orderBy("track").collect()
+        assert [(r["track"], [p["lat"] for p in r["waypoints"]]) for r in got] == [(i, [str(i)] * (i % 4)) for i in range(20)]

@@ -19,8 +19,8 @@ from vitals.operators.records import map_record_type, project_record
 from vitals.schema import ECG, JOBS, ROUTES, column_names
 from vitals.session import shared_dir
 from vitals.sources import archive, store
-from vitals.sources.ecg_csv import scan_ecg_csv
-from vitals.sources.gpx import scan_gpx_routes
+from vitals.sources.ecg_csv import scan_ecg
+from vitals.sources.gpx import scan_gpx
 from vitals.sources.health_xml import scan_health_xml
 from vitals.streaming.ingest import manifest_path
 
@@ -71,20 +71,38 @@ def members_of(manifest: DataFrame, kind: str) -> DataFrame:
     return manifest.where(F.col("kind") == kind)
 
 
-def staged_ecg(manifest: DataFrame, at: Column) -> DataFrame:
-    """ECG rows of a run."""
-    scan = _once(scan_ecg_csv(members_of(manifest, "ecg")), "ecg-lines")
+def ecg_lines(manifest: DataFrame) -> DataFrame:
+    """ECG lines of a run, and what could not be read, parsed once."""
+    return _once(scan_ecg(members_of(manifest, "ecg")), "ecg-lines")
+
+
+def gpx_tracks(manifest: DataFrame) -> DataFrame:
+    """Tracks of a run, and members that could not be read, parsed once."""
+    return _once(scan_gpx(members_of(manifest, "gpx")), "tracks")
+
+
+def staged_ecg(manifest: DataFrame, at: Column, lines: DataFrame | None = None) -> DataFrame:
+    """ECG rows of a run; ``lines`` where they have been parsed already."""
+    scan = (ecg_lines(manifest) if lines is None else lines).where("reason is null")
     return row_ordinal(ecg_projection(scan, at)).select(*column_names(ECG))
 
 
 def staged_routes(
-    spark: SparkSession, staging: str, manifest: DataFrame, at: Column
+    spark: SparkSession, staging: str, manifest: DataFrame, at: Column, tracks: DataFrame | None = None
 ) -> DataFrame:
-    """Route rows of a run."""
-    scan = _once(scan_gpx_routes(members_of(manifest, "gpx")), "tracks")
+    """Route rows of a run; ``tracks`` where they have been parsed already."""
+    scan = (gpx_tracks(manifest) if tracks is None else tracks).where("reason is null")
     return row_ordinal(route_projection(scan, at)).select(*column_names(ROUTES))
 
 
+def rejects(lines: DataFrame, tracks: DataFrame, at: Column) -> DataFrame:
+    """What of a run's members could not be read: the file, the line if one, and why."""
+    refused = tracks.withColumn("line", F.lit(None).cast("long"))
+    columns = ["user_id", "job_id", "source_file", "line", "reason"]
+    found = [df.where("reason is not null").select(*columns) for df in (lines, refused)]
+    return found[0].unionByName(found[1]).withColumn("_ingested", F.unix_timestamp(at))
+
+
 EXPORT = ["user_id", "job_id"]
 
 
@@ -126,8 +144,10 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     manifest = manifest.join(valid, EXPORT, "left_semi")
 
     store.upsert_records(staged_records(spark, staging, moment, valid), root)
-    store.upsert_ecg(staged_ecg(manifest, moment), root)
-    store.upsert_routes(staged_routes(spark, staging, manifest, moment), root)
+    lines, tracks = ecg_lines(manifest), gpx_tracks(manifest)
+    store.upsert_ecg(staged_ecg(manifest, moment, lines), root)
+    store.upsert_routes(staged_routes(spark, staging, manifest, moment, tracks), root)
+    store.write_rejects(rejects(lines, tracks, moment), root)
 
     store.write_job_status(job_status(checked, moment), root)
 

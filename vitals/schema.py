@@ -131,6 +131,7 @@ JOBS = (
     "user_id STRING, job_id STRING, status STRING, updated_at STRING, "
     "error_step STRING"
 )
+REJECTS = "user_id STRING, job_id STRING, source_file STRING, line LONG, reason STRING, _ingested LONG"
 USERS = (
     "id STRING, email STRING, email_verified BOOLEAN, created_at STRING, "
     "updated_at STRING, status STRING, "
@@ -146,6 +147,7 @@ def column_names(schema: str) -> list[str]:
 
 # family -> (schema, key columns, columns whose greatest value is the newest)
 TABLES = {
+    "rejects": (REJECTS, ["user_id", "job_id", "source_file", "line"], ["_ingested"]),
     "records": (
         RECORDS,
         ["user_id", "record_type", "start_date"],

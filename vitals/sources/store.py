@@ -34,6 +34,7 @@ LAYOUTS = {
     "routes": lambda: [_month("routes"), "user_id", "route_time", "ordinal"],
     "jobs": lambda: ["user_id", "job_id"],
     "users": lambda: ["id"],
+    "rejects": lambda: ["user_id", "job_id", "source_file", "line"],
 }
 
 
@@ -80,6 +81,10 @@ def write_job_status(jobs: DataFrame, root: str) -> None:
     _append(jobs, root, "jobs", LAYOUTS["jobs"]())
 
 
+def write_rejects(rejects: DataFrame, root: str) -> None:
+    _append(rejects, root, "rejects", LAYOUTS["rejects"]())
+
+
 def upsert_users(users: DataFrame, root: str) -> None:
     _append(users, root, "users", LAYOUTS["users"]())
 
