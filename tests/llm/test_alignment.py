@@ -99,7 +99,7 @@ def test_every_character_in_pairs():
     for start in range(1, 0x3100, 64):
         text = " ".join(f"{chr(c)} a{chr(c)} {chr(c)}b" for c in range(start, start + 64))
         (pieces,) = aligner.of([text])
-        shown = [] if None in pieces else "".join(p.groups for p in pieces)[:-1].split(";")
+        shown = [] if None in pieces else "".join(p[3] for p in pieces)[:-1].split(";")
         assert shown == [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups_by_hand(text)], hex(start)
 
 

@@ -54,16 +54,9 @@ BROADCAST_PAIRS = 1_000_000
 B_SPACE = "▁"
 
 
-class Piece(NamedTuple):
-    """One piece of a text: how many tokens of A and B and groups it has, the
-    groups as text, each with a ; behind it, and each link, a * B_IDS + b, as
-    eight bytes."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: bytes
+#: One piece of a text: how many tokens of A and B and groups it has, the groups
+#: as text, each with a ; behind it, and each link, a * B_IDS + b, as eight bytes.
+Piece = tuple[int, int, int, str, bytes]
 
 
 def byte_letters() -> dict[str, int]:
@@ -116,8 +109,9 @@ class Aligner:
         encoded_a = self.a.encode_batch(texts, add_special_tokens=False)
         # B puts the leading space there by itself
         encoded_b = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
-        a = Side(self.a_tokens, texts, [e.ids for e in encoded_a], [e.offsets for e in encoded_a], 0)
-        b = Side(self.b_tokens, texts, [e["ids"] for e in encoded_b], [e["offsets"] for e in encoded_b], 1)
+        laid = Laid(texts)
+        a = Side(self.a_tokens, laid, [e.ids for e in encoded_a], [e.offsets for e in encoded_a], 0)
+        b = Side(self.b_tokens, laid, [e["ids"] for e in encoded_b], [e["offsets"] for e in encoded_b], 1)
         good = a.same & b.same
         out: list[Piece | None] = [None] * len(texts)
         for at, piece in zip(np.flatnonzero(good), grouped(a.of(good), b.of(good))):
@@ -156,34 +150,47 @@ class Tokens:
         self.final = np.array([f"{i}{last}" for i in range(len(own))], object)
 
 
+class Laid:
+    """Texts one behind the other: their bytes, where each begins in characters
+    and in bytes, and the first byte of every character."""
+
+    def __init__(self, texts: list[str]):
+        self.raw = [t.encode() for t in texts]
+        self.whole = b"".join(self.raw)
+        self.sizes = np.array([len(b) for b in self.raw], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.cumsum([0, *(len(t) for t in texts)])
+        if len(self.whole) == self.letters[-1]:
+            self.byte_of = np.arange(len(self.whole) + 1)
+        else:
+            data = np.frombuffer(self.whole, np.uint8)
+            self.byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
 class Side(NamedTuple("Fields", [("tokens", Tokens), ("ids", np.ndarray), ("ends", np.ndarray), ("counts", np.ndarray), ("same", np.ndarray)])):
     """Tokens of texts that lie one behind the other: ids, byte ends over all
     texts, tokens per text, and which texts' bytes the tokens decode to."""
 
-    def __new__(cls, tokens: Tokens, texts: list[str], ids: list, spans: list, skipped: int):
+    def __new__(cls, tokens: Tokens, laid: Laid, ids: list, spans: list, skipped: int):
         """``skipped``: characters in front of each text that the spans leave out."""
         counts = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
-        row = np.repeat(np.arange(len(texts)), counts)
-        raw = [t.encode() for t in texts]
-        sizes = np.array([len(b) for b in raw], np.int64)
-        same = np.bincount(row, tokens.sizes[flat], len(texts)).astype(np.int64) == sizes
-        if not same.all() or b"".join(map(tokens.bytes.__getitem__, flat.tolist())) != b"".join(raw):
+        own = tokens.sizes[flat]
+        row = np.repeat(np.arange(len(ids)), counts)
+        held = np.bincount(row, own, len(ids)).astype(np.int64)
+        same = held == laid.sizes
+        if not same.all() or b"".join(map(tokens.bytes.__getitem__, flat.tolist())) != laid.whole:
             same = np.array(
-                [b"".join(map(tokens.bytes.__getitem__, x)) == b for x, b in zip(ids, raw)], bool
+                [b"".join(map(tokens.bytes.__getitem__, x)) == b for x, b in zip(ids, laid.raw)], bool
             )
-        # where each text begins, in characters and bytes, and each character's byte
-        letters = np.cumsum([0, *(len(t) for t in texts)])
-        begins = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        byte_of = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        letters = laid.letters
         span = np.fromiter(chain.from_iterable(chain.from_iterable(spans)), np.int64, 2 * len(flat)).reshape(-1, 2)
         span = np.minimum(span + (skipped + letters[row])[:, None], letters[row + 1][:, None])
-        decoded = np.cumsum(tokens.sizes[flat]) + (begins - begins_of(tokens.sizes[flat], row, len(texts)))[row]
+        decoded = np.cumsum(own) + (laid.begins - np.cumsum(held) + held)[row]
         # the end of a span, where the next token of the text does not begin before it
         ahead = np.append(span[1:, 0], letters[-1])
         whole = (ahead >= span[:, 1]) & (span[:, 1] > span[:, 0])
-        ends = np.where(whole, byte_of[span[:, 1]], decoded)
+        ends = np.where(whole, laid.byte_of[span[:, 1]], decoded)
         return super().__new__(cls, tokens, flat, ends, counts, same)
 
     def of(self, chosen: np.ndarray) -> Side:
@@ -192,12 +199,6 @@ class Side(NamedTuple("Fields", [("tokens", Tokens), ("ids", np.ndarray), ("ends
         return self._replace(ids=self.ids[kept], ends=self.ends[kept], counts=self.counts[chosen], same=self.same[chosen])
 
 
-def begins_of(sizes: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Per text the sum of the sizes of all tokens before its first."""
-    own = np.bincount(row, sizes, n).astype(np.int64)
-    return np.cumsum(own) - own
-
-
 def grouped(a: Side, b: Side) -> Iterator[Piece]:
     """A piece per text, of groups between the offsets where a token of A and one of B end."""
     cuts = np.intersect1d(a.ends, b.ends)
@@ -221,7 +222,7 @@ def grouped(a: Side, b: Side) -> Iterator[Piece]:
     n_links = np.bincount(row_a, repeats, len(a.counts)).astype(int)
     at = link = 0
     for own_a, own_b, groups, held in zip(a.counts.tolist(), b.counts.tolist(), n_groups.tolist(), n_links.tolist()):
-        yield Piece(own_a, own_b, groups, "".join(words[at : at + own_a + own_b]), links[8 * link : 8 * (link + held)])
+        yield own_a, own_b, groups, "".join(words[at : at + own_a + own_b]), links[8 * link : 8 * (link + held)]
         at += own_a + own_b
         link += held
 
