@@ -98,3 +98,20 @@ def test_a_sieve_keeps_every_row_that_is_meant(spark):
     assert kept.join(ids, "id").count() == rows.join(ids, "id").count()
     assert kept.count() < 4_000 + 20_000 // 17
     assert sieved(rows, ids.limit(0), "id").count() == 0
+
+
+def test_texts_that_share_an_id_are_one_document(spark, rows):
+    a, b, c = (words(900 + i, 60) for i in range(3))
+    near = lambda base: [*base[:30], "other", *base[31:]]
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), (5, " ".join(c))]
+    docs += [(7, " ".join(near(a))), (8, " ".join(near(b))), (9, " ".join(near(c))), (10, prose(4001, 60))]
+    got = {(r[0], r[1]) for r in rows(N.near_groups(documents(spark, docs)), "doc_id", "component_id")}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 5), (10, 10)}
+
+
+def test_a_text_with_many_partners_is_dealt_out(spark, rows, monkeypatch):
+    monkeypatch.setattr(N, "PAIRS", 3)
+    base = words(77, 90)
+    docs = [(i, " ".join([*base[:40], f"only{i}", *base[41:]])) for i in range(40)] + [(50, prose(4002, 60))]
+    got = rows(N.near_groups(documents(spark, docs)), "doc_id", "component_id")
+    assert got == sorted([(i, 0) for i in range(40)] + [(50, 50)], key=repr)

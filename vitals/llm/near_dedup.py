@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.llm.components import components
-from vitals.llm.tables import landed, sieved
+from vitals.llm.tables import arrow_batches, landed, sieved
 from vitals.llm.words import Words, chained, distinct, fold_table, mix, signed, slices, worker_state
 
 SIMILARITY = 80  # per cent of the union
@@ -28,7 +28,9 @@ BUCKETS = BANDS * BAND
 MANTISSA = 10
 #: Texts of a key that are compared with all others go in blocks of so many
 #: texts and so many shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 16
+BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 14
+#: Blocks that are handed to a worker at once.
+BATCH_BYTES = 4 << 20
 #: Pairs whose sets a task holds at once.
 PAIRS = 500
 #: An estimate this far below the threshold (six deviations at BUCKETS
@@ -116,7 +118,7 @@ def sets_of(column: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, registers of every row."""
+    """doc_id, digest of the text, n_shingles, digest of the set, registers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = fold_table(punctuation=False)
@@ -135,16 +137,17 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, rows),
+                        batch.column("t").slice(first, rows),
                         pa.array(size.astype(np.int64)),
                         pa.array(signed(digest[0])),
                         pa.array(signed(digest[1])),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    ["doc_id", "n", "d1", "d2", "regs"],
+                    ["doc_id", "t", "n", "d1", "d2", "regs"],
                 )
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, regs binary")
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) t", "cast(text as string) text")
+    return rows.mapInArrow(run, "doc_id long, t long, n long, d1 long, d2 long, regs binary")
 
 
 def keys_of(sets: DataFrame) -> DataFrame:
@@ -191,14 +194,20 @@ def verified(pairs: DataFrame, near: DataFrame, n: int, similarity: int) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     sides = [near.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "regs", "text")]) for side in "ab"]
+    pairs = landed(pairs.select("a", "b").distinct(), "pairs")
+    # a text with many partners is dealt out as so many copies of itself
+    fans = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {PAIRS}) as int)").alias("fan"))
+    dealt = pairs.join(fans, "a").select("a", "b", F.expr("pmod(xxhash64(b), fan)").alias("salt"))
+    left = fans.join(sides[0], F.col("a") == F.col("id_a")).select(
+        "id_a", "n_a", "regs_a", "text_a", F.explode(F.expr("sequence(0L, fan - 1L)")).alias("salt_a")
+    )
     met = (
-        pairs.select("a", "b")
-        .distinct()
-        .join(sides[0], F.col("a") == F.col("id_a"))
-        .join(sides[1], F.col("b") == F.col("id_b"))
+        dealt.join(sides[1], F.col("b") == F.col("id_b"))
+        .join(left, (F.col("a") == F.col("id_a")) & (F.col("salt") == F.col("salt_a")))
         .where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+        .select("a", "b", "n_a", "n_b", "regs_a", "regs_b", "text_a", "text_b")
     )
-    return met.drop("id_a", "id_b").mapInArrow(check, "a long, b long")
+    return met.mapInArrow(check, "a long, b long")
 
 
 def shingle_sets(near: DataFrame, n: int) -> DataFrame:
@@ -212,9 +221,11 @@ def shingle_sets(near: DataFrame, n: int) -> DataFrame:
     return near.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
-def compared(left: list[dict], right: list[dict], similarity: int) -> Iterator[tuple[int, int]]:
+def compared(left: pa.StructArray, right: pa.StructArray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) of two blocks whose sets reach the similarity, components apart."""
-    sets, others = ([np.frombuffer(t["set"], np.uint64) for t in side] for side in (left, right))
+    sets, others = (
+        [np.frombuffer(value.as_buffer(), np.uint64) for value in side.field("set")] for side in (left, right)
+    )
     words = np.unique(np.concatenate(sets))
     has, other = (np.zeros((len(side), len(words)), dtype=np.float32) for side in (sets, others))
     for i, h in enumerate(sets):
@@ -225,9 +236,10 @@ def compared(left: list[dict], right: list[dict], similarity: int) -> Iterator[t
     common = has @ other.T
     size, other_size = (np.array([len(h) for h in side]) for side in (sets, others))
     good = 100 * common >= similarity * (size[:, None] + other_size[None, :] - common)
-    good &= np.array([t["component"] for t in left])[:, None] != np.array([t["component"] for t in right])[None, :]
-    for i, j in zip(*np.nonzero(good)):
-        yield left[i]["id"], right[j]["id"]
+    component, other_component = (side.field("component").to_numpy() for side in (left, right))
+    good &= component[:, None] != other_component[None, :]
+    i, j = np.nonzero(good)
+    return left.field("id").to_numpy()[i], right.field("id").to_numpy()[j]
 
 
 def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -266,11 +278,13 @@ def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                left, right = (batch.column(c)[row].as_py() for c in ("left", "right"))
-                found = list(zip(*compared(left, right, similarity))) or [[], []]
+                left, right = (batch.column(c)[row].values for c in ("left", "right"))
+                found = compared(left, right, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-    return outside.join(every, "key").select("left", "right").mapInArrow(run, "a long, b long").distinct()
+    blocks = outside.join(every, "key").select("left", "right").mapInArrow(run, "a long, b long").distinct()
+    with arrow_batches(near.sparkSession, BATCH_BYTES):
+        return landed(blocks, "rest")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -292,12 +306,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     # worked out twice, as writing the registers of all rows costs more than hashing again
     sketched = sketches(docs, shingle)
     able = "n > 0 and doc_id is not null"
-    known = landed(sketched.drop("regs"), "sketches")
+    known = landed(sketched.drop("regs", "t"), "sketches")
     # equal sets are one from here on
     sets = landed(
         sketched.where(able)
         .groupBy("n", "d1", "d2")
-        .agg(F.min("doc_id").alias("id"), F.first("regs").alias("regs")),
+        .agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("regs").alias("regs"))
+        .selectExpr("n", "d1", "d2", "first.doc_id id", "first.t t", "regs"),
         "sets",
     )
     equal = known.where(able).join(sets.select("n", "d1", "d2", "id"), ["n", "d1", "d2"])
@@ -309,12 +324,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = landed(keys.join(landed(shared, "shared"), "key"), "met")
     # the texts that meet others, once each, and all that is needed of them
-    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text")
+    # by id and text, as rows of one id may differ in their texts
+    texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").selectExpr("*", "xxhash64(text) t")
     involved = landed(met.select("id").distinct(), "involved")
     near = (
-        sieved(wide.select("id", "n", "regs"), involved, "id")
+        sieved(wide.select("id", "t", "n", "regs"), involved, "id")
         .join(involved, "id")
-        .join(sieved(texts, involved, "id"), "id")
+        .join(sieved(texts, involved, "id"), ["id", "t"])
     )
     near = landed(near.dropDuplicates(["id", "n", "regs"]), "near")
     company = met.groupBy("id").agg(F.sum("size").alias("company"))
@@ -328,7 +344,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     star = landed(verified(star, near, shingle, similarity), "star")
     labels = near.select("id", "n").distinct().join(components(star), "id", "left")
     at = met.join(labels.withColumn("component", F.coalesce("component", "id")), "id")
-    rest = landed(remaining(landed(at, "met-components"), near, shingle, similarity), "rest")
+    rest = remaining(landed(at, "met-components"), near, shingle, similarity)
 
     closed = components(union([equal, star, rest]))
     return (
