@@ -28,14 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id all do.
+    Of rows that repeat an id and its text one stays; rows without an id all
+    do. Different texts of one id are one document and stay together.
     """
     kept = near_groups(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = kept.withColumnRenamed("doc_id", "id")
     met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]))
     single = kept["id"].isNull() | (kept["rows"] == 1)
     return met.where(single).select(docs["*"]).unionByName(
-        met.where(~single).select(docs["*"]).dropDuplicates(["doc_id"])
+        met.where(~single).select(docs["*"]).dropDuplicates(["doc_id", "text"])
     )
 
 
