@@ -28,8 +28,8 @@ BUCKETS = BANDS * BAND
 MANTISSA = 10
 #: Texts of a key that are compared with all others go in blocks of so many
 #: texts and so many shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 14
-#: Blocks that are handed to a worker at once.
+BLOCK_TEXTS, BLOCK_SHINGLES = 64, 1 << 15
+#: Bytes of rows that are handed to a worker at once.
 BATCH_BYTES = 4 << 20
 #: Pairs whose sets a task holds at once.
 PAIRS = 500
@@ -198,7 +198,8 @@ def verified(pairs: DataFrame, near: DataFrame, n: int, similarity: int) -> Data
     # a text with many partners is dealt out as so many copies of itself
     fans = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {PAIRS}) as int)").alias("fan"))
     dealt = pairs.join(fans, "a").select("a", "b", F.expr("pmod(xxhash64(b), fan)").alias("salt"))
-    left = fans.join(sides[0], F.col("a") == F.col("id_a")).select(
+    heads = sieved(sides[0], fans.selectExpr("a id_a"), "id_a")
+    left = fans.join(heads, F.col("a") == F.col("id_a")).select(
         "id_a", "n_a", "regs_a", "text_a", F.explode(F.expr("sequence(0L, fan - 1L)")).alias("salt_a")
     )
     met = (
@@ -247,9 +248,14 @@ def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataF
 
     ``met`` has key, id, n, component. Texts outside the key's largest
     component meet all texts of the key, as blocks of sets: a row of the join
-    is two blocks, not two texts.
+    is two blocks, not two texts. A key of two texts has been compared already,
+    and of keys that the same texts share one stands for all.
     """
-    parts = met.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    same = [
+        F.bit_xor(F.xxhash64("id")).alias("x"),
+        F.sum(F.xxhash64("id", "n").cast("decimal(38,0)")).alias("s"),
+    ]
+    parts = met.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *same)
     # the key's largest component, its texts, its shingles
     keys = (
         parts.groupBy("key")
@@ -258,8 +264,12 @@ def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataF
             F.count("*").alias("components"),
             F.sum("c").alias("texts"),
             F.sum("n").alias("shingles"),
+            F.bit_xor("x").alias("x"),
+            F.sum("s").alias("s"),
         )
-        .where("components > 1")
+        .where("components > 1 and texts > 2")
+        .groupBy("largest", "components", "texts", "shingles", "x", "s")
+        .agg(F.min("key").alias("key"))
         .select(
             "key",
             F.col("largest.component").alias("main"),
@@ -283,8 +293,7 @@ def remaining(met: DataFrame, near: DataFrame, n: int, similarity: int) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
     blocks = outside.join(every, "key").select("left", "right").mapInArrow(run, "a long, b long").distinct()
-    with arrow_batches(near.sparkSession, BATCH_BYTES):
-        return landed(blocks, "rest")
+    return landed(blocks, "rest")
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -303,6 +312,12 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: int = SIMILARITY)
     the largest are compared with all. So a key costs little more than its size
     if its texts are copies of each other, and no link is left out.
     """
+    # texts and blocks of sets make rows so large that batches are bounded by their bytes
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _grouped(docs, shingle, similarity)
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: int) -> DataFrame:
     # worked out twice, as writing the registers of all rows costs more than hashing again
     sketched = sketches(docs, shingle)
     able = "n > 0 and doc_id is not null"
