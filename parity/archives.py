@@ -150,8 +150,12 @@ TRACK = '<{0}trk><{0}trkseg><{0}trkpt lat="1" lon="2"><{0}time>2024-01-05</{0}ti
 def _members(user: int) -> dict[str, bytes]:
     """Members of a user's archive, one fault for each remainder of the id by five."""
     csv = f"Date,Classification\n2024-01-02,a\nbroken\rline,x\n2024-01-03,{'x' * 200_000}\n"
+    # no element, wherever a split of the file may begin
+    unreal = f'<Record type="{HEART}" value="0" startDate="2024-01-09"/>'
     xml = (
-        f"<HealthData><Record type='{HEART}' value='{user}' startDate='2024-01-01'/>"
+        f"<!DOCTYPE HealthData [<!ENTITY e '{unreal}'>]><!-- {unreal} -->"
+        f"<HealthData><!-- {unreal}{' ' * 3000}{unreal} --><note><![CDATA[--> {unreal}]]></note><?p {unreal}?>"
+        f"<Record type='{HEART}' value='{user}' startDate='2024-01-01'/>"
         f'<Record\n type="{STEPS}" value="2" startDate="2024-01-02"></Record></HealthData>'
     )
     names = "export/electrocardiograms/e.csv", "export/workout-routes/r.gpx", "export/export.xml"

@@ -1,5 +1,8 @@
 """Bounds of the queries."""
 
+import base64
+import json
+
 import pytest
 
 from vitals.operators.requests import check_requests
@@ -41,6 +44,11 @@ def check(spark, kind="metrics", **changes):
         ({"granularity": "raw", "cursor": "not-base64!!"}, "INVALID_CURSOR"),
         ({"granularity": "raw", "cursor": ""}, None),
         ({"granularity": "raw", "cursor": "eyJzdGFydF9kYXRlIjoiMjAyNCJ9"}, None),
+        # {"date":"2024"}, {"start_date":null}, {}
+        ({"granularity": "raw", "cursor": "eyJkYXRlIjoiMjAyNCJ9"}, "INVALID_CURSOR"),
+        ({"granularity": "raw", "cursor": "eyJzdGFydF9kYXRlIjpudWxsfQ=="}, "INVALID_CURSOR"),
+        ({"granularity": "raw", "cursor": "e30="}, "INVALID_CURSOR"),
+        ({"granularity": "daily", "cursor": "e30="}, None),
         ({"type": "x", "start": "y", "limit": "z"}, "INVALID_METRIC_TYPE"),
     ],
 )
@@ -63,6 +71,18 @@ def test_listings_need_neither_type_nor_granularity(spark):
     assert check(spark, "ecg", limit="-1")["error_code"] == "INVALID_LIMIT"
 
 
+def test_cursors_hold_all_columns_of_the_order(spark):
+    def code(kind, **key):
+        cursor = base64.urlsafe_b64encode(json.dumps(key).encode()).decode()
+        return check(spark, kind, cursor=cursor)["error_code"]
+
+    place = dict(ordinal=1, source_file="f", row_in_file=2)
+    assert code("ecg", ecg_time="2024-01-01", **place) is None
+    assert code("workouts", route_time="2024-01-01", **place) is None
+    assert code("ecg", route_time="2024-01-01", **place) == "INVALID_CURSOR"
+    assert code("workouts", route_time="2024-01-01") == "INVALID_CURSOR"
+
+
 def test_dictionaries():
     assert len(RECORD_TYPES) == 55
     assert len(QUERYABLE_TYPES) == 25

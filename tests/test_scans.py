@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vitals.operators.ecg import ecg_projection, route_projection, row_ordinal
 from vitals.operators.records import map_record_type, project_record
 from vitals.sources import gpx as gpx_source
+from vitals.sources.archive import _Scrubber
 from vitals.sources.ecg_csv import scan_ecg, scan_ecg_csv
 from vitals.sources.gpx import scan_gpx, scan_gpx_routes
 from vitals.sources.health_xml import ATTRIBUTES, scan_health_xml
@@ -335,3 +336,44 @@ def test_many_tracks_go_out_in_batches(spark, tmp_path, monkeypatch):
     for inline in (True, False):
         got = scan_gpx_routes(members(spark, tmp_path, inline)).orderBy("track").collect()
         assert [(r["track"], [p["lat"] for p in r["waypoints"]]) for r in got] == [(i, [str(i)] * (i % 4)) for i in range(20)]
+
+
+def test_only_elements_begin_with_a_bracket_once_unpacked(spark, tmp_path):
+    unreal = '<Record type="no" value="0"/>'
+    prologue = (
+        '<?xml version="1.0"?>\n<!-- ' + unreal + " --><!DOCTYPE HealthData [\n"
+        "<!ENTITY e '<!-- " + unreal + "'>\n<!ELEMENT HealthData ANY>]>\n<HealthData>\n"
+    )
+    generator = random.Random(4)
+    body, real = [], []
+    for number in range(200):
+        body.append(generator.choice([
+            f"<!-- {unreal} - ] ?> -->", f"<!--{unreal * 40}-->", f"<![CDATA[<!-- {unreal} ]] > ]]>",
+            f"<?p {unreal} --> ]]?>", "<!---->", "<![CDATA[]]>",
+        ]))
+        body.append(f'<Record type="t{number}" value="--&gt; > ]]&gt;"/>')
+        real.append((f"t{number}", "", "--> > ]]>", "", ""))
+    text = (prologue + "\n".join(body) + "</HealthData>").encode()
+    whole = None
+    for size in (1, 2, 7, 9, 1000, len(text)):
+        scrubber = _Scrubber()
+        parts = [scrubber.feed(text[at : at + size]) for at in range(0, len(text), size)]
+        got = b"".join([*parts, scrubber.feed(b"", last=True)])
+        assert len(got) == len(text) and whole in (None, got)
+        whole = got
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "export.xml").write_bytes(whole)
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert scanned(scan_health_xml(spark, str(tmp_path / "x"))) == real
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    # a prologue whose comment goes on over blocks, the root in the last of them
+    long = b"<!--" + b"x" * 500 + b"--><a><Record c='1'/></a>"
+    scrubber = _Scrubber()
+    got = b"".join([scrubber.feed(long[:400]), scrubber.feed(long[400:]), scrubber.feed(b"", last=True)])
+    assert got == long
+    plain = b'<?xml version="1.0"?><a><b c="1"/>text</a>'
+    scrubber = _Scrubber()
+    assert scrubber.feed(plain) + scrubber.feed(b"", last=True) == plain

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitals.functions.cursor import decode_cursor
 from vitals.functions.text import parse_date, parse_limit
+from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER
 from vitals.schema import (
     ECG_LIMITS,
     MAX_RANGE_DAYS,
@@ -16,19 +17,24 @@ from vitals.schema import (
 )
 
 LIMITS = {"metrics": METRIC_LIMITS, "ecg": ECG_LIMITS, "workouts": WORKOUT_LIMITS}
+# Columns a cursor holds at least.
+CURSOR_KEYS = {"metrics": ["start_date"], "ecg": ECG_ORDER, "workouts": ROUTE_ORDER}
 
 
 def _blank(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")) == ""
 
 
-def check_requests(requests: DataFrame, kind: str = "metrics") -> DataFrame:
+def check_requests(
+    requests: DataFrame, kind: str = "metrics", key: list[str] | None = None
+) -> DataFrame:
     """Adds ``error_code`` (the first failing rule, else null) and the bounds.
 
     ``requests`` has ``user_id, start, end, limit`` and, for metrics, ``type``
     and ``granularity``, all as text; ``cursor`` is optional. ``limit`` becomes
     the rows allowed and ``granularity`` its default. A daily request has no
-    limit.
+    limit. A cursor that cannot be read or lacks a column of ``key``, which by
+    default is the order of the kind's pages, is an error.
     """
     metrics = kind == "metrics"
     default, maximum = LIMITS[kind]
@@ -57,7 +63,10 @@ def check_requests(requests: DataFrame, kind: str = "metrics") -> DataFrame:
     rules.append((paged & limit.isNull(), "INVALID_LIMIT"))
     if "cursor" in requests.columns:
         payload = decode_cursor(F.col("cursor"), "map<string,string>")
-        rules.append((paged & ~_blank("cursor") & payload.isNull(), "INVALID_CURSOR"))
+        held = payload.isNotNull()
+        for name in key or CURSOR_KEYS[kind]:
+            held = held & F.coalesce(payload[name].isNotNull(), F.lit(False))
+        rules.append((paged & ~_blank("cursor") & ~held, "INVALID_CURSOR"))
 
     code = F.lit(None).cast("string")
     for broken, name in reversed(rules):

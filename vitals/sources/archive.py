@@ -7,6 +7,7 @@ member at a time. Neither holds a whole archive or member in memory.
 
 from __future__ import annotations
 
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -185,15 +186,70 @@ class _OpenArchive:
         self._path = self._source = self._archive = None
 
 
+class _Scrubber:
+    """Checks XML block by block and blanks each ``<`` that begins no tag.
+
+    Such stand in comments, CDATA sections and processing instructions, and as
+    ``<Record`` in front of the root. A split scan, which sees a few bytes only,
+    may then take every ``<Record`` for an element. Lengths stay as they are.
+    """
+
+    SECTIONS = {b"<!--": b"-->", b"<![CDATA[": b"]]>", b"<?": b"?>"}
+    BEGIN = re.compile(b"|".join(map(re.escape, SECTIONS)))
+    RECORD = re.compile(b"<(?=Record)")
+    #: A mark that begins before so many bytes of the end is seen as a whole.
+    KEEP = max(map(len, SECTIONS)) - 1
+
+    def __init__(self):
+        self._parser = expat.ParserCreate()
+        self._parser.StartElementHandler = self._begin
+        self._defer(False)  # the root has to be known with the block it stands in
+        self._root = self._until = None
+        self._base, self._held = 0, b""
+
+    def _begin(self, *_):
+        self._root = self._parser.CurrentByteIndex
+        self._parser.StartElementHandler = None
+        self._defer(True)
+
+    def _defer(self, enabled: bool) -> None:
+        # expat releases without this method parse at once
+        if hasattr(self._parser, "SetReparseDeferralEnabled"):
+            self._parser.SetReparseDeferralEnabled(enabled)
+
+    def feed(self, block: bytes, last: bool = False) -> bytes:
+        """What of the blocks so far can be told; raises if they are not well-formed."""
+        self._parser.Parse(block, last)
+        data, at, out = self._held + block, 0, []
+        limit = len(data) if last else len(data) - self.KEEP
+        while at < limit:
+            if self._root is None or self._base + at < self._root:
+                stop = limit if self._root is None else min(limit, self._root - self._base)
+                out.append(self.RECORD.sub(b" ", data[at : stop + self.KEEP])[: stop - at])
+            elif self._until is None:
+                mark = self.BEGIN.search(data, at)
+                found = mark is not None and mark.start() < limit
+                stop = mark.end() if found else limit
+                self._until = self.SECTIONS[mark.group()] if found else None
+                out.append(data[at:stop])
+            else:
+                end = data.find(self._until, at)
+                stop = min(end, limit) if end >= 0 else limit
+                out.append(data[at:stop].replace(b"<", b" "))
+                if stop == end:
+                    self._until = None
+            at = stop
+        self._held, self._base = data[at:], self._base + at
+        return b"".join(out)
+
+
 def _copy(member, out, check: bool) -> None:
     """Copies in blocks; with ``check``, XML that is not well-formed raises."""
-    parser = expat.ParserCreate() if check else None
+    scrubber = _Scrubber() if check else None
     while block := member.read(COPY_BYTES):
-        if parser:
-            parser.Parse(block, False)
-        out.write(block)
-    if parser:
-        parser.Parse(b"", True)
+        out.write(scrubber.feed(block) if scrubber else block)
+    if scrubber:
+        out.write(scrubber.feed(b"", last=True))
 
 
 def _unpack(staging: str, inline_bytes: int):
@@ -252,7 +308,8 @@ def unpack_members(
     A measurement XML is large and can be split once it is a file. CSV and GPX
     members are many and small; as values of a column they are stored together
     instead of as one tiny file each. One above ``inline_bytes`` becomes a file
-    as well.
+    as well. In staged XML nothing but elements begins with ``<``, so that it
+    can be split anywhere.
 
     ``members`` comes from ``list_members``, whose rows of one archive follow
     each other, so an archive is opened once. Of several XML members only the

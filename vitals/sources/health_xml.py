@@ -55,8 +55,10 @@ def scan_health_xml(
 
     Files are split by size and cut at every ``<``, which stands nowhere in a
     value; a piece is a tag and the text behind it, however long the file's
-    parts without records are. Only records in comments need
-    ``splittable=False``, which parses each file as a whole in one task.
+    parts without records are. Of records in comments, CDATA sections and
+    entity declarations nothing is left in unpacked members; files from
+    elsewhere that hold such need ``splittable=False``, which parses each file
+    as a whole in one task.
     """
     layout = f", {EXPORT_COLUMNS}" if staged else ""
     keys = ["user_id", "job_id"] if staged else []
