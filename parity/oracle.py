@@ -320,6 +320,21 @@ SELECT request_id, user_id, record_type, start_date, value, position FROM (
     AND r.start_date BETWEEN c.s AND c.e || '~'
   WHERE c.error_code IS NULL AND c.granularity = 'raw')
 WHERE position <= "limit" """,
+    "answer_raw_next": f"""WITH {REC}, {REQUESTS}
+SELECT request_id, user_id, record_type, start_date, value, (place - "limit")::INTEGER AS position FROM (
+  SELECT c.request_id, r.*, c."limit", row_number() OVER (PARTITION BY c.request_id
+    ORDER BY r.start_date) AS place
+  FROM checked c JOIN rec r ON r.user_id = c.user_id AND r.record_type = c.type
+    AND r.start_date BETWEEN c.s AND c.e || '~'
+  WHERE c.error_code IS NULL AND c.granularity = 'raw')
+WHERE place > "limit" AND place <= 2 * "limit" """,
+    "answer_ecg_next": f"""WITH {ECG}, {REQUESTS}
+SELECT request_id, user_id, ecg_time, classification, (place - "limit")::INTEGER AS position FROM (
+  SELECT c.request_id, r.*, c."limit", row_number() OVER (PARTITION BY c.request_id
+    ORDER BY r.ecg_time) AS place
+  FROM listed c JOIN ecg r ON r.user_id = c.user_id
+    AND r.ecg_time BETWEEN c.s AND c.e || '~' WHERE c.error_code IS NULL)
+WHERE place > "limit" AND place <= 2 * "limit" """,
     "check_requests_ecg": f"""WITH {REQUESTS}
 SELECT request_id, "limit", error_code FROM listed""",
     "answer_ecg": f"""WITH {ECG}, {REQUESTS}

@@ -371,6 +371,35 @@ def raw_answers(spark, sf_dir):
     ).select("request_id", "user_id", "record_type", "start_date", "value", "position")
 
 
+def _following(spark, sf_dir, kind, answers):
+    """The requests whose first page is full, with the cursor it gave, as a written table."""
+    key = (spark.sparkContext.applicationId, f"{kind} {sf_dir}")
+    if key not in _asked:
+        cursors = answers.where("next_cursor is not null").selectExpr("request_id", "next_cursor cursor")
+        path = shared_dir(spark, "requests")
+        _requests(spark, sf_dir).drop("cursor").join(cursors.distinct(), "request_id").write.parquet(path)
+        _asked[key] = path
+    return spark.read.parquet(_asked[key])
+
+
+def raw_answers_next(spark, sf_dir):
+    """The second page of every raw request."""
+    records = adapter.records(spark, sf_dir)
+    first = answer_raw(_requests(spark, sf_dir), records, ("_pos",))
+    return answer_raw(_following(spark, sf_dir, "raw", first), records, ("_pos",)).select(
+        "request_id", "user_id", "record_type", "start_date", "value", "position"
+    )
+
+
+def ecg_answers_next(spark, sf_dir):
+    """The second page of every ECG request."""
+    rows = adapter.ecg(spark, sf_dir)
+    first = answer_ecg(_requests(spark, sf_dir), rows)
+    return answer_ecg(_following(spark, sf_dir, "ecg", first), rows).select(
+        "request_id", "user_id", "ecg_time", "classification", "position"
+    )
+
+
 def requests_ecg(spark, sf_dir):
     return check_requests(adapter.requests(spark, sf_dir), "ecg").select(
         "request_id", "limit", "error_code"
@@ -667,8 +696,10 @@ QUERIES: dict[str, Query] = {
     "check_requests": requests,
     "answer_daily": daily_answers,
     "answer_raw": raw_answers,
+    "answer_raw_next": raw_answers_next,
     "check_requests_ecg": requests_ecg,
     "answer_ecg": ecg_answers,
+    "answer_ecg_next": ecg_answers_next,
     "answer_workouts": workout_answers,
     "export_arrivals": export_arrivals,
     "parse_export_key": export_key,

@@ -17,14 +17,16 @@ from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
 KEYS = ["user_id", "record_type"]
 
 
-def _accepted(requests: DataFrame, kind: str, granularity: str | None = None) -> DataFrame:
+def _accepted(
+    requests: DataFrame, kind: str, granularity: str | None = None, key: list[str] | None = None
+) -> DataFrame:
     """Requests without an error, once per calendar year they touch.
 
     A request spans at most 90 days, so two years at most. The year, with the
     user and type, makes the range an equality join in which a request meets
     one or two years of daily rows, however many rows its user has.
     """
-    checked = check_requests(requests, kind).where(F.col("error_code").isNull())
+    checked = check_requests(requests, kind, key).where(F.col("error_code").isNull())
     if granularity is not None:
         checked = checked.where(F.col("granularity") == granularity)
     years = F.array_distinct(
@@ -176,10 +178,9 @@ def answer_raw(
     requests: DataFrame, records: DataFrame, tiebreak: tuple[str, ...] = ()
 ) -> DataFrame:
     """Records of every accepted raw request."""
-    accepted = _accepted(requests, "metrics", "raw")
-    return _answer_pages(
-        accepted, records, ["start_date", *tiebreak], METRIC_LIMITS[1]
-    )
+    order = ["start_date", *tiebreak]
+    accepted = _accepted(requests, "metrics", "raw", order)
+    return _answer_pages(accepted, records, order, METRIC_LIMITS[1])
 
 
 def answer_ecg(requests: DataFrame, ecg: DataFrame) -> DataFrame:
