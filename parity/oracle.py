@@ -186,6 +186,11 @@ SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id,
   CASE k WHEN 4 THEN 'COMPLETED' ELSE 'FAILED' END AS status, '1706745600' AS updated_at,
   ['ValidateFile', 'ValidateFile', 'ParallelParsing', NULL, NULL][k + 1] AS error_step
 FROM faulty WHERE k <> 3""",
+    "faulty_counts": f"""WITH {FAULTY}
+SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id, c.* EXCLUDE (of) FROM faulty JOIN (VALUES
+  (0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 2, 0, 1, 1, 0, 0, 0, 0), (2, 2, 1, 0, 1, 0, 0, 0, 0),
+  (4, 4, 1, 1, 2, 2, 0, 2, 1)) AS c(of, file_count, xml_members, ecg_members, gpx_members,
+  records_kept, records_skipped, ecg_rows, routes) ON c.of = k""",
     "faulty_rows": f"""WITH {FAULTY}
 SELECT user_id::VARCHAR AS user_id, family, n::BIGINT AS "rows"
 FROM faulty, (VALUES ('records', 2), ('ecg', 2), ('routes', 1)) AS stored(family, n) WHERE k = 4""",

@@ -569,6 +569,11 @@ def faulty_jobs(spark, sf_dir):
     return store.scan_table(spark, _faulty(spark, sf_dir)[0], "jobs")
 
 
+def faulty_counts(spark, sf_dir):
+    """What the faulty archives held and what became of it."""
+    return ingest.run_counts(spark, *_faulty(spark, sf_dir), _at())
+
+
 def faulty_rows(spark, sf_dir):
     """What is stored of the faulty archives."""
     tables, _ = _faulty(spark, sf_dir)
@@ -665,6 +670,7 @@ QUERIES: dict[str, Query] = {
     "pending_exports": pending,
     "faulty_exports": faulty_exports,
     "faulty_jobs": faulty_jobs,
+    "faulty_counts": faulty_counts,
     "faulty_rows": faulty_rows,
     "faulty_rejects": faulty_rejects,
     "metric_daily_range": metric_daily_range,

@@ -153,12 +153,19 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
 
 
 def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> DataFrame:
-    """Per export of a run: members, records kept and skipped, rows written."""
+    """Per export of a run: members, records kept and skipped, rows written.
+
+    Of an export that failed validation the members count only, as nothing of
+    it is stored.
+    """
     moment = F.lit(at).cast("timestamp")
-    manifest = read_manifest(spark, root, staging)
+    manifest = read_manifest(spark, root, staging).where(F.col("user_id").isNotNull())
+    checked = archive.validate_exports(manifest.where(F.col("job_id").isNotNull()))
+    valid = _once(checked.where("valid").select(*EXPORT), "valid")
+    good = manifest.join(valid, EXPORT, "left_semi")
     return ingest_counts(
-        manifest.where(F.col("user_id").isNotNull()),
-        staged_scan(spark, staging),
-        staged_ecg(manifest, moment),
-        staged_routes(spark, staging, manifest, moment),
+        manifest,
+        staged_scan(spark, staging).join(valid, EXPORT, "left_semi"),
+        staged_ecg(good, moment),
+        staged_routes(spark, staging, good, moment),
     )
