@@ -7,8 +7,9 @@ block by few enough bits to be found there. Candidates are verified by the
 exact weighted similarity of the shingles. A shingle weighs by the number of
 items of the whole benchmark that hold it.
 
-A window without a shingle of the item has no similarity to it at all, so only
-windows that lay such a shingle where the item has it are fingerprinted.
+What an item and a window share weighs no more than the window's shingles that
+are the item's. Every window, at any offset, in which these weigh enough to reach
+the similarity is fingerprinted; in no other can it be reached.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.tables import landed
+from vitals.llm.tables import carried, landed
 from vitals.llm.words import Words, fold_table, lowered, mix, signed, slices
 
 SHINGLE = 5
@@ -85,18 +86,20 @@ class Items:
         lengths = np.array([len(s) for s in shingles])
         flat = np.concatenate(shingles)
         owner = np.repeat(np.arange(len(ids)), lengths)
-        offset = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         own = Counter(h for s in shingles for h in set(s.tolist()))
         total, in_items = total or len(ids), in_items or own
         self.rare = math.log(1 + total)
         self.weights = {h: math.log(1 + total / in_items[h]) for h in own}
-        order = np.argsort(flat, kind="stable")
-        self.hashes, self.owner, self.offset = flat[order], owner[order], offset[order]
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.seen[flat >> np.uint64(64 - FILTER_BITS)] = True
         self.known = np.array(sorted(self.weights), dtype=np.uint64)
         self.known_weight = np.array([self.weights[h] for h in self.known.tolist()])
         self.bags = [Counter(s.tolist()) for s in shingles]
+        # one entry per item and different shingle, by shingle
+        pairs = np.unique(np.stack((flat, owner.astype(np.uint64)), axis=1), axis=0)
+        self.hashes, self.owner = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
+        weighs = np.add.reduceat(self.weight(flat), np.cumsum(lengths) - lengths)
+        self.least = SIMILARITY * weighs * (1 - 1e-9)  # sums in another order
         self.prints = simhash(flat, self.weight(flat), np.cumsum(lengths) - lengths)
         near = block_values(self.prints)[:, :, None] ^ near_masks()[None, None, :]
         near |= (np.arange(BLOCKS, dtype=np.uint32) << np.uint32(BLOCK_BITS))[None, :, None]
@@ -131,6 +134,37 @@ class Items:
             either += w * max(mine[h], other[h])
         return both / either if either else 0.0
 
+    def promising(
+        self, row: np.ndarray, item: np.ndarray, place: np.ndarray, h: np.ndarray, first: np.ndarray
+    ) -> np.ndarray:
+        """[window, 2] first shingle and the one after the last of the windows that may reach an item.
+
+        ``place`` are shingles of the row that ``item`` holds, in order of row,
+        item and place. A text shorter than the item is one window.
+        """
+        weight = self.weight(h[place])
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]))))
+        ends = np.append(new[1:], len(place))
+        enough = np.add.reduceat(weight, new) >= self.least[item[new]]
+        out = []
+        for start, end in zip(new[enough].tolist(), ends[enough].tolist()):
+            at, i, r = place[start:end], item[start], row[start]
+            size = int(self.words[i]) - self.n + 1
+            low, high = int(first[r]), int(first[r + 1])
+            if high - low <= size:
+                out.append(np.array([[low, high]]))
+                continue
+            sums = np.concatenate(([0.0], np.cumsum(weight[start:end])))
+            # windows in which a hit enters or leaves start a stretch of windows with equal sums
+            turns = np.unique(np.clip(np.concatenate((at - size + 1, at + 1)), low, high - size))
+            held = sums[np.searchsorted(at, turns + size)] - sums[np.searchsorted(at, turns)]
+            until = np.append(turns[1:], high - size + 1)
+            good = held >= self.least[i]
+            lengths = (until - turns)[good]
+            begin = np.repeat(turns[good] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            out.append(np.stack((begin, begin + size), axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+
     def matches(self, words: Words) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, similarity, first word, words) of the windows that verify."""
         row, h = words.shingles(self.n)
@@ -143,11 +177,9 @@ class Items:
         if not n.sum():
             return
         place = np.repeat(hit, n)
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        size = self.words[self.owner[at]] - self.n + 1
-        start = np.maximum(place - self.offset[at], first[row[place]])
-        end = np.minimum(place - self.offset[at] + size, first[row[place] + 1])
-        windows = np.unique(np.stack((start, end), axis=1), axis=0)
+        item = self.owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.lexsort((place, item, row[place]))
+        windows = self.promising(row[place[order]], item[order], place[order], h, first)
         for part in range(0, len(windows), 2000):  # bounded memory, whatever the number of hits
             start, end = windows[part : part + 2000].T
             lengths = end - start
@@ -261,10 +293,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_P
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark, per_block):
-        shared = spark.sparkContext.broadcast(block)  # at most about per_block items
+        shared = carried(spark, block)  # at most about per_block items
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = index(shared.value)
+            indexes = index(shared())
             for batch in batches:
                 found = list(found_in(indexes, batch.column("text")))
                 ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
@@ -283,10 +315,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, per_block: int = ITEMS_
     """``docs`` without the rows that hold a passage of the benchmark; all columns stay."""
     at = docs.columns.index("text")
     for block in blocks(benchmark, per_block):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = carried(docs.sparkSession, block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            indexes = index(shared.value)
+            indexes = index(shared())
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[f[0] for f in found_in(indexes, batch.column(at))]] = False

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vitals.llm.tables import carried
 from vitals.llm.words import worker_state
 
 # --- tree -----------------------------------------------------------------
@@ -522,14 +523,15 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     main text, gives an empty text. Null ids and URLs stay null, repeated rows
     are repeated, other columns are not read.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or worker_state("main_text", fit))  # TREES x 2**DEPTH numbers
+    shared = carried(pages.sparkSession, model or worker_state("main_text", fit))  # TREES x 2**DEPTH numbers
     group = 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared()
         for batch in batches:
             for at in range(0, batch.num_rows, group):  # bounds the trees held at once
                 part = batch.slice(at, group)
-                texts = main_texts(shared.value, part.column("html").to_pylist())
+                texts = main_texts(trees, part.column("html").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string())],
                     ["page_id", "url", "text"],

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitals.llm.tables import carried
 from vitals.llm.words import mix, slices, worker_state
 
 UNKNOWN = "und"
@@ -281,10 +282,10 @@ def predict(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFram
     language was learned; ties go to the first language by name. Repeated rows
     give repeated rows; of other columns none is read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**16 numbers
+    shared = carried(docs.sparkSession, model)  # languages x 2**16 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         span = pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())])
         for batch in batches:
             for row, data, offsets in slices(batch.column("text")):
@@ -338,14 +339,15 @@ def with_language(docs: DataFrame, train_rows: int = TRAIN_ROWS, penalty: float
     A null text and one without a letter have none, and nothing has where no
     language was learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
+    shared = carried(docs.sparkSession, fit(docs, train_rows))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
             named = []
             for _, data, offsets in slices(batch.column(at)):
-                named += [name != UNKNOWN for name in label(shared.value, data, offsets, penalty)[0]]
+                named += [name != UNKNOWN for name in label(model, data, offsets, penalty)[0]]
             yield batch.filter(pa.array(named, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -9,12 +9,15 @@ A configuration is a multiset of lengths that fits a sequence. The linear
 program "fewest sequences so that the configurations cover the histogram" is
 solved by multiplicative weights: prices per length, configurations of most
 value by dynamic programming (a knapsack), prices raised where cover lags. Its
-solution is rounded down; the rest is packed best-fit by decreasing length.
+solution is rounded down; what is left is priced by the same program again, and
+its longest piece gets the configuration of most value among the pieces that
+are still there (a knapsack in which every piece counts once), until none is left.
 """
 
 from __future__ import annotations
 
 import base64
+import collections
 import functools
 import json
 import zlib
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitals.llm.tables import landed
+from vitals.llm.tables import carried, landed
 from vitals.llm.words import worker_state
 
 CAPACITY = 2048
@@ -38,6 +41,8 @@ ROUNDS = 120
 #: How fast prices follow the cover, which share of a demand one round of the
 #: solution takes, and how far below the best value a configuration may lie.
 RATE, SHARE, SLACK = 0.03, 0.25, 0.01
+#: Rounds for prices of what rounding leaves, and how often these are renewed.
+LAST_ROUNDS, RENEWALS = 30, 6
 #: Texts below this character (Latin, Greek, Cyrillic) go the faster way.
 LAST_COMMON = "\u0530"
 
@@ -155,14 +160,12 @@ def filled(last: np.ndarray, room: int) -> Pattern:
     return tuple(out)
 
 
-def linear_program(
-    demand: np.ndarray, capacity: int, rounds: int = ROUNDS
-) -> tuple[dict[Pattern, float], float]:
-    """Configurations with fractional counts, and a lower bound on all packings.
+def priced(demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """Prices by multiplicative weights, the lower bound they prove, and the same without -inf.
 
     ``demand[i]`` pieces have length i + 1. Each round prices a knapsack for
     every length at once (its best configuration holds the length and fills
-    what is left) and adds the configurations of nearly most value.
+    what is left) and takes the configurations of nearly most value.
     """
     lengths = np.arange(1, capacity + 1)
     asked = demand > 0
@@ -180,8 +183,16 @@ def linear_program(
         part = np.where(asked, over / np.maximum(demand, 1), 0.0)
         price[asked] *= np.exp(RATE * np.clip(1 - wave[asked] * rounds / demand[asked] - part[asked] / 4, -1, 1))
         price[asked] /= price[asked].max()
+    return kept, bound, np.where(asked, kept, 0.0)
+
+
+def linear_program(
+    demand: np.ndarray, capacity: int, rounds: int = ROUNDS
+) -> tuple[dict[Pattern, float], float]:
+    """Configurations with fractional counts, and a lower bound on all packings."""
+    price, bound, _ = priced(demand, capacity, rounds)
     chosen: dict[Pattern, float] = {}
-    rest, price = demand.astype(np.float64), kept
+    rest = demand.astype(np.float64)
     for turn in range(rounds // 2):
         best, last = knapsack(price, capacity)
         got = waves(price, best, last, np.minimum(demand * SHARE, rest), SLACK * (1 + turn))
@@ -247,32 +258,63 @@ def rounded(chosen: dict[Pattern, float], demand: np.ndarray) -> tuple[list[tupl
     return out, rest
 
 
-def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Best fit by decreasing length, over groups of equal sequences."""
-    groups: list[dict[Pattern, int]] = [{} for _ in range(capacity + 1)]  # by room left
-    filled_rooms = np.zeros(capacity + 1, dtype=bool)
-    for length in range(capacity, 0, -1):
-        left = int(demand[length - 1])
-        while left:
-            rooms = np.flatnonzero(filled_rooms[length:])
-            if len(rooms):
-                room = int(rooms[0]) + length
-                pattern, n = next(iter(groups[room].items()))
-            else:
-                room, pattern, n = capacity, (), left
-            each = min(room // length, left)
-            used = min(n, left // each)
-            if pattern:
-                if used == n:
-                    del groups[room][pattern]
-                    filled_rooms[room] = bool(groups[room])
-                else:
-                    groups[room][pattern] = n - used
-            grown, space = (*pattern, *[length] * each), room - each * length
-            groups[space][grown] = groups[space].get(grown, 0) + used
-            filled_rooms[space] = True
-            left -= each * used
-    return [item for group in groups for item in group.items()]
+def fullest(value: np.ndarray, rest: np.ndarray, first: int, capacity: int) -> Pattern:
+    """A piece of length ``first`` and those of most value beside it, of the pieces in ``rest``.
+
+    Pieces of a length are offered in lots of 1, 2, 4, ..., so that a knapsack
+    that takes every lot once can take any number of them.
+    """
+    room = capacity - first
+    lots = []
+    for length in np.flatnonzero(rest[:room])[::-1] + 1:
+        left = min(int(rest[length - 1]) - (length == first), room // int(length))
+        lot = 1
+        while left > 0:
+            lots.append((int(length), min(lot, left)))
+            left -= lot
+            lot *= 2
+    best = np.zeros(room + 1)
+    taken = np.zeros((len(lots), room + 1), dtype=bool)
+    for i, (length, n) in enumerate(lots):
+        size = length * n
+        with_it = best[: room + 1 - size] + value[length - 1] * n
+        taken[i, size:] = with_it > best[size:]
+        best[size:] = np.maximum(best[size:], with_it)
+    pieces = [first]
+    for i in range(len(lots) - 1, -1, -1):
+        if taken[i, room]:
+            length, n = lots[i]
+            pieces += [length] * n
+            room -= length * n
+    return tuple(sorted(pieces, reverse=True))
+
+
+def last_configurations(rest: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Configurations that use up what rounding leaves.
+
+    The program's prices for the rest are renewed as it shrinks. Full ones come
+    first among those of equal value.
+    """
+    rest = rest.copy()
+    lengths = np.arange(1, capacity + 1)
+    out = []
+    whole = int((rest * lengths).sum())
+    for turn in range(RENEWALS):
+        left = int((rest * lengths).sum())
+        if not left:
+            break
+        _, _, price = priced(rest, capacity, LAST_ROUNDS)
+        value = np.where(rest > 0, price, 0.0) + lengths / capacity
+        until = whole * (RENEWALS - 1 - turn) // RENEWALS
+        while left > until:
+            first = int(np.flatnonzero(rest)[-1]) + 1
+            pattern = fullest(value, rest, first, capacity)
+            kinds, n = np.unique(pattern, return_counts=True)
+            copies = int((rest[kinds - 1] // n).min())
+            rest[kinds - 1] -= copies * n
+            left -= copies * sum(pattern)
+            out.append((pattern, copies))
+    return out
 
 
 def configurations(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[Pattern, int]], float]:
@@ -285,35 +327,38 @@ def configurations(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[list[t
         return out, float(full)
     chosen, bound = linear_program(rest, capacity)
     whole, left = rounded(chosen, rest)
-    ways = [whole + best_fit(left, capacity), best_fit(rest, capacity)]
-    return out + min(ways, key=lambda way: sum(n for _, n in way)), full + bound
+    return out + whole + last_configurations(left, capacity), full + bound
 
 
 class Slots:
-    """For the k-th piece of a length: its sequence and its offset there."""
+    """For the k-th piece of a length: its sequence and its offset there.
+
+    One entry per configuration and length in it: as many as lengths allow, not
+    as the corpus has pieces.
+    """
 
     def __init__(self, chosen: list[tuple[Pattern, int]], capacity: int):
         first, entries = 0, []
         for pattern, copies in chosen:
             offset = 0
-            for length in pattern:
-                entries.append((length, copies, first, offset))
-                offset += length
+            for length, n in sorted(collections.Counter(pattern).items(), reverse=True):
+                entries.append((length, n, n * copies, first, offset))
+                offset += n * length
             first += copies
-        table = np.array(entries, dtype=np.int64).reshape(-1, 4)
+        table = np.array(entries, dtype=np.int64).reshape(-1, 5)
         table = table[np.argsort(table[:, 0], kind="stable")]
-        self.sequence, self.offset = table[:, 2], table[:, 3]
+        self.each, self.sequence, self.offset = table[:, 1], table[:, 3], table[:, 4]
         # ranks of all lengths on one line, so that one search finds the entry
-        self.until = np.cumsum(table[:, 1])
+        self.until = np.cumsum(table[:, 2])
         total = np.zeros(capacity + 1, dtype=np.int64)
-        np.add.at(total, table[:, 0], table[:, 1])
+        np.add.at(total, table[:, 0], table[:, 2])
         self.before = np.concatenate(([0], np.cumsum(total)))[: capacity + 1]
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = self.before[length] + rank
         entry = np.searchsorted(self.until, at, side="right")
-        start = np.concatenate(([0], self.until))[entry]
-        return self.sequence[entry] + at - start, self.offset[entry]
+        copy, turn = np.divmod(at - np.concatenate(([0], self.until))[entry], self.each[entry])
+        return self.sequence[entry] + copy, self.offset[entry] + turn * length
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -332,14 +377,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     demand = np.zeros(capacity, dtype=np.int64)
     for row in totals:
         demand[row["length"] - 1] = row["n"]
-    slots = spark.sparkContext.broadcast(Slots(configurations(demand, capacity)[0], capacity))
+    slots = carried(spark, Slots(configurations(demand, capacity)[0], capacity))
     before = F.expr("sum(n) over (partition by length order by task) - n").alias("before")
     ranked = known.join(counted.select("length", "task", before), ["length", "task"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = slots()
         for batch in batches:
             rank = pc.add(batch.column("before"), batch.column("place")).to_numpy(zero_copy_only=False)
-            sequence, offset = slots.value.place(batch.column("length").to_numpy(zero_copy_only=False), rank)
+            sequence, offset = known.place(batch.column("length").to_numpy(zero_copy_only=False), rank)
             kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], pa.array(sequence), pa.array(offset)],

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitals.session import shared_dir
 
 
+T = TypeVar("T")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,6 +33,17 @@ def landed(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(spark: SparkSession, value: T) -> Callable[[], T]:
+    """``value`` broadcast; a task calls the result once to have it.
+
+    Sent as bytes that hold its class too where the package is pickled by
+    value, as functions are: a plain broadcast names the class, and executors
+    without the package could not read it.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Jobs started inside hand workers batches of at most about ``size`` bytes, for rows that are large."""
