@@ -41,6 +41,8 @@ ROUNDS = 120
 #: How fast prices follow the cover, which share of a demand one round of the
 #: solution takes, and how far below the best value a configuration may lie.
 RATE, SHARE, SLACK = 0.03, 0.25, 0.01
+#: Turns of the solution; each admits configurations of a little less value.
+TURNS = 8
 #: Rounds for prices of what rounding leaves, and how often these are renewed.
 LAST_ROUNDS, RENEWALS = 30, 6
 #: Texts below this character (Latin, Greek, Cyrillic) go the faster way.
@@ -193,7 +195,7 @@ def linear_program(
     price, bound, _ = priced(demand, capacity, rounds)
     chosen: dict[Pattern, float] = {}
     rest = demand.astype(np.float64)
-    for turn in range(rounds // 2):
+    for turn in range(TURNS):
         best, last = knapsack(price, capacity)
         got = waves(price, best, last, np.minimum(demand * SHARE, rest), SLACK * (1 + turn))
         for pattern, share in got:
