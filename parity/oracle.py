@@ -186,6 +186,19 @@ SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id,
   CASE k WHEN 4 THEN 'COMPLETED' ELSE 'FAILED' END AS status, '1706745600' AS updated_at,
   ['ValidateFile', 'ValidateFile', 'ParallelParsing', NULL, NULL][k + 1] AS error_step
 FROM faulty WHERE k <> 3""",
+    "job_lifecycle": f"""WITH {FAULTY},
+last AS (SELECT *, user_id % 7 AS g, k < 2 AS refused FROM faulty WHERE k <> 3),
+state AS (SELECT *, CASE WHEN g = 0 THEN 'PENDING' WHEN g = 1 OR g = 2 AND refused THEN 'VALIDATING'
+    WHEN g = 2 THEN 'PROCESSING' WHEN k = 4 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+  CASE WHEN refused THEN 'ValidateFile' WHEN k = 2 THEN 'ParallelParsing' END AS step FROM last)
+SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id, status,
+  CASE WHEN g > 0 THEN '1706745600' END AS updated_at, CASE WHEN g > 2 THEN step END AS error_step,
+  concat_ws(',', 'PENDING', CASE WHEN g > 0 THEN 'VALIDATING' END,
+    CASE WHEN g > 1 AND NOT refused THEN 'PROCESSING' END, CASE WHEN g > 2 THEN status END) AS states,
+  CASE WHEN g IN (1, 2) THEN 'FAILED' ELSE status END AS "end",
+  CASE WHEN status = 'VALIDATING' THEN 'ValidateFile' WHEN status = 'PROCESSING' THEN 'ParallelParsing'
+    WHEN g > 2 THEN step END AS end_step
+FROM state""",
     "faulty_counts": f"""WITH {FAULTY}
 SELECT user_id::VARCHAR AS user_id, k::VARCHAR AS job_id, c.* EXCLUDE (of) FROM faulty JOIN (VALUES
   (0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 2, 0, 1, 1, 0, 0, 0, 0), (2, 2, 1, 0, 1, 0, 0, 0, 0),

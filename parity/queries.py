@@ -14,7 +14,7 @@ from vitals.functions.cursor import decode_cursor, encode_cursor
 from vitals.functions.text import parse_number
 from vitals.operators import filters, latest, metrics, pages
 from vitals.operators.ecg import row_ordinal
-from vitals.operators.jobs import job_status, recent_jobs
+from vitals.operators.jobs import abandoned, job_lifecycle, job_status, recent_jobs
 from vitals.operators.records import map_record_type, project_record
 from vitals.operators.requests import check_requests
 from vitals.operators.timeline import timeline
@@ -569,6 +569,28 @@ def faulty_jobs(spark, sf_dir):
     return store.scan_table(spark, _faulty(spark, sf_dir)[0], "jobs")
 
 
+def lifecycle(spark, sf_dir):
+    """States of the faulty archives, and what ends them, as if the runs of three users in seven broke off.
+
+    Of the first such users no run began, of the others it broke off in the
+    first step, or before its end.
+    """
+    tables, staging = _faulty(spark, sf_dir)
+    landed = ingest.read_manifest(spark, tables, staging)
+    group = F.col("user_id").cast("long") % 7
+    states = store.scan_table(spark, tables, "job_states").where(
+        (group > 1) | (group == 1) & (F.col("status") == "VALIDATING")
+    )
+    jobs = store.scan_table(spark, tables, "jobs").where(group > 2)
+    now = job_lifecycle(landed, states, jobs)
+    later = F.lit(datetime(2024, 2, 3)).cast("timestamp")
+    after = job_lifecycle(landed, states, jobs.unionByName(abandoned(now, later, later)))
+    ends = after.select(
+        "user_id", "job_id", F.col("status").alias("end"), F.col("error_step").alias("end_step")
+    )
+    return now.withColumn("states", F.array_join("states", ",")).join(ends, ["user_id", "job_id"])
+
+
 def faulty_counts(spark, sf_dir):
     """What the faulty archives held and what became of it."""
     return ingest.run_counts(spark, *_faulty(spark, sf_dir), _at())
@@ -670,6 +692,7 @@ QUERIES: dict[str, Query] = {
     "pending_exports": pending,
     "faulty_exports": faulty_exports,
     "faulty_jobs": faulty_jobs,
+    "job_lifecycle": lifecycle,
     "faulty_counts": faulty_counts,
     "faulty_rows": faulty_rows,
     "faulty_rejects": faulty_rejects,

@@ -279,9 +279,12 @@ def test_only_pending_exports_are_normalised(spark, tmp_path, rows, monkeypatch)
         broken.setattr(store, "write_job_status", lambda *_: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             ingest.normalise(spark, tables, staging, AT)
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status") == [("u1", "PROCESSING")]
     put(root, "u2/2.zip", FULL)
     land()
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status") == [("u1", "PROCESSING"), ("u2", "PENDING")]
     ingest.normalise(spark, tables, staging, AT)
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status") == [("u1", "COMPLETED"), ("u2", "COMPLETED")]
     put(root, "u3/3.zip", FULL)
     land()
     ingest.normalise(spark, tables, staging, again)
@@ -292,3 +295,25 @@ def test_only_pending_exports_are_normalised(spark, tmp_path, rows, monkeypatch)
     versions = store.scan_table(spark, tables, "records", versions=True)
     assert rows(versions.where("_ingested = 1709251200"), "user_id") == [("u3",)]
     assert rows(store.scan_table(spark, tables, "records"), "user_id") == [("u1",), ("u2",), ("u3",)]
+
+
+def test_runs_broken_off_are_ended(spark, tmp_path, rows, monkeypatch):
+    root, tables, staging = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "staging")
+    put(root, "u1/1.zip", FULL)
+    put(root, "u2/1.zip", b"x")
+    ingest_stream(spark, str(root), tables, staging, str(tmp_path / "c")).awaitTermination()
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status", "updated_at") == [
+        ("u1", "PENDING", None), ("u2", "PENDING", None),
+    ]
+    with monkeypatch.context() as broken:
+        broken.setattr(store, "upsert_ecg", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest.normalise(spark, tables, staging, AT)
+    stood = [("u1", "PROCESSING", None), ("u2", "VALIDATING", None)]
+    ingest.end_abandoned(spark, tables, AT, datetime(2024, 3, 1))  # not that long ago
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status", "error_step") == stood
+    ingest.end_abandoned(spark, tables, datetime(2024, 2, 2), datetime(2024, 3, 1))
+    ended = rows(ingest.lifecycle(spark, tables), "user_id", "status", "error_step", "updated_at")
+    assert ended == [("u1", "FAILED", "ParallelParsing", "1709251200"), ("u2", "FAILED", "ValidateFile", "1709251200")]
+    ingest.normalise(spark, tables, staging, datetime(2024, 3, 2))  # takes them in no more
+    assert rows(ingest.lifecycle(spark, tables), "user_id", "status", "error_step", "updated_at") == ended

@@ -13,10 +13,10 @@ from vitals.operators.ecg import (
     route_projection,
     row_ordinal,
 )
-from vitals.operators.jobs import job_status
+from vitals.operators.jobs import STEPS, abandoned, entered, job_lifecycle, job_status
 from vitals.operators.latest import dedupe_last
 from vitals.operators.records import map_record_type, project_record
-from vitals.schema import ECG, JOBS, ROUTES, column_names
+from vitals.schema import ECG, JOBS, PROCESSING, ROUTES, VALIDATING, column_names
 from vitals.session import shared_dir
 from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg
@@ -128,19 +128,21 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     """
     moment = F.lit(at).cast("timestamp")
     manifest = read_manifest(spark, root, staging)
-    if _present(spark, store.table_path(root, "jobs")):
-        jobs = store.scan_table(spark, root, "jobs", versions=True)
-    else:
-        jobs = _empty(spark, JOBS)
+    jobs = _versions(spark, root, "jobs")
     # unkeyed rows have no job and store nothing
     pending = _once(pending_exports(manifest, jobs), "pending")
+    store.write_job_states(entered(pending, VALIDATING, moment), root)
     manifest = manifest.join(pending, EXPORT, "left_semi")
     checked = archive.validate_exports(manifest).where(
         F.col("user_id").isNotNull() & F.col("job_id").isNotNull()
     )
 
     # of an export that failed validation nothing is stored, not even good members
-    valid = _once(checked.where("valid").select(*EXPORT), "valid")
+    outcome = _once(checked.select(*EXPORT, "valid", "error_step"), "checked")
+    valid = outcome.where("valid").select(*EXPORT)
+    # well-formedness was found out while unpacking, but it is a failure of parsing
+    parsed = outcome.where(F.col("valid") | (F.col("error_step") == STEPS[PROCESSING]))
+    store.write_job_states(entered(parsed, PROCESSING, moment), root)
     manifest = manifest.join(valid, EXPORT, "left_semi")
 
     store.upsert_records(staged_records(spark, staging, moment, valid), root)
@@ -149,7 +151,30 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     store.upsert_routes(staged_routes(spark, staging, manifest, moment, tracks), root)
     store.write_rejects(rejects(lines, tracks, moment), root)
 
-    store.write_job_status(job_status(checked, moment), root)
+    store.write_job_status(job_status(outcome, moment), root)
+
+
+def _versions(spark: SparkSession, root: str, family: str) -> DataFrame:
+    """All rows written to a table of jobs; none before the first run."""
+    if _present(spark, store.table_path(root, family)):
+        return store.scan_table(spark, root, family, versions=True)
+    return _empty(spark, JOBS)
+
+
+def lifecycle(spark: SparkSession, root: str) -> DataFrame:
+    """The state of every export that has landed below ``root``, in whatever run."""
+    landed = spark.read.schema(f"{archive.UNPACKED}, staging STRING").parquet(manifest_path(root))
+    return job_lifecycle(landed.select(*EXPORT), _versions(spark, root, "job_states"), _versions(spark, root, "jobs"))
+
+
+def end_abandoned(spark: SparkSession, root: str, before: datetime, at: datetime) -> None:
+    """Fails the exports whose run has stood in one step since before ``before``.
+
+    For runs whose driver died and that nobody repeats; ``normalise`` would
+    take their exports in again, and no longer does so after this.
+    """
+    ended = abandoned(lifecycle(spark, root), F.lit(before).cast("timestamp"), F.lit(at).cast("timestamp"))
+    store.write_job_status(_once(ended, "abandoned"), root)
 
 
 def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> DataFrame:

@@ -107,9 +107,11 @@ RECENT_JOBS = 20
 SUMMARY_JOBS = 5
 SUMMARY_DAYS = 7
 
-# Largest archive that is opened, and the job states.
+# Largest archive that is opened, and the job states in their order.
 MAX_ARCHIVE_BYTES = 2 * 1024**3
+PENDING, VALIDATING, PROCESSING = "PENDING", "VALIDATING", "PROCESSING"
 COMPLETED, FAILED = "COMPLETED", "FAILED"
+JOB_STATES = [PENDING, VALIDATING, PROCESSING, COMPLETED, FAILED]
 
 RECORDS = (
     "user_id STRING, record_type STRING, start_date STRING, value STRING, "
@@ -164,5 +166,6 @@ TABLES = {
         ["_ingested", "job_id", "ordinal"],
     ),
     "jobs": (JOBS, ["user_id", "job_id"], ["updated_at", "status"]),
+    "job_states": (JOBS, ["user_id", "job_id", "status"], ["updated_at"]),
     "users": (USERS, ["id"], ["updated_at", "created_at"]),
 }

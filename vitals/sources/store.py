@@ -33,6 +33,7 @@ LAYOUTS = {
     "ecg": lambda: [_month("ecg"), "user_id", "ecg_time", "ordinal"],
     "routes": lambda: [_month("routes"), "user_id", "route_time", "ordinal"],
     "jobs": lambda: ["user_id", "job_id"],
+    "job_states": lambda: ["user_id", "job_id"],
     "users": lambda: ["id"],
     "rejects": lambda: ["user_id", "job_id", "source_file", "line"],
 }
@@ -81,6 +82,10 @@ def write_job_status(jobs: DataFrame, root: str) -> None:
     _append(jobs, root, "jobs", LAYOUTS["jobs"]())
 
 
+def write_job_states(states: DataFrame, root: str) -> None:
+    _append(states, root, "job_states", LAYOUTS["job_states"]())
+
+
 def write_rejects(rejects: DataFrame, root: str) -> None:
     _append(rejects, root, "rejects", LAYOUTS["rejects"]())
 
