@@ -3,9 +3,10 @@
 A page becomes a tree of blocks. Every node is described by the density of text
 and links below it, the words in its attributes and those above it, its depth
 and its siblings. Gradient-boosted trees, fitted here on generated pages with
-known main text, give each node the log-odds that main text lies in it. The
-most likely labelling in which nothing below a closed node is open is found
-from the leaves up, and the text of open nodes is the result.
+known main text, give each node the log-odds that main text lies in it if some
+lies in its parent. The most likely labelling, in which nothing below a closed
+node is open, is found from the leaves up, and the text of open nodes is the
+result.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,10 @@ MARKUP = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Elements whose content is never text of the page; all but the last group hold raw text.
+#: Elements whose content is never text of the page: raw text, parts that hold blocks, parts that hold none.
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "noembed", "noframes", "xmp"}
-DROPPED = {"template", "svg", "math", "canvas", "audio", "video", "object", "select", "button", "datalist", "dialog"}
+HIDDEN = {"template", "object", "dialog"}
+DROPPED = {"svg", "canvas", "audio", "video", "select", "button", "datalist", "annotation", "annotation-xml"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = set(
     "address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form "
@@ -69,15 +72,71 @@ def attribute_tokens(attributes: str) -> frozenset:
     return frozenset(t.lower() for _, value in found for t in TOKEN.findall(value))
 
 
+class Holes:
+    """The elements open around a place whose text is dropped, outermost first.
+
+    A part that holds no blocks ends at the next block at the latest, and every
+    part with an element around it. A hidden part that is never closed is none.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open: list[str] = []
+        self.last: dict[str, int] = {}  # where a hidden part's last end tag stands
+
+    def closed_after(self, tag: str, at: int) -> bool:
+        if tag not in self.last:
+            self.last[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>]|\Z)", self.page, re.I)), default=-1)
+        return self.last[tag] >= at
+
+    def cut(self, tag: str) -> bool:
+        """Ends the innermost open element of that name and all in it."""
+        if tag not in self.open:
+            return False
+        while self.open.pop() != tag:
+            pass
+        return True
+
+    def begin(self, tag: str, at: int) -> None:
+        if tag in HIDDEN:
+            if self.closed_after(tag, at):
+                self.open.append(tag)
+            return
+        if tag != "svg":  # no other such part holds one of its own kind
+            self.cut(tag)
+        self.open.append(tag)
+
+    def takes(self, tag: str, closing: bool, enclosed: bool) -> bool:
+        """Whether a tag of a block or link belongs to a hole; if not, holes it ends are gone.
+
+        ``enclosed``: an element of that name is open around the holes.
+        """
+        if not self.open:
+            return False
+        if closing:
+            if self.cut(tag):
+                return True
+        elif tag == "a" or not HIDDEN.isdisjoint(self.open):
+            if tag not in VOID:
+                self.open.append(tag)
+            return True
+        if not closing or enclosed:
+            self.open.clear()
+            return False
+        return True
+
+
 def parse(page: str) -> Node:
     """The tree of blocks of a page; every run of text is a leaf."""
     root = here = Node("#root", frozenset(), None)
     run: list[str] = []
     links = [0, 0]  # open links, characters in links of this run
+    around = Counter()  # names of the blocks that are open here
+    holes = Holes(page)
     at = 0
 
     def text(part: str) -> None:
-        if part:
+        if part and not holes.open:
             run.append(part)
             if links[0]:
                 links[1] += len(part.strip())
@@ -92,45 +151,61 @@ def parse(page: str) -> Node:
             run.clear()
             links[1] = 0
 
+    def leave(upto: Node) -> Node:
+        """Ends all blocks from here up to one, itself included."""
+        up = here
+        while up is not upto.parent:
+            around[up.tag] -= 1
+            up = up.parent
+        return up
+
     match = MARKUP.search(page)
     while match:
         text(page[at : match.start()])
         at = match.end()
         closing, tag = match.group(1), (match.group(2) or "").lower()
+        empty = (match.group(3) or "").endswith("/")
         if not tag:
             pass
-        elif tag in RAW or tag in DROPPED:
-            if not closing and not (match.group(3) or "").endswith("/"):
+        elif tag in RAW:
+            if not closing and not empty:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
                 at = len(page) if end is None else end.start()
                 if end is not None:
                     close = page.find(">", at)
                     at = len(page) if close < 0 else close + 1
+        elif tag in HIDDEN or tag in DROPPED:
+            if closing:
+                holes.cut(tag)
+            elif not empty:
+                holes.begin(tag, at)
         elif tag == "br":
             text(" ")
         elif tag == "a":
-            links[0] = max(0, links[0] - 1) if closing else links[0] + 1
-        elif tag in BLOCKS:
+            if not holes.takes(tag, bool(closing), links[0] > 0):
+                links[0] = max(0, links[0] - 1) if closing else links[0] + 1
+        elif tag in BLOCKS and not holes.takes(tag, bool(closing), around[tag] > 0):
             flush()
             if closing:
-                up = here
-                while up is not None and up.tag != tag:
-                    up = up.parent
-                if up is not None and up.parent is not None:
-                    here = up.parent
+                if around[tag]:
+                    up = here
+                    while up.tag != tag:
+                        up = up.parent
+                    here = leave(up)
             else:
                 if here.tag == "p":
-                    here = here.parent
+                    here = leave(here)
                 if tag in ENDED_BY:
                     up = here
                     while up is not root and up.tag not in SCOPES and tag not in ENDED_BY.get(up.tag, ()):
                         up = up.parent
                     if tag in ENDED_BY.get(up.tag, ()):
-                        here = up.parent
+                        here = leave(up)
                 if tag not in VOID:
                     node = Node(tag, attribute_tokens(match.group(3) or ""), here)
                     here.children.append(node)
                     here = node
+                    around[tag] += 1
                 links[0] = 0
         match = MARKUP.search(page, at)
     # what follows the last tag; markup cut off by the page's end is dropped with it
@@ -164,12 +239,13 @@ TAGS = (
     ("form", "fieldset", "legend"),
     ("ul", "ol", "li", "dl", "dd", "dt", "dir"),
     ("p", "blockquote", "pre", "figcaption"),
-    ("h1", "h2", "h3", "h4", "h5", "h6"),
+    ("h1",),
+    ("h2", "h3", "h4", "h5", "h6"),
     ("table", "tr", "td", "th", "tbody", "thead", "tfoot"),
 )
 TAG_OF = {tag: i for i, tags in enumerate(TAGS) for tag in tags}
 OWN = len(TAGS) + len(HINTS)
-FEATURES = 2 * OWN + 14
+FEATURES = 2 * OWN + 21
 
 
 def describe(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
@@ -187,6 +263,8 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
     x = np.zeros((n, FEATURES), dtype=np.float32)
     chars, links, leaves, words, stops = ([0] * n for _ in range(5))
     longest, below, depth, index = ([0] * n for _ in range(4))
+    paragraphs, titles, heads, titled, largest = ([0] * n for _ in range(5))
+    title = 0  # the first h1 before this node
     flags: list[int] = [0] * n  # own tag and hints, one bit each
     above: list[int] = [0] * n
     for i, (node, parent) in enumerate(zip(nodes, parents)):
@@ -199,6 +277,11 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
         tag = TAG_OF.get(node.tag)
         if tag is not None:
             flags[i] = 1 << tag
+        paragraphs[i] = node.tag == "p"
+        titles[i] = node.tag == "h1"
+        heads[i] = node.tag in ("h2", "h3", "h4", "h5", "h6")
+        titled[i] = title
+        title |= titles[i]
         for token in node.tokens:
             hint = HINT_OF.get(token)
             if hint is not None:
@@ -216,6 +299,10 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
         words[p] += words[i]
         stops[p] += stops[i]
         longest[p] = max(longest[p], longest[i])
+        paragraphs[p] += paragraphs[i]
+        titles[p] += titles[i]
+        heads[p] += heads[i]
+        largest[p] = max(largest[p], chars[i])
     start, seen = [0] * n, 0
     for i in range(n):
         start[i] = seen
@@ -240,22 +327,29 @@ def describe(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
     x[:, at + 11] = k[up] / np.maximum(c[up], 1)
     x[:, at + 12] = np.log1p(c[up])
     x[:, at + 13] = [not node.children for node in nodes]
+    x[:, at + 14] = c / np.maximum(np.array(largest, dtype=np.float32)[up], 1)  # against the longest sibling
+    x[:, at + 15] = np.log1p(paragraphs)
+    x[:, at + 16] = np.minimum(titles, 1)
+    x[:, at + 17] = titled
+    x[:, at + 18] = np.log1p(heads)
+    x[:, at + 19] = np.array(paragraphs) / max(paragraphs[0], 1)
+    x[:, at + 20] = np.array(titles)[up] > 0
     return nodes, np.array(parents), x
 
 
 def decoded(parents: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """Most likely open nodes, given that only children of open nodes can be open.
 
-    From the leaves up: the sum of log-odds of the best labelling below an open
-    node; a closed one closes all below.
+    ``odds`` are the log-odds that a node is open if its parent is. From the
+    leaves up: the log-likelihood of the best labelling below an open node; a
+    closed one closes all below for certain.
     """
     n = len(parents)
-    closed = -odds.astype(np.float64)
-    open_ = odds.astype(np.float64)
+    odds = odds.astype(np.float64)
+    closed = -np.logaddexp(0, odds)
+    open_ = -np.logaddexp(0, -odds)
     for i in range(n - 1, 0, -1):
-        p = parents[i]
-        closed[p] += closed[i]
-        open_[p] += max(open_[i], closed[i])
+        open_[parents[i]] += max(open_[i], closed[i])
     out = np.zeros(n, dtype=bool)
     for i in range(n):
         p = parents[i]
@@ -357,11 +451,16 @@ PAGES, SEED = 800, 20240
 MAIN_LETTERS, OTHER_LETTERS = "abcdefghijklm", "nopqrstuvwxyz"
 
 
+#: Shares of a page's names that tell what a node is: most pages are built of opaque ones in part or whole.
+TELLING = (0.0, 0.0, 0.3, 0.7, 1.0)
+
+
 class PageMaker:
     """Random pages whose main text uses letters of its own."""
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.telling = 1.0  # share of a page's names that tell what the node is
 
     def sentence(self, letters: str, low: int, high: int) -> str:
         r = self.r
@@ -376,8 +475,9 @@ class PageMaker:
 
     def attrs(self, hint: str, chance: float = 0.85) -> str:
         r = self.r
-        if r.random() > chance:
-            return r.choice(["", f' class="{self.sentence(OTHER_LETTERS, 1, 1)}"'])
+        if r.random() > chance * self.telling:
+            name = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789-", k=r.randint(2, 9)))
+            return r.choice(["", f' class="{name}"', f' class="x{r.randint(1, 9999)}"'])
         name = r.choice(HINTS[hint].split())
         extra = r.choice(["", "-box", "_wrap", "-1", " block", "-inner"])
         return f' {r.choice(["class", "class", "id"])}="{name}{extra}"'
@@ -455,12 +555,16 @@ class PageMaker:
             return f"<article{self.attrs('main', 0.4)}>{body}</article>"
         if kind < 0.65:
             return f"<main{self.attrs('main', 0.4)}>{body}</main>"
+        tag = r.choice(["div", "div", "section"])
         if kind < 0.93:
-            return f"<div{self.attrs('main', 1.0)}>{body}</div>"
-        return f"<div>{body}</div>"
+            out = f"<{tag}{self.attrs('main', 1.0)}>{body}</{tag}>"
+        else:
+            out = f"<{tag}>{body}</{tag}>"
+        return f"<div{self.attrs('main', 0.3)}>{out}</div>" if r.random() < 0.2 else out
 
     def page(self) -> str:
         r = self.r
+        self.telling = r.choice(TELLING)
         top = [self.link_list("menu", r.choice(["nav", "nav", "div"]))]
         if r.random() < 0.5:
             top.insert(0, self.other("head", r.choice(["header", "header", "div"])))
@@ -489,7 +593,10 @@ class PageMaker:
 
 
 def fit(pages: int = PAGES, seed: int = SEED) -> Boosted:
-    """Trees fitted on ``pages`` generated pages; a node is open if main text lies in it."""
+    """Trees fitted on ``pages`` generated pages; a node is open if main text lies in it.
+
+    They learn from the children of open nodes, as no others can be open.
+    """
     maker = PageMaker(seed)
     rows, labels = [], []
     main = re.compile(f"[{MAIN_LETTERS}{MAIN_LETTERS.upper()}]")
@@ -498,8 +605,9 @@ def fit(pages: int = PAGES, seed: int = SEED) -> Boosted:
         label = np.array([bool(node.text and main.search(node.text)) for node in nodes])
         for i in range(len(nodes) - 1, 0, -1):
             label[parents[i]] |= label[i]
-        rows.append(x)
-        labels.append(label)
+        asked = np.append(True, label[parents[1:]])
+        rows.append(x[asked])
+        labels.append(label[asked])
     x, y = np.concatenate(rows), np.concatenate(labels).astype(np.float64)
     return Boosted(x, y, np.ones(len(y)))
 
