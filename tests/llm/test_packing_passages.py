@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 from vitals.llm import decontaminate as D
 from vitals.llm import packing as P
 from vitals.llm import passages as R
+from vitals.llm.words import Words, exact_table, mix, slices
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -357,6 +358,19 @@ def test_selected_positions_agree():
     assert chosen[0] & chosen[1]
 
 
+def test_texts_longer_than_a_packed_place(monkeypatch):
+    w = Words(*next(iter(slices(pa.array([prose(8, 700) + " " + "same " * 300, prose(9, 90)]))))[1:], exact_table())
+    picks = {}
+    for bits in (7, 9, 24):  # a place of 7 bits counts to 128
+        monkeypatch.setattr(R, "PLACE_BITS", bits)
+        h, picks[bits] = R.picked(w, R.RUN, 50)
+    high = mix(h) >> np.uint64(24)
+    for first, place in enumerate(picks[24]):
+        if place >= 0:
+            assert place == first + int(np.argmin(high[first : first + 43]))
+    assert (picks[7] == picks[24]).all() and (picks[9] == picks[24]).all() and len(picks[7]) == len(w.hashes) - 49
+
+
 def test_passages_awkward(spark):
     got = [(r["doc_id"], r["first_word"], r["n_words"]) for r in R.repeated_passages(awkward(spark)).collect()]
     assert sorted(got) == [(4, 0, 60), (5, 0, 60), (7, 0, 60)]  # the last repeats itself

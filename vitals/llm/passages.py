@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitals.llm.tables import landed, sieved
@@ -27,6 +27,19 @@ RUN = 8
 PLACE_BITS = 24
 
 
+def leftmost_smallest(mixed: np.ndarray, window: int) -> np.ndarray:
+    """Per window of so many hashes the place of the smallest, by its high bits; of equal ones the first."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    lowest = (mixed & ~low) | np.arange(len(mixed), dtype=np.uint64)
+    span = 1
+    while 2 * span <= window:
+        lowest = np.minimum(lowest[:-span], lowest[span:])
+        span *= 2
+    if span < window:
+        lowest = np.minimum(lowest[: len(lowest) - (window - span)], lowest[window - span :])
+    return (lowest & low).astype(np.int64)
+
+
 def picked(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of a slice; per window of ``least`` words the run selected, -1 across texts."""
     w, row = words.hashes, words.row
@@ -35,18 +48,15 @@ def picked(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     if len(w) < least:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     h = chained([w[j : j + count] for j in range(run)])
-    if count >= 1 << PLACE_BITS:
-        raise ValueError("a text of more than 16 million words")
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    packed = (mix(h) & ~low) | np.arange(count, dtype=np.uint64)
-    span, lowest = 1, packed
-    while 2 * span <= window:
-        lowest = np.minimum(lowest[:-span], lowest[span:])
-        span *= 2
-    if span < window:
-        lowest = np.minimum(lowest[: len(lowest) - (window - span)], lowest[window - span :])
+    mixed, places = mix(h), 1 << PLACE_BITS
+    lowest = [
+        part + first
+        for first in range(0, count - window + 1, places - window + 1)
+        for part in [leftmost_smallest(mixed[first : first + places], window)]
+    ]
+    lowest = np.concatenate(lowest)
     whole = row[: len(lowest)] == row[least - 1 :]
-    return h, np.where(whole, (lowest & low).astype(np.int64), -1)
+    return h, np.where(whole, lowest, -1)
 
 
 def selected(words: Words, run: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +193,7 @@ def neighbours(rows: DataFrame, order: list[str], least: int) -> DataFrame:
     """rid, doc_id, first, last of matches with the neighbour in the global order."""
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     out = landed(compared(spread, least, edges=True), "neighbours")
-    # two rows of each partition, put in order once more
+    # two rows of each partition, put in order once more: one task holds 100,000 partitions' with ease
     seams = out.where("kind = 'edge'").select(*EDGE).coalesce(1).sortWithinPartitions(*order)
     spans = out.where("kind = 'span'").unionByName(compared(seams, least, edges=False))
     return spans.select("rid", "doc_id", "first", "last")
@@ -191,17 +201,19 @@ def neighbours(rows: DataFrame, order: list[str], least: int) -> DataFrame:
 
 def merged(found: DataFrame) -> DataFrame:
     """rid, doc_id, spans: the spans of every row in order, those that touch made one."""
-    of_row = found.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("first", "last"))).alias("spans")
-    )
-    # one pass over a document's spans in order: a span that touches the one before extends it
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<first: int, last: int>>), (done, s) -> "
-        "if(size(done) > 0 and s.first <= element_at(done, -1).last, "
-        "concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, "
-        "'last', greatest(element_at(done, -1).last, s.last)))), concat(done, array(s))))"
+    in_order = Window.partitionBy("rid").orderBy("first", "last")
+    # a span that touches one before it belongs to the same stretch
+    reached = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("first") <= reached, 0).otherwise(1)
+    stretch = F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        found.withColumn("begins", begins)
+        .withColumn("stretch", stretch)
+        .groupBy("rid", "stretch")
+        .agg(F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy("rid")  # still dealt out by rid
+        .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
     )
-    return of_row.select("rid", "doc_id", joined.alias("spans"))
 
 
 class SpanHashes:
@@ -329,7 +341,8 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     too, in another document or the same. Words are compared as they are,
     whatever white space is between them. Rows that repeat both id and text are
     one document; a null id stays null; null, empty and shorter texts have no
-    span; other columns are not read; an empty table gives an empty result.
+    span; a text may have any number of words that 31 bits count; other columns
+    are not read; an empty table gives an empty result.
     """
     rows = docs.selectExpr(
         "cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(doc_id, text) rid"
