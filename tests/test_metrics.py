@@ -29,14 +29,14 @@ def test_daily_groups_by_local_date(spark, rows):
     records = make(
         spark,
         [
-            hr("2024-01-15T10:00:00", 70.0),
-            hr("2024-01-15T14:00:00", 80.0),
-            hr("2024-01-16T10:00:00", 65.0),
+            hr("2024-01-15T10:00:00", 58.5),
+            hr("2024-01-15T14:00:00", 97.0),
+            hr("2024-01-16T10:00:00", 43.0),
         ],
     )
     assert rows(metric_daily(records), "date", "avg", "min", "max", "count") == [
-        ("2024-01-15", 75.0, 70.0, 80.0, 2),
-        ("2024-01-16", 65.0, 65.0, 65.0, 1),
+        ("2024-01-15", 77.75, 58.5, 97.0, 2),
+        ("2024-01-16", 43.0, 43.0, 43.0, 1),
     ]
 
 
@@ -92,9 +92,9 @@ def test_type_filter_is_exact(spark, rows):
 
 
 def test_summary_over_the_range(spark, rows):
-    records = make(spark, [hr("2024-01-15", v) for v in (70.0, 80.0, 90.0)])
+    records = make(spark, [hr("2024-01-15", v) for v in (51.0, 112.0, 68.0)])
     assert rows(metric_summary(records), "avg", "min", "max", "count") == [
-        (80.0, 70.0, 90.0, 3)
+        (77.0, 51.0, 112.0, 3)
     ]
 
 
