@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitals.operators.metrics import metric_daily
 from vitals.plans import ingest
 from vitals.sources import archive, arrivals, store
-from vitals.streaming.ingest import ingest_stream
+from vitals.streaming.ingest import ingest_stream, land_empty
 
 HEART = "HKQuantityTypeIdentifierHeartRate"
 AT = datetime(2024, 2, 1)
@@ -266,6 +266,34 @@ def test_failed_exports_store_nothing_and_bad_bytes_cost_their_member(spark, tmp
         assert rows(stored, "user_id") == [("u1",)] * n
 
 
+def test_empty_uploads_fail(spark, tmp_path, rows):
+    root, tables = tmp_path / "uploads", str(tmp_path / "store")
+    first, second = str(tmp_path / "first"), str(tmp_path / "second")
+    assert arrivals.empty_arrivals(spark, str(root)).count() == 0
+    for key in ("u1/1.zip", "u 2%+/2.zip", "u3/deeper/3.zip", "4.zip", "u1/5.txt"):
+        put(root, key, b"")
+    found = arrivals.parse_export_key(arrivals.empty_arrivals(spark, str(root)), str(root))
+    assert rows(found, "user_id", "job_id", "length") == [("u 2%+", "2", 0), ("u1", "1", 0), (None, None, 0), (None, None, 0)]
+    assert found.where("mtime is null").count() == 0
+
+    # nothing but empty uploads: the stream has written no manifest
+    land_empty(spark, str(root), tables, first)
+    ingest.normalise(spark, tables, first, AT)
+    failed = [("u 2%+", "2", "FAILED", "ValidateFile"), ("u1", "1", "FAILED", "ValidateFile")]
+    columns = ["user_id", "job_id", "status", "error_step"]
+    assert rows(store.scan_table(spark, tables, "jobs"), *columns) == failed
+
+    put(root, "u1/6.zip", FULL)
+    put(root, "u7/7.zip", b"")
+    land(spark, root, tables, second, str(tmp_path / "c"))
+    land_empty(spark, str(root), tables, second)
+    assert rows(ingest.read_manifest(spark, tables, second).where("length = 0"), "user_id", "reason") == [("u7", archive.NOT_A_ZIP)]
+    ingest.normalise(spark, tables, second, AT)
+    done = [("u1", "6", "COMPLETED", None), ("u7", "7", "FAILED", "ValidateFile")]
+    assert rows(store.scan_table(spark, tables, "jobs"), *columns) == sorted(failed + done)
+    assert rows(ingest.lifecycle(spark, tables), *columns) == sorted(failed + done)
+
+
 def test_only_pending_exports_are_normalised(spark, tmp_path, rows, monkeypatch):
     root, tables, staging = tmp_path / "uploads", str(tmp_path / "store"), str(tmp_path / "staging")
     again = datetime(2024, 3, 1)

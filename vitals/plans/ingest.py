@@ -22,29 +22,31 @@ from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg
 from vitals.sources.gpx import scan_gpx
 from vitals.sources.health_xml import scan_health_xml
-from vitals.streaming.ingest import manifest_path
-
-
-def _present(spark: SparkSession, path: str) -> bool:
-    """Whether a folder holds anything; a run may have no member of a kind."""
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+from vitals.streaming.ingest import empty_path, manifest_path
 
 
 def _empty(spark: SparkSession, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Manifest rows of all landing runs, empty uploads included."""
+    schema = f"{archive.UNPACKED}, staging STRING"
+    rows = _empty(spark, schema)
+    for path in (manifest_path(root), empty_path(root)):
+        if store.present(spark, path):
+            rows = rows.unionByName(spark.read.schema(schema).parquet(path))
+    return rows
+
+
 def read_manifest(spark: SparkSession, root: str, staging: str) -> DataFrame:
     """Manifest rows of one landing run."""
-    schema = f"{archive.UNPACKED}, staging STRING"
-    rows = spark.read.schema(schema).parquet(manifest_path(root))
-    return rows.where(F.col("staging") == staging).drop("staging")
+    return _manifest(spark, root).where(F.col("staging") == staging).drop("staging")
 
 
 def staged_scan(spark: SparkSession, staging: str) -> DataFrame:
     folder = f"{staging}/kind=xml"
-    if _present(spark, folder):
+    if store.present(spark, folder):
         return scan_health_xml(spark, folder, staged=True)
     return _empty(
         spark,
@@ -156,15 +158,14 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
 
 def _versions(spark: SparkSession, root: str, family: str) -> DataFrame:
     """All rows written to a table of jobs; none before the first run."""
-    if _present(spark, store.table_path(root, family)):
+    if store.present(spark, store.table_path(root, family)):
         return store.scan_table(spark, root, family, versions=True)
     return _empty(spark, JOBS)
 
 
 def lifecycle(spark: SparkSession, root: str) -> DataFrame:
     """The state of every export that has landed below ``root``, in whatever run."""
-    landed = spark.read.schema(f"{archive.UNPACKED}, staging STRING").parquet(manifest_path(root))
-    return job_lifecycle(landed.select(*EXPORT), _versions(spark, root, "job_states"), _versions(spark, root, "jobs"))
+    return job_lifecycle(_manifest(spark, root).select(*EXPORT), _versions(spark, root, "job_states"), _versions(spark, root, "jobs"))
 
 
 def end_abandoned(spark: SparkSession, root: str, before: datetime, at: datetime) -> None:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitals.sources.files import list_files
+
 # Schema of Spark's binaryFile source; streams need it stated.
 BINARY_FILE = (
     "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
@@ -24,7 +29,7 @@ def export_arrivals(
 
     The content column is pruned, so no archive is read here. Tasks are packed
     by file length: a large archive has a task of its own. Spark's file sources
-    do not list empty files, so an empty upload has no row.
+    do not list empty files; ``empty_arrivals`` does.
     """
     reader = spark.readStream if streaming else spark.read
     reader = reader.format("binaryFile").schema(BINARY_FILE)
@@ -38,6 +43,39 @@ def export_arrivals(
     )
 
 
+def empty_arrivals(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, length, mtime)`` of the ``exports/**.zip`` without a byte.
+
+    The driver lists the users' folders, tasks what lies in them. A root
+    without uploads has no row.
+    """
+    base = f"{root.rstrip('/')}/exports"
+    columns = ["path", "length", "mtime"]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["name"]:
+                found = [
+                    (f"{base}/{name}/{inner}", 0, info.mtime)
+                    for inner, info in list_files(f"{base}/{name}")
+                    if info.is_file and info.size == 0 and inner.endswith(".zip")
+                ]
+                if found:
+                    yield pd.DataFrame(found, columns=columns)
+
+    first = list_files(base, recursive=False)
+    folders = [(name,) for name, info in first if not info.is_file]
+    # files beside the users' folders have a malformed key, but a row
+    loose = [
+        (f"{base}/{name}", 0, info.mtime)
+        for name, info in first
+        if info.is_file and info.size == 0 and name.endswith(".zip")
+    ]
+    schema = "path STRING, length LONG, mtime TIMESTAMP"
+    within = spark.createDataFrame(folders, "name STRING").mapInPandas(listed, schema)
+    return within.unionByName(spark.createDataFrame(loose, schema))
+
+
 # Fixed format of an upload key, below the root: exports/{user}/{job}.zip
 EXPORT_KEY = r"^exports/([^/]+)/([^/.]+)[^/]*\.zip$"
 

@@ -27,6 +27,13 @@ def open_input(uri: str):
     return store.open_input_file(path)
 
 
+def list_files(uri: str, recursive: bool = True) -> list[tuple[str, fs.FileInfo]]:
+    """What lies below a folder, by its path from there; nothing if there is no such folder."""
+    store, path = _locate(uri.rstrip("/"))
+    found = store.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=recursive))
+    return [(info.path.removeprefix(f"{path}/"), info) for info in found]
+
+
 class StagedFile:
     """A file that appears under its name only when it is complete.
 

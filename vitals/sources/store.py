@@ -24,6 +24,12 @@ def table_path(root: str, family: str) -> str:
     return f"{root.rstrip('/')}/{family}"
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a folder; a run may have no member of a kind."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
 def _month(family: str) -> Column:
     return month_of(F.col(TIMES[family])) if family in TIMES else F.lit("")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitals.sources.archive import list_members, unpack_members
-from vitals.sources.arrivals import export_arrivals, parse_export_key
-from vitals.sources.store import table_path
+from vitals.sources.arrivals import empty_arrivals, export_arrivals, parse_export_key
+from vitals.sources.store import present, table_path
 
 
 def land(arrivals: DataFrame, root: str, staging: str) -> DataFrame:
@@ -25,6 +25,24 @@ def manifest_path(store: str) -> str:
     return table_path(store, "manifest")
 
 
+def empty_path(store: str) -> str:
+    """Beside the stream's manifest, whose log names the stream's own files only."""
+    return table_path(store, "manifest_empty")
+
+
+def land_empty(spark: SparkSession, root: str, store: str, staging: str) -> None:
+    """Manifest rows of the uploads without a byte, which the stream does not see.
+
+    Called before ``plans.ingest.normalise`` of the run, which then ends their
+    jobs as failed. An upload that has a row keeps to it, in whatever run.
+    """
+    rows = land(empty_arrivals(spark, root), root, staging).withColumn("staging", F.lit(staging))
+    if present(spark, empty_path(store)):
+        known = spark.read.schema(rows.schema).parquet(empty_path(store)).select("path")
+        rows = rows.join(known, "path", "left_anti").select(*rows.columns)
+    rows.write.mode("append").partitionBy("staging").parquet(empty_path(store))
+
+
 def ingest_stream(
     spark: SparkSession,
     root: str,
