@@ -290,19 +290,19 @@ def ecg_page(spark, sf_dir):
     )
 
 
-def _following(page, rows, order):
+def _second_page(page, rows, order):
     """The page after the first one of five rows."""
     cursors = pages.next_cursor(page(rows, START, END, 5), order)
     return page(rows, START, END, 5, cursors.withColumnRenamed("next_cursor", "cursor"))
 
 
 def ecg_page_next(spark, sf_dir):
-    rows = _following(pages.ecg_page, adapter.ecg(spark, sf_dir), pages.ECG_ORDER)
+    rows = _second_page(pages.ecg_page, adapter.ecg(spark, sf_dir), pages.ECG_ORDER)
     return rows.select("user_id", "ecg_time", "classification", "position", "page_count")
 
 
 def workout_page_next(spark, sf_dir):
-    rows = _following(pages.workout_page, adapter.routes(spark, sf_dir), pages.ROUTE_ORDER)
+    rows = _second_page(pages.workout_page, adapter.routes(spark, sf_dir), pages.ROUTE_ORDER)
     return rows.select("user_id", "route_time", "waypoint_count", "position", "page_count")
 
 
