@@ -141,3 +141,20 @@ def test_scratch_data_needs_a_shared_folder_on_a_cluster():
         with pytest.raises(ValueError):
             shared_dir(Session(master), "x")
     assert "/x-" in shared_dir(Session("local[2]"), "x")
+
+
+def test_ordinals_broadcast_no_rows(spark, tmp_path):
+    from vitals.operators.ecg import row_ordinal
+
+    # long equal texts take little room in a file, and a lot once they are rows
+    rows = spark.range(40).select(
+        F.lit("u").alias("user_id"), F.lit("1").alias("job_id"),
+        (F.col("id") % 4).cast("int").alias("member_ordinal"),
+        F.floor(F.col("id") / 4).alias("row_in_file"), F.repeat(F.lit("x"), F.lit(100_000)).alias("classification"),
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    numbered = row_ordinal(spark.read.parquet(str(tmp_path / "rows")))
+    found = numbered.orderBy("ordinal").select("ordinal", "member_ordinal", "row_in_file").collect()
+    assert [tuple(r) for r in found] == [(10 * m + n, m, n) for m in range(4) for n in range(10)]
+    numbered.write.format("noop").mode("overwrite").save()
+    assert "Broadcast" not in plan(numbered)

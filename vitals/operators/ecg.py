@@ -54,7 +54,9 @@ def row_ordinal(rows: DataFrame) -> DataFrame:
 
     Rows are numbered within their file already, so only the files' row counts
     (combined before the shuffle) are put in order per export; the rows of an
-    export are never gathered in one task.
+    export are never gathered in one task. The counts are the side that is
+    hashed, by file in every task: rows, whose texts may be long and yet take
+    little room in a file, must not be sent to the driver to be broadcast.
     """
     counts = rows.groupBy(*FILE).agg(F.count("*").alias("_rows"))
     before = (
@@ -66,7 +68,7 @@ def row_ordinal(rows: DataFrame) -> DataFrame:
         *FILE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     return (
-        rows.join(offsets, FILE)
+        rows.join(offsets.hint("shuffle_hash"), FILE)
         .withColumn("ordinal", F.col("_offset") + F.col("row_in_file"))
         .drop("_offset")
     )
