@@ -14,6 +14,8 @@ from vitals.session import shared_dir
 from vitals.sources.files import StagedFile
 
 _rendered: dict[tuple[str, str], str] = {}
+#: Events, and users, whose archives a task writes.
+EVENTS, USERS = 20_000, 1_000
 
 
 def _xml_text(column: Column) -> Column:
@@ -134,7 +136,8 @@ def render_archives(spark: SparkSession, sf_dir: str) -> str:
     if key not in _rendered:
         root = shared_dir(spark, "exports")
         order = ["user", "job", "part", "member", "seq"]
-        lines = _lines(table(spark, sf_dir, "events")).repartition("user", "job")
+        events = table(spark, sf_dir, "events")
+        lines = _lines(events).repartition(events.count() // EVENTS + 1, "user", "job")
         written = lines.sortWithinPartitions(*order).mapInPandas(_write(root), "path STRING")
         written.write.format("noop").mode("overwrite").save()
         _rendered[key] = root
@@ -198,6 +201,7 @@ def render_faulty(spark: SparkSession, sf_dir: str) -> str:
     if key not in _rendered:
         root = shared_dir(spark, "faulty")
         users = table(spark, sf_dir, "events").select("user_id").distinct()
+        users = users.repartition(users.count() // USERS + 1, "user_id")
         users.mapInPandas(_write_faulty(root), "user_id LONG").write.format("noop").mode("overwrite").save()
         _rendered[key] = root
     return _rendered[key]
