@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,12 @@ BINARY_FILE = (
 
 
 MALFORMED_KEY = "malformed key"
+ROWS = 10_000
+
+
+ARRIVALS = "path STRING, length LONG, mtime TIMESTAMP"
+#: Users' folders that a task lists.
+FOLDERS = 200
 
 
 def export_arrivals(
@@ -27,16 +33,18 @@ def export_arrivals(
 ) -> DataFrame:
     """``(path, length, mtime)`` of every ``exports/**.zip`` below ``root``.
 
-    The content column is pruned, so no archive is read here. Tasks are packed
-    by file length: a large archive has a task of its own. Spark's file sources
-    do not list empty files; ``empty_arrivals`` does.
+    No archive is read here. A stream lists them as Spark's file sources do, on
+    the driver; tasks are packed by file length. A batch lists them in tasks, so
+    that the driver holds no file of what may be millions. Neither lists empty
+    files; ``empty_arrivals`` does.
     """
-    reader = spark.readStream if streaming else spark.read
-    reader = reader.format("binaryFile").schema(BINARY_FILE)
+    if not streaming:
+        return _arrivals(spark, root, lambda size: size > 0, hidden=False)
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
     reader = reader.option("pathGlobFilter", "*.zip").option(
         "recursiveFileLookup", "true"
     )
-    if streaming and files_per_trigger:
+    if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(f"{root.rstrip('/')}/exports").select(
         "path", "length", F.col("modificationTime").alias("mtime")
@@ -46,34 +54,62 @@ def export_arrivals(
 def empty_arrivals(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length, mtime)`` of the ``exports/**.zip`` without a byte.
 
-    The driver lists the users' folders, tasks what lies in them. A root
-    without uploads has no row.
+    A root without uploads has no row.
+    """
+    return _arrivals(spark, root, lambda size: size == 0, hidden=True)
+
+
+def _shown(path: str) -> bool:
+    """Whether Spark's file sources would list a file of this path below the root."""
+    return not any(
+        name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+        for name in path.split("/")
+    )
+
+
+def _arrivals(spark: SparkSession, root: str, of_size: Callable[[int], bool], hidden: bool) -> DataFrame:
+    """The archives of some size below ``root``, listed in tasks.
+
+    One task lists the users' folders, the others what lies in some of them.
     """
     base = f"{root.rstrip('/')}/exports"
+    # local paths are given as Spark lists them
+    scheme = "file:" if ":" not in base.split("/", 1)[0] and not hidden else ""
     columns = ["path", "length", "mtime"]
 
+    def chosen(name: str, info) -> bool:
+        return info.is_file and name.endswith(".zip") and of_size(info.size) and (hidden or _shown(name))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            # what lies beside the users' folders has a malformed key, but a row
+            found = [
+                (name, None if not info.is_file else info.size, None if not info.is_file else info.mtime)
+                for name, info in list_files(base, recursive=False)
+                if chosen(name, info) or not info.is_file and (hidden or _shown(name))
+            ]
+            for at in range(0, len(found), ROWS):
+                frame = pd.DataFrame(found[at : at + ROWS], columns=["name", "length", "mtime"])
+                yield frame.astype({"length": "Int64"})
+
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name in batch["name"]:
-                found = [
-                    (f"{base}/{name}/{inner}", 0, info.mtime)
+            found = []
+            for name, length, mtime in batch.itertuples(index=False, name=None):
+                if not pd.isna(length):
+                    found.append((f"{scheme}{base}/{name}", int(length), mtime))
+                    continue
+                found += [
+                    (f"{scheme}{base}/{name}/{inner}", info.size, info.mtime)
                     for inner, info in list_files(f"{base}/{name}")
-                    if info.is_file and info.size == 0 and inner.endswith(".zip")
+                    if chosen(f"{name}/{inner}", info)
                 ]
-                if found:
-                    yield pd.DataFrame(found, columns=columns)
-
-    first = list_files(base, recursive=False)
-    folders = [(name,) for name, info in first if not info.is_file]
-    # files beside the users' folders have a malformed key, but a row
-    loose = [
-        (f"{base}/{name}", 0, info.mtime)
-        for name, info in first
-        if info.is_file and info.size == 0 and name.endswith(".zip")
-    ]
-    schema = "path STRING, length LONG, mtime TIMESTAMP"
-    within = spark.createDataFrame(folders, "name STRING").mapInPandas(listed, schema)
-    return within.unionByName(spark.createDataFrame(loose, schema))
+            if found:
+                yield pd.DataFrame(found, columns=columns)
+
+    named = spark.range(0, 1, 1, 1).mapInPandas(first, "name STRING, length LONG, mtime TIMESTAMP")
+    tasks = -(-named.count() // FOLDERS)
+    return named.repartition(max(1, tasks)).mapInPandas(listed, ARRIVALS)
 
 
 # Fixed format of an upload key, below the root: exports/{user}/{job}.zip
