@@ -483,7 +483,8 @@ def stream(spark, sf_dir):
 
 def scan_xml(spark, sf_dir):
     _, staging = landed(spark, sf_dir)
-    return ingest.staged_scan(spark, staging).drop("_file", "_blk", "_pos")
+    scan = ingest.staged_scan(spark, staging, _manifest(spark, sf_dir))
+    return scan.drop("_file", "_blk", "_pos")
 
 
 def ecg_scan(spark, sf_dir):

@@ -21,7 +21,7 @@ from vitals.session import shared_dir
 from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg
 from vitals.sources.gpx import scan_gpx
-from vitals.sources.health_xml import scan_health_xml
+from vitals.sources.health_xml import scan_health_xml, scan_xml_values
 from vitals.streaming.ingest import empty_path, manifest_path
 
 
@@ -44,28 +44,32 @@ def read_manifest(spark: SparkSession, root: str, staging: str) -> DataFrame:
     return _manifest(spark, root).where(F.col("staging") == staging).drop("staging")
 
 
-def staged_scan(spark: SparkSession, staging: str) -> DataFrame:
+def staged_scan(
+    spark: SparkSession, staging: str, manifest: DataFrame, exports: DataFrame | None = None
+) -> DataFrame:
+    """Record elements of a run, or of some exports of it.
+
+    Large XML lies in files, laid out by export, so that ``exports`` prunes
+    folders; the rest is held in the manifest.
+    """
+    xml = members_of(manifest, "xml")
+    if exports is not None:
+        xml = xml.join(exports, EXPORT, "left_semi")
+    scan = scan_xml_values(xml)
     folder = f"{staging}/kind=xml"
-    if store.present(spark, folder):
-        return scan_health_xml(spark, folder, staged=True)
-    return _empty(
-        spark,
-        "user_id STRING, job_id STRING, type STRING, unit STRING, value STRING, "
-        "start_date STRING, creation_date STRING, _file STRING, _blk LONG, _pos LONG",
-    )
+    if not store.present(spark, folder):
+        return scan
+    files = scan_health_xml(spark, folder, staged=True)
+    if exports is not None:
+        files = files.join(exports, EXPORT, "left_semi")
+    return scan.unionByName(files)
 
 
 def staged_records(
-    spark: SparkSession, staging: str, at: Column, exports: DataFrame | None = None
+    spark: SparkSession, staging: str, manifest: DataFrame, at: Column, exports: DataFrame | None = None
 ) -> DataFrame:
-    """Record rows of a run, or of some exports of it: the last of every key.
-
-    ``exports`` prunes the folders that are read, which are laid out by export.
-    """
-    scan = staged_scan(spark, staging)
-    if exports is not None:
-        scan = scan.join(exports, EXPORT, "left_semi")
-    scan = map_record_type(scan)
+    """Record rows of a run, or of some exports of it: the last of every key."""
+    scan = map_record_type(staged_scan(spark, staging, manifest, exports))
     return dedupe_last(project_record(scan, F.unix_timestamp(at)))
 
 
@@ -145,12 +149,12 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     # well-formedness was found out while unpacking, but it is a failure of parsing
     parsed = outcome.where(F.col("valid") | (F.col("error_step") == STEPS[PROCESSING]))
     store.write_job_states(entered(parsed, PROCESSING, moment), root)
-    manifest = manifest.join(valid, EXPORT, "left_semi")
+    good = manifest.join(valid, EXPORT, "left_semi")
 
-    store.upsert_records(staged_records(spark, staging, moment, valid), root)
-    lines, tracks = ecg_lines(manifest), gpx_tracks(manifest)
-    store.upsert_ecg(staged_ecg(manifest, moment, lines), root)
-    store.upsert_routes(staged_routes(spark, staging, manifest, moment, tracks), root)
+    store.upsert_records(staged_records(spark, staging, manifest, moment, valid), root)
+    lines, tracks = ecg_lines(good), gpx_tracks(good)
+    store.upsert_ecg(staged_ecg(good, moment, lines), root)
+    store.upsert_routes(staged_routes(spark, staging, good, moment, tracks), root)
     store.write_rejects(rejects(lines, tracks, moment), root)
 
     store.write_job_status(job_status(outcome, moment), root)
@@ -191,7 +195,7 @@ def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> Da
     good = manifest.join(valid, EXPORT, "left_semi")
     return ingest_counts(
         manifest,
-        staged_scan(spark, staging).join(valid, EXPORT, "left_semi"),
+        staged_scan(spark, staging, manifest, valid),
         staged_ecg(good, moment),
         staged_routes(spark, staging, good, moment),
     )

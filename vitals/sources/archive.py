@@ -7,6 +7,7 @@ member at a time. Neither holds a whole archive or member in memory.
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 import zlib
@@ -26,7 +27,7 @@ from vitals.sources.files import StagedFile, open_input
 
 ROWS = 10_000
 COPY_BYTES = 1 << 20
-# CSV and GPX members up to this size travel as column values, larger ones as files.
+# Members up to this size travel as column values, larger ones as files.
 INLINE_BYTES = 8 << 20
 FRAME_BYTES = 32 << 20
 UNREADABLE = (
@@ -252,7 +253,14 @@ def _copy(member, out, check: bool) -> None:
         out.write(scrubber.feed(b"", last=True))
 
 
-def _unpack(staging: str, inline_bytes: int):
+def _checked(member) -> bytes:
+    """A member's XML as a whole; raises if it is not well-formed."""
+    out = io.BytesIO()
+    _copy(member, out, check=True)
+    return out.getvalue()
+
+
+def _unpack(staging: str, inline_bytes: int, inline_xml: bool):
     columns = column_names(UNPACKED)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -273,8 +281,11 @@ def _unpack(staging: str, inline_bytes: int):
                         ordinal = int(row.member_ordinal)
                         try:
                             with archive.member(row.path, ordinal) as member:
-                                if row.kind != "xml" and row.member_size <= inline_bytes:
+                                small = row.member_size <= inline_bytes
+                                if small and row.kind != "xml":
                                     content = member.read()
+                                elif small and inline_xml:
+                                    content = _checked(member)
                                 else:
                                     target = staged_path(
                                         staging, row.kind, row.user_id, row.job_id, ordinal
@@ -301,15 +312,16 @@ def _unpack(staging: str, inline_bytes: int):
 
 
 def unpack_members(
-    members: DataFrame, staging: str, inline_bytes: int = INLINE_BYTES
+    members: DataFrame, staging: str, inline_bytes: int = INLINE_BYTES, inline_xml: bool = False
 ) -> DataFrame:
     """The members' texts: XML as files below ``staging``, the rest in ``content``.
 
-    A measurement XML is large and can be split once it is a file. CSV and GPX
-    members are many and small; as values of a column they are stored together
-    instead of as one tiny file each. One above ``inline_bytes`` becomes a file
-    as well. In staged XML nothing but elements begins with ``<``, so that it
-    can be split anywhere.
+    A large measurement XML can be split once it is a file. CSV and GPX members
+    are many and small; as values of a column they are stored together instead
+    of as one tiny file each. One above ``inline_bytes`` becomes a file as well.
+    With ``inline_xml`` the same goes for XML: where exports are many, a file and
+    a folder of each would all have to be listed on the driver. In unpacked XML
+    nothing but elements begins with ``<``, so that it can be split anywhere.
 
     ``members`` comes from ``list_members``, whose rows of one archive follow
     each other, so an archive is opened once. Of several XML members only the
@@ -317,5 +329,5 @@ def unpack_members(
     the same files.
     """
     columns = column_names(LISTED)
-    unpack = _unpack(staging, inline_bytes)
+    unpack = _unpack(staging, inline_bytes, inline_xml)
     return members.select(*columns, "kind").mapInPandas(unpack, UNPACKED)

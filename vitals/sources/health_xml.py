@@ -82,8 +82,26 @@ def scan_health_xml(
         .option("lineSep", "<")
         .load(path)
         .select(*keys, "value", *_position())
-        .where(F.col("value").startswith("Record") & F.col("value").rlike(TAG))
     )
+    return _records(chunks, keys)
+
+
+def scan_xml_values(members: DataFrame) -> DataFrame:
+    """``scan_health_xml`` of unpacked members that are held as values."""
+    held = members.where(F.col("content").isNotNull())
+    chunks = held.select(
+        "user_id",
+        "job_id",
+        F.explode(F.split(F.col("content").cast("string"), "<")).alias("value"),
+        F.col("path").alias("_file"),
+        F.lit(0).cast("long").alias("_blk"),
+    )
+    return _records(chunks, ["user_id", "job_id"])
+
+
+def _records(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Records of texts that have been cut at every ``<``, in the columns ``keys`` and ``value``."""
+    chunks = chunks.where(F.col("value").startswith("Record") & F.col("value").rlike(TAG))
     # Quotes cannot occur in a value, so cutting at them puts the names at the
     # first, third ... place and each value behind its name.
     tag = F.regexp_extract("value", TAG, 1)

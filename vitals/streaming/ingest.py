@@ -11,14 +11,38 @@ from vitals.sources.arrivals import empty_arrivals, export_arrivals, parse_expor
 from vitals.sources.store import present, table_path
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+OPENING = "spark.sql.files.openCostInBytes"
+#: Tasks per core that list the uploads.
+LISTING_TASKS = 4
+#: What opening an archive counts for beside its length: some 500 small ones make a task.
+OPEN_BYTES = 256 << 10
+
+
+def landing_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark``, but for those its file source goes by.
+
+    By default the source lists every folder, and every file of a batch once
+    more, in a task of its own, and packs 32 small archives into a task; then
+    starting tasks is most of the work. Other queries keep their settings.
+    """
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    session.conf.set(LISTING, str(LISTING_TASKS * spark.sparkContext.defaultParallelism))
+    session.conf.set(OPENING, str(OPEN_BYTES))
+    return session
+
+
 def land(arrivals: DataFrame, root: str, staging: str) -> DataFrame:
-    """Manifest rows of ``arrivals``, with their members copied to ``staging``.
+    """Manifest rows of ``arrivals``, with their members, large ones copied to ``staging``.
 
     A malformed key keeps its row with a reason and is not opened. Works on a
     stream and on a batch: no step needs state or a shuffle.
     """
     listed = list_members(parse_export_key(arrivals, root))
-    return unpack_members(listed, staging)
+    return unpack_members(listed, staging, inline_xml=True)
 
 
 def manifest_path(store: str) -> str:
@@ -55,10 +79,11 @@ def ingest_stream(
     """Starts the landing stream; ``availableNow=True`` unless told otherwise.
 
     The checkpoint makes it once per file. A run has a staging folder of its
-    own; ``plans.ingest.normalise`` then turns the run into table rows.
+    own; ``plans.ingest.normalise`` then turns the run into table rows. The
+    stream runs in a session of its own, in whose ``streams`` it is found.
     """
     arrivals = export_arrivals(
-        spark, root, streaming=True, files_per_trigger=files_per_trigger
+        landing_session(spark), root, streaming=True, files_per_trigger=files_per_trigger
     )
     rows = land(arrivals, root, staging).withColumn("staging", F.lit(staging))
     return (
