@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from vitals.sources.files import StagedFile
 _rendered: dict[tuple[str, str], str] = {}
 #: Events, and users, whose archives a task writes.
 EVENTS, USERS = 20_000, 1_000
+#: Lines of a member that are written at once.
+LINES = 10_000
 
 
 def _xml_text(column: Column) -> Column:
@@ -25,107 +29,130 @@ def _xml_text(column: Column) -> Column:
 
 
 def _lines(events: DataFrame) -> DataFrame:
-    """Every text line of every member, ``(user, job, part, member, seq, line)``."""
-    number = F.col("event_id").cast("string")
+    """Every event's text lines, ``(user, job, part, day, seq, line)``.
+
+    What opens and closes a member is the same in all of a part, and the writer's.
+    """
     value = F.col("value").cast("string")
-    base = events.select(
-        F.col("user_id").cast("string").alias("user"),
-        (F.col("event_id") % 3).cast("string").alias("job"),
-        "event_id",
-        "event_type",
-        F.date_format("ts", "yyyyMMdd").alias("day"),
-        time_text("ts").alias("time"),
-        value.alias("value"),
-        "props",
-        F.concat(
-            F.lit(' <Record type="'), identifier(),
-            F.lit('" sourceName="a &gt; &quot;b&quot; type="'), F.lit(' unit="u" value="'),
-            value, F.lit('" startDate="'), time_text("ts"), F.lit('"'),
-            F.when(F.col("event_id") % 5 == 0, "/>").otherwise(
-                '>\n  <MetadataEntry key="k" value="0"/>\n </Record>'
-            ),
-        ).alias("record"),
+    record = F.concat(
+        F.lit(' <Record type="'), identifier(),
+        F.lit('" sourceName="a &gt; &quot;b&quot; type="'), F.lit(' unit="u" value="'),
+        value, F.lit('" startDate="'), time_text("ts"), F.lit('"'),
+        F.when(F.col("event_id") % 5 == 0, "/>").otherwise(
+            '>\n  <MetadataEntry key="k" value="0"/>\n </Record>'
+        ),
     )
-    exports = base.select("user", "job").distinct()
-    xml, other = "export/export.xml", "export/readme.txt"
-    ecg = F.concat(F.lit("export/electrocardiograms/ecg_"), F.col("day"), F.lit(".csv"))
-    gpx = F.concat(F.lit("export/workout-routes/route_"), F.col("day"), F.lit(".gpx"))
-
-    def fixed(df, part, member, seq, line):
-        return df.select(
-            "user", "job", F.lit(part).alias("part"), _as(member).alias("member"),
-            F.lit(seq).cast("long").alias("seq"), _as(line).alias("line"),
-        )
-
-    def moving(df, part, member, line):
-        return df.select(
-            "user", "job", F.lit(part).alias("part"), member.alias("member"),
-            F.col("event_id").alias("seq"), line.alias("line"),
-        )
-
-    last = 1 << 60
-    views = base.where("event_type = 'view'")
-    view_days = views.select("user", "job", "day").distinct()
-    days = base.select("user", "job", "day").distinct()
     quoted = F.concat(F.lit('"'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))
     point = F.concat(
-        F.lit('<trkpt lat="'), F.col("value"), F.lit('" lon="'), number,
-        F.lit('"><ele>1</ele><time>'), F.col("time"), F.lit("</time></trkpt>"),
+        F.lit('<trkpt lat="'), value, F.lit('" lon="'), F.col("event_id").cast("string"),
+        F.lit('"><ele>1</ele><time>'), time_text("ts"), F.lit("</time></trkpt>"),
     )
-    head = (
-        '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE HealthData [\n'
-        "<!ELEMENT HealthData (Record*)>\n]>\n<HealthData>"
+    day = F.date_format("ts", "yyyyMMdd")
+
+    def line(part: int, day: Column, text: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), day.alias("day"), text.alias("line"))
+
+    lines = F.array(
+        line(XML, F.lit(""), record),
+        F.when(F.col("event_type") == "view", line(ECG, day, F.concat_ws(",", value, quoted, time_text("ts")))),
+        line(GPX, day, point),
+    )
+    exploded = events.select(
+        F.col("user_id").alias("user"),
+        (F.col("event_id") % 3).alias("job"),
+        F.col("event_id").alias("seq"),
+        F.explode(lines).alias("of"),
     )
-    gpx_head = '<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>'
-    parts = [
-        fixed(exports, 0, other, 0, "not ingested"),
-        fixed(exports, 1, xml, -1, head),
-        moving(base, 1, F.lit(xml), F.col("record")),
-        fixed(exports, 1, xml, last, "</HealthData>"),
-        fixed(view_days, 2, ecg, -1, "Average Heart Rate (bpm),Classification,Date"),
-        moving(views, 2, ecg, F.concat_ws(",", F.col("value"), quoted, F.col("time"))),
-        fixed(days, 3, gpx, -1, gpx_head),
-        moving(base, 3, gpx, point),
-        fixed(days, 3, gpx, last, "</trkseg></trk></gpx>"),
-    ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
-
-
-def _as(value: str | Column) -> Column:
-    return F.lit(value) if isinstance(value, str) else value
+    return exploded.where(F.col("of").isNotNull()).select("user", "job", "seq", "of.*")
 
 
-def _write(root: str):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = target = staged = archive = member = name = None
+#: Members in their order: the name around the day, the first line, the last.
+XML, ECG, GPX = 1, 2, 3
+MEMBERS = {
+    XML: (
+        "export/export", ".xml",
+        '<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE HealthData [\n'
+        "<!ELEMENT HealthData (Record*)>\n]>\n<HealthData>",
+        "</HealthData>",
+    ),
+    ECG: ("export/electrocardiograms/ecg_", ".csv", "Average Heart Rate (bpm),Classification,Date", None),
+    GPX: (
+        "export/workout-routes/route_", ".gpx",
+        '<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>', "</trkseg></trk></gpx>",
+    ),
+}
+
+
+class _Archive:
+    """An archive being written; of a member no more than a block of lines is held."""
+
+    def __init__(self, target: str):
+        self._staged = StagedFile(target)
+        self._archive = zipfile.ZipFile(self._staged.__enter__(), "w", zipfile.ZIP_DEFLATED)
+        self._archive.writestr("export/readme.txt", "not ingested\n")
+        self._lines: list[str] = []
+        self._name = self._last = self._out = None
+
+    def begin(self, part: int, day: str) -> None:
+        self._end()
+        before, after, first, self._last = MEMBERS[part]
+        self._name = before + day + after
+        self._lines.append(first)
+
+    def add(self, lines: list[str]) -> None:
+        self._lines += lines
+        if len(self._lines) >= LINES:
+            if self._out is None:
+                self._out = self._archive.open(self._name, "w")
+            self._out.write(self._text())
+
+    def _text(self) -> bytes:
+        text = "\n".join([*self._lines, ""]).encode()
+        self._lines.clear()
+        return text
+
+    def _end(self) -> None:
+        if self._name is None:
+            return
+        if self._last is not None:
+            self._lines.append(self._last)
+        if self._out is None:
+            self._archive.writestr(self._name, self._text())
+        else:
+            self._out.write(self._text())
+            self._out.close()
+        self._name = self._out = None
+
+    def close(self) -> None:
+        self._end()
+        self._archive.close()
+        self._staged.__exit__(None, None, None)
 
-        def close():
-            if member is not None:
-                member.close()
-            if archive is not None:
-                archive.close()
-                staged.__exit__(None, None, None)
 
+def _write(root: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        export = member = archive = None
         for batch in batches:
-            for user, job, item, line in batch[["user", "job", "member", "line"]].itertuples(
-                index=False, name=None
-            ):
-                if (user, job) != current:
-                    close()
-                    current, member, name = (user, job), None, None
-                    target = f"{root}/exports/{user}/{job}.zip"
-                    staged = StagedFile(target)
-                    archive = zipfile.ZipFile(staged.__enter__(), "w", zipfile.ZIP_DEFLATED)
-                    yield pd.DataFrame({"path": [target]})
-                if item != name:
-                    if member is not None:
-                        member.close()
-                    member, name = archive.open(item, "w"), item
-                member.write(f"{line}\n".encode())
-        close()
+            *keys, lines = (batch.column(name).to_pylist() for name in ("user", "job", "part", "day", "line"))
+            written, at = [], 0
+            # a member's lines follow each other
+            for key, group in groupby(zip(*keys)):
+                end = at + sum(1 for _ in group)
+                user, job, part, day = key
+                if (user, job) != export:
+                    if archive is not None:
+                        archive.close()
+                    export, member = (user, job), None
+                    written.append(f"{root}/exports/{user}/{job}.zip")
+                    archive = _Archive(written[-1])
+                if (part, day) != member:
+                    member = part, day
+                    archive.begin(part, day)
+                archive.add([f"{line}" for line in lines[at:end]])
+                at = end
+            yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], ["path"])
+        if archive is not None:
+            archive.close()
 
     return write
 
@@ -135,10 +162,10 @@ def render_archives(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _rendered:
         root = shared_dir(spark, "exports")
-        order = ["user", "job", "part", "member", "seq"]
+        order = ["user", "job", "part", "day", "seq"]
         events = table(spark, sf_dir, "events")
         lines = _lines(events).repartition(events.count() // EVENTS + 1, "user", "job")
-        written = lines.sortWithinPartitions(*order).mapInPandas(_write(root), "path STRING")
+        written = lines.sortWithinPartitions(*order).mapInArrow(_write(root), "path STRING")
         written.write.format("noop").mode("overwrite").save()
         _rendered[key] = root
     return _rendered[key]

@@ -3,8 +3,10 @@
 import zipfile
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from parity import archives
 from vitals.plans import ingest
 from vitals.sources import archive, arrivals, store
 from vitals.streaming.ingest import LISTING, OPENING, ingest_stream, landing_session
@@ -101,3 +103,88 @@ def test_a_stream_lists_and_opens_in_few_tasks(spark, tmp_path, rows):
     assert before == (spark.conf.get(LISTING), spark.conf.get(OPENING))
     assert ingest.read_manifest(spark, tables, staging).count() == 100
     assert len(list((tmp_path / "a").rglob("*.parquet"))) <= 5
+
+
+def test_a_small_archive_is_read_at_once(tmp_path, monkeypatch):
+    path = tmp_path / "1.zip"
+    with zipfile.ZipFile(path, "w") as target:
+        for n in range(20):
+            target.writestr(f"workout-routes/{n}.gpx", f"<gpx>{n}</gpx>")
+    reads = []
+
+    class Counted:
+        def __init__(self, source):
+            self.source = source
+
+        def read(self, *size):
+            reads.append(size)
+            return self.source.read(*size)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.source.close()
+
+        def __getattr__(self, name):
+            return getattr(self.source, name)
+
+    opened = archive.open_input
+    monkeypatch.setattr(archive, "open_input", lambda uri: Counted(opened(uri)))
+    length = path.stat().st_size
+    members = pd.DataFrame(
+        [(str(path), "u", "1", length, f"workout-routes/{n}.gpx", n, 12, None, "gpx") for n in range(20)],
+        columns=[*archive.column_names(archive.LISTED), "kind"],
+    )
+    expected = [f"<gpx>{n}</gpx>".encode() for n in range(20)]
+    (found,) = archive._unpack(str(tmp_path), 100, True)(iter([members]))
+    assert list(found.content) == expected
+    assert len(reads) == 1
+
+    monkeypatch.setattr(archive, "WHOLE_BYTES", length - 1)
+    (found,) = archive._unpack(str(tmp_path), 100, True)(iter([members]))
+    assert list(found.content) == expected
+    assert len(reads) > 20
+
+
+def test_a_manifest_is_read_without_python(spark, tmp_path):
+    root = tmp_path / "uploads"
+    put(root, "u/1.zip", xml(1))
+    manifest, _ = landed(spark, root, str(tmp_path / "a"), str(tmp_path / "staging"))
+    assert "ExistingRDD" not in manifest._jdf.queryExecution().toString()
+    assert ingest.read_manifest(spark, str(tmp_path / "none"), "s").collect() == []
+
+
+def test_archives_are_rendered_from_one_scan(spark, tmp_path, monkeypatch):
+    spark.sql(
+        """SELECT id event_id, timestamp'2024-01-01' + make_interval(0, 0, 0, id % 4) ts, id % 2 user_id,
+        CASE WHEN id % 5 = 0 THEN 'view' ELSE 'click' END event_type, id / 2 value, '{"a": 1}' props FROM range(30)"""
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    lines = archives._lines(spark.read.parquet(str(tmp_path / "events.parquet")))
+    plan = lines._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Union" not in plan
+    monkeypatch.setattr(archives, "LINES", 1)  # a block per line
+    batches = lines.orderBy("user", "job", "part", "day", "seq").toArrow().to_batches()
+    list(archives._write(str(tmp_path / "short"))(iter(batches)))
+    contents = []
+    for root in (archives.render_archives(spark, str(tmp_path)), tmp_path / "short"):
+        with zipfile.ZipFile(f"{root}/exports/0/0.zip") as found:
+            contents.append({name: found.read(name).decode() for name in found.namelist()})
+    assert contents[0] == contents[1]
+    assert list(contents[0]) == [
+        "export/readme.txt",
+        "export/export.xml",
+        *(f"export/electrocardiograms/ecg_{day}.csv" for day in ["20240101"]),
+        *(f"export/workout-routes/route_{day}.gpx" for day in ["20240101", "20240103"]),
+    ]
+    assert contents[0]["export/export.xml"].count("<Record ") == 5
+    assert contents[0]["export/electrocardiograms/ecg_20240101.csv"] == (
+        "Average Heart Rate (bpm),Classification,Date\n"
+        '0.0,"{""a"": 1}",2024-01-01 00:00:00.000000\n'
+    )
+    assert contents[0]["export/workout-routes/route_20240103.gpx"] == (
+        '<gpx xmlns="http://www.topografix.com/GPX/1/1"><trk><trkseg>\n'
+        '<trkpt lat="3.0" lon="6"><ele>1</ele><time>2024-01-03 00:00:00.000000</time></trkpt>\n'
+        '<trkpt lat="9.0" lon="18"><ele>1</ele><time>2024-01-03 00:00:00.000000</time></trkpt>\n'
+        "</trkseg></trk></gpx>\n"
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from vitals.operators.jobs import STEPS, abandoned, entered, job_lifecycle, job_
 from vitals.operators.latest import dedupe_last
 from vitals.operators.records import map_record_type, project_record
 from vitals.schema import ECG, JOBS, PROCESSING, ROUTES, VALIDATING, column_names
-from vitals.session import shared_dir
+from vitals.session import once
 from vitals.sources import archive, store
 from vitals.sources.ecg_csv import scan_ecg
 from vitals.sources.gpx import scan_gpx
@@ -32,11 +33,12 @@ def _empty(spark: SparkSession, schema) -> DataFrame:
 def _manifest(spark: SparkSession, root: str) -> DataFrame:
     """Manifest rows of all landing runs, empty uploads included."""
     schema = f"{archive.UNPACKED}, staging STRING"
-    rows = _empty(spark, schema)
-    for path in (manifest_path(root), empty_path(root)):
-        if store.present(spark, path):
-            rows = rows.unionByName(spark.read.schema(schema).parquet(path))
-    return rows
+    landed = [
+        spark.read.schema(schema).parquet(path)
+        for path in (manifest_path(root), empty_path(root))
+        if store.present(spark, path)
+    ]
+    return reduce(DataFrame.unionByName, landed) if landed else _empty(spark, schema)
 
 
 def read_manifest(spark: SparkSession, root: str, staging: str) -> DataFrame:
@@ -79,12 +81,12 @@ def members_of(manifest: DataFrame, kind: str) -> DataFrame:
 
 def ecg_lines(manifest: DataFrame) -> DataFrame:
     """ECG lines of a run, and what could not be read, parsed once."""
-    return _once(scan_ecg(members_of(manifest, "ecg")), "ecg-lines")
+    return once(scan_ecg(members_of(manifest, "ecg")), "ecg-lines")
 
 
 def gpx_tracks(manifest: DataFrame) -> DataFrame:
     """Tracks of a run, and members that could not be read, parsed once."""
-    return _once(scan_gpx(members_of(manifest, "gpx")), "tracks")
+    return once(scan_gpx(members_of(manifest, "gpx")), "tracks")
 
 
 def staged_ecg(manifest: DataFrame, at: Column, lines: DataFrame | None = None) -> DataFrame:
@@ -118,13 +120,6 @@ def pending_exports(manifest: DataFrame, jobs: DataFrame) -> DataFrame:
     return landed.select(*EXPORT).distinct().join(jobs.select(*EXPORT), EXPORT, "left_anti")
 
 
-def _once(df: DataFrame, label: str) -> DataFrame:
-    """Rows written to the shared folder and read again, so that they are parsed once."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> None:
     """Writes the rows of a landing run's pending exports to the tables below ``root``.
 
@@ -136,7 +131,7 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     manifest = read_manifest(spark, root, staging)
     jobs = _versions(spark, root, "jobs")
     # unkeyed rows have no job and store nothing
-    pending = _once(pending_exports(manifest, jobs), "pending")
+    pending = once(pending_exports(manifest, jobs), "pending")
     store.write_job_states(entered(pending, VALIDATING, moment), root)
     manifest = manifest.join(pending, EXPORT, "left_semi")
     checked = archive.validate_exports(manifest).where(
@@ -144,7 +139,7 @@ def normalise(spark: SparkSession, root: str, staging: str, at: datetime) -> Non
     )
 
     # of an export that failed validation nothing is stored, not even good members
-    outcome = _once(checked.select(*EXPORT, "valid", "error_step"), "checked")
+    outcome = once(checked.select(*EXPORT, "valid", "error_step"), "checked")
     valid = outcome.where("valid").select(*EXPORT)
     # well-formedness was found out while unpacking, but it is a failure of parsing
     parsed = outcome.where(F.col("valid") | (F.col("error_step") == STEPS[PROCESSING]))
@@ -179,7 +174,7 @@ def end_abandoned(spark: SparkSession, root: str, before: datetime, at: datetime
     take their exports in again, and no longer does so after this.
     """
     ended = abandoned(lifecycle(spark, root), F.lit(before).cast("timestamp"), F.lit(at).cast("timestamp"))
-    store.write_job_status(_once(ended, "abandoned"), root)
+    store.write_job_status(once(ended, "abandoned"), root)
 
 
 def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> DataFrame:
@@ -191,7 +186,7 @@ def run_counts(spark: SparkSession, root: str, staging: str, at: datetime) -> Da
     moment = F.lit(at).cast("timestamp")
     manifest = read_manifest(spark, root, staging).where(F.col("user_id").isNotNull())
     checked = archive.validate_exports(manifest.where(F.col("job_id").isNotNull()))
-    valid = _once(checked.where("valid").select(*EXPORT), "valid")
+    valid = once(checked.where("valid").select(*EXPORT), "valid")
     good = manifest.join(valid, EXPORT, "left_semi")
     return ingest_counts(
         manifest,

@@ -2,7 +2,7 @@
 
 Spark has no archive source, so two Arrow-batched map functions open archives
 inside tasks. Listing reads an archive's directory only; unpacking streams one
-member at a time. Neither holds a whole archive or member in memory.
+member at a time. Neither holds an archive above 1 MB or a large member in memory.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ ROWS = 10_000
 COPY_BYTES = 1 << 20
 # Members up to this size travel as column values, larger ones as files.
 INLINE_BYTES = 8 << 20
+# Archives up to this size are read at once.
+WHOLE_BYTES = 1 << 20
 FRAME_BYTES = 32 << 20
 UNREADABLE = (
     zipfile.BadZipFile,
@@ -167,15 +169,21 @@ def staged_path(staging: str, kind: str, user: str, job: str, ordinal: int) -> s
 
 
 class _OpenArchive:
-    """The archive whose members are being read; one at a time."""
+    """The archive whose members are being read; one at a time.
+
+    A small one is read at once, as each member would take several short reads.
+    """
 
     def __init__(self):
         self._path = self._source = self._archive = None
 
-    def member(self, path: str, ordinal: int):
+    def member(self, path: str, length: int, ordinal: int):
         if path != self._path:
             self.close()
             self._source = open_input(path)
+            if length <= WHOLE_BYTES:
+                with self._source as source:
+                    self._source = io.BytesIO(source.read())
             self._archive = zipfile.ZipFile(self._source)
             self._path = path
         return self._archive.open(self._archive.infolist()[ordinal])
@@ -280,7 +288,7 @@ def _unpack(staging: str, inline_bytes: int, inline_xml: bool):
                     if wanted:
                         ordinal = int(row.member_ordinal)
                         try:
-                            with archive.member(row.path, ordinal) as member:
+                            with archive.member(row.path, row.length, ordinal) as member:
                                 small = row.member_size <= inline_bytes
                                 if small and row.kind != "xml":
                                     content = member.read()

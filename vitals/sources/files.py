@@ -7,6 +7,9 @@ from urllib.parse import quote
 
 from pyarrow import fs
 
+# An archive is written in many short pieces.
+BUFFER_BYTES = 64 << 10
+
 
 def _locate(path: str) -> tuple[fs.FileSystem, str]:
     """The store of a path as Spark lists it: a scheme, but no URI escapes."""
@@ -48,7 +51,7 @@ class StagedFile:
         self._store.create_dir(folder, recursive=True)
 
     def __enter__(self):
-        self._out = self._store.open_output_stream(self._temporary)
+        self._out = self._store.open_output_stream(self._temporary, buffer_size=BUFFER_BYTES)
         return self._out
 
     def __exit__(self, failure, *_):

@@ -146,9 +146,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = _Columns()
     local = columns.local
     for batch in batches:
-        for row in range(batch.num_rows):
-            user, job, ordinal, name, content, path = (column[row].as_py() for column in batch.columns)
-            member = user, job, ordinal, name
+        # texts are taken one by one, the short columns at once
+        *short, contents, paths = batch.columns
+        for row, member in enumerate(zip(*(column.to_pylist() for column in short))):
+            content, path = contents[row].as_py(), paths[row].as_py()
             if content is not None:
                 try:
                     root = ElementTree.fromstring(content)
