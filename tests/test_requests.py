@@ -6,6 +6,7 @@ import json
 import pytest
 
 from vitals.operators.requests import check_requests
+from vitals.plans.dashboard import answer_ecg
 from vitals.schema import QUERYABLE_TYPES, RECORD_TYPES
 
 FIELDS = ["user_id", "type", "start", "end", "granularity", "limit", "cursor"]
@@ -88,3 +89,23 @@ def test_dictionaries():
     assert len(QUERYABLE_TYPES) == 25
     assert RECORD_TYPES["HKCategoryTypeIdentifierSleepAnalysis"] == "SleepAnalysis"
     assert set(QUERYABLE_TYPES) - set(RECORD_TYPES.values()) == {"AppleStandTime"}
+
+
+def test_answers_check_their_requests_once(spark, tmp_path, rows):
+    path = str(tmp_path / "requests")
+    asked = spark.createDataFrame([(1, "u", "2024-01-01", "2024-01-09", "2"), (2, "u", "2024-01-01", "x", "2")],
+                                  "request_id LONG, user_id STRING, start STRING, end STRING, limit STRING")
+    asked.write.parquet(path)
+    requests = spark.read.parquet(path)
+    ecg = spark.range(5).selectExpr(
+        "'u' user_id", "concat('2024-01-0', id + 1) ecg_time", "id ordinal", "'e.csv' source_file", "id row_in_file", "'1' job_id"
+    )
+    first = answer_ecg(requests, ecg)
+    assert not [name for name in first.inputFiles() if path in name]
+    assert rows(first, "ecg_time", "position") == [("2024-01-01", 1), ("2024-01-02", 2)]
+    cursors = first.selectExpr("request_id", "next_cursor cursor").distinct()
+    following = f"{path}-next"
+    requests.join(cursors, "request_id").write.parquet(following)
+    second = answer_ecg(spark.read.parquet(following), ecg)
+    assert not [name for name in second.inputFiles() if following in name]
+    assert rows(second, "ecg_time", "position") == [("2024-01-03", 1), ("2024-01-04", 2)]

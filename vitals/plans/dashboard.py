@@ -1,4 +1,9 @@
-"""Answers to tables of requests, all users at once."""
+"""Answers to tables of requests, all users at once.
+
+The checked requests meet the rows in several places; they are written to the
+shared folder when an answer is asked for, so that they are checked, and their
+cursors decoded, once.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +18,7 @@ from vitals.operators.latest import cut_by_salt, top_per_group
 from vitals.operators.pages import ECG_ORDER, ROUTE_ORDER, after
 from vitals.operators.requests import check_requests
 from vitals.schema import ECG_LIMITS, METRIC_LIMITS, WORKOUT_LIMITS
+from vitals.session import once
 
 KEYS = ["user_id", "record_type"]
 
@@ -32,6 +38,7 @@ def _accepted(
     years = F.array_distinct(
         F.array(F.substring("start", 1, 4), F.substring("end", 1, 4))
     )
+    cursor = [F.nullif("cursor", F.lit("")).alias("_cursor")] if "cursor" in requests.columns else []
     return checked.select(
         "request_id",
         "user_id",
@@ -39,7 +46,7 @@ def _accepted(
         "start",
         "end",
         "limit",
-        (F.nullif("cursor", F.lit("")) if "cursor" in requests.columns else F.lit(None).cast("string")).alias("_cursor"),
+        *cursor,
         F.explode(years).alias("_year"),
     )
 
@@ -86,7 +93,7 @@ def answer_daily(requests: DataFrame, records: DataFrame) -> DataFrame:
     it holds a number; days without numbers are absent. A start occurs once per
     user and type, as in a stored table; of several the smallest unit counts.
     """
-    accepted = _accepted(requests, "metrics", "daily")
+    accepted = once(_accepted(requests, "metrics", "daily"), "accepted")
     days = _per_day(
         _of_requested(records, accepted),
         *statistics(F.col("value_num")),
@@ -120,15 +127,22 @@ def _answer_pages(
     """
     time, columns = order[0], [F.col(name) for name in order]
     types = dict(rows.dtypes)
-    key = decode_cursor(F.col("_cursor"), ", ".join(f"{name} {types[name]}" for name in order))
-    accepted = accepted.withColumn("_last", key).withColumn(
-        "_day", F.when(F.col("_cursor").isNotNull(), date_prefix(F.col(f"_last.{time}")))
-    )
+    schema = ", ".join(f"{name} {types[name]}" for name in order)
     last = [F.col(f"_last.{name}") for name in order]
-    whole = F.lit(True)
-    for part in last:
-        whole = whole & part.isNotNull()
-    accepted = accepted.where(F.col("_cursor").isNull() | whole).drop("_cursor")
+    if "_cursor" in accepted.columns:
+        accepted = accepted.withColumn("_last", decode_cursor(F.col("_cursor"), schema)).withColumn(
+            "_day", F.when(F.col("_cursor").isNotNull(), date_prefix(F.col(f"_last.{time}")))
+        )
+        whole = F.lit(True)
+        for part in last:
+            whole = whole & part.isNotNull()
+        accepted = accepted.where(F.col("_cursor").isNull() | whole).drop("_cursor")
+        accepted = once(accepted, "accepted")
+    else:  # nothing is met row by row, which the plan can tell from the nulls
+        none = F.lit(None).cast("string")
+        accepted = once(accepted, "accepted").withColumns(
+            {"_last": decode_cursor(none, schema), "_day": none}
+        )
     rows = _of_requested(rows, accepted, time)
     dated = rows.withColumn("date", date_prefix(F.col(time)))
     # what is left of the days that cursors lie in
