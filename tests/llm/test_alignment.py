@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import public_tokenizers as P
@@ -114,3 +115,57 @@ def test_awkward(spark, monkeypatch):
     assert hashlib.sha256(row["groups"].encode()).hexdigest() == row["groups_sha256"]
     raw = spark.sql("select 1L doc_id, cast(unhex('61ff62') as string) text")
     assert [r["n_a"] for r in A.scored(raw).collect()] == [0]
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, own):
+        self.own, self.texts = own, 0
+
+    def encode_batch(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode_batch(texts, **options)
+
+    def encode(self, texts, **options):
+        self.texts += len(texts)
+        return self.own.encode(texts, **options)
+
+
+def shown(groups):
+    return [f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups]
+
+
+def test_new_pieces_are_encoded_together():
+    """What the tokenizers are called for goes with the characters, not with the words."""
+    aligner = A.Aligner(P.path(A.VOCABULARY_A), P.path(A.VOCABULARY_B))
+    aligner.a, aligner.b = Counted(aligner.a), Counted(aligner.b)
+    texts = [" ".join(f"w{i}x{i * j}é" for j in range(200)) for i in range(20)]
+    got = aligner.of(texts)
+    assert [len(own) for own in got] == [200] * 20
+    for text, own in zip(texts, got):
+        assert "".join(p[3] for p in own)[:-1].split(";") == shown(groups_by_hand(text))
+    most = sum(map(len, texts)) / A.JOINED_CHARS + len(texts) + 1
+    assert aligner.a.texts <= most and aligner.b.texts <= most
+    # all are known now
+    assert aligner.of(texts) == got and aligner.a.texts <= most
+
+
+def test_a_piece_that_does_not_come_out_spoils_no_other():
+    """B reads its sign for a space as a space; pieces encoded beside such a one are as they are alone."""
+    aligner = A.Aligner(P.path(A.VOCABULARY_A), P.path(A.VOCABULARY_B))
+    bad, good = "one two thr▁ee four five", "one two four five"
+    (own, other, *ends) = aligner.of([bad, good, "", "▁", "six "])
+    assert [p is None for p in own] == [False, False, True, False, False]
+    assert other == [own[0], own[1], own[3], own[4]] and ends[:2] == [[None], [None]]
+    assert "".join(p[3] for p in other)[:-1].split(";") == shown(groups_by_hand(good))
+
+
+def test_cuts_are_where_a_pattern_has_them():
+    aligner = A.Aligner(P.path(A.VOCABULARY_A), P.path(A.VOCABULARY_B))
+    r = random.Random(8)
+    texts = ["", " ", "a ", *("".join(r.choices("ab_ 1\n.é語😀 ́\u3000", k=r.randint(0, 30))) for _ in range(500))]
+    laid = A.Laid([f" {t}" for t in texts])
+    whole, cuts = laid.whole.decode(), aligner.cuts(laid).tolist()
+    wanted = [p for t in texts for p in re.split(r"(?<=[\w!-~])(?= [\s\S])", f" {t}")]
+    assert [whole[i:j] for i, j in zip(cuts, cuts[1:])] == wanted

@@ -12,7 +12,8 @@ span or none, and are cut by the bytes they decode to.
 
 Neither vocabulary has a token that goes on over a space behind another
 character, so a text is cut there and each distinct piece is aligned once, as
-long as a worker remembers it; a text is the sequence of its pieces.
+long as a worker remembers it; a text is the sequence of its pieces. Pieces that
+are new are encoded together, as the text they make with spaces between them.
 
 How many documents hold a pair of ids linked is counted over all documents.
 What a document says of its pairs joins those counts.
@@ -23,9 +24,9 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
-import re
+import sys
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -40,9 +41,9 @@ from vitals.llm.words import worker_state
 #: Files of the vocabularies, and ids that B may have.
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 B_IDS = 1 << 16
-#: In front of a space behind a letter, digit or ASCII sign; not of one at the
-#: end, as B gives no token for a space alone.
-CUT = re.compile(r"(?<=[\w!-~])(?= [\s\S])")
+#: New pieces are encoded together in texts of so many characters: one by one the
+#: calls take twice the time, and longer texts take the libraries longer again.
+JOINED_CHARS = 500
 #: Pieces a worker remembers for sure (and at most twice as many), and the
 #: longest of them in characters.
 REMEMBERED, LONGEST = 100_000, 64
@@ -54,9 +55,10 @@ BROADCAST_PAIRS = 1_000_000
 B_SPACE = "▁"
 
 
-#: One piece of a text: how many tokens of A and B and groups it has, the groups
-#: as text, each with a ; behind it, and each link, a * B_IDS + b, as eight bytes.
+#: One piece of a text with the space in front of it: how many tokens of A and B and groups
+#: it has, the groups as text, each with a ; behind it, and each link, a * B_IDS + b, as eight bytes.
 Piece = tuple[int, int, int, str, bytes]
+NO_TOKENS: Piece = (0, 0, 0, "", b"")
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,53 +92,108 @@ class Aligner:
             raise ValueError(f"{path_b} has more than {B_IDS} ids")
         self.a_tokens = Tokens([self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)], "|")
         self.b_tokens = Tokens(self.b_bytes, ";")
+        # letters, digits and ASCII signs
+        self.solid = np.array([c.isalnum() or "!" <= c <= "~" for c in map(chr, range(sys.maxunicode + 1))], bool)
         # pieces met since the last turn, and those of the turn before
         self.young: dict[str, Piece | None] = {}
         self.old: dict[str, Piece | None] = {}
 
-    def pieces(self, texts: list[str]) -> list[Piece | None]:
-        """One per text; None where the tokens' bytes are not those of the text."""
+    def pieces(self, runs: list[list[str]]) -> list[Piece | None]:
+        """One per piece of the runs; None where the tokens' bytes are not those of the piece.
+
+        The pieces of a run are such as a text of theirs alone is cut into.
+        """
         # the lists the libraries return are many and hold no cycles
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._pieces(texts)
+            return self._pieces(runs)
         finally:
             if collecting:
                 gc.enable()
 
-    def _pieces(self, texts: list[str]) -> list[Piece | None]:
+    def _pieces(self, runs: list[list[str]]) -> list[Piece | None]:
+        texts = ["".join(run) for run in runs]
         encoded_a = self.a.encode_batch(texts, add_special_tokens=False)
         # B puts the leading space there by itself
         encoded_b = self.b.encode([t[1:] for t in texts], return_type="offset_mapping", num_threads=1)
         laid = Laid(texts)
         a = Side(self.a_tokens, laid, [e.ids for e in encoded_a], [e.offsets for e in encoded_a], 0)
         b = Side(self.b_tokens, laid, [e["ids"] for e in encoded_b], [e["offsets"] for e in encoded_b], 1)
+        sizes = np.array([len(run) for run in runs], np.int64)
+        letters = np.fromiter(map(len, chain.from_iterable(runs)), np.int64, sizes.sum())
+        lasts = laid.byte_of[np.cumsum(letters)]
+        # runs whose bytes come out, and whose every piece ends with a token of both
         good = a.same & b.same
-        out: list[Piece | None] = [None] * len(texts)
-        for at, piece in zip(np.flatnonzero(good), grouped(a.of(good), b.of(good))):
-            out[at] = piece
+        apart = ~(a.of(good).at(laid) & b.of(good).at(laid))[lasts]
+        good &= np.bincount(np.repeat(np.arange(len(runs)), sizes), apart, len(runs)) == 0
+        if good.all():
+            return grouped(a, b, laid, lasts)
+        found = iter(grouped(a.of(good), b.of(good), laid, lasts[np.repeat(good, sizes)]))
+        apiece = [[p] for run, well in zip(runs, good.tolist()) if not well and len(run) > 1 for p in run]
+        alone = iter(self._pieces(apiece) if apiece else [])
+        out: list[Piece | None] = []
+        for run, well in zip(runs, good.tolist()):
+            out += islice(found, len(run)) if well else islice(alone, len(run)) if len(run) > 1 else [None]
         return out
 
-    def of(self, texts: list[str]) -> list[list[Piece | None]]:
-        """The pieces of every text, in order."""
-        cut = [CUT.split(f" {text}") for text in texts]
-        met = dict.fromkeys(chain.from_iterable(cut))
-        young, old, new = self.young, self.old, []
-        for piece in met:
+    def met(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[Piece | None]]:
+        """How many pieces each text has, which of the distinct pieces they are, in order, and these."""
+        laid = Laid([f" {text}" for text in texts])
+        begins = self.cuts(laid)
+        sizes = np.diff(np.searchsorted(begins, laid.letters))
+        offsets = pa.py_buffer(laid.byte_of[begins].astype(np.int64))
+        cut = pa.LargeStringArray.from_buffers(len(begins) - 1, offsets, pa.py_buffer(laid.whole)).dictionary_encode()
+        which = cut.indices.to_numpy()
+        pieces = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        young, old = self.young, self.old
+        out: list[Piece | None] = [None] * len(pieces)
+        new = []
+        for at, piece in enumerate(pieces):
             if piece in young:
-                met[piece] = young[piece]
+                out[at] = young[piece]
             elif piece in old:
-                met[piece] = young[piece] = old[piece]
-            else:
-                new.append(piece)
-        for piece, found in zip(new, self.pieces(new)):
-            met[piece] = found
-            if len(piece) <= LONGEST:
-                young[piece] = found
+                out[at] = young[piece] = old[piece]
+            elif piece != " ":  # the empty text
+                new.append(at)
+        # behind a text's last piece there may be no cut
+        last = {pieces[at] for at in which[np.cumsum(sizes) - 1].tolist()}
+        runs = joined([pieces[at] for at in new], last)
+        for at, found in zip(new, self.pieces(runs) if runs else []):
+            out[at] = found
+            if len(pieces[at]) <= LONGEST:
+                young[pieces[at]] = found
             if len(young) >= REMEMBERED:
                 self.old, self.young = young, (young := {})
-        return [[met[p] for p in own] for own in cut]
+        return sizes, which, out
+
+    def cuts(self, laid: Laid) -> np.ndarray:
+        """In characters, where pieces begin, and the end: in front of every text, and in front of a space
+        behind a solid character, but of one at the end, as B gives no token for a space alone."""
+        letters = np.frombuffer(laid.whole.decode().encode("utf-32-le"), np.uint32)
+        out = np.zeros(len(letters) + 1, bool)
+        out[1:-1] = (letters[1:] == ord(" ")) & self.solid[letters[:-1]]
+        out[laid.letters[1:] - 1] = False
+        out[laid.letters] = True
+        return np.flatnonzero(out)
+
+    def of(self, texts: list[str]) -> list[list[Piece | None]]:
+        """The pieces of every text, in order."""
+        sizes, which, pieces = self.met(texts)
+        flat = map(pieces.__getitem__, which.tolist())
+        return [list(islice(flat, n)) for n in sizes.tolist()]
+
+
+def joined(pieces: list[str], last: set[str]) -> list[list[str]]:
+    """Runs of consecutive pieces of JOINED_CHARS characters or one longer piece; each in ``last`` ends one."""
+    runs, run, size = [], [], 0
+    for piece in pieces:
+        run.append(piece)
+        size += len(piece)
+        if size >= JOINED_CHARS or piece in last:
+            runs.append(run)
+            run, size = [], 0
+    return [*runs, run] if run else runs
 
 
 class Tokens:
@@ -148,6 +205,7 @@ class Tokens:
         self.sizes = np.array([len(b) for b in own], np.int64)
         self.inner = np.array([f"{i}," for i in range(len(own))], object)
         self.final = np.array([f"{i}{last}" for i in range(len(own))], object)
+        self.digits = np.array([len(w) for w in self.final], np.int64)
 
 
 class Laid:
@@ -195,15 +253,25 @@ class Side(NamedTuple("Fields", [("tokens", Tokens), ("ids", np.ndarray), ("ends
 
     def of(self, chosen: np.ndarray) -> Side:
         """The chosen texts' tokens."""
+        if chosen.all():
+            return self
         kept = np.repeat(chosen, self.counts)
         return self._replace(ids=self.ids[kept], ends=self.ends[kept], counts=self.counts[chosen], same=self.same[chosen])
 
+    def at(self, laid: Laid) -> np.ndarray:
+        """Of every offset whether a token ends there."""
+        out = np.zeros(len(laid.whole) + 1, bool)
+        out[self.ends] = True
+        return out
+
 
-def grouped(a: Side, b: Side) -> Iterator[Piece]:
-    """A piece per text, of groups between the offsets where a token of A and one of B end."""
-    cuts = np.intersect1d(a.ends, b.ends)
-    group_a, group_b = np.searchsorted(cuts, a.ends), np.searchsorted(cuts, b.ends)
-    n_b = np.bincount(group_b, minlength=len(cuts))
+def grouped(a: Side, b: Side, laid: Laid, lasts: np.ndarray) -> list[Piece]:
+    """The pieces that end at ``lasts``, of groups between the offsets where a token of A and one of B end."""
+    cut = a.at(laid) & b.at(laid)
+    # how many groups, and how many pieces, end in front of an offset
+    group_at, piece_at = np.cumsum(cut) - cut, np.searchsorted(lasts, a.ends)
+    group_a, group_b = group_at[a.ends], group_at[b.ends]
+    n_b = np.bincount(group_b, minlength=np.count_nonzero(cut))
     # every token of A beside every token of B of its group
     repeats = n_b[group_a]
     first_b = (np.cumsum(n_b) - n_b)[group_a] - (np.cumsum(repeats) - repeats)
@@ -216,15 +284,20 @@ def grouped(a: Side, b: Side) -> Iterator[Piece]:
 
     # of each group the tokens of A, then those of B
     order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-    words = np.concatenate((shown(a, group_a), shown(b, group_b)))[order].tolist() if len(order) else []
-    row_a = np.repeat(np.arange(len(a.counts)), a.counts)
-    n_groups = np.bincount(row_a, np.append(group_a[1:] != group_a[:-1], True)[: len(group_a)], len(a.counts)).astype(int)
-    n_links = np.bincount(row_a, repeats, len(a.counts)).astype(int)
-    at = link = 0
-    for own_a, own_b, groups, held in zip(a.counts.tolist(), b.counts.tolist(), n_groups.tolist(), n_links.tolist()):
-        yield own_a, own_b, groups, "".join(words[at : at + own_a + own_b]), links[8 * link : 8 * (link + held)]
-        at += own_a + own_b
-        link += held
+    words = "".join(np.concatenate((shown(a, group_a), shown(b, group_b)))[order].tolist()) if len(order) else ""
+
+    def summed(piece: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(piece, weights, len(lasts)).astype(np.int64)
+
+    piece_b = np.searchsorted(lasts, b.ends)
+    n_words = summed(piece_at, a.tokens.digits[a.ids]) + summed(piece_b, b.tokens.digits[b.ids])
+    n_groups = summed(np.searchsorted(lasts, np.flatnonzero(cut)))
+    word, link = np.cumsum(n_words), 8 * np.cumsum(summed(piece_at, repeats))
+    columns = [summed(piece_at), summed(piece_b), n_groups, word - n_words, word, np.append(0, link[:-1]), link]
+    return [
+        (own_a, own_b, groups, words[i:j], links[k:m])
+        for own_a, own_b, groups, i, j, k, m in zip(*(c.tolist() for c in columns))
+    ]
 
 
 def read(value: pa.Scalar) -> str:
@@ -248,6 +321,45 @@ def batches_of(column: pa.Array) -> Iterator[list[str]]:
         yield texts
 
 
+def rows_of(sizes: np.ndarray, which: np.ndarray, pieces: list[Piece | None], groups: bool) -> list[pa.Array]:
+    """Of texts as Aligner.met has them the columns of ``align`` behind doc_id."""
+    texts = len(sizes)
+    row = np.repeat(np.arange(texts), sizes)
+    # a text with a piece that has no tokens has none
+    bad = np.bincount(row, np.array([p is None for p in pieces], bool)[which], texts) > 0
+    row, which, sizes = row[~bad[row]], which[~bad[row]], np.where(bad, 0, sizes)
+    n_a, n_b, n_groups, shown, held = zip(*(p or NO_TOKENS for p in pieces))
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        return np.bincount(row, values[which], texts).astype(np.int64)
+
+    # the links of every piece, then the distinct ones of every text, with the text in front
+    own = np.array([len(h) // 8 for h in held], np.int64)
+    n_links = summed(own)
+    first = np.cumsum(own) - own
+    repeats = own[which]
+    at = np.repeat(first[which] - (np.cumsum(repeats) - repeats), repeats) + np.arange(repeats.sum())
+    links = np.frombuffer(b"".join(held), np.int64)[at]
+    beyond = int(links.max(initial=0)) + 1
+    begins = np.arange(texts + 1) * beyond
+    keys, times = np.unique(links + np.repeat(begins[:-1], n_links), return_counts=True)
+    offsets = np.searchsorted(keys, begins)
+    pairs = keys - np.repeat(begins[:-1], np.diff(offsets))
+    # the groups of all texts one behind the other, without the last ; of each
+    whole = memoryview(pa.array(shown, pa.large_string()).take(pa.array(which)).buffers()[2] or b"")
+    letters = np.append(0, np.cumsum(np.array([len(w) for w in shown], np.int64)[which]))
+    ends = letters[np.append(0, np.cumsum(sizes))].tolist()
+    pasted = [whole[i : j - 1] if i < j else whole[:0] for i, j in zip(ends, ends[1:])]
+    hashes = [hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(pasted, sizes.tolist())]
+    out = [
+        *(pa.array(summed(np.array(c, np.int64))) for c in [n_a, n_b, n_groups]),
+        pa.array(n_links),
+        pa.array(hashes, pa.string()),
+        *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v)) for v in [pairs, times.astype(np.int32)]),
+    ]
+    return [*out, pa.array([str(g, "ascii") for g in pasted], pa.string())] if groups else out
+
+
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, groups: bool = False) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups_sha256,
     the distinct pairs linked (a * B_IDS + b) and how many links each has.
@@ -261,10 +373,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     The vocabularies' paths are those of the worker unless given.
     """
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"]
-    types = [*[pa.int64()] * 5, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
     kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, links array<int>"
     if groups:
-        names, types, kinds = [*names, "groups"], [*types, pa.string()], f"{kinds}, groups string"
+        names, kinds = [*names, "groups"], f"{kinds}, groups string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = path_a or public_tokenizers.path(VOCABULARY_A)
@@ -273,23 +384,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         for batch in batches:
             at = 0
             for texts in batches_of(batch.column("text")):
-                out: list[list] = [[] for _ in names[1:]]
-                for text, pieces in zip(texts, aligner.of(texts)):
-                    if not text or None in pieces:
-                        pieces = []
-                    n_a, n_b, n_groups, shown, held = zip(*pieces) if pieces else [()] * 5
-                    whole = "".join(shown)[:-1]
-                    links = np.frombuffer(b"".join(held), np.int64)
-                    pairs, counts = np.unique(links, return_counts=True)
-                    row = [
-                        sum(n_a), sum(n_b), sum(n_groups), len(links),
-                        hashlib.sha256(whole.encode()).hexdigest() if pieces else "", pairs, counts,
-                    ]
-                    for column, value in zip(out, [*row, whole]):
-                        column.append(value)
                 ids = batch.column("doc_id").slice(at, len(texts))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(out, types[1:]))], names)
+                yield pa.RecordBatch.from_arrays([ids, *rows_of(*aligner.met(texts), groups)], names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, kinds)
 
