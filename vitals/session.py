@@ -12,6 +12,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 PARTITION_BYTES = 128 << 20
+#: Of rows that go to Python at once; each core holds such batches on both sides.
+BATCH_BYTES = 8 << 20
+BATCHING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def build_session(
@@ -68,6 +71,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 def once(df: DataFrame, label: str) -> DataFrame:
     """Rows written to the shared folder and read again, so that they are worked out once."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, label)
+    before = spark.conf.get(BATCHING)
+    spark.conf.set(BATCHING, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCHING, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import quote
 from xml.parsers import expat
 
@@ -31,7 +33,8 @@ COPY_BYTES = 1 << 20
 INLINE_BYTES = 8 << 20
 # Archives up to this size are read at once.
 WHOLE_BYTES = 1 << 20
-FRAME_BYTES = 32 << 20
+# Texts that go out at once, unless one member is longer.
+FRAME_BYTES = 4 << 20
 UNREADABLE = (
     zipfile.BadZipFile,
     zlib.error,
@@ -53,42 +56,150 @@ BAD_MEMBER = "member cannot be read"
 BAD_XML = "XML is not well-formed"
 
 
-def _batches(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    block = []
-    for row in rows:
-        block.append(row)
-        if len(block) == ROWS:
-            yield pd.DataFrame(block, columns=columns)
-            block = []
-    if block:
-        yield pd.DataFrame(block, columns=columns)
-
-
-def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def members():
-        for batch in batches:
-            for path, user, job, length in batch.itertuples(index=False, name=None):
-                head = (path, user, job, length)
-                if not (isinstance(user, str) and isinstance(job, str)):
-                    yield *head, None, None, None, MALFORMED_KEY
-                    continue
-                if length > MAX_ARCHIVE_BYTES:
-                    yield *head, None, None, None, TOO_LARGE
-                    continue
+#: End of a directory and an entry of it, as ``zipfile`` reads them, and what comes before a member.
+END, ENTRY, LOCAL = "<4s4H2LH", "<4s4B4HL2L5H2L", "<4s2B4HL2L2H"
+END_BYTES, ENTRY_BYTES, LOCAL_BYTES = map(struct.calcsize, (END, ENTRY, LOCAL))
+END64_BYTES = 20
+END_MARK, END64_MARK, ENTRY_MARK, LOCAL_MARK = b"PK\5\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
+#: The end of an archive that is read to list it; a longer directory is read by ``zipfile``.
+TAIL_BYTES = 64 << 10
+UTF8, DEFLATE_LEVELS, DESCRIBED_BEHIND = 0x800, 0x6, 0x8
+WIDE = 0xFFFFFFFF
+
+
+class _Entry(NamedTuple):
+    """A member: name, length, and where it lies; ``end`` is where the next one begins."""
+
+    name: str
+    size: int
+    method: int
+    crc: int
+    packed: int
+    raw: bytes
+    begin: int
+    end: int
+
+
+def _plain_directory(tail: bytes, length: int) -> list[_Entry] | None:
+    """The members of an archive of which ``tail`` is the end, in their order.
+
+    ``None`` if there is anything unusual about it, which ``zipfile`` then has
+    to judge: a comment, extra fields, encryption, more than 4 GB, another
+    compression, bytes in front, members out of order, or what is no archive.
+    """
+    if len(tail) < END_BYTES + END64_BYTES:
+        return None
+    mark, disk, first, here, count, size, offset, comment = struct.unpack_from(END, tail, len(tail) - END_BYTES)
+    start = length - len(tail)
+    if mark != END_MARK or disk or first or here != count or comment or offset + size != length - END_BYTES:
+        return None
+    if tail.startswith(END64_MARK, len(tail) - END_BYTES - END64_BYTES) or offset < start:
+        return None
+    at, stop, found = offset - start, offset - start + size, []
+    while at < stop:
+        if stop - at < ENTRY_BYTES:
+            return None
+        (mark, _, _, version, _, flags, method, _, _, crc, packed, full, named, extra, noted, disk, _, _, begin) = (
+            struct.unpack_from(ENTRY, tail, at)
+        )
+        at += ENTRY_BYTES + named + noted
+        if mark != ENTRY_MARK or extra or disk or version > 20 or at > stop:
+            return None
+        if flags & ~(UTF8 | DEFLATE_LEVELS | DESCRIBED_BEHIND) or method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            return None
+        if WIDE in (packed, full, begin) or found and begin <= found[-1][-1]:
+            return None
+        raw = tail[at - noted - named : at - noted]
+        try:
+            name = raw.decode("utf-8" if flags & UTF8 else "cp437")
+        except UnicodeDecodeError:
+            return None
+        if "\0" in name:
+            return None
+        found.append((name, full, method, crc, packed, raw, begin))
+    ends = [entry[-1] for entry in found[1:]] + [offset]
+    return [_Entry(*entry, end) for entry, end in zip(found, ends)] if len(found) == count else None
+
+
+def _plain_member(data: bytes, entry: _Entry) -> bytes | None:
+    """A member of a whole archive; ``None`` if it is not just as its entry says."""
+    if entry.end - entry.begin < LOCAL_BYTES:
+        return None
+    mark, *_, named, extra = struct.unpack_from(LOCAL, data, entry.begin)
+    at = entry.begin + LOCAL_BYTES
+    begin = at + named + extra
+    if mark != LOCAL_MARK or data[at : at + named] != entry.raw or begin + entry.packed > entry.end:
+        return None
+    text = data[begin : begin + entry.packed]
+    if entry.method == zipfile.ZIP_DEFLATED:
+        inflate = zlib.decompressobj(-15)
+        try:
+            text = inflate.decompress(text, entry.size + 1)
+        except zlib.error:
+            return None
+        if not inflate.eof or inflate.unused_data:
+            return None
+    return text if len(text) == entry.size and zlib.crc32(text) == entry.crc else None
+
+
+def _members(path: str, length: int) -> list[tuple[str, int]]:
+    """Names and lengths of an archive's members; reads the directory only."""
+    with open_input(path) as source:
+        if length >= END_BYTES + END64_BYTES:
+            source.seek(max(0, length - TAIL_BYTES))
+            tail = source.read(TAIL_BYTES + 1)
+            # of a file that has changed since it was listed the end is not known
+            if len(tail) == min(length, TAIL_BYTES) and (entries := _plain_directory(tail, length)) is not None:
+                return [(entry.name, entry.size) for entry in entries]
+            source.seek(0)
+        with zipfile.ZipFile(source) as archive:
+            return [(info.filename, info.file_size) for info in archive.infolist()]
+
+
+def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = column_names(LISTED)
+    for batch in batches:
+        rows: list[int] = []
+        found: list[tuple] = []
+
+        def listed() -> pa.RecordBatch:
+            heads = batch.take(pa.array(rows, pa.int32()))
+            members, ordinals, sizes, reasons = zip(*found)
+            columns = [
+                *heads.columns,
+                pa.array(members, pa.string()),
+                pa.array(ordinals, pa.int32()),
+                pa.array(sizes, pa.int64()),
+                pa.array(reasons, pa.string()),
+            ]
+            rows.clear()
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for row, (path, user, job, length) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+            reason, infos = None, ()
+            if user is None or job is None:
+                reason = MALFORMED_KEY
+            elif length > MAX_ARCHIVE_BYTES:
+                reason = TOO_LARGE
+            else:
                 try:
-                    with open_input(path) as source, zipfile.ZipFile(source) as archive:
-                        infos = archive.infolist()
+                    infos = _members(path, length)
                 except (zipfile.BadZipFile, pa.ArrowInvalid):
                     # the second is a file too short to seek its directory
-                    yield *head, None, None, None, NOT_A_ZIP
-                    continue
-                for ordinal, info in enumerate(infos):
-                    yield *head, info.filename, ordinal, info.file_size, None
-
-    columns = column_names(LISTED)
-    for frame in _batches(members(), columns):
-        # absent integers would otherwise turn the column into floats
-        yield frame.astype({"member_ordinal": "Int32", "member_size": "Int64"})
+                    reason = NOT_A_ZIP
+            if reason is not None:
+                rows.append(row)
+                found.append((None, None, None, reason))
+            for ordinal, (name, size) in enumerate(infos):
+                rows.append(row)
+                found.append((name, ordinal, size, None))
+                if len(rows) == ROWS:
+                    yield listed()
+            if len(rows) >= ROWS:
+                yield listed()
+        if rows:
+            yield listed()
 
 
 def list_members(arrivals: DataFrame) -> DataFrame:
@@ -96,7 +207,7 @@ def list_members(arrivals: DataFrame) -> DataFrame:
 
     Archives above the size limit, or under a malformed key, are not opened.
     """
-    listed = arrivals.select("path", "user_id", "job_id", "length").mapInPandas(
+    listed = arrivals.select("path", "user_id", "job_id", "length").mapInArrow(
         _list_members, LISTED
     )
     return listed.withColumn("kind", member_kind(F.col("member")))
@@ -171,28 +282,44 @@ def staged_path(staging: str, kind: str, user: str, job: str, ordinal: int) -> s
 class _OpenArchive:
     """The archive whose members are being read; one at a time.
 
-    A small one is read at once, as each member would take several short reads.
+    A small one is read at once, as each member would take several short reads,
+    and ``zipfile`` reads only what of it is unusual.
     """
 
     def __init__(self):
-        self._path = self._source = self._archive = None
+        self._path = self._source = self._archive = self._whole = self._plain = None
+
+    def _open(self, path: str, length: int) -> None:
+        if path == self._path:
+            return
+        self.close()
+        self._source = open_input(path)
+        if length <= WHOLE_BYTES:
+            with self._source as source:
+                self._whole = source.read()
+            self._plain = _plain_directory(self._whole, len(self._whole))
+            self._source = io.BytesIO(self._whole)
+        self._path = path
+
+    def content(self, path: str, length: int, ordinal: int) -> bytes | None:
+        """A member as a whole, if it is held and as it should be; else ``member`` has to read it."""
+        self._open(path, length)
+        if self._plain is None or ordinal >= len(self._plain):
+            return None
+        return _plain_member(self._whole, self._plain[ordinal])
 
     def member(self, path: str, length: int, ordinal: int):
-        if path != self._path:
-            self.close()
-            self._source = open_input(path)
-            if length <= WHOLE_BYTES:
-                with self._source as source:
-                    self._source = io.BytesIO(source.read())
+        self._open(path, length)
+        if self._archive is None:
             self._archive = zipfile.ZipFile(self._source)
-            self._path = path
         return self._archive.open(self._archive.infolist()[ordinal])
 
     def close(self):
         if self._archive is not None:
             self._archive.close()
+        if self._source is not None:
             self._source.close()
-        self._path = self._source = self._archive = None
+        self._path = self._source = self._archive = self._whole = self._plain = None
 
 
 class _Scrubber:
@@ -268,57 +395,87 @@ def _checked(member) -> bytes:
     return out.getvalue()
 
 
-def _unpack(staging: str, inline_bytes: int, inline_xml: bool):
-    columns = column_names(UNPACKED)
+def _unpack_batches(staging: str, inline_bytes: int, inline_xml: bool):
+    names = column_names(UNPACKED)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"member_ordinal": "Int32", "member_size": "Int64"})
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        archive, rows, held, parsed_xml = _OpenArchive(), [], 0, None
+    def read(archive: _OpenArchive, path, user, job, length, ordinal, size, kind) -> tuple:
+        """Of a member the file it became, or its text, or why it is neither."""
+        try:
+            if size <= inline_bytes and (kind != "xml" or inline_xml):
+                text = archive.content(path, length, ordinal)
+                if text is None:
+                    with archive.member(path, length, ordinal) as member:
+                        return None, _checked(member) if kind == "xml" else member.read(), None
+                return None, _checked(io.BytesIO(text)) if kind == "xml" else text, None
+            with archive.member(path, length, ordinal) as member:
+                target = staged_path(staging, kind, user, job, ordinal)
+                with StagedFile(target) as out:
+                    _copy(member, out, check=kind == "xml")
+            return target, None, None
+        except UNREADABLE:
+            return None, None, BAD_MEMBER
+        except expat.ExpatError:
+            return None, None, BAD_XML
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, parsed_xml = _OpenArchive(), None
         try:
             for batch in batches:
-                for row in batch.itertuples(index=False):
+                paths, users, jobs, lengths, _, ordinals, sizes, reasons, kinds = (
+                    column.to_pylist() for column in batch.columns
+                )
+                begin, held, targets, contents, why = 0, 0, [], [], []
+
+                def unpacked(end: int) -> pa.RecordBatch:
+                    # what the listing knows goes on as it came
+                    part = batch.slice(begin, end - begin)
+                    columns = [
+                        *part.columns[:7],
+                        pa.array(why, pa.string()),
+                        part.column(8),
+                        pa.array(targets, pa.string()),
+                        pa.array(contents, pa.binary()),
+                    ]
+                    for column in (targets, contents, why):
+                        column.clear()
+                    return pa.RecordBatch.from_arrays(columns, names)
+
+                for row, (path, kind) in enumerate(zip(paths, kinds)):
                     target = content = reason = None
-                    if row.kind == "xml" and row.path == parsed_xml:
-                        wanted = False
-                    else:
-                        wanted = isinstance(row.kind, str)
-                    if wanted:
-                        ordinal = int(row.member_ordinal)
-                        try:
-                            with archive.member(row.path, row.length, ordinal) as member:
-                                small = row.member_size <= inline_bytes
-                                if small and row.kind != "xml":
-                                    content = member.read()
-                                elif small and inline_xml:
-                                    content = _checked(member)
-                                else:
-                                    target = staged_path(
-                                        staging, row.kind, row.user_id, row.job_id, ordinal
-                                    )
-                                    with StagedFile(target) as out:
-                                        _copy(member, out, check=row.kind == "xml")
-                        except UNREADABLE:
-                            target, content, reason = None, None, BAD_MEMBER
-                        except expat.ExpatError:
-                            target, content, reason = None, None, BAD_XML
-                        if row.kind == "xml":
-                            parsed_xml = row.path
-                    rows.append((*row[:7], reason or row.reason, row.kind, target, content))
+                    if kind is not None and not (kind == "xml" and path == parsed_xml):
+                        target, content, reason = read(
+                            archive, path, users[row], jobs[row], lengths[row], ordinals[row], sizes[row], kind
+                        )
+                        if kind == "xml":
+                            parsed_xml = path
+                    targets.append(target)
+                    contents.append(content)
+                    why.append(reason or reasons[row])
                     held += len(content or b"")
-                    if len(rows) == ROWS or held >= FRAME_BYTES:
-                        yield frame(rows)
-                        rows, held = [], 0
-            if rows:
-                yield frame(rows)
+                    if held >= FRAME_BYTES:
+                        yield unpacked(row + 1)
+                        begin, held = row + 1, 0
+                if targets:
+                    yield unpacked(batch.num_rows)
         finally:
             archive.close()
 
     return unpack
 
 
+def _unpack(staging: str, inline_bytes: int, inline_xml: bool):
+    """The same over data frames."""
+    unpack = _unpack_batches(staging, inline_bytes, inline_xml)
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+    schema = pa.schema(list(zip([*column_names(LISTED), "kind"], types)))
+
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed = (pa.RecordBatch.from_pandas(batch, schema, preserve_index=False) for batch in batches)
+        return (found.to_pandas() for found in unpack(listed))
+
+    return frames
+
+
 def unpack_members(
     members: DataFrame, staging: str, inline_bytes: int = INLINE_BYTES, inline_xml: bool = False
 ) -> DataFrame:
@@ -337,5 +494,5 @@ def unpack_members(
     the same files.
     """
     columns = column_names(LISTED)
-    unpack = _unpack(staging, inline_bytes, inline_xml)
-    return members.select(*columns, "kind").mapInPandas(unpack, UNPACKED)
+    unpack = _unpack_batches(staging, inline_bytes, inline_xml)
+    return members.select(*columns, "kind").mapInArrow(unpack, UNPACKED)

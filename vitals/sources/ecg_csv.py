@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitals.schema import column_names
-from vitals.sources.archive import COPY_BYTES, ROWS
+from vitals.sources.archive import COPY_BYTES, FRAME_BYTES, ROWS
 from vitals.sources.files import open_input
 
 SCANNED = (
@@ -74,6 +74,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = column_names(SCANNED)
     types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string()]
     block: list[tuple] = []
+    held = 0
 
     def flushed() -> pa.RecordBatch:
         arrays = [pa.array(column, kind) for column, kind in zip(zip(*block), types)]
@@ -92,8 +93,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 for values in _rows(source):
                     block.append((*member, *values))
-                    if len(block) == ROWS:
+                    # a line may be as long as its file
+                    held += sum(map(len, filter(None, values[1:4])))
+                    if len(block) >= ROWS or held >= FRAME_BYTES:
                         yield flushed()
+                        held = 0
     if block:
         yield flushed()
 
