@@ -8,6 +8,7 @@ import pytest
 
 from parity import archives
 from vitals.plans import ingest
+from vitals.schema import JOBS
 from vitals.sources import archive, ecg_csv
 from vitals.streaming.ingest import ingest_stream
 
@@ -165,3 +166,35 @@ def test_a_listing_whose_stream_broke_off_is_landed_by_the_next(spark, tmp_path,
     written(root / "exports" / "v" / "1.zip", {"export.xml": "<a/>"})
     ingest_stream(spark, str(root), tables, staging, str(tmp_path / "c")).awaitTermination()
     assert ingest.read_manifest(spark, tables, staging).count() == 2
+
+
+def test_exports_are_validated_without_a_sort(spark, rows):
+    listed = spark.createDataFrame(
+        [
+            ("p", "u", "1", 9, "export.xml", 0, 5, archive.BAD_MEMBER, "xml"),
+            ("p", "u", "1", 9, "a/export.xml", 1, 5, archive.BAD_XML, "xml"),
+            ("p", "u", "1", 9, "a.gpx", 2, 5, archive.BAD_MEMBER, "gpx"),
+            ("q", "u", "2", 9, "export.xml", 0, 5, None, "xml"),
+            ("q", "u", "2", 9, "a.gpx", 1, 5, archive.BAD_MEMBER, "gpx"),
+            ("r", "u", "3", 9, None, None, None, archive.NOT_A_ZIP, None),
+            ("r", "u", "3", 9, None, None, None, archive.TOO_LARGE, None),
+            ("s", None, None, 9, None, None, None, archive.MALFORMED_KEY, None),
+            ("t", "u", "4", 9, "other", 0, 1, "else", None),
+        ],
+        f"{archive.LISTED}, kind STRING",
+    )
+    checked = archive.validate_exports(listed)
+    assert "SortAggregate" not in checked._jdf.queryExecution().executedPlan().toString()
+    assert rows(checked, "path", "file_count", "valid", "reason", "error_step") == [
+        ("p", 3, False, max(archive.BAD_MEMBER, archive.BAD_XML), "ParallelParsing"),
+        ("q", 2, True, None, None),
+        ("r", 0, False, max(archive.NOT_A_ZIP, archive.TOO_LARGE), "ValidateFile"),
+        ("s", 0, False, archive.MALFORMED_KEY, "ParseInput"),
+        ("t", 1, False, archive.NO_XML, "ValidateFile"),
+    ]
+
+
+def test_no_rows_take_no_python(spark):
+    empty = ingest._empty(spark, JOBS)
+    assert empty.schema == spark.createDataFrame([], JOBS).schema and empty.collect() == []
+    assert "ExistingRDD" not in empty._jdf.queryExecution().toString()

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitals.operators.counts import ingest_counts
 from vitals.operators.ecg import (
@@ -26,8 +27,10 @@ from vitals.sources.health_xml import scan_health_xml, scan_xml_values
 from vitals.streaming.ingest import empty_path, manifest_path
 
 
-def _empty(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, made without a Python worker on each core."""
+    fields = StructType.fromDDL(schema).fields
+    return spark.range(0).select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in fields))
 
 
 def _manifest(spark: SparkSession, root: str) -> DataFrame:

@@ -12,14 +12,14 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import quote
 from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitals.functions.text import member_kind
@@ -227,6 +227,16 @@ def pick_export_xml(manifest: DataFrame) -> DataFrame:
     )
 
 
+def _greatest(reasons: list[str], among: Column) -> tuple[Column, Callable[[str], Column]]:
+    """The greatest of some reasons in a group, as an aggregate of numbers and what it stands for.
+
+    Of texts it would be told by sorting all rows.
+    """
+    known = F.array(*map(F.lit, sorted(reasons)))
+    place = F.max(F.when(among & F.col("reason").isin(reasons), F.array_position(known, F.col("reason"))))
+    return place, lambda name: F.get(known, (F.col(name) - 1).cast("int"))
+
+
 def validate_exports(members: DataFrame) -> DataFrame:
     """One row per listed export: is it valid, and if not why.
 
@@ -234,20 +244,17 @@ def validate_exports(members: DataFrame) -> DataFrame:
     counts are combined before the shuffle, so the size of an archive's
     directory does not matter.
     """
+    xml = F.col("kind") == "xml"
+    refused, refusal = _greatest([MALFORMED_KEY, TOO_LARGE, NOT_A_ZIP], F.lit(True))
+    faulty, fault = _greatest([BAD_MEMBER, BAD_XML], xml)
     checked = members.groupBy("path", "user_id", "job_id", "length").agg(
         F.count("member").alias("file_count"),
-        F.max(
-            F.when(F.col("reason").isin(MALFORMED_KEY, TOO_LARGE, NOT_A_ZIP), F.col("reason"))
-        ).alias("refused"),
-        F.coalesce(F.bool_or(F.col("kind") == "xml"), F.lit(False)).alias("has_xml"),
-        F.coalesce(
-            F.bool_or((F.col("kind") == "xml") & F.col("reason").isin(BAD_MEMBER, BAD_XML)),
-            F.lit(False),
-        ).alias("bad_xml"),
-        F.max(
-            F.when((F.col("kind") == "xml") & F.col("reason").isin(BAD_MEMBER, BAD_XML), F.col("reason"))
-        ).alias("xml_reason"),
+        refused.alias("refused"),
+        F.coalesce(F.bool_or(xml), F.lit(False)).alias("has_xml"),
+        F.coalesce(F.bool_or(xml & F.col("reason").isin(BAD_MEMBER, BAD_XML)), F.lit(False)).alias("bad_xml"),
+        faulty.alias("xml_reason"),
     )
+    checked = checked.withColumns({"refused": refusal("refused"), "xml_reason": fault("xml_reason")})
     reason = (
         F.when(F.col("refused").isNotNull(), F.col("refused"))
         .when(~F.col("has_xml"), NO_XML)

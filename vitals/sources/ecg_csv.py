@@ -84,8 +84,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # texts are taken one by one, the short columns at once
         *short, contents, paths = batch.columns
-        for row, member in enumerate(zip(*(column.to_pylist() for column in short))):
-            content, path = contents[row].as_py(), paths[row].as_py()
+        for *member, path, text in zip(*(column.to_pylist() for column in short), paths.to_pylist(), contents):
+            content = text.as_py()
             with io.BytesIO(content) if content is not None else open_input(path) as source:
                 # a file that does not decode is left out as a whole
                 if not _is_utf8(source):
