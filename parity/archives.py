@@ -8,7 +8,6 @@ import zlib
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -249,9 +248,12 @@ def _members(user: int) -> dict[str, bytes]:
 
 
 def _write_faulty(root: str):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for user in batch["user_id"].tolist():
+            users = batch.column(0).to_pylist()
+            if None in users:  # all are floats then, as in a data frame
+                users = [float("nan") if user is None else float(user) for user in users]
+            for user in users:
                 # of remainder 3 the key names no job, of 0 the file is no archive
                 key = f"{user}.zip" if user % 5 == 3 else f"{user}/{user % 5}.zip"
                 with StagedFile(f"{root}/exports/{key}") as target:
@@ -271,6 +273,6 @@ def render_faulty(spark: SparkSession, sf_dir: str) -> str:
         root = shared_dir(spark, "faulty")
         users = table(spark, sf_dir, "events").select("user_id").distinct()
         users = users.repartition(users.count() // USERS + 1, "user_id")
-        users.mapInPandas(_write_faulty(root), "user_id LONG").write.format("noop").mode("overwrite").save()
+        users.mapInArrow(_write_faulty(root), "user_id LONG").write.format("noop").mode("overwrite").save()
         _rendered[key] = root
     return _rendered[key]

@@ -9,8 +9,8 @@ import pytest
 from parity import archives
 from vitals.plans import ingest
 from vitals.schema import JOBS
-from vitals.sources import archive, ecg_csv
-from vitals.streaming.ingest import ingest_stream
+from vitals.sources import archive, arrivals, ecg_csv
+from vitals.streaming.ingest import ingest_stream, land
 
 
 def written(path, members, **settings):
@@ -120,13 +120,13 @@ def test_the_driver_is_not_told_of_each_upload(spark, tmp_path, rows):
     root, tables, staging = tmp_path / "uploads", str(tmp_path / "t"), str(tmp_path / "s")
     checkpoint = tmp_path / "c"
 
-    def land():
+    def landed():
         ingest_stream(spark, str(root), tables, staging, str(checkpoint)).awaitTermination()
         return rows(ingest.read_manifest(spark, tables, staging), "path", "job_id")
 
     for user in range(40):
         written(root / "exports" / f"u {user}%2F+" / "1.zip", {"export.xml": "<a/>"})
-    first = land()
+    first = landed()
     assert len(first) == 40 and all(path.startswith(f"file:{root}/exports/u ") for path, _ in first)
     entries = [line for log in (checkpoint / "sources" / "0").iterdir() if log.name.isdigit() for line in log.read_text().splitlines()[1:]]
     assert 0 < len(entries) < 40
@@ -134,11 +134,11 @@ def test_the_driver_is_not_told_of_each_upload(spark, tmp_path, rows):
     # what has landed does not land again, what comes later does
     written(root / "exports" / "v" / "2.zip", {"export.xml": "<a/>"})
     written(root / "exports" / "u 0%2F+" / "3.zip", {"export.xml": "<a/>"})
-    second = land()
+    second = landed()
     assert sorted(set(second) - set(first)) == [
         (f"file:{root}/exports/u 0%2F+/3.zip", "3"), (f"file:{root}/exports/v/2.zip", "2"),
     ]
-    assert len(second) == 42 and land() == second
+    assert len(second) == 42 and landed() == second
     with pytest.raises(ValueError, match="availableNow"):
         ingest_stream(spark, str(root), tables, staging, str(checkpoint), files_per_trigger=1)
 
@@ -198,3 +198,11 @@ def test_no_rows_take_no_python(spark):
     empty = ingest._empty(spark, JOBS)
     assert empty.schema == spark.createDataFrame([], JOBS).schema and empty.collect() == []
     assert "ExistingRDD" not in empty._jdf.queryExecution().toString()
+
+
+def test_landing_takes_no_data_frames(spark, tmp_path):
+    """Each worker that loads them holds 27 MB more to its end."""
+    written(tmp_path / "exports" / "u" / "1.zip", {"export.xml": "<a/>"})
+    found = arrivals.parse_export_key(arrivals.export_arrivals(spark, str(tmp_path)), str(tmp_path))
+    plan = land(found, str(tmp_path), str(tmp_path / "s"))._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") >= 4 and "MapInPandas" not in plan

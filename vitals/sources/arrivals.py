@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,12 +75,15 @@ def _arrivals(spark: SparkSession, root: str, of_size: Callable[[int], bool], hi
     base = f"{root.rstrip('/')}/exports"
     # local paths are given as Spark lists them
     scheme = "file:" if ":" not in base.split("/", 1)[0] and not hidden else ""
-    columns = ["path", "length", "mtime"]
+    types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC")]
+
+    def rows(found: list[tuple], name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], [name, "length", "mtime"])
 
     def chosen(name: str, info) -> bool:
         return info.is_file and name.endswith(".zip") and of_size(info.size) and (hidden or _shown(name))
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             # what lies beside the users' folders has a malformed key, but a row
             found = [
@@ -89,15 +92,14 @@ def _arrivals(spark: SparkSession, root: str, of_size: Callable[[int], bool], hi
                 if chosen(name, info) or not info.is_file and (hidden or _shown(name))
             ]
             for at in range(0, len(found), ROWS):
-                frame = pd.DataFrame(found[at : at + ROWS], columns=["name", "length", "mtime"])
-                yield frame.astype({"length": "Int64"})
+                yield rows(found[at : at + ROWS], "name")
 
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for name, length, mtime in batch.itertuples(index=False, name=None):
-                if not pd.isna(length):
-                    found.append((f"{scheme}{base}/{name}", int(length), mtime))
+            for name, length, mtime in zip(*(column.to_pylist() for column in batch.columns)):
+                if length is not None:
+                    found.append((f"{scheme}{base}/{name}", length, mtime))
                     continue
                 found += [
                     (f"{scheme}{base}/{name}/{inner}", info.size, info.mtime)
@@ -105,11 +107,11 @@ def _arrivals(spark: SparkSession, root: str, of_size: Callable[[int], bool], hi
                     if chosen(f"{name}/{inner}", info)
                 ]
             if found:
-                yield pd.DataFrame(found, columns=columns)
+                yield rows(found, "path")
 
-    named = spark.range(0, 1, 1, 1).mapInPandas(first, "name STRING, length LONG, mtime TIMESTAMP")
+    named = spark.range(0, 1, 1, 1).mapInArrow(first, "name STRING, length LONG, mtime TIMESTAMP")
     tasks = -(-named.count() // FOLDERS)
-    return named.repartition(max(1, tasks)).mapInPandas(listed, ARRIVALS)
+    return named.repartition(max(1, tasks)).mapInArrow(listed, ARRIVALS)
 
 
 # Fixed format of an upload key, below the root: exports/{user}/{job}.zip
